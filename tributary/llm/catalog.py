@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .near_dups import near_duplicates
 from .tables import table
 from .token_counts import token_counts
 from .token_ids import token_ids
@@ -25,9 +26,14 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_min_max_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_token_ids": op2_token_ids,
+    "op8_min_max_dedup": op8_min_max_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}

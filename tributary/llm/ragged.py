@@ -177,10 +177,10 @@ def shingles(h: np.ndarray, woff: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     to = np.repeat(soff[:-1][long], made[long]) + _within(made[long])
     out[to] = mix(total[at])
     for r in np.flatnonzero((counts > 0) & ~long):
-        x = U64(int(counts[r]))
+        x = np.array([counts[r]], np.uint64)
         for v in h[woff[r] : woff[r + 1]]:
-            x = mix(np.array([x * _P + v], np.uint64))[0]
-        out[soff[r]] = x
+            x = mix(x * _P + v)
+        out[soff[r]] = x[0]
     return out, soff
 
 
