@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .near_dups import near_duplicates
+from .neighbours import nearest
 from .tables import table
 from .token_counts import token_counts
 from .token_ids import token_ids
@@ -30,10 +31,16 @@ def op8_min_max_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_token_ids": op2_token_ids,
     "op8_min_max_dedup": op8_min_max_dedup,
+    "op10_cross_polytope": op10_cross_polytope,
 }
 
 ORACLE_SQL: dict[str, str] = {}
