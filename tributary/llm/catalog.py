@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .mixing import mix, mix_sql
 from .near_dups import near_duplicates
 from .neighbours import nearest
 from .tables import table
 from .token_counts import token_counts
 from .token_ids import token_ids
+from .url_filter import Rule, url_filter, url_filter_sql
 
 
 def vocabulary(name: str) -> str:
@@ -19,6 +22,30 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The rules of op6's contract.
+RULES = [Rule("block", "net/"), Rule("allow", "example.net/en/"), Rule("block", "example.com/de/"), Rule("allow", "org/fr/")]
+
+#: op3's tree: domains are groups of sources; weights of names that aren't listed are 1; half of all tokens are drawn.
+DOMAINS = ("web", "books", "forums", "news")
+MIX_WEIGHTS = [{"web": 4, "books": 3, "forums": 2, "news": 1}, {"en": 5, "fr": 2, "de": 2, "es": 1}, {}]
+MIX_SHARE = (1, 2)
+
+
+def domain_of(source):
+    n = F.expr("try_cast(regexp_extract(source, '([0-9]+)', 1) AS bigint)") if source is None else source
+    return F.element_at(F.array(*map(F.lit, DOMAINS)), (F.coalesce(n, F.lit(0)) % len(DOMAINS) + 1).cast("int"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    out = mix(docs, {"domain": domain_of(None), "lang": F.col("lang"), "source": F.col("source")}, MIX_WEIGHTS, MIX_SHARE)
+    return out.select("doc_id", F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.col("_n_tokens").alias("n_tokens"), F.col("_copies").alias("copies"), F.col("_take").alias("take"))
+
+
+def op6_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -39,8 +66,15 @@ def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_token_ids": op2_token_ids,
+    "op3_mixing": op3_mixing,
+    "op6_url_templates": op6_url_templates,
     "op8_min_max_dedup": op8_min_max_dedup,
     "op10_cross_polytope": op10_cross_polytope,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_DOMAIN_SQL = f"list_extract({list(DOMAINS)}, (coalesce(try_cast(regexp_extract(source, '([0-9]+)', 1) AS BIGINT), 0) % {len(DOMAINS)} + 1)::INTEGER)"
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": mix_sql({"domain": _DOMAIN_SQL, "lang": "lang", "source": "source"}, MIX_WEIGHTS, MIX_SHARE),
+    "op6_url_templates": url_filter_sql(RULES),
+}
