@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .mixing import mix, mix_sql
 from .near_dups import near_duplicates
 from .neighbours import nearest
+from .quality import classify
 from .tables import table
 from .token_counts import token_counts
 from .token_ids import token_ids
@@ -63,12 +64,17 @@ def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
+def op9_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_token_ids": op2_token_ids,
     "op3_mixing": op3_mixing,
     "op6_url_templates": op6_url_templates,
     "op8_min_max_dedup": op8_min_max_dedup,
+    "op9_neighbour_votes": op9_neighbour_votes,
     "op10_cross_polytope": op10_cross_polytope,
 }
 
