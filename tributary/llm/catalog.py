@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import leaks
 from .mixing import mix, mix_sql
 from .near_dups import near_duplicates
 from .neighbours import nearest
@@ -68,11 +69,16 @@ def op9_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_token_ids": op2_token_ids,
     "op3_mixing": op3_mixing,
     "op6_url_templates": op6_url_templates,
+    "op7_latent_leaks": op7_latent_leaks,
     "op8_min_max_dedup": op8_min_max_dedup,
     "op9_neighbour_votes": op9_neighbour_votes,
     "op10_cross_polytope": op10_cross_polytope,
