@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import Workspace
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Segments that vary by nature: those with a digit.
 VARIABLE = "[0-9]"
@@ -59,7 +61,7 @@ def url_filter(df: DataFrame, rules: list[Rule], page_id: str = "page_id", url:
     levels are not told apart. A null url, or one without ://, has an empty host and path and no rule. All rows stay.
 
     The tree is built on counts of (host, generalised path) that combine before their shuffle, so a host with a third of
-    the pages is no hot spot; what follows works on these counts.
+    the pages is no hot spot; what follows works on these counts, a written table for each level.
     """
     host, path = host_and_path(F.col("url"))
     rows = df.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")).select("page_id", host.alias("host"), path.alias("path"))
@@ -71,7 +73,9 @@ def url_filter(df: DataFrame, rules: list[Rule], page_id: str = "page_id", url:
     segments = F.transform(F.slice(segments, 1, levels), lambda s: F.when(s.rlike(VARIABLE), "*").otherwise(s))
     rows = rows.withColumn("key", F.array_join(segments, "/"))
     bad = F.sum(F.when(F.col("ruled") == "block", 1).otherwise(0))
+    ws = Workspace(df.sparkSession, "urls")
     tree = rows.groupBy("host", "key").agg(F.count("*").alias("n"), bad.alias("bad")).withColumn("template", F.col("key"))
+    tree = ws.keep(tree, "tree-0")
     for level in range(1, levels + 1):
         parts = F.split("template", "/")
         at = tree.withColumn("prefix", F.array_join(F.slice(parts, 1, level - 1), "/")).withColumn("segment", F.coalesce(F.get(parts, F.lit(level - 1)), F.lit("")))
@@ -88,7 +92,8 @@ def url_filter(df: DataFrame, rules: list[Rule], page_id: str = "page_id", url:
         )
         named = child.join(parent, ["host", "prefix"]).select("host", "prefix", "segment", name.alias("name"))
         whole = F.concat_ws("/", *[F.when(F.col(c) != "", F.col(c)) for c in ("prefix", "name", "tail")])
-        tree = at.join(named, ["host", "prefix", "segment"]).select("host", "key", "n", "bad", whole.alias("template"))
+        tree = ws.keep(at.join(named, ["host", "prefix", "segment"]).select("host", "key", "n", "bad", whole.alias("template")), f"tree-{level}")
+        ws.drop(f"tree-{level - 1}")
     total = tree.agg(F.sum("n").alias("gn"), F.sum("bad").alias("gb"))
     hosts = tree.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("bad").alias("hb"))
     templates = tree.groupBy("host", "template").agg(F.sum("n").alias("tn"), F.sum("bad").alias("tb"))
