@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import leaks
+from .licenses import license_scan
 from .mixing import mix, mix_sql
 from .near_dups import near_duplicates
 from .neighbours import nearest
+from .pseudo_likelihood import lm_scores
 from .quality import classify
 from .tables import table
 from .token_counts import token_counts
@@ -73,10 +75,20 @@ def op7_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_rare_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op4_masked_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_token_ids": op2_token_ids,
     "op3_mixing": op3_mixing,
+    "op4_masked_windows": op4_masked_windows,
+    "op5_rare_words": op5_rare_words,
     "op6_url_templates": op6_url_templates,
     "op7_latent_leaks": op7_latent_leaks,
     "op8_min_max_dedup": op8_min_max_dedup,
@@ -88,5 +100,7 @@ _DOMAIN_SQL = f"list_extract({list(DOMAINS)}, (coalesce(try_cast(regexp_extract(
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": mix_sql({"domain": _DOMAIN_SQL, "lang": "lang", "source": "source"}, MIX_WEIGHTS, MIX_SHARE),
+    "op4_masked_windows": op4_masked_windows,
+    "op5_rare_words": op5_rare_words,
     "op6_url_templates": url_filter_sql(RULES),
 }
