@@ -151,7 +151,7 @@ def route_recall(routes: DataFrame, processes: DataFrame) -> DataFrame:
 
 def valid_routes(routes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Routes with code sets parsed from texts split by |, and the ids of those with an empty side or a malformed code."""
-    codes = lambda c: F.array_distinct(F.filter(F.transform(F.split(c, "\\|"), F.trim), lambda x: x != ""))
+    codes = lambda c: F.array_distinct(F.filter(F.transform(F.split(c, "\\|"), lambda x: F.trim(x)), lambda x: x != ""))
     parsed = routes.withColumn("ins", codes(F.col("input_hs"))).withColumn("outs", codes(F.col("output_hs")))
     good = (F.size("ins") > 0) & (F.size("outs") > 0) & F.forall("ins", is_six_digits) & F.forall("outs", is_six_digits)
     return parsed.filter(good), parsed.filter(~F.coalesce(good, F.lit(False))).select("route")

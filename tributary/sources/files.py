@@ -74,11 +74,11 @@ def _entries(doc: DataFrame, field: str, side: str) -> DataFrame:
 def state(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """materials, processes, entries and refs of a state document; entries and references may be bare strings or objects."""
     doc = spark.read.text(path, wholetext=True).selectExpr("parse_json(value) AS d")
-    p = doc.selectExpr("variant_get(d, '$.processes') AS x").selectExpr("inline(arrays_zip(map_keys(cast(x AS map<string, variant>)) AS process, map_values(cast(x AS map<string, variant>)) AS p))")
-    p = p.toDF("process", "p")
-    m = doc.selectExpr("variant_get(d, '$.materials') AS x").selectExpr("posexplode(arrays_zip(map_keys(cast(x AS map<string, variant>)), map_values(cast(x AS map<string, variant>)))) AS (pos, kv)")
+    of_field = lambda f: doc.selectExpr(f"posexplode(cast(variant_get(d, '$.{f}') AS map<string, variant>)) AS (pos, key, value)")
+    p = of_field("processes").selectExpr("key AS process", "value AS p")
+    m = of_field("materials").selectExpr("pos", "key AS code", "value AS m")
     of = lambda f, kind: f"try_variant_get(m, '$.{f}', '{kind}') AS {f}"
-    materials = m.selectExpr("pos", "kv.`0` AS code", "kv.`1` AS m").selectExpr("pos", "code", of("name", "string"), of("mined", "boolean"), of("aliases", "array<string>"), of("hs_description", "string"))
+    materials = m.selectExpr("pos", "code", of("name", "string"), of("mined", "boolean"), of("aliases", "array<string>"), of("hs_description", "string"))
     processes = p.selectExpr("process", "try_variant_get(p, '$.description', 'string') AS description", "try_variant_get(p, '$.scale', 'double') AS scale", "try_variant_get(p, '$.process_score', 'double') AS score")
     entries = _entries(p, "precursors", "in").union(_entries(p, "products", "out"))
     r = p.selectExpr("process", "posexplode(cast(variant_get(p, '$.references') AS array<variant>)) AS (pos, e)")
