@@ -100,7 +100,5 @@ _DOMAIN_SQL = f"list_extract({list(DOMAINS)}, (coalesce(try_cast(regexp_extract(
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": mix_sql({"domain": _DOMAIN_SQL, "lang": "lang", "source": "source"}, MIX_WEIGHTS, MIX_SHARE),
-    "op4_masked_windows": op4_masked_windows,
-    "op5_rare_words": op5_rare_words,
     "op6_url_templates": url_filter_sql(RULES),
 }

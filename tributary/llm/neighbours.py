@@ -150,7 +150,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "ve
             for t in range(tables):
                 probed = turn.probes(m.astype(np.float64), t, probes)
                 for g in range(GROUPS):
-                    local = np.zeros((len(ids), 2 * turn.size // GROUPS), np.uint8)
+                    local = np.zeros((len(ids), -(-2 * turn.size // GROUPS)), np.uint8)
                     at = np.nonzero(probed % GROUPS == g)
                     local[at[0], probed[at] // GROUPS] = 1
                     some = np.flatnonzero(local.any(1))

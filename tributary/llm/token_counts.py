@@ -12,13 +12,12 @@ Counts of pre-tokens are kept in a direct-mapped table of fixed size, so that a
 from __future__ import annotations
 
 import json
-import unicodedata
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from . import pretoken
@@ -27,7 +26,7 @@ from .ragged import CHUNK, U64, chunks, code_points, random_values, span_hashes,
 NONE = np.int32(2**31 - 1)
 #: Entries of the table of known pre-tokens (12 bytes each).
 KNOWN_BITS = 21
-#: Below this code point NFC changes nothing and lower case is one character for one, but for U+0130.
+#: Below this code point NFC changes nothing; lower case is one character for one, below it too, but for a few.
 PLAIN = 0x300
 
 
@@ -95,10 +94,13 @@ class WordVocabulary:
         if len(set(merged.tolist())) != len(merged):
             raise ValueError("two merges make the same symbol: merging by rank in step isn't defined")
         self.pairs = PairTable(left, right, merged)
-        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pattern = regex.compile(split)
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_str(text)
+        self.normalise, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.byte = {c: i for i, c in enumerate(characters)}
         special = [t["content"] for t in spec["added_tokens"]]
-        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.special_bytes = [s.encode() for s in special]
 
     def surviving(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -135,26 +137,23 @@ class WordVocabulary:
             off = off - np.concatenate([[0], np.cumsum(~keep)])[off]
         return out
 
-    def of_words(self, found: list[str]) -> np.ndarray:
-        """Symbols left of each of these normalised words."""
+    def of_words(self, found: list[bytes]) -> np.ndarray:
+        """Symbols left of each of these pre-tokens."""
         if not found:
             return np.zeros(0, np.int32)
         index = {w: i for i, w in enumerate(dict.fromkeys(found))}
-        data = [w.encode() for w in index]
-        off = np.concatenate([[0], np.cumsum([len(x) for x in data])])
-        return self.surviving(np.frombuffer(b"".join(data), np.uint8), off)[[index[w] for w in found]]
+        off = np.concatenate([[0], np.cumsum([len(x) for x in index])])
+        return self.surviving(np.frombuffer(b"".join(index), np.uint8), off)[[index[w] for w in found]]
 
-    def words_of(self, text: str) -> tuple[list[str], int]:
-        """The normalised words of any text, and the number of special strings in it."""
+    def words_of(self, text: str) -> tuple[list[bytes], int]:
+        """The pre-tokens of any text, as the library's own tables of characters cut it, and the number of special strings in it."""
         parts = self.special.split(text) if self.special else [text]
-        found: list[str] = []
-        for part in parts:
-            plain = regex.sub(r"\p{White_Space}+", " ", unicodedata.normalize("NFC", part))
-            found += self.pattern.findall("".join(c.lower() for c in plain))
+        found = [bytes(self.byte[c] for c in w) for part in parts if part for w, _ in self.split(self.normalise(part))]
         return found, len(parts) - 1
 
 
-_LOWER = np.array([ord(chr(i).lower()) if i != 0x130 else i for i in range(PLAIN)], np.uint32)
+_FEW = [i for i in range(PLAIN) if len(chr(i).lower()) != 1 or ord(chr(i).lower()) >= PLAIN]
+_LOWER = np.array([0x20 if i in _FEW else ord(chr(i).lower()) for i in range(PLAIN)], np.uint32)
 _VALUE = random_values(PLAIN)
 
 
@@ -182,7 +181,7 @@ class Counter:
         out = np.zeros(len(column), np.int64)
         for t in chunks(column, 4 * CHUNK):
             cps, off = code_points(t)
-            odd = (cps >= PLAIN) | (cps == 0x130)
+            odd = (cps >= PLAIN) | np.isin(cps, _FEW)
             slow = np.zeros(t.hi - t.lo, bool)
             if odd.any():
                 slow[np.unique(np.searchsorted(off, np.flatnonzero(odd), "right") - 1)] = True
