@@ -25,7 +25,7 @@ VIEWS: dict[str, str] = {
         CASE WHEN p_size % 7 = 0 THEN NULL ELSE code END AS code, p_name AS name, p_partkey AS pos FROM coded""",
     "processes": """SELECT process, cast(process % 11 AS double) / 10 AS scale, CASE WHEN process % 5 = 0 THEN NULL ELSE cast(process % 13 AS double) / 12 END AS score
         FROM entries GROUP BY process""",
-    "trade": """SELECT cast(s_nationkey AS bigint) AS partner, cast(c_nationkey AS bigint) AS reporter, code, year(l_shipdate) AS year,
+    "trade": """SELECT cast(s_nationkey AS bigint) AS partner, cast(c_nationkey AS bigint) AS reporter, code, cast(year(l_shipdate) AS bigint) AS year,
         cast(l_extendedprice AS decimal(18,2)) * (1 - cast(l_discount AS decimal(4,2))) AS value
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
         JOIN supplier ON l_suppkey = s_suppkey JOIN coded ON l_partkey = p_partkey""",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import codes, text
-from ..operators import dists, graphs, hyper, judge, ranks, references, search, state, trade
+from ..operators import dists, graphs, hyper, judge, ranks, references, report, search, state, trade
 from ..sources import files, sinks
 from ..streaming import ingest
 from .lineage import checkpoint_dir
@@ -48,7 +48,7 @@ shared AS (SELECT *, CASE WHEN sum(value) OVER g > 0 THEN value::DOUBLE / (sum(v
 
 @query(fx.sql("""SELECT material, s.code AS hs_bucket, quality AS hs_bucket_quality, year, coalesce(p.name, 'Unknown (' || partner || ')') AS exporter,
   coalesce(p.iso3, '') AS exporter_iso3, value::DOUBLE AS import_value_usd, import_share_pct,
-  row_number() OVER (PARTITION BY material, s.code, year ORDER BY import_share_pct DESC, partner) AS exporter_rank
+  row_number() OVER (PARTITION BY material, s.code, year ORDER BY import_share_pct DESC, partner)::INT AS exporter_rank
 FROM shared s LEFT JOIN (SELECT * FROM partners WHERE NOT is_group) p ON p.code = s.partner""", "trade", "buckets", "partners", more=_SHARES))
 def trade_import_share(spark: SparkSession, d: str) -> DataFrame:
     return trade.import_share(v(spark, d, "trade"), v(spark, d, "buckets"), v(spark, d, "partners"), fx.REPORTER)
@@ -156,7 +156,7 @@ def _base(g: hyper.Hypergraph) -> DataFrame:
     return g.targets.agg(F.min("v").alias("v"))
 
 
-@query(fx.sql("""SELECT (SELECT count(*) FROM verts) AS n_vertices, count(*) AS n_processes, count(*) FILTER (outs > 0) AS n_edges, sum(untyped) AS n_untyped, sum(unregistered) AS n_unregistered,
+@query(fx.sql("""SELECT (SELECT count(*) FROM verts) AS n_vertices, count(*) AS n_processes, count(*) FILTER (outs > 0) AS n_edges, sum(untyped)::BIGINT AS n_untyped, sum(unregistered)::BIGINT AS n_unregistered,
   count(*) FILTER (outs = 0) AS n_no_target, count(*) FILTER (outs > 0 AND ins = 0) AS n_sourceless, count(*) FILTER (outs > 0 AND ins = 0 AND raw_ins = 0) AS sourceless_empty,
   count(*) FILTER (outs > 0 AND ins = 0 AND typed_ins > 0) AS sourceless_unregistered, count(*) FILTER (outs > 0 AND ins = 0 AND raw_ins > 0 AND typed_ins = 0) AS sourceless_untyped
 FROM (SELECT process, count(*) FILTER (code IS NULL) AS untyped, count(*) FILTER (code NOT IN (SELECT v FROM verts)) AS unregistered, count(*) FILTER (side = 'out' AND code IN (SELECT v FROM verts)) AS outs,
@@ -200,7 +200,7 @@ _CRIT = f"""SELECT x.v AS code, (SELECT count(*) FROM made{ROUNDS} WHERE scenari
 FROM verts x WHERE x.v <> (SELECT v FROM base)"""
 
 
-@query(fx.sql(f"""SELECT rank() OVER (ORDER BY criticality DESC) AS rank, code, criticality, (SELECT count(*) FROM tgt t WHERE t.v = c.code) AS in_degree,
+@query(fx.sql(f"""SELECT (rank() OVER (ORDER BY criticality DESC))::INT AS rank, code, criticality, (SELECT count(*) FROM tgt t WHERE t.v = c.code) AS in_degree,
   (SELECT count(*) FROM src s WHERE s.v = c.code) AS out_degree, code IN (SELECT v FROM pre) AS in_pre FROM ({_CRIT}) c""", "entries", "registry", more=_graph() + _fixpoint(_SCENARIOS, _REMOVED)))
 def criticality_ranked(spark: SparkSession, d: str) -> DataFrame:
     g = _hyper(spark, d)
@@ -240,7 +240,7 @@ def disruption_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(fx.sql("""SELECT count(*) AS n_codes, count(*) FILTER (status = 'invalid') AS n_invalid, count(*) FILTER (status = 'absent') AS n_absent, count(*) FILTER (status = 'ok') AS n_in_trade,
-  count(*) FILTER (dominated) AS n_dominated, count(*) FILTER (n_dependents > 0) AS n_cascading, count(*) FILTER (n_dependents = 0) AS n_local, coalesce(sum(n_dependents), 0) AS total_dependents,
+  count(*) FILTER (dominated) AS n_dominated, count(*) FILTER (n_dependents > 0) AS n_cascading, count(*) FILTER (n_dependents = 0) AS n_local, coalesce(sum(n_dependents), 0)::BIGINT AS total_dependents,
   coalesce((SELECT code FROM report WHERE dominated ORDER BY n_dependents DESC, code LIMIT 1), '') AS max_code, coalesce(max(n_dependents), 0) AS max_dependents FROM report""", "trade", "entries", "registry", more=_REPORT_MORE))
 def disruption_summary(spark: SparkSession, d: str) -> DataFrame:
     return hyper.summary(disruption_report(spark, d))
@@ -650,7 +650,7 @@ def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def _knn_sql(measure: str) -> str:
     value = "list_cosine_similarity(a.vector::DOUBLE[], b.vector::DOUBLE[])" if measure == "cosine" else "list_distance(a.vector::DOUBLE[], b.vector::DOUBLE[])"
-    return fx.sql(f"SELECT query, rank, id FROM (SELECT a.id AS query, b.id, row_number() OVER (PARTITION BY a.id ORDER BY {value} {'DESC' if measure == 'cosine' else ''}, b.id) AS rank FROM vectors a, vectors b WHERE a.id < 10) WHERE rank <= 5", "vectors")
+    return fx.sql(f"SELECT query, rank::INT AS rank, id FROM (SELECT a.id AS query, b.id, row_number() OVER (PARTITION BY a.id ORDER BY {value} {'DESC' if measure == 'cosine' else ''}, b.id) AS rank FROM vectors a, vectors b WHERE a.id < 10) WHERE rank <= 5", "vectors")
 
 
 @query(_knn_sql("l2"))
@@ -727,6 +727,96 @@ def report_macros(spark: SparkSession, d: str) -> DataFrame:
     return sinks.macros(disruption_summary(spark, d).select("n_codes", "n_dominated"), "disruption")
 
 
+# ---------------------------------------------------------------- reports and state
+
+
+@query(fx.sql(f"SELECT third, count(*) FILTER (criticality = third) AS n_tied FROM ({_CRIT}), (SELECT min(criticality) AS third FROM (SELECT criticality FROM ({_CRIT}) ORDER BY criticality DESC LIMIT 3)) GROUP BY third", "entries", "registry", more=_graph() + _fixpoint(_SCENARIOS, _REMOVED)))
+def tied_with_third(spark: SparkSession, d: str) -> DataFrame:
+    g = _hyper(spark, d)
+    return report.tied_with_third(hyper.criticality(g, _base(g)), "criticality")
+
+
+@query(fx.sql("""SELECT chapter, code, n_processes, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY n_processes DESC, code) AS place FROM
+  (SELECT substr(code, 1, 2) AS chapter, code, count(DISTINCT process) AS n_processes FROM entries WHERE code <> '' GROUP BY ALL)) WHERE place <= 3""", "entries"))
+def participation_examples(spark: SparkSession, d: str) -> DataFrame:
+    counts = judge.participation(v(spark, d, "entries")).withColumn("chapter", F.substring("code", 1, 2))
+    return report.examples(counts, "chapter", "n_processes", "code", 3)
+
+
+@query(fx.sql("SELECT row_number() OVER (ORDER BY n_dependents DESC, code)::INT AS place, code, n_dependents FROM report WHERE n_dependents > 0 QUALIFY place <= 10", "trade", "entries", "registry", more=_REPORT_MORE))
+def cascade_rows(spark: SparkSession, d: str) -> DataFrame:
+    return report.cascades(disruption_report(spark, d))
+
+
+@query(fx.sql(f"SELECT label, max(n) FILTER (judge = 'a') AS n, count(DISTINCT n) > 1 AS differ FROM ({_SUMMARY}) GROUP BY label", "judged"))
+def primary_counts(spark: SparkSession, d: str) -> DataFrame:
+    return report.primary_count(judge.summary(v(spark, d, "judged")), "a")
+
+
+@query(fx.sql(f"SELECT judge, sum(n)::BIGINT AS n, sum(overall_correct) / sum(n) AS precision FROM ({_SUMMARY}) GROUP BY judge", "judged"))
+def pooled_precision(spark: SparkSession, d: str) -> DataFrame:
+    return report.pooled_precision(judge.summary(v(spark, d, "judged")))
+
+
+@query(fx.sql(f"SELECT min(round(precision * 100))::INT AS low, max(round(precision * 100))::INT AS high FROM ({_SUMMARY})", "judged"))
+def precision_range(spark: SparkSession, d: str) -> DataFrame:
+    return report.percent_range(judge.summary(v(spark, d, "judged")), "precision")
+
+
+@query(fx.sql("SELECT count(score) AS n, round(avg(score), 9) AS mean, median(score) AS median, min(score) AS min, max(score) AS max FROM processes", "processes"))
+def score_stats(spark: SparkSession, d: str) -> DataFrame:
+    return report.score_stats(v(spark, d, "processes"), "score").withColumn("mean", F.round("mean", 9))
+
+
+_BANDS = "CASE " + " ".join(f"WHEN regexp_matches(h, '{p}') THEN {s}::DOUBLE" for s, p in report.SOURCE_BANDS) + " END"
+
+
+@query(f"SELECT page_id, {_BANDS} AS score FROM (SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '') AS h FROM pages)")
+def source_bands(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "pages").select("page_id", report.source_score(F.col("url")).alias("score"))
+
+
+@query()
+def sample_items(spark: SparkSession, d: str) -> DataFrame:
+    return report.sampled(t(spark, d, "documents").select("doc_id", "lang"), 50, 7)
+
+
+@query(fx.sql("SELECT process, side, code FROM entries WHERE process NOT IN (SELECT process FROM processes WHERE scale < 0.4) OR process IS NULL", "entries", "processes"))
+def state_remove_processes(spark: SparkSession, d: str) -> DataFrame:
+    _, gone = references.purge_low_scale(v(spark, d, "processes"))
+    return state.remove(v(spark, d, "entries"), gone, "process").select("process", "side", "code")
+
+
+@query(fx.sql("""SELECT process, split_part(url, '#', 1) AS url, count(*) AS n FROM (SELECT process, url FROM refs UNION ALL SELECT process, url FROM (SELECT process + 1 AS process, url, row_number() OVER (PARTITION BY process + 1, split_part(url, '#', 1) ORDER BY pos) AS r FROM refs) x
+  WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM refs o WHERE o.process = x.process AND split_part(o.url, '#', 1) = split_part(x.url, '#', 1))) GROUP BY ALL""", "refs"))
+def state_add_references(spark: SparkSession, d: str) -> DataFrame:
+    refs = v(spark, d, "refs")
+    both = state.add_references(refs, refs.withColumn("process", F.col("process") + 1))
+    return both.groupBy("process", text.without_fragment(F.col("url")).alias("url")).agg(F.count("*").alias("n"))
+
+
+@query(fx.sql("""SELECT code, name, coalesce(list_sort(list_filter(list_distinct(more), lambda a: a <> name)), []) AS aliases FROM (SELECT code, coalesce(r.name, n.name) AS name, CASE WHEN r.name IS NULL THEN n.more ELSE list_append(coalesce(n.more, []), n.name) END AS more
+  FROM registry r FULL JOIN (SELECT code, max(p_name) AS name, list(DISTINCT p_name) AS more FROM coded GROUP BY code) n USING (code))""", "registry", "coded"))
+def state_add_materials(spark: SparkSession, d: str) -> DataFrame:
+    new = v(spark, d, "coded").groupBy("code").agg(F.max("p_name").alias("name"), F.collect_set("p_name").alias("aliases"))
+    old = v(spark, d, "registry").withColumn("aliases", F.array().cast("array<string>"))
+    return state.add_materials(old, new).withColumn("aliases", F.sort_array("aliases"))
+
+
+@query(fx.sql("""SELECT components, smallest, largest, n_smallest, n_largest, smallest * n_smallest / n AS share_smallest, largest * n_largest / n AS share_largest FROM (SELECT count(*) AS components, min(k) AS smallest, max(k) AS largest, sum(k)::BIGINT AS n,
+  count(*) FILTER (k = (SELECT min(k) FROM sizes)) AS n_smallest, count(*) FILTER (k = (SELECT max(k) FROM sizes)) AS n_largest FROM sizes)""", "net",
+    more=_NODES + _CLOSURE + ", sizes AS (SELECT component, count(*) AS k FROM (SELECT v, least(v, (SELECT min(a.dst) FROM closure a JOIN closure b ON a.src = b.dst AND a.dst = b.src WHERE a.src = v)) AS component FROM nodes) GROUP BY component)", recursive=True))
+def component_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.component_stats(graphs.strong_components(v(spark, d, "net")))
+
+
+@query()
+def random_graph_degrees(spark: SparkSession, d: str) -> DataFrame:
+    n = t(spark, d, "nation").count()
+    both = graphs.random_graph(spark, n, 0.2, 1).withColumn("kind", F.lit("random")).unionByName(graphs.small_world(spark, n, 4, 0.3, 1).withColumn("kind", F.lit("small world")))
+    return both.groupBy("kind", "src").agg(F.count("*").alias("degree"))
+
+
 # ---------------------------------------------------------------- the SQL surface
 
 
@@ -751,9 +841,9 @@ _both("sql_join_kinds", """SELECT 'semi' AS kind, count(*) AS n FROM customer LE
   UNION ALL SELECT 'theta', count(*) FROM nation JOIN region ON n_regionkey < r_regionkey""", """SELECT 'semi' AS kind, count(*) AS n FROM customer SEMI JOIN orders ON c_custkey = o_custkey UNION ALL SELECT 'anti', count(*) FROM customer ANTI JOIN orders ON c_custkey = o_custkey
   UNION ALL SELECT 'left', count(*) FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 400000 UNION ALL SELECT 'full', count(*) FROM supplier FULL JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 9000
   UNION ALL SELECT 'theta', count(*) FROM nation JOIN region ON n_regionkey < r_regionkey""")
-_both("sql_grouping_sets", "SELECT l_returnflag, l_linestatus, grouping(l_returnflag) AS g, count(*) AS n, sum(cast(l_quantity AS decimal(18,2))) AS qty FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), (l_linestatus), ())")
+_both("sql_grouping_sets", "SELECT l_returnflag, l_linestatus, cast(grouping(l_returnflag) AS int) AS g, count(*) AS n, cast(sum(cast(l_quantity AS decimal(18,2))) AS double) AS qty FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), (l_linestatus), ())")
 _both("sql_cube_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority) UNION ALL SELECT o_orderstatus, o_orderpriority, count(*) FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
-_both("sql_window_frames", """SELECT event_id, row_number() OVER w AS rn, lag(event_id) OVER w AS before, lead(event_id) OVER w AS after, ntile(4) OVER w AS quarter, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING) AS top
+_both("sql_window_frames", """SELECT event_id, cast(row_number() OVER w AS bigint) AS rn, lag(event_id) OVER w AS before, lead(event_id) OVER w AS after, cast(ntile(4) OVER w AS bigint) AS quarter, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING) AS top
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 _both("sql_setops", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier UNION ALL (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier)")
 _both("sql_topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
