@@ -24,7 +24,7 @@ from .ragged import ALNUM, U64, Texts, chunks, gather_ranges, word_hashes, words
 WINDOW, STRIDE = 48, 24
 #: Words of a benchmark passage at most; longer items are several passages, half of each in common.
 PASSAGE = 64
-RANK, OVERSAMPLE = 80, 16
+RANK, OVERSAMPLE = 64, 16
 #: Terms in at least this share of passages carry no weight.
 COMMON = 0.05
 COSINE = 0.4
