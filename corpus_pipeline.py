@@ -23,29 +23,34 @@ from tributary.llm.token_ids import token_ids
 SHARE, WEIGHTS = (9, 10), [{"en": 5, "fr": 2, "de": 2, "es": 1}, {}]
 
 
+def whole(docs: DataFrame) -> DataFrame:
+    """The columns that operators read, and document: all columns, out of reach of names that operators add."""
+    return docs.select("doc_id", "text", "lang", "source", F.struct(*docs.columns).alias("document"))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier marks 0 go; it learns from all labelled documents outside the held-out fifth."""
     voter = fit(docs, table(spark, sf_dir, "labels"))
-    # one pass carries the documents along: no join brings verdicts and texts together
-    judged = score(docs.withColumn("_text_", F.col("text")), voter, keep=tuple(c for c in docs.columns if c != "text") + ("_text_",))
-    return judged.filter("predicted = 1").withColumnRenamed("_text_", "text").select(*docs.columns)
+    # one pass carries the documents along, whatever their columns: no join brings verdicts and texts together
+    return score(whole(docs), voter, keep=("document",)).filter("predicted = 1").select("document.*")
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that with the smallest doc_id."""
+    """One document of each group of near-duplicates stays: that with the smallest doc_id. Rows of one doc_id are one document; rows without one stay."""
     gone = near_duplicates(docs).filter("NOT kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a copy or a paraphrase of a benchmark item go."""
+    """Documents that hold a copy or a paraphrase of a benchmark item go, by their doc_id; rows without one stay."""
     gone = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents drawn, at most once each, to the target weights of languages and sources."""
-    return mix(docs, {"lang": F.col("lang"), "source": F.col("source")}, WEIGHTS, SHARE, max_epochs=1).filter("_copies > 0").select(*docs.columns)
+    drawn = mix(whole(docs), {"lang": F.col("lang"), "source": F.col("source")}, WEIGHTS, SHARE, max_epochs=1)
+    return drawn.filter("_copies > 0").select("document.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

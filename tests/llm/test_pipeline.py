@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tributary.llm.catalog import ORACLE_SQL, QUERIES
@@ -27,6 +28,22 @@ def test_stages(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, SMALL).collect()) == kept
 
 
+def test_stages_take_odd_rows_and_clashing_columns(spark):
+    names = "score predicted held_out document kept component_id item_id similarity _copies _take _lang n_tokens start".split()
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(40)
+    odd = [(None, None, None, None, None), (None, "some plain words of a text", None, "src1", 1), (3, "", "en", None, None), (3, "", "en", None, None), (7001, "word " * 30000, "en", "src2", 5)]
+    docs = docs.union(spark.createDataFrame(odd, docs.schema))
+    for i, n in enumerate(names):
+        docs = docs.withColumn(n, F.lit(i))
+    docs = docs.checkpoint()
+    for at in (docs, docs.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, at, SMALL)
+            assert got.columns == docs.columns
+            assert got.filter("similarity <> 7 OR start <> 12").count() == 0
+        assert corpus_pipeline.STAGES[-1][1](spark, at, SMALL).count() == at.count()
+
+
 def test_clean_documents_stay(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     labels = spark.read.parquet(f"{SMALL}/labels.parquet").filter("quality = 1")

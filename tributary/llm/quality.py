@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ragged import NOT_SPACE, Texts, chunks, word_hashes, words
 
@@ -150,8 +151,7 @@ def score(documents: DataFrame, voter: Voter, doc_id: str = "doc_id", text: str
             s = np.concatenate(made)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], [*b.schema.names[:-1], "score", "predicted"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(judge, f"{fields}, score double, predicted int")
+    return rows.mapInArrow(judge, T.StructType(rows.schema.fields[:-1]).add("score", T.DoubleType()).add("predicted", T.IntegerType()))
 
 
 def classify(documents: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:

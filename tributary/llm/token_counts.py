@@ -19,6 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from . import pretoken
 from .ragged import CHUNK, U64, chunks, code_points, random_values, span_hashes, text_column
@@ -229,7 +230,8 @@ def token_counts(df: DataFrame, vocabulary: str, text: str = "text", limit: int
     """
     spark = df.sparkSession
     spec = spark.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
-    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    rows = df.select(*keep, text)
+    schema = T.StructType(rows.schema.fields[:-1]).add("n_bytes", T.LongType()).add("n_tokens", T.LongType()).add("over_limit", T.BooleanType())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(spec.value)
@@ -242,4 +244,4 @@ def token_counts(df: DataFrame, vocabulary: str, text: str = "text", limit: int
                 names=[*keep, "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return df.select(*keep, text).mapInArrow(count, f"{fields}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(count, schema)
