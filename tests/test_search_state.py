@@ -64,7 +64,7 @@ def test_entries(spark):
     assert state.remove_entries(out, new.filter("code = '200000'")).count() == 2
     dup = spark.createDataFrame([(i, s, c) for i in (1, 2) for s, c in (("in", "a"), ("out", "b"))] + [(3, "in", None), (4, "out", None)], "process int, side string, code string")
     groups = state.duplicate_processes(dup)
-    assert sorted(r.processes for r in groups.collect()) == [[1, 2], [3, 4]]
+    assert sorted((r.process, r["first"], r.n) for r in groups.collect()) == [(1, 1, 2), (2, 1, 2), (3, 3, 2), (4, 3, 2)]
     assert {r.process for r in state.merge_duplicates(dup, dup.select("process").distinct(), groups)[1].collect()} == {1, 3}
 
 
@@ -185,3 +185,47 @@ def test_text_functions(spark):
     assert s(text.quality_class(F.lit("Boron; other"), F.array(F.lit("boron")))) == "shared" and s(text.quality_class(F.lit(None).cast("string"), F.array(F.lit("x")))) == "shared"
     assert s(text.percent(F.lit(1), F.lit(0))) == "N/A" and s(text.capitalised(F.lit("aB"))) == "AB"
     assert files.parse_years("2017-2019") == [2017, 2018, 2019] and files.parse_materials("a, b,") == ["a", "b"]
+
+
+def test_list_edits(spark):
+    s = lambda c: spark.range(1).select(c).first()[0]
+    a = F.array(F.lit("a"), F.lit("b"))
+    assert s(state.append_absent(a, F.lit("b"))) == ["a", "b"] and s(state.append_absent(a, F.lit("c"))) == ["a", "b", "c"]
+    assert s(state.replaced_at(a, 1, F.lit("x"))) == ["a", "x"] and s(state.replaced_at(a, 9, F.lit("x"))) == ["a", "b"]
+    assert s(state.removed_at(a, 0)) == ["b"] and s(state.without(a, F.lit("b"))) == ["a"]
+    rows = spark.createDataFrame([("u", "text"), ("w", ""), ("z", "text")], "url string, content string")
+    got = state.looked_up(rows, spark.createDataFrame([("u", 0.5), ("w", 0.9)], "url string, score double"), "url", "content")
+    assert {r.url: r.score for r in got.collect()} == {"u": 0.5, "w": 0.0, "z": None}
+
+
+def test_refine_loop():
+    heat = []
+    out = state.refined(0, lambda s, t: heat.append(t) or s + 1, lambda s, t: (s, s < 2), 3, 10)
+    assert out == 3 and heat == [1.0, 0.9, 0.8]
+    assert state.refined(0, lambda s, t: s + 1, lambda s, t: (s, True), 1, 4) == 4
+
+
+def test_command_line(spark, tmp_path):
+    from tributary.__main__ import main
+
+    (tmp_path / "t").mkdir()
+    flow = "partner long, reporter long, code string, year long, value double"
+    spark.createDataFrame([(1, 842, "100000", 2020, 3.0), (2, 842, "100000", 2020, 1.0)], flow).write.parquet(str(tmp_path / "t/2020.parquet"))
+    (tmp_path / "b.csv").write_text("material,code,quality\nboron,100000,clean\nzinc,100000,shared\n")
+    (tmp_path / "p.csv").write_text("code,name,iso3,is_group\n1,One,ONE,false\n")
+    out = str(tmp_path / "out")
+    main(["trade-export", "--folder", str(tmp_path / "t"), "--years", "2019-2020", "--materials", "boron", "--buckets", str(tmp_path / "b.csv"), "--partners", str(tmp_path / "p.csv"), "--out", out], spark)
+    rows = spark.read.option("header", True).csv(out).collect()
+    assert sorted((r.material, r.exporter, r.import_share_pct) for r in rows) == [("boron", "One", "75.0"), ("boron", "Unknown (2)", "25.0")]
+    doc = {"materials": {c: {"name": c} for c in ("100000", "200000", "300000")}, "processes": {"p": {"precursors": [{"hs_code": "100000"}], "products": [{"hs_code": "200000"}]}, "q": {"precursors": [{"hs_code": "200000"}], "products": [{"hs_code": "300000"}]}}}
+    (tmp_path / "s.json").write_text(json.dumps(doc))
+    main(["criticality", "--state", str(tmp_path / "s.json"), "--base", "200000", "--out", str(tmp_path / "c")], spark)
+    assert {r.code: r.criticality for r in spark.read.option("header", True).csv(str(tmp_path / "c")).collect()} == {"100000": "1", "300000": "1"}
+    with pytest.raises(SystemExit):
+        main(["criticality", "--state", str(tmp_path / "s.json"), "--base", "999999", "--out", out], spark)
+    main(["disruption", "--state", str(tmp_path / "s.json"), "--trade", str(tmp_path / "t/2020.parquet"), "--threshold", "0.6", "--out", str(tmp_path / "d")], spark)
+    assert {r.code: r.n_dependents for r in spark.read.option("header", True).csv(str(tmp_path / "d")).collect()}["100000"] == "2"
+    (tmp_path / "g.txt").write_text("a b\nb c\n")
+    main(["graph", "--path", str(tmp_path / "g.txt"), "--out", str(tmp_path / "g")], spark)
+    assert spark.read.option("header", True).csv(str(tmp_path / "g")).count() == 3
+    assert main(["sql", "--path", str(tmp_path / "b.csv"), "--query", "SELECT count(*) AS n FROM data"], spark) == [{"n": 2}]

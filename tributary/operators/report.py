@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import domain
 
-#: Source quality by the kind of a URL's host, best first.
-SOURCE_BANDS = [(1.0, "(\\.gov|\\.edu|usgs\\.gov|europa\\.eu)$"), (0.8, "(nature\\.com|sciencedirect\\.com|springer\\.com|wiley\\.com|acs\\.org)$"), (0.6, "\\.org$"), (0.4, "\\.(com|net)$"), (0.0, ".*")]
+#: Stand-in bands of source quality by the kind of a host, best first; a table of scores may replace them.
+SOURCE_BANDS = [(1.0, "(\\.gov|\\.edu|europa\\.eu)$"), (0.8, "(nature\\.com|sciencedirect\\.com|springer\\.com|wiley\\.com|acs\\.org)$"), (0.6, "\\.org$"), (0.4, "\\.(com|net)$"), (0.0, ".*")]
 
 
 def tied_with_third(ranked: DataFrame, value: str) -> DataFrame:

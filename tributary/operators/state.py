@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import without_fragment
@@ -78,16 +81,20 @@ def find_material(materials: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def duplicate_processes(entries: DataFrame) -> DataFrame:
-    """ins, outs, processes: groups of processes with the same codes on both sides; those without any code form one group."""
-    codes = lambda side: F.array_join(F.sort_array(F.collect_list(F.when(F.col("side") == side, F.col("code")))), ",")
+    """process, ins, outs, first, n of processes that share the codes of both sides with others: a row for each member.
+
+    first is the smallest of the n members. Those without any code form one group, which may be large; so members stay
+    rows, and what is shuffled for a group is its count.
+    """
+    codes = lambda side: F.array_join(F.sort_array(F.collect_list(F.when(F.col("side") == side, F.col("code")))), ",")  # noqa: E731  a process's entries
     sig = entries.groupBy("process").agg(codes("in").alias("ins"), codes("out").alias("outs"))
-    groups = sig.groupBy("ins", "outs").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("process")).alias("processes"))
-    return groups.filter("n > 1").select("ins", "outs", "processes")
+    groups = sig.groupBy("ins", "outs").agg(F.count("*").alias("n"), F.min("process").alias("first")).filter("n > 1")
+    return sig.join(groups, ["ins", "outs"]).select("process", "ins", "outs", "first", "n")
 
 
-def merge_duplicates(entries: DataFrame, processes: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each group's smallest process stays for all of it; entries of the others go."""
-    gone = groups.select(F.explode(F.slice("processes", 2, 1 << 30)).alias("process"))
+def merge_duplicates(entries: DataFrame, processes: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each group's first process stays for all of it; entries of the others go."""
+    gone = members.filter("process <> first").select("process")
     return remove(entries, gone, "process"), remove(processes, gone, "process")
 
 
@@ -110,3 +117,45 @@ def apply(state: dict[str, DataFrame], instructions: DataFrame) -> dict[str, Dat
     materials = state["materials"].join(m.select("code"), "code", "left_anti").unionByName(m.filter("kind = 'AddMaterial'").select("code", "name"), allowMissingColumns=True)
     refs = add_references(state["refs"], last.filter("kind = 'AddReference'").select("process", "url", "pos"))
     return {"processes": processes, "materials": materials, "refs": refs}
+
+
+# Lists of a configuration or of an analysis context: questions, constraints, materials, references.
+
+
+def append_absent(items: Column, item: Column) -> Column:
+    """The list with the item at its end, unless it holds it."""
+    return F.when(F.array_contains(items, item), items).otherwise(F.array_append(items, item))
+
+
+def replaced_at(items: Column, position: int, item: Column) -> Column:
+    """The list with the item at a position from 0; as it is for positions it doesn't have."""
+    return F.transform(items, lambda x, i: F.when(i == position, item).otherwise(x))
+
+
+def removed_at(items: Column, position: int) -> Column:
+    return F.filter(items, lambda x, i: i != position)
+
+
+def without(items: Column, item: Column) -> Column:
+    return F.array_remove(items, item)
+
+
+def looked_up(rows: DataFrame, scores: DataFrame, key: str, content: str | None = None) -> DataFrame:
+    """Rows with the score of a table by key, null without one; 0 where a content column is given and empty."""
+    out = rows.join(scores.select(key, "score"), key, "left")
+    if content is None:
+        return out
+    return out.withColumn("score", F.when(F.coalesce(F.col(content), F.lit("")) == "", 0.0).otherwise(F.col("score")))
+
+
+def refined(state: Any, generate: Callable[[Any, float], Any], review: Callable[[Any, float], tuple[Any, bool]], min_reviews: int, max_reviews: int) -> Any:
+    """Generate and review until a review has no updates and min_reviews are done, max_reviews at most.
+
+    generate and review get the state and a temperature: generating cools as reviews add up, reviewing warms.
+    """
+    for i in range(max_reviews):
+        state = generate(state, 1 - i / max_reviews)
+        state, updated = review(state, i / max_reviews)
+        if not updated and i + 1 >= min_reviews:
+            break
+    return state

@@ -434,7 +434,7 @@ def purge_for_scale(spark: SparkSession, d: str) -> DataFrame:
   coalesce(string_agg(code, ',' ORDER BY code) FILTER (side = 'out'), '') AS outs FROM entries GROUP BY process) GROUP BY ins, outs HAVING count(*) > 1""", "entries"))
 def duplicate_processes(spark: SparkSession, d: str) -> DataFrame:
     got = state.duplicate_processes(v(spark, d, "entries"))
-    return got.select("ins", "outs", F.size("processes").cast("long").alias("n"), F.element_at("processes", 1).alias("first"), F.aggregate("processes", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    return got.groupBy("ins", "outs").agg(F.max("n").alias("n"), F.min("first").alias("first"), F.sum("process").alias("total"))
 
 
 @query(fx.sql("""SELECT asked, code FROM (SELECT asked, code, row_number() OVER (PARTITION BY asked ORDER BY p, code) AS r FROM (
