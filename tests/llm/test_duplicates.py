@@ -157,6 +157,13 @@ def test_few_or_no_vectors(spark):
     assert nearest(df.limit(0), df).count() == 0 and nearest(df, df.limit(0)).count() == 0
 
 
+def test_few_rows_are_all_candidates(spark):
+    v = np.random.default_rng(3).standard_normal((15, 64))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = [r.vec_id for r in nearest(df, df.filter("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [int(i) for i in np.argsort(-(v @ v[0])) if i]
+
+
 def test_smallest_copies():
     v = np.array([[1.0], [1.0], [2.0], [1.0], [1.0]])
     assert smallest_copies(v, np.array([9, 4, 1, 4, 7]), 2).tolist() == [1, 2, 4]

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .tables import Workspace
 
 TABLES, PROBES = 2, 84
+#: Rows for each neighbour asked for that the probed buckets of a table must hold: few rows are all compared.
+FEWEST = 50
 GROUPS, ROWS = 16, 4096
 RESULT = "query_id long, rank int, vec_id long, score double"
 
@@ -63,11 +65,15 @@ class Rotations:
         axis = np.abs(y).argmax(1)
         return (2 * axis + (y[np.arange(len(y)), axis] > 0)).astype(np.int32)
 
-    def probes(self, q: np.ndarray, table: int, n: int) -> np.ndarray:
+    def probed(self, q: np.ndarray, table: int, n: int, sizes: np.ndarray, least: int) -> np.ndarray:
+        """bool[query, bucket]: the n nearest buckets, and further ones until these hold at least so many rows."""
         y = self.turned(self.asked(q), table)
         near = np.stack([-y, y], 2).reshape(len(y), -1)
-        n = min(n, near.shape[1])
-        return np.argpartition(-near, n - 1, 1)[:, :n].astype(np.int32)
+        order = np.argsort(-near, 1, kind="stable")
+        before = np.cumsum(sizes[order], 1) - sizes[order]
+        out = np.zeros(near.shape, bool)
+        np.put_along_axis(out, order, (np.arange(near.shape[1]) < n) | (before < least), 1)
+        return out
 
 
 def smallest_copies(vectors: np.ndarray, ids: np.ndarray, keep: int) -> np.ndarray:
@@ -136,7 +142,12 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "ve
 
     rows = stored.filter(F.size("vector") == dim).mapInArrow(file, "t int, g int, id long, vector binary, bucket int")
     rows = ws.keep(rows, "rows")
-    parts = {(r["t"], r["g"]): -(-r["n"] // ROWS) for r in rows.groupBy("t", "g").agg(F.count("*").alias("n")).collect()}  # tables x GROUPS rows
+    sizes = np.zeros((tables, 2 * turn.size), np.int64)
+    for r in rows.groupBy("t", "bucket").agg(F.count("*").alias("n")).collect():  # a row for each table and axis
+        sizes[r["t"], r["bucket"]] = r["n"]
+    parts = {(t, g): -(-int(sizes[t, g::GROUPS].sum()) // ROWS) for t in range(tables) for g in range(GROUPS) if sizes[t, g::GROUPS].any()}
+    if not parts:
+        return spark.createDataFrame([], RESULT)
     number = F.create_map(*[F.lit(x) for (t, g), n in parts.items() for x in (t * GROUPS + g, n)])[F.col("t") * GROUPS + F.col("g")]
     none = F.lit(None).cast("binary")
     filed = rows.select("t", "g", F.pmod(F.xxhash64("id"), number).cast("int").alias("part"), F.lit(0).alias("kind"), "id", "vector", "bucket", none.alias("probes"))
@@ -148,11 +159,9 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "ve
             ids, m = b.column(0).to_numpy(), _matrix(b.column(1), dim, kind)
             data = _binary(m)
             for t in range(tables):
-                probed = turn.probes(m.astype(np.float64), t, probes)
+                probed = turn.probed(m.astype(np.float64), t, probes, sizes[t], FEWEST * k)
                 for g in range(GROUPS):
-                    local = np.zeros((len(ids), -(-2 * turn.size // GROUPS)), np.uint8)
-                    at = np.nonzero(probed % GROUPS == g)
-                    local[at[0], probed[at] // GROUPS] = 1
+                    local = np.ascontiguousarray(probed[:, g::GROUPS], np.uint8)
                     some = np.flatnonzero(local.any(1))
                     for part in range(parts.get((t, g), 0)):
                         n = len(some)
