@@ -31,8 +31,10 @@ def whole(docs: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier marks 0 go; it learns from all labelled documents outside the held-out fifth."""
     voter = fit(docs, table(spark, sf_dir, "labels"))
-    # one pass carries the documents along, whatever their columns: no join brings verdicts and texts together
-    return score(whole(docs), voter, keep=("document",)).filter("predicted = 1").select("document.*")
+    # one pass carries the documents along, under names of their own: no join brings verdicts and texts together
+    own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    judged = score(docs.select(*[F.col(c).alias(a) for c, a in own.items()]), voter, own["doc_id"], own["text"], tuple(own.values()))
+    return judged.filter("predicted = 1").select(*[F.col(a).alias(c) for c, a in own.items()])
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,7 +67,7 @@ def test_ids_are_the_library_s(encoder, rows):
 
 def test_known_words_may_be_forgotten(encoder):
     mine, library = encoder
-    mine._forget = lambda: (mine.key.fill(0), setattr(mine, "used", 0), setattr(mine, "store", np.zeros(64, np.uint32)))
+    mine._forget = lambda: (mine.key.fill(0), setattr(mine, "used", 0), setattr(mine, "store", np.zeros(64, mine.kind)))
     mine._forget()
     rows = [" ".join(f"word{i}x{j}" for j in range(40)) for i in range(5)]
     assert ids_of(mine, rows) == [library.encode(x, add_special_tokens=False).ids for x in rows]

@@ -140,18 +140,21 @@ def score(documents: DataFrame, voter: Voter, doc_id: str = "doc_id", text: str
     too; a row without doc_id counts as not held out. One narrow pass.
     """
     model = documents.sparkSession.sparkContext.broadcast(voter)
-    kept = [c for c in keep if c != doc_id]
-    rows = documents.select(F.col(doc_id).alias("doc_id"), *kept, held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("_text"))
+    kept = [c for c in keep if c != "doc_id"]
+    carried = text in kept  # then the text travels once
+    rows = documents.select(F.col(doc_id).alias("doc_id"), *kept, held_out(F.col(doc_id)).alias("held_out"), *([] if carried else [F.col(text).alias("_text")]))
+    out = rows.schema.fields[: 2 + len(kept)]
+    at = 1 + kept.index(text) if carried else len(out)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [np.zeros(0)]
-            for t in chunks(b.column(b.num_columns - 1)):
+            for t in chunks(b.column(at)):
                 made.append(model.value.scores(features(t)))
             s = np.concatenate(made)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], [*b.schema.names[:-1], "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(out)], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], [*b.schema.names[: len(out)], "score", "predicted"])
 
-    return rows.mapInArrow(judge, T.StructType(rows.schema.fields[:-1]).add("score", T.DoubleType()).add("predicted", T.IntegerType()))
+    return rows.mapInArrow(judge, T.StructType(list(out)).add("score", T.DoubleType()).add("predicted", T.IntegerType()))
 
 
 def classify(documents: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:

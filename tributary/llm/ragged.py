@@ -1,6 +1,6 @@
 """Ragged text arrays: words, hashes and code points of an Arrow text column, without a Python object per word.
 
-A text column is cut into chunks of rows of about ``CHUNK`` bytes, so that the arrays built over a chunk stay in the
+A text column is cut into chunks of about ``CHUNK`` bytes and at most ``CHUNK_ROWS`` rows, so that the arrays built over a chunk stay in the
 CPU caches and a worker's memory doesn't follow the size of Spark's batches. One text longer than that is a chunk of
 its own: texts are never cut.
 """
@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 19
+#: Rows of a chunk at most, for arrays with a row of their own for each text.
+CHUNK_ROWS = 1024
 U64 = np.uint64
 
 
@@ -52,7 +54,7 @@ def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[Texts]:
     lo, n = 0, len(off) - 1
     while lo < n:
         hi = int(np.searchsorted(off, off[lo] + size, "right")) - 1
-        hi = min(max(hi, lo + 1), n)
+        hi = min(max(hi, lo + 1), lo + CHUNK_ROWS, n)
         yield Texts(lo, hi, buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
         lo = hi
 

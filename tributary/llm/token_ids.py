@@ -25,9 +25,9 @@ from .tables import Workspace
 
 SEGMENT, BLOCK = 1 << 21, 1 << 18
 END_ID = 0
-KNOWN_BITS = 22
+KNOWN_BITS = 21
 #: Ids of known pre-tokens that a worker holds before it starts anew.
-STORE = 1 << 23
+STORE = 1 << 22
 
 _VALUE = random_values(pretoken.SAFE)
 
@@ -45,6 +45,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec)
+        self.kind = np.uint16 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
@@ -54,7 +55,7 @@ class Encoder:
         self.key = np.zeros(1 << KNOWN_BITS, np.uint64)
         self.at = np.zeros(1 << KNOWN_BITS, np.int32)
         self.length = np.zeros(1 << KNOWN_BITS, np.int32)
-        self.store, self.used = np.zeros(STORE, np.uint32), 0
+        self.store, self.used = np.zeros(STORE, self.kind), 0
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -76,9 +77,9 @@ class Encoder:
             if self.used + n > len(self.store):
                 self._forget()
                 if n > len(self.store):
-                    self.store = np.zeros(n, np.uint32)
+                    self.store = np.zeros(n, self.kind)
                 return self._spans(cps, start, end)
-            self.store[self.used : self.used + n] = np.fromiter((i for x in made for i in x), np.uint32, n)
+            self.store[self.used : self.used + n] = np.fromiter((i for x in made for i in x), self.kind, n)
             places = self.used + np.cumsum(lengths) - lengths
             self.used += n
             at[new], length[new] = places[back], lengths[back]
