@@ -119,6 +119,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", doc_id:
     known = known.filter(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
     known = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(SAMPLE)  # a bounded sample: SAMPLE rows
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("text IS NOT NULL").join(F.broadcast(known), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # an id that many rows repeat is one document
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,8 +128,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", doc_id:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(t.lo, t.hi - t.lo), b.column(2).slice(t.lo, t.hi - t.lo), pa.array([zlib.compress(x.tobytes(), 1) for x in made], pa.binary())], ["doc_id", "label", "counts"])
 
     got = rows.select("doc_id", "text", "label").mapInArrow(count, "doc_id long, label int, counts binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["counts"]))
-    got = list({r["doc_id"]: r for r in got}.values())
+    got.sort(key=lambda r: r["doc_id"])
     counts = np.array([np.frombuffer(zlib.decompress(r["counts"]), np.float32) for r in got], np.float32).reshape(len(got), SIZE)
     return Voter(counts, np.array([r["label"] for r in got], np.float32))
 
