@@ -99,8 +99,12 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += n
 
 
-def linked(a: bytes, b: bytes, percent: int = PERCENT) -> bool:
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+def set_at(column: pa.Array, i: int) -> np.ndarray:
+    """The set in row i, without a copy."""
+    return np.frombuffer(column[i].as_buffer(), np.uint64)
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= percent * (len(x) + len(y) - both)
 
@@ -153,8 +157,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
-            yield b.select(["a", "b"]).filter(pa.array([linked(i, j, percent) for i, j in zip(x, y, strict=True)], pa.bool_()))
+            x, y = b.column(2), b.column(3)
+            yield b.select(["a", "b"]).filter(pa.array([linked(set_at(x, i), set_at(y, i), percent) for i in range(b.num_rows)], pa.bool_()))
 
     each = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b")), "b")
     each = each.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a")), "a")
@@ -175,21 +179,21 @@ def _rest(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
         for b in batches:
-            for *k, rep, component, shingles_ in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
+            for i, (*k, rep, component) in enumerate(zip(*(b.column(c).to_pylist() for c in range(5)), strict=True)):
                 if k != key:
                     yield from _joined(group, percent)
                     key, group = k, []
-                group.append((rep, component, shingles_))
+                group.append((rep, component, set_at(b.column(5), i).copy()))  # else a batch would stay for the group's sake
         yield from _joined(group, percent)
 
     return rows.select("band", "i", "j", "rep", "component", "shingles").mapInArrow(compare, "a long, b long").distinct()
 
 
-def _joined(group: list[tuple[int, int, bytes]], percent: int) -> Iterator[pa.RecordBatch]:
+def _joined(group: list[tuple[int, int, np.ndarray]], percent: int) -> Iterator[pa.RecordBatch]:
     """Edges that join the members which links connect: the smallest of them with each other one."""
     if len({c for _, c, _ in group}) < 2:
         return
-    sets = [np.frombuffer(x, np.uint64) for _, _, x in group]
+    sets = [x for _, _, x in group]
     same = common(sets)
     size = np.array([len(x) for x in sets])
     link = 100 * same >= percent * (size[:, None] + size[None, :] - same)
