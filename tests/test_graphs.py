@@ -113,6 +113,13 @@ def test_random_graphs(spark):
     with pytest.raises(ValueError):
         graphs.small_world(spark, 20, 3, 0.1)
     assert len(graphs.preferential(30, 2)) == 56
+    assert graphs.small_world_added(spark, 20, 4, 0.0).count() == 40 < graphs.small_world_added(spark, 20, 4, 1.0).count()
+    even = graphs.regular(12, 3, 1)
+    assert all(sum(v in e for e in even) == 3 for v in range(12)) and len(set(even)) == 18
+    with pytest.raises(ValueError):
+        graphs.regular(3, 3)
+    dense = graphs.clustered(60, 3, 1.0)
+    assert len(dense) == len(set(dense)) == 57 * 3
 
 
 def test_histogram(spark):

@@ -295,3 +295,56 @@ def preferential(n: int, m: int, seed: int = 0) -> list[tuple[int, int]]:
         out += [(v, u) for u in sorted(chosen)]
         ends += [*chosen, *[v] * m]
     return out
+
+
+def small_world_added(spark, n: int, k: int, p: float, seed: int = 0) -> DataFrame:
+    """Newman–Watts: the ring of small_world() stays whole; with probability p an edge's start gets a further edge."""
+    ring = small_world(spark, n, k, 0.0, seed)
+    draw = lambda salt, m: F.pmod(F.xxhash64("src", "dst", F.lit(seed), F.lit(salt)), F.lit(m))
+    more = ring.filter(draw(1, 1 << 30) / float(1 << 30) < p).select("src", draw(2, n).alias("dst")).filter("src <> dst")
+    return ring.union(more).distinct()
+
+
+def regular(n: int, d: int, seed: int = 0) -> list[tuple[int, int]]:
+    """Edges of a random graph in which every vertex has d neighbours: ends are paired at random, anew until no pair repeats; n * d is even."""
+    import random
+
+    if n * d % 2 or not 0 <= d < n:
+        raise ValueError("n * d must be even and d below n")
+    generator = random.Random(seed)
+    while True:
+        ends, edges = [v for v in range(n) for _ in range(d)], set()
+        while ends:
+            generator.shuffle(ends)
+            rest = []
+            for a, b in zip(ends[::2], ends[1::2], strict=True):
+                if a != b and (min(a, b), max(a, b)) not in edges:
+                    edges.add((min(a, b), max(a, b)))
+                else:
+                    rest += [a, b]
+            if len(rest) == len(ends):
+                break
+            ends = rest
+        if not ends:
+            return sorted(edges)
+
+
+def clustered(n: int, m: int, p: float, seed: int = 0) -> list[tuple[int, int]]:
+    """Holme–Kim edges: as preferential(), but each further edge of a new vertex closes a triangle with probability p."""
+    import random
+
+    generator, ends, near = random.Random(seed), list(range(m)), {v: set() for v in range(n)}
+    out = []
+    for v in range(m, n):
+        chosen: list[int] = []
+        while len(chosen) < m:
+            friends = sorted(near[chosen[-1]] - {v, *chosen}) if chosen and generator.random() < p else []
+            u = generator.choice(friends) if friends else generator.choice(ends)
+            if u not in chosen:
+                chosen.append(u)
+        for u in chosen:
+            near[v].add(u)
+            near[u].add(v)
+            out.append((v, u))
+        ends += [*chosen, *[v] * m]
+    return out
