@@ -213,6 +213,30 @@ def test_answers_decide_on_paraphrases(spark):
     assert got == {1}
 
 
+def test_leak_that_a_third_of_the_passages_hold(spark):
+    """The leak itself lifts all words of its item over the share from which on words carry no weight."""
+    g, say = passages(11)
+    items = [say(30) for _ in range(4)]
+    rare = [f"rare{i}" for i in range(30)]
+    bench = [(i, " ".join(x)) for i, x in enumerate(items)] + [(7, " ".join(rare))]
+    docs = [(d, " ".join(rare if d % 3 == 0 else say(40))) for d in range(240)] + [(900, " ".join(items[1])), (901, " ".join(say(70) + rare[:27] + say(70)))]
+    got = leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(d, 7) for d in range(0, 240, 3)} | {(900, 1), (901, 7)}
+    assert all(r.cosine > 0.4 for r in got)
+
+
+def test_leak_of_frequent_words_only(spark):
+    g, say = passages(12)
+    often = [f"of{i}" for i in range(12)]
+    item = [g.choice(often) for _ in range(20)]
+    bench = [(0, " ".join(say(30))), (1, " ".join(item))]
+    docs = [(d, " ".join(g.choice(often) if g.random() < 0.4 else say(1)[0] for _ in range(120))) for d in range(100)]
+    docs += [(500, " ".join(say(30) + item + say(30))), (501, " ".join(item))]
+    got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} >= {(500, 1), (501, 1)}
+    assert all(r.similarity == 1 for r in got if r.doc_id >= 500)
+
+
 def test_no_benchmark_or_documents(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")

@@ -6,6 +6,10 @@ matrix and adds up A^T (A O), tasks' sums are added by blocks of terms, and the
 the whole corpus, so that the space keeps what tells its items apart. Passages whose cosine to a benchmark passage
 reaches COSINE, and whose part along it COVER of its weight, are candidates; the longest common subsequence of words decides, and for paraphrases also whether the
 answer (the words of the item's last sentence) is there.
+
+Words in COMMON of all passages carry no weight there, be it that they are frequent or that the leak itself is. A benchmark
+passage that a leak could hold by such words alone has an exact path: every place where enough of its words stand close
+together is a candidate, so that none is lost.
 """
 
 from __future__ import annotations
@@ -117,6 +121,11 @@ class Space:
         self.benchmark = benchmark
         idf = np.log((1 + n) / (1 + df))
         self.idf = np.where(df >= COMMON * n, 0, idf * idf).astype(np.float32) if n else np.ones(len(df), np.float32)
+        light = self.idf == 0
+        #: Passages that a leak may hold without any weighted word: these are searched exactly.
+        terms = [benchmark.lookup(p)[1] for p in benchmark.passages]
+        self.exact = [i for i, t in enumerate(terms) if light[t].sum() >= PARAPHRASE * len(t)]
+        self.exact_terms = [np.unique(terms[i]) for i in self.exact]
         if not self.idf.any():
             self.idf = np.maximum(idf, 0.1).astype(np.float32)
 
@@ -150,6 +159,11 @@ class Space:
         self.items = (z / np.maximum(np.sqrt((z * z).sum(1, keepdims=True)), 1e-6)).astype(np.float32)
 
 
+def span(m: int) -> int:
+    """Words among which a passage of m words is looked for."""
+    return m + m // 3 + 4
+
+
 def common_order(masks: dict[int, int], m: int, text: list[int]) -> int:
     """Length of the longest common subsequence of a text and the passage of m words that the masks stand for."""
     v = full = (1 << m) - 1
@@ -181,7 +195,7 @@ class Judge:
         text = h[max(lo, first - m) : min(hi, last + m)].tolist()
         if common_order(self.masks[p], m, text) < PARAPHRASE * m:
             return 0.0
-        width, best, where = m + m // 3 + 4, 0, 0
+        width, best, where = span(m), 0, 0
         for at in range(0, max(1, len(text) - width + m // 4 + 1), max(1, m // 4)):
             c = common_order(self.masks[p], m, text[at : at + width])
             if c > best:
@@ -221,8 +235,46 @@ class Judge:
                 share = self.leak(int(p), h, int(w.woff[r]), int(w.woff[r + 1]), int(f[i]), int(e[i]))
                 if share and share > out.get(key, (0.0,))[0]:
                     out[key] = (share, float(near[i, p]))
+        for p, own in zip(s.exact, s.exact_terms, strict=True):
+            some = self.dense(p, own, at, term, w.woff, row, first, last).tolist()
+            like = {i: cosine(h[first[i] : last[i]], s.benchmark.passages[p]) for i in some}
+            for i in sorted(some, key=lambda i: -like[i]):
+                r = int(row[i])
+                key = (r, s.benchmark.item[p])
+                if key in out and out[key][0] >= 1:
+                    continue
+                share = self.leak(p, h, int(w.woff[r]), int(w.woff[r + 1]), int(first[i]), int(last[i]))
+                if share and share > out.get(key, (0.0,))[0]:
+                    out[key] = (share, like[i])
         return out
 
+    def dense(self, p: int, own: np.ndarray, at: np.ndarray, term: np.ndarray, woff: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Windows around which some span holds as many of passage p's words as a leak must: no other can be one."""
+        m = len(self.space.benchmark.passages[p])
+        member = np.zeros(self.space.benchmark.terms, bool)
+        member[own] = True
+        place = at[member[term]]
+        need = max(1, int(np.ceil(PARAPHRASE * m - 1e-9)))
+        if len(place) < need:
+            return np.zeros(0, np.int64)
+        # the first of need words in a row of the text that stand within a span
+        begin, end = place[: len(place) - need + 1], place[need - 1 :]
+        r = np.searchsorted(woff, begin, "right") - 1
+        near = (end - begin < span(m)) & (end < woff[r + 1])
+        begin, end = begin[near], end[near]
+        lo, hi = np.maximum(woff[:-1][row], first - m), np.minimum(woff[1:][row], last + m)
+        # ends ascend with begins: the first begin within reach has the smallest end
+        to = np.searchsorted(begin, lo)
+        some = np.flatnonzero(to < len(begin))
+        return some[end[to[some]] < hi[some]]
+
+
+def cosine(a: np.ndarray, b: np.ndarray) -> float:
+    """Of the counts of words."""
+    both, to = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = np.bincount(to[: len(a)], minlength=len(both)), np.bincount(to[len(a) :], minlength=len(both))
+    return float(x @ y / np.sqrt(float(x @ x) * float(y @ y)))
+
 
 def _document_frequencies(texts: DataFrame, benchmark) -> tuple[np.ndarray, int]:
     terms = benchmark.value.terms
@@ -295,8 +347,9 @@ def _sketched(texts: DataFrame, space) -> np.ndarray:
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id, similarity (share of a benchmark passage's words in common order) and cosine: a row for each
-    document and item it holds a copy or a paraphrase of.
+    """doc_id, item_id, similarity (share of a benchmark passage's words in common order) and cosine (in the latent
+    space; of the counts of words where the exact path found it): a row for each document and item it holds a copy or a
+    paraphrase of.
 
     The benchmark is a bounded set of queries: it is collected and broadcast whole. Items without words, null texts and
     empty ones match nothing. Rows of one doc_id give one row for each item; rows without doc_id are reported without it.
