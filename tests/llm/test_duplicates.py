@@ -149,6 +149,25 @@ def test_neighbours_against_all_products(spark, unit):
     assert copies == [3, *range(701, 720)] or not unit
 
 
+@pytest.mark.parametrize("norms", ["one of 2", "one of 4", "sigma 0.2", "sigma 0.5", "sigma 0.5, one of 1e6"])
+def test_neighbours_of_unequal_norms(spark, norms):
+    g = np.random.default_rng(6)
+    v = g.standard_normal((20_000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    if "sigma" in norms:
+        v *= np.exp(float(norms.split()[1].strip(",")) * g.standard_normal((len(v), 1)))
+    if "one of" in norms:
+        v[777] *= float(norms.split()[-1])
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(v)), "embedding": pa.FixedSizeListArray.from_arrays(v.ravel(), 64).cast(pa.list_(pa.float64()))})).repartition(3)
+    found = {}
+    for r in nearest(df, df.filter("vec_id % 200 = 0")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    s = v[::200] @ v.T
+    s[np.arange(len(s)), np.arange(0, len(v), 200)] = -np.inf
+    best = np.argpartition(-s, 20, 1)[:, :20]
+    assert np.mean([len(set(b.tolist()) & found[200 * i]) / 20 for i, b in enumerate(best)]) >= 0.9
+
+
 def test_few_or_no_vectors(spark):
     kind = "vec_id long, embedding array<double>"
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [-1.0, 0.5])], kind)

@@ -2,8 +2,9 @@
 
 A table turns unit vectors by a pseudo-rotation (three rounds of random signs and a fast Hadamard transform) and files
 each under its nearest signed axis. A query looks in the buckets of its nearest axes and ranks all they hold by the
-exact inner product. Largest inner product becomes nearest on the sphere by one more coordinate: a stored vector x, M
-being the largest norm, is hashed as (x / M, sqrt(1 - |x|^2 / M^2)), a query as (q / |q|, 0).
+exact inner product. Largest inner product becomes nearest on the sphere within bands of norms: rows are filed by band
+and direction, and a query looks in the nearest buckets of every band and in further ones of the bands of large norms, by
+the inner product that a band's rows may reach. Rows whose norms are within BAND of each other are one band.
 
 Buckets of a table are dealt to GROUPS; a group whose rows exceed ROWS is cut by a hash of vec_id and its queries go to
 each part, so that no task holds more, however many rows share a bucket. Copies of one vector are ranked by vec_id, so
@@ -25,6 +26,8 @@ TABLES, PROBES = 2, 84
 #: Rows for each neighbour asked for that the probed buckets of a table must hold: few rows are all compared.
 FEWEST = 50
 GROUPS, ROWS = 16, 4096
+#: Ratio of norms within a band; bands at most, of which so many hold the largest norms apart, however few rows have them.
+BAND, BANDS, TOP = 1.05, 32, 8
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -38,10 +41,34 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(n)
 
 
+def norm_bands(steps: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Norms at which bands begin, largest first, each band's largest norm and its rows; steps: rows by log(norm) / log(BAND).
+
+    Small norms' bands hold many steps if there are too many: the large ones decide on inner products.
+    """
+    edge, largest, rows, last, before = [], [], [], -1, 0
+    total = sum(steps.values())
+    for i, (x, n) in enumerate(sorted(steps.items(), reverse=True)):
+        band = i if i < TOP or len(steps) <= BANDS else TOP + (BANDS - TOP) * before // total
+        if band != last:
+            edge.append(0.0)
+            largest.append(BAND ** (x + 0.5))
+            rows.append(0)
+        edge[-1], last = BAND ** (x - 0.5), band
+        rows[-1] += n
+        before += n
+    edge[-1] = 0.0
+    return np.array(edge), np.array(largest), np.array(rows, np.int64)
+
+
 class Rotations:
-    def __init__(self, dim: int, largest: float, tables: int = TABLES, seed: int = 10):
-        self.dim, self.largest, self.tables = dim, largest, tables
+    def __init__(self, dim: int, bands: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, tables: int = TABLES, seed: int = 10):
+        self.dim, self.tables = dim, tables
+        self.edge, self.largest, rows = bands
+        self.bands, self.share = len(rows), rows / rows.sum()
         self.size = 1 << int(np.ceil(np.log2(dim + 1)))
+        #: Cosine that only the nearest k of all rows reach, were these random.
+        self.reach = float(np.sqrt(2 * np.log(max(2.0, rows.sum() / k)) / dim))
         self.signs = np.random.Generator(np.random.PCG64(seed)).choice(np.array([-1.0, 1.0]), (tables, 3, self.size))
 
     def turned(self, x: np.ndarray, table: int) -> np.ndarray:
@@ -49,31 +76,41 @@ class Rotations:
             x = hadamard(x * signs)
         return x
 
-    def stored(self, x: np.ndarray) -> np.ndarray:
+    def unit(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Directions, filled up to the size, and norms."""
+        scale = np.abs(x).max(1, keepdims=True)
+        x = x / scale
+        norm = np.sqrt((x**2).sum(1, keepdims=True))
         out = np.zeros((len(x), self.size))
-        out[:, : self.dim] = x / self.largest
-        out[:, self.dim] = np.sqrt(np.maximum(0, 1 - (out[:, : self.dim] ** 2).sum(1)))
-        return out
-
-    def asked(self, q: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(q), self.size))
-        out[:, : self.dim] = q / np.sqrt((q**2).sum(1, keepdims=True))
-        return out
+        out[:, : self.dim] = x / norm
+        return out, (norm * scale)[:, 0]
 
     def bucket(self, x: np.ndarray, table: int) -> np.ndarray:
-        y = self.turned(self.stored(x), table)
+        out, norm = self.unit(x)
+        y = self.turned(out, table)
         axis = np.abs(y).argmax(1)
-        return (2 * axis + (y[np.arange(len(y)), axis] > 0)).astype(np.int32)
+        band = (norm[:, None] < self.edge[None, :-1]).sum(1)
+        return (band * 2 * self.size + 2 * axis + (y[np.arange(len(y)), axis] > 0)).astype(np.int32)
 
     def probed(self, q: np.ndarray, table: int, n: int, sizes: np.ndarray, least: int) -> np.ndarray:
-        """bool[query, bucket]: the n nearest buckets, and further ones until these hold at least so many rows."""
-        y = self.turned(self.asked(q), table)
+        """bool[query, bucket]: the n nearest buckets of every band, further ones by the inner product that they may reach
+        until another n (a band's counting by its share of the rows) are chosen, and until all hold at least so many rows."""
+        y = self.turned(self.unit(q)[0], table)
         near = np.stack([-y, y], 2).reshape(len(y), -1)
         order = np.argsort(-near, 1, kind="stable")
-        before = np.cumsum(sizes[order], 1) - sizes[order]
-        out = np.zeros(near.shape, bool)
-        np.put_along_axis(out, order, (np.arange(near.shape[1]) < n) | (before < least), 1)
-        return out
+        out = np.zeros((len(y), self.bands, near.shape[1]), bool)
+        np.put_along_axis(out, order[:, None, :], np.arange(near.shape[1])[None, None, :] < n, 2)
+        out = out.reshape(len(y), -1)
+        # a stored row's nearest axis has about this coordinate of it
+        axis = np.sqrt(2 * np.log(2 * self.size) / self.size)
+        may = (self.largest[None, :, None] * (axis * near[:, None, :] + self.reach)).reshape(len(y), -1)
+        order = np.argsort(-may, 1, kind="stable")
+        share = np.repeat(self.share, near.shape[1])[order]
+        held = sizes[order]
+        more = (np.cumsum(share, 1) - share < n - 1e-9) | (np.cumsum(held, 1) - held < least)
+        chosen = np.zeros(out.shape, bool)
+        np.put_along_axis(chosen, order, more, 1)
+        return out | chosen
 
 
 def smallest_copies(vectors: np.ndarray, ids: np.ndarray, keep: int) -> np.ndarray:
@@ -117,12 +154,15 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "ve
         return df.filter((F.size(v) > 0) & fine & F.exists(v, lambda x: x != 0))
 
     stored = valid(index)
-    norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    shape = stored.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n"), F.max(norm).alias("norm")).orderBy(F.desc("n"), "dim").limit(1).collect()
+    shape = stored.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
     if not shape:
         return spark.createDataFrame([], RESULT)
     dim = shape[0]["dim"]
-    turn = Rotations(dim, float(np.sqrt(shape[0]["norm"])), tables)
+    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    # squares of doubles can leave their range
+    step = F.coalesce(F.greatest(F.lit(-7000), F.least(F.lit(7000), F.round(F.log(square) / (2 * float(np.log(BAND)))).cast("int"))), F.lit(-7000))
+    steps = stored.filter(F.size("vector") == dim).groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()  # the range of norms bounds them
+    turn = Rotations(dim, norm_bands({r["step"]: r["n"] for r in steps}), k, tables)
     ws = Workspace(spark, "nearest")
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +182,8 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "ve
 
     rows = stored.filter(F.size("vector") == dim).mapInArrow(file, "t int, g int, id long, vector binary, bucket int")
     rows = ws.keep(rows, "rows")
-    sizes = np.zeros((tables, 2 * turn.size), np.int64)
-    for r in rows.groupBy("t", "bucket").agg(F.count("*").alias("n")).collect():  # a row for each table and axis
+    sizes = np.zeros((tables, turn.bands * 2 * turn.size), np.int64)
+    for r in rows.groupBy("t", "bucket").agg(F.count("*").alias("n")).collect():  # a row for each table, band and axis
         sizes[r["t"], r["bucket"]] = r["n"]
     parts = {(t, g): -(-int(sizes[t, g::GROUPS].sum()) // ROWS) for t in range(tables) for g in range(GROUPS) if sizes[t, g::GROUPS].any()}
     if not parts:
@@ -157,18 +197,25 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "ve
             if not b.num_rows:
                 continue
             ids, m = b.column(0).to_numpy(), _matrix(b.column(1), dim, kind)
-            data = _binary(m)
-            for t in range(tables):
-                probed = turn.probed(m.astype(np.float64), t, probes, sizes[t], FEWEST * k)
-                for g in range(GROUPS):
-                    local = np.ascontiguousarray(probed[:, g::GROUPS], np.uint8)
-                    some = np.flatnonzero(local.any(1))
-                    for part in range(parts.get((t, g), 0)):
-                        n = len(some)
-                        yield pa.RecordBatch.from_arrays(
-                            [*(pa.array(np.full(n, x, np.int32)) for x in (t, g, part, 1)), pa.array(ids[some]), data.take(pa.array(some)), pa.array(np.zeros(n, np.int32)), _binary(local[some])],
-                            ["t", "g", "part", "kind", "id", "vector", "bucket", "probes"],
-                        )
+            # so many queries at a time that what they probe stays small
+            for lo in range(0, len(ids), block):
+                yield from place(ids[lo : lo + block], m[lo : lo + block])
+
+    block = max(256, 8192 // turn.bands)
+
+    def place(ids: np.ndarray, m: np.ndarray) -> Iterator[pa.RecordBatch]:
+        data = _binary(m)
+        for t in range(tables):
+            probed = turn.probed(m.astype(np.float64), t, probes, sizes[t], FEWEST * k)
+            for g in range(GROUPS):
+                local = np.ascontiguousarray(probed[:, g::GROUPS], np.uint8)
+                some = np.flatnonzero(local.any(1))
+                for part in range(parts.get((t, g), 0)):
+                    n = len(some)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array(np.full(n, x, np.int32)) for x in (t, g, part, 1)), pa.array(ids[some]), data.take(pa.array(some)), pa.array(np.zeros(n, np.int32)), _binary(local[some])],
+                        ["t", "g", "part", "kind", "id", "vector", "bucket", "probes"],
+                    )
 
     schema = "t int, g int, part int, kind int, id long, vector binary, bucket int, probes binary"
     asked = valid(queries).filter(F.size("vector") == dim).mapInArrow(ask, schema)
