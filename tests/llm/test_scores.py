@@ -48,6 +48,22 @@ def test_templates_by_position(spark):
     assert got == {1: "mit", 2: "mit", 3: "", 4: "", 5: "mit", 6: "all-rights-reserved"}
 
 
+def test_template_without_its_rarest_words(spark):
+    """A text cut off before the words that are the rarest of all, and one in which these are altered."""
+    bsd = next(t for t in licenses.TEMPLATES if t.label == "bsd")
+    w = bsd.text.split()
+    altered = " ".join("word" if x in ("redistribution", "source", "binary") else x for x in w)
+    often = " ".join(x for x in dict.fromkeys(w) if x not in ("redistribution", "source", "binary"))
+    rows = [(1, " ".join(w[7:])), (2, altered), (3, " ".join(w[:13])), (4, " ".join(w[9:])), (5, bsd.text)] + [(10 + i, " ".join(reversed(often.split()))) for i in range(60)]
+    got = {r.doc_id: r.labels for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: x for i, x in got.items() if x} == {1: "bsd", 2: "bsd", 3: "bsd", 5: "bsd"}
+
+
+def test_anchors_miss_no_alignment():
+    for m in range(1, 60):
+        assert (m - licenses.anchors(m)) / m < licenses.AGREE <= (m - licenses.anchors(m) + 1) / m
+
+
 def prose(g, n):
     return " ".join(("".join(g.choice("etaoinshr") for _ in range(g.randint(1, 8)))).capitalize() if i % 9 == 0 else "".join(g.choice("etaoinshr") for _ in range(g.randint(1, 8))) for i in range(n)) + "."
 

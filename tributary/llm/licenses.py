@@ -1,9 +1,9 @@
 """License scans with a positional index of rare words.
 
 Templates are short texts of licences with key phrases. The index files every place of a template's words; words are
-ranked by their IDF over all documents. In a file each template is looked up by the rarest of its words that the file
-holds: a place of such a word and its place in the template give an offset, and the other words' postings are
-intersected by relative position. An alignment counts if enough of the template's words stand where they should and one
+ranked by their IDF over all documents. In a file each template is looked up by its rarest places, so many that an
+alignment that counts must hold one of them: a place of such a word and its place in the template give an offset, and
+the other words' postings are intersected by relative position. An alignment counts if enough of the template's words stand where they should and one
 of its key phrases stands there word for word. A template that is nothing but a key phrase is found wherever it stands.
 """
 
@@ -21,8 +21,11 @@ from .ragged import ALNUM, Texts, Words, chunks, word_hashes, words
 
 #: Share of a template's words that must stand at their places.
 AGREE = 0.6
-#: Rarest words of a template that are looked up in a file.
-ANCHORS = 3
+
+
+def anchors(m: int) -> int:
+    """Places of a template of m words of which every alignment that counts holds one at least."""
+    return m - next(c for c in range(m + 1) if c / m >= AGREE) + 1
 
 
 @dataclass(frozen=True)
@@ -90,8 +93,8 @@ class Index:
         m = len(own)
         phrase = not self.templates[k].keys
         rarest = np.argsort(-self.idf[self.term[k]], kind="stable")
-        # of a phrase every word must be there, so its rarest one finds all places; else the rarest that a file holds
-        tried = rarest[:1] if phrase else rarest[:ANCHORS]
+        # of a phrase every word must be there, so its rarest one finds all places
+        tried = rarest[:1] if phrase else rarest[: anchors(m)]
         anchor = [np.flatnonzero(term_at == self.term[k][j]) for j in tried]
         r = row[np.concatenate(anchor)]
         start = np.concatenate([at[a] - j for a, j in zip(anchor, tried, strict=True)])
@@ -103,8 +106,8 @@ class Index:
                 start, r = start[same], r[same]
             return r, start, np.ones(len(start))
         # a template may be cut off at either end of a file: count the words that stand at their places within the row
-        code = np.unique(np.stack([r, start], 1), axis=0)
-        r, start = code[:, 0], code[:, 1]
+        code = np.unique(r * (len(h) + m) + start + m)
+        r, start = code // (len(h) + m), code % (len(h) + m) - m
         same = np.zeros(len(start))
         for j in range(m):
             p = start + j
