@@ -148,6 +148,28 @@ def test_lexicon_adds_up():
     assert mass[mass > 0] == pytest.approx(np.ones((mass > 0).sum()), abs=1e-3)
 
 
+def test_words_outside_the_vocabulary_keep_their_counts(spark, monkeypatch):
+    """As if all words had an entry, but for the class that they share: their counts alone tell the documents apart."""
+    monkeypatch.setattr(pseudo_likelihood, "VOCABULARY", 100)
+    g = random.Random(8)
+    often = [f"w{i:02}" for i in range(100)]
+    rows = [(i, " ".join(g.choice(often) for _ in range(60))) for i in range(200)]
+    # of equal length and places, counted 1, 2 and 16 times
+    rows += [(1000, "w00 w01 one11 w02 w03"), (1001, "w00 w01 two11 w02 w03"), (1002, "w00 w01 two11 w02 w03"), *((1100 + i, "w00 w01 lot11 w02 w03") for i in range(16)), (None, "w00 w01 one22 w02 w03"), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = lm_scores(df).collect()
+    assert sorted(str(r.doc_id) for r in out) == sorted(str(i) for i, _ in rows)
+    got = {r.doc_id: r.log_likelihood for r in out if r.doc_id}
+    assert got[1001] - got[1000] == pytest.approx(np.log(2), abs=1e-5) and got[1100] - got[1000] == pytest.approx(np.log(16), abs=1e-5)
+    assert got[1001] == pytest.approx(got[1002], abs=1e-9) and all(r.mean_log_likelihood == pytest.approx(r.log_likelihood / r.n_words) for r in out if r.n_words)
+
+
+def test_every_word_is_trained():
+    n, rounds = 5000, pseudo_likelihood.ROUNDS
+    at = [x for turn in range(rounds) for phase in pseudo_likelihood.phases(turn, rounds) for x in pseudo_likelihood.masked(n, phase).tolist()]
+    assert sorted(at) == list(range(n))
+
+
 def waterfill(tree, budget, path=()):
     """Budgets of leaves by repeated rounds: tree is {name: (weight, room or subtree)}."""
     room = lambda t: t if isinstance(t, int) else sum(room(x) if w else 0 for w, x in t.values())

@@ -2,9 +2,11 @@
 
 Words are counted over the whole corpus. Frequent words are classes of their own, the others share classes by frequency
 and length; a window network in numpy gives a word's class from its neighbours' classes, and the corpus's counts give
-the word within its class. The network is trained on all documents: in each round every task runs through the masked
-words (one in MASK) of its part from the same start, and the tasks' parameters are averaged by the words they saw.
-A document's score is the sum of its words' conditional log-probabilities.
+the word within its class. The network is trained on all words: in each round every task runs through the masked words
+of its part from the same start (the phases of the mask are dealt to the rounds), and the tasks' parameters are averaged
+by the words they saw. A document's score is the sum of its words' conditional log-probabilities.
+
+Words without an entry in the broadcast vocabulary get their counts by a join with the written table of all counts.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from .ragged import NOT_SPACE, U64, Texts, chunks, mix, word_hashes, words
 from .tables import Workspace
 
 #: Words at most with an entry of their own in the broadcast vocabulary (those of the highest counts, all of a count or
-#: none); the others of a class share its remaining mass evenly.
+#: none); the counts of the others are joined.
 VOCABULARY = 1 << 16
 OWN, FREQUENCIES, LENGTHS = 95, 4, 8
 CLASSES = OWN + FREQUENCIES * LENGTHS + 1
@@ -54,15 +56,19 @@ class Lexicon:
         self.log_p = (np.log(count) - log_mass[kind])[order].astype(np.float32) if len(top) else np.zeros(0, np.float32)
         self.tail_log_p = (np.log(share / number) - log_mass[self.tail_class]).astype(np.float32)
         self.tail_log_p = np.minimum(self.tail_log_p, 0)
+        #: Of a word outside the vocabulary that is counted once; the logarithm of its count is joined.
+        self.once_log_p = -log_mass[self.tail_class].astype(np.float32)
         self.slot = np.full(1 << SLOTS, -1, np.int32)
         self.slot[(self.hash >> U64(64 - SLOTS)).astype(np.int64)] = np.arange(len(h), dtype=np.int32)
 
-    def read(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Classes and log-probabilities within them of the chunk's words, and the rows' offsets."""
+    def read(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Classes and log-probabilities within them of the chunk's words, and the rows' offsets; places and hashes of the
+        words outside the vocabulary, whose log-probabilities lack the logarithm of their counts."""
         w = words(t, NOT_SPACE)
         h = word_hashes(t, w)
         b = length_bin(w.end - w.start)
-        kind, log_p = self.tail_class[b], self.tail_log_p[b]
+        kind, log_p = self.tail_class[b], self.once_log_p[b]
+        known = np.zeros(len(h), bool)
         if len(self.hash) and len(h):
             to = self.slot[(h >> U64(64 - SLOTS)).astype(np.int64)].astype(np.int64)
             hit = (to >= 0) & (self.hash[to] == h)
@@ -71,7 +77,9 @@ class Lexicon:
             found = self.hash[at] == h[rest]
             to[rest[found]], hit[rest[found]] = at[found], True
             kind[hit], log_p[hit] = self.kind[to[hit]], self.log_p[to[hit]]
-        return kind, log_p, w.woff
+            known = hit
+        other = np.flatnonzero(~known)
+        return kind, log_p, w.woff, other, h[other]
 
 
 def length_bin(length: np.ndarray) -> np.ndarray:
@@ -97,6 +105,11 @@ def masked(n: int, phase: int) -> np.ndarray:
     return np.flatnonzero(mix(np.arange(n, dtype=np.uint64)) % U64(MASK) == U64(phase))
 
 
+def phases(turn: int, rounds: int) -> range:
+    """The phases of the mask that a round trains; all rounds together train each once."""
+    return range(turn, MASK, rounds)
+
+
 class Network:
     SHAPES = ((4, CLASSES + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
 
@@ -112,28 +125,46 @@ class Network:
             self.parts.append(self.flat[at : at + n].reshape(s))
             at += n
 
-    def train(self, context: np.ndarray, target: np.ndarray, seen: list[np.ndarray]) -> None:
+    def train(self, context: np.ndarray, target: np.ndarray, seen: np.ndarray) -> None:
         """A pass of mini-batches with Adagrad; seen: squares of the gradients so far."""
         e, b, w, c = self.parts
+        e = e.reshape(-1, HIDDEN)
+        flat = (context + (CLASSES + 1) * np.arange(4)[:, None]).T  # rows of e
+        grad, step = np.empty_like(self.flat), np.empty_like(self.flat)
+        ends = np.cumsum([int(np.prod(s)) for s in self.SHAPES])[:-1]
+        de, db, dw, dc = (g.reshape(s) for g, s in zip(np.split(grad, ends), ((-1, HIDDEN), *self.SHAPES[1:]), strict=True))
+        ones, rows = np.zeros((BATCH, len(e)), np.float32), np.arange(BATCH)
         for lo in range(0, len(target), BATCH):
-            x, y = context[:, lo : lo + BATCH], target[lo : lo + BATCH]
+            x, y = flat[lo : lo + BATCH], target[lo : lo + BATCH]
             n = len(y)
-            h = np.tanh(e[0][x[0]] + e[1][x[1]] + e[2][x[2]] + e[3][x[3]] + b)
-            z = h @ w + c
-            z = np.exp(z - z.max(1, keepdims=True))
-            z /= z.sum(1, keepdims=True)
-            z[np.arange(n), y] -= 1
+            at, one = rows[:n], ones[:n]
+            h = e.take(x[:, 0], 0)
+            for i in range(1, 4):
+                h += e.take(x[:, i], 0)
+            h += b
+            np.tanh(h, out=h)
+            z = w.T @ h.T  # a column for each word: sums over classes run along rows
+            z += c[:, None]
+            z -= z.max(0)
+            np.exp(z, out=z)
+            z /= z.sum(0)
+            z[y, at] -= 1
             z /= n
-            dh = (z @ w.T) * (1 - h * h)
-            de = np.zeros_like(e)
-            one = np.zeros((n, CLASSES + 1), np.float32)
-            for i in range(4):
-                one[:] = 0
-                one[np.arange(n), x[i]] = 1
-                de[i] = one.T @ dh
-            for p, g, s in zip((e, b, w, c), (de, dh.sum(0), h.T @ z, z.sum(0)), seen, strict=True):
-                s += g * g
-                p -= RATE * g / (np.sqrt(s) + 1e-6)
+            dh = z.T @ w.T
+            dh *= 1 - h * h
+            one[at[:, None], x] = 1
+            np.matmul(one.T, dh, out=de)
+            one[at[:, None], x] = 0
+            np.sum(dh, 0, out=db)
+            np.matmul(h.T, z.T, out=dw)
+            np.sum(z, 1, out=dc)
+            np.multiply(grad, grad, out=step)
+            seen += step
+            np.sqrt(seen, out=step)
+            step += 1e-6
+            np.divide(grad, step, out=step)
+            step *= RATE
+            self.flat -= step
 
     def log_p(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each word's class given its neighbours'."""
@@ -152,7 +183,9 @@ class Network:
         return out
 
 
-def lexicon(texts: DataFrame, ws: Workspace) -> Lexicon:
+def lexicon(texts: DataFrame, ws: Workspace) -> tuple[Lexicon, DataFrame | None]:
+    """The lexicon, and word and n (2 at least) of all words outside its vocabulary, if there are any."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         n = 0
@@ -182,7 +215,7 @@ def lexicon(texts: DataFrame, ws: Workspace) -> Lexicon:
             break
         least = r["n"]
     if not sizes:
-        return Lexicon([], [])
+        return Lexicon([], []), None
     if least is None:
         least = sizes[0]["n"] + 1
     top = counted.filter(F.col("n") >= least).collect()  # VOCABULARY rows at most
@@ -190,8 +223,11 @@ def lexicon(texts: DataFrame, ws: Workspace) -> Lexicon:
     rest = counted.filter(F.col("n") < least)
     bin_ = F.least(F.lit(LENGTHS - 1), F.floor(F.greatest(F.col("length") - 1, F.lit(0)) / 2)).cast("int")
     tail = rest.groupBy(bin_.alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect()  # LENGTHS rows
+    lex = Lexicon([(r["word"], r["length"], r["n"]) for r in top], [(r["b"], r["n"], r["k"]) for r in tail])
+    if any(r["n"] > r["k"] for r in tail):
+        return lex, rest.filter("n > 1").select("word", "n")
     ws.drop("words")
-    return Lexicon([(r["word"], r["length"], r["n"]) for r in top], [(r["b"], r["n"], r["k"]) for r in tail])
+    return lex, None
 
 
 def _merged(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -207,22 +243,24 @@ def _counts(h: np.ndarray, length: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
 
 
 def trained(texts: DataFrame, lex, rounds: int = ROUNDS) -> Network:
-    """The network after some rounds over all documents, another phase of the mask in each."""
+    """The network after some rounds over all documents, other phases of the mask in each; every word is trained once."""
     sc = texts.sparkSession.sparkContext
     net = Network()
-    for phase in range(rounds):
+    for turn in range(rounds):
         start = sc.broadcast(net.flat)
 
-        def run(batches: Iterator[pa.RecordBatch], start=start, phase=phase) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> Iterator[pa.RecordBatch]:
             own, n = Network(start.value.copy()), 0
-            seen = [np.zeros(s, np.float32) for s in Network.SHAPES]
+            seen = np.zeros_like(own.flat)
             for b in batches:
                 for t in chunks(b.column(0)):
-                    kind, _, woff = lex.value.read(t)
-                    at = masked(len(kind), phase * MASK // rounds)
-                    if len(at):
-                        own.train(contexts(kind, woff)[:, at], kind[at].astype(np.int64), seen)
-                        n += len(at)
+                    kind, _, woff, *_ = lex.value.read(t)
+                    context = contexts(kind, woff)
+                    for phase in phases(turn, rounds):
+                        at = masked(len(kind), phase)
+                        if len(at):
+                            own.train(context[:, at], kind[at].astype(np.int64), seen)
+                            n += len(at)
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(own.flat * np.float64(n)).tobytes()], pa.binary())], ["n", "sums"])
 
@@ -248,23 +286,39 @@ def lm_scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     Null and empty texts have 0 words and a sum of 0. Every row stays, repeated ones too (they weigh by their number in
     counts and training); other columns are left out. Counts of words combine in each task before their shuffle; the
     driver gets VOCABULARY words, a row for each length and the networks' sums of eight tasks.
+    Where words outside the vocabulary repeat, rows are written with them once, and their counts come by a join.
     """
     spark = df.sparkSession
     ws = Workspace(spark, "lm")
     texts = df.select(F.col(text).alias("text"))
-    lex = spark.sparkContext.broadcast(lexicon(texts, ws))
+    made, rest = lexicon(texts, ws)
+    lex = spark.sparkContext.broadcast(made)
     ready = spark.sparkContext.broadcast(trained(texts, lex).flat)
     kind_of_id = df.schema[doc_id].dataType.simpleString()
+    joined = rest is not None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(ready.value)
         for b in batches:
             for t in chunks(b.column(1)):
-                kind, log_p, woff = lex.value.read(t)
+                kind, log_p, woff, other, h = lex.value.read(t)
                 each = net.log_p(contexts(kind, woff), kind.astype(np.int64)).astype(np.float64) + log_p
                 total = np.concatenate([[0], np.cumsum(each)])
                 n = np.diff(woff)
                 s = np.where(n > 0, total[woff[1:]] - total[woff[:-1]], 0.0)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(t.lo, t.hi - t.lo), pa.array(n, pa.int64()), pa.array(s), pa.array(s / np.maximum(n, 1), mask=n == 0)], ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
-
-    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(score, f"doc_id {kind_of_id}, n_words long, log_likelihood double, mean_log_likelihood double")
+                more = [pa.ListArray.from_arrays(pa.array(np.searchsorted(other, woff), pa.int32()), pa.array(h.view(np.int64)))] if joined else []
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(t.lo, t.hi - t.lo), pa.array(n, pa.int64()), pa.array(s), *more], ["doc_id", "n_words", "log_likelihood", "others"][: 3 + joined])
+
+    kind = f"doc_id {kind_of_id}, n_words long, log_likelihood double" + ", others array<bigint>" * joined
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(score, kind)
+    if joined:
+        # the number of a row is written with it, so that it is the same in both reads
+        rows = ws.keep(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+        # whole numbers of 2^-32: sums don't hang on the order of rows
+        log = F.round(F.log(F.col("n").cast("double")) * float(1 << 32)).cast("long")
+        others = rows.select("row", F.explode("others").alias("word")).join(rest.select("word", log.alias("log")), "word")
+        sums = others.groupBy("row").agg(F.sum("log").alias("log"))
+        rows = rows.select("row", "doc_id", "n_words", "log_likelihood").join(sums, "row", "left")
+        rows = rows.withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce(F.col("log"), F.lit(0)) / float(1 << 32))
+    mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
+    return rows.select("doc_id", "n_words", "log_likelihood", mean.alias("mean_log_likelihood"))
