@@ -2,17 +2,20 @@
 
 import random
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tributary.llm import catalog, licenses, pseudo_likelihood
+from tributary.llm import catalog, licenses
+from tributary.llm import pseudo_likelihood as pl
 from tributary.llm.licenses import license_scan
 from tributary.llm.mixing import mix
-from tributary.llm.pseudo_likelihood import Network, lm_scores
+from tributary.llm.pseudo_likelihood import lm_scores
 from tributary.llm.quality import NEIGHBOURS, classify
+from tributary.llm.ragged import hash_word
 from tributary.llm.url_filter import Rule, url_filter
 
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -109,27 +112,109 @@ def test_quality_without_rows(spark):
     assert classify(d.limit(0), lab).count() == 0 and [r.score for r in classify(d, lab).collect()] == [0.5]
 
 
-def test_lm_scores_by_hand(spark):
-    g = random.Random(3)
-    rows = [(i, " ".join(g.choice("abcdefgh") * g.randint(1, 3) for _ in range(g.randint(1, 60))), "clash") for i in range(80)] + [(90, None, ""), (91, "", ""), (None, "a b", ""), (1, "a a", ""), (1, "a a", "")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, log_likelihood string").repartition(2)
+def odd_corpus(seed=3):
+    g = random.Random(seed)
+    rows = [(i, " ".join(g.choice("abcdefgh") * g.randint(1, 3) for _ in range(g.randint(1, 60))), "clash") for i in range(80)]
+    rows += [(100 + i, " ".join(g.choice(["the", "of", "Rare%d" % g.randint(0, 300), "word%ding" % g.randint(0, 40)]) for _ in range(50)), "") for i in range(30)]
+    return rows + [(90, None, ""), (91, "", ""), (None, "a b", ""), (1, "a a", ""), (1, "a a", ""), (92, "long " * 30000, "")]
+
+
+def test_lm_scores_by_brute_force(spark, monkeypatch):
+    """Sums over words one by one: classes, leaves and neighbours read from the definition, networks' tables as they are."""
+    monkeypatch.setattr(pl, "VOCABULARY", 100)
+    rows = odd_corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string, log_likelihood string")
+    got = sorted(((-1 if r.doc_id is None else r.doc_id, r.n_words, r.log_likelihood) for r in lm_scores(df.repartition(3)).collect()))
+    texts = [[w.lower() for w in (t or "").split()] for _, t, _ in rows]
+    count = Counter(w for t in texts for w in t)
+    hashed = {w: hash_word(w) for w in count}
+    signed = {w: h - (1 << 64) if h >> 63 else h for w, h in hashed.items()}
+    top = sorted(count, key=lambda w: (-count[w], signed[w]))
+    least = min((n for n in set(count.values()) if sum(c >= n for c in count.values()) <= 100), default=None)
+    own = {w: i for i, w in enumerate(w for w in top if count[w] >= least) if i < pl.OWN}
+
+    def leaf(w):
+        b = np.frombuffer(w.encode(), np.uint8)
+        return own[w] if w in own else int(pl.end_leaf(b, np.array([0]), np.array([len(b)]))[0])
+
+    def near(t, i):
+        if not 0 <= i < len(t):
+            return pl.PAD
+        w = t[i]
+        return own[w] if own.get(w, pl.TOP) < pl.TOP else pl.TOP + (0 if w in own else pl.LENGTHS) + min(pl.LENGTHS - 1, (len(w) - 1) // 2)
+
+    def far(t, i):
+        if not 0 <= i < len(t):
+            return 0
+        return 1 if own.get(t[i], pl.TOP) < pl.TOP else 2 + 2 * (t[i] not in own) + (len(t[i]) > pl.SHORT)
+
+    windows, pairs = (np.zeros(x, np.int64) for x in pl._STATISTICS)
+    places = []
+    for t in texts:
+        for i, w in enumerate(t):
+            pair = near(t, i - 1) * pl.NEAR + near(t, i + 1)
+            window = (pair * pl.FAR + far(t, i - 2)) * pl.FAR + far(t, i + 2)
+            windows[window, leaf(w) // pl.WITHIN] += 1
+            pairs[pair, leaf(w)] += 1
+            places.append((window, pair))
+    mass = Counter()
+    for w, n in count.items():
+        mass[leaf(w)] += n
+    model = pl.Model(pl.Lexicon([(signed[w], count[w]) for w in top if count[w] >= least]), windows, pairs)
+    kinds, leaves = pl._tables(model.nets)
+    at, want = iter(places), []
+    for (d, _, _), t in zip(rows, texts, strict=True):
+        total = 0.0
+        for w in t:
+            window, pair = next(at)
+            total += float(kinds[window, leaf(w) // pl.WITHIN]) + float(leaves[pair, leaf(w)]) + np.log(count[w] / mass[leaf(w)])
+        want.append((-1 if d is None else d, len(t), total))
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-4, abs=1e-3)
+    # all words of the corpus share the whole probability in each place
+    for window, pair in random.Random(1).sample(places, 20):
+        p = sum(np.exp(kinds[window, leaf(w) // pl.WITHIN] + leaves[pair, leaf(w)]) * n / mass[leaf(w)] for w, n in count.items())
+        assert p == pytest.approx(1, abs=1e-3)
+
+
+def test_lm_scores_do_not_hang_on_partitions(spark):
+    df = spark.createDataFrame(odd_corpus(), "doc_id long, text string, log_likelihood string")
+    one, many = ({(r.doc_id, r.n_words, r.log_likelihood) for r in lm_scores(df.repartition(n, "text")).collect()} for n in (1, 7))
+    assert one == many
+
+
+def test_lm_scores_of_odd_rows(spark):
+    df = spark.createDataFrame(odd_corpus(), "doc_id long, text string, log_likelihood string").repartition(2)
     got = lm_scores(df).collect()
-    assert len(got) == len(rows) and lm_scores(df.limit(0)).count() == 0
+    assert len(got) == df.count() and lm_scores(df.limit(0)).count() == 0
     empty = [r for r in got if r.doc_id in (90, 91)]
     assert all((r.n_words, r.log_likelihood, r.mean_log_likelihood) == (0, 0.0, None) for r in empty)
-    assert all(r.log_likelihood < 0 and r.mean_log_likelihood == pytest.approx(r.log_likelihood / r.n_words) for r in got if r.n_words)
+    assert all(r.log_likelihood <= 0 and r.mean_log_likelihood == pytest.approx(r.log_likelihood / r.n_words) for r in got if r.n_words)
+    assert len({r.log_likelihood for r in got if r.doc_id == 1 and r.n_words == 2}) == 1
 
 
 def test_network_probabilities():
-    net = Network()
-    g = np.random.default_rng(0)
-    x = g.integers(0, pseudo_likelihood.CLASSES + 1, (4, 3))
-    each = np.array([net.log_p(x, np.full(3, c)) for c in range(pseudo_likelihood.CLASSES)])
-    assert np.exp(each).sum(0) == pytest.approx(np.ones(3), abs=1e-4)
+    net = pl.Network(pl.PAIR, pl.CLASSES)
+    _, z = net.forward(net.inputs(np.array([0, 7, pl.NEAR * pl.NEAR - 1])))
+    assert np.exp(z).sum(2) == pytest.approx(np.ones((3, pl.CLASSES)), abs=1e-4)
+
+
+def test_network_learns_its_contexts():
+    """After training, predictions come close to the counted shares, where the counts are large."""
+    g = np.random.default_rng(1)
+    found = np.zeros((pl.NEAR * pl.NEAR, pl.LEAVES), np.int64)
+    some = g.choice(len(found), 300, replace=False)
+    found[some[:, None], g.integers(0, 64, (300, 3))] += 1000 + g.integers(0, 3000, (300, 3))
+    net = pl.Network(pl.PAIR, pl.CLASSES)
+    net.train(some, lambda lo, hi: found[some[lo:hi]].astype(np.float32))
+    got, same = net.table()[some].reshape(300, pl.CLASSES, -1), found[some].reshape(300, pl.CLASSES, -1)
+    flat = same.sum(0) / np.maximum(same.sum((0, 2))[:, None], 1)
+    learnt, unlearnt = -(same * got).sum() / same.sum(), -(same * np.log(np.maximum(flat, 1e-9))[None]).sum() / same.sum()
+    assert learnt < unlearnt - 0.3
 
 
 def test_network_learns_both_sides(spark):
-    """A word that its neighbours decide is likelier after training, and likelier in its place than elsewhere."""
+    """A word that its neighbours decide is likelier in its place than elsewhere."""
     g = random.Random(4)
     triple = [("aa", "mid1", "bb"), ("cc", "mid2", "dd")]
     rows = [(i, " ".join(w for _ in range(40) for w in (*g.choice(triple), g.choice(["x", "y", "z"])))) for i in range(1500)]
@@ -138,36 +223,11 @@ def test_network_learns_both_sides(spark):
     assert got[3000] > got[3001] + 0.3 and np.mean([v for k, v in got.items() if k < 3000]) > -1.8
 
 
-def test_lexicon_adds_up():
-    top = [(i * 7919, 1 + i % 9, 1000 - i) for i in range(300)]
-    lex = pseudo_likelihood.Lexicon(top, [(2, 50, 40), (5, 3, 3)])
-    mass = np.zeros(pseudo_likelihood.CLASSES)
-    np.add.at(mass, lex.kind, np.exp(lex.log_p))
-    for b, k in ((2, 40), (5, 3)):
-        mass[lex.tail_class[b]] += k * np.exp(lex.tail_log_p[b])
-    assert mass[mass > 0] == pytest.approx(np.ones((mass > 0).sum()), abs=1e-3)
-
-
-def test_words_outside_the_vocabulary_keep_their_counts(spark, monkeypatch):
-    """As if all words had an entry, but for the class that they share: their counts alone tell the documents apart."""
-    monkeypatch.setattr(pseudo_likelihood, "VOCABULARY", 100)
-    g = random.Random(8)
-    often = [f"w{i:02}" for i in range(100)]
-    rows = [(i, " ".join(g.choice(often) for _ in range(60))) for i in range(200)]
-    # of equal length and places, counted 1, 2 and 16 times
-    rows += [(1000, "w00 w01 one11 w02 w03"), (1001, "w00 w01 two11 w02 w03"), (1002, "w00 w01 two11 w02 w03"), *((1100 + i, "w00 w01 lot11 w02 w03") for i in range(16)), (None, "w00 w01 one22 w02 w03"), (None, "")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    out = lm_scores(df).collect()
-    assert sorted(str(r.doc_id) for r in out) == sorted(str(i) for i, _ in rows)
-    got = {r.doc_id: r.log_likelihood for r in out if r.doc_id}
-    assert got[1001] - got[1000] == pytest.approx(np.log(2), abs=1e-5) and got[1100] - got[1000] == pytest.approx(np.log(16), abs=1e-5)
-    assert got[1001] == pytest.approx(got[1002], abs=1e-9) and all(r.mean_log_likelihood == pytest.approx(r.log_likelihood / r.n_words) for r in out if r.n_words)
-
-
-def test_every_word_is_trained():
-    n, rounds = 5000, pseudo_likelihood.ROUNDS
-    at = [x for turn in range(rounds) for phase in pseudo_likelihood.phases(turn, rounds) for x in pseudo_likelihood.masked(n, phase).tolist()]
-    assert sorted(at) == list(range(n))
+def test_words_of_the_same_leaf_differ_by_their_counts(spark, monkeypatch):
+    monkeypatch.setattr(pl, "VOCABULARY", 4)
+    rows = [(i, "the of and to " * 20 + f"once{i}abc") for i in range(40)] + [(100 + i, "the of and to " * 20 + "twiceabc") for i in range(2)]
+    got = {r.doc_id: r.log_likelihood for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] - got[0] == pytest.approx(np.log(2), abs=1e-3)
 
 
 def waterfill(tree, budget, path=()):

@@ -1,202 +1,247 @@
-"""LM scores by masked pseudo-likelihood: every word is predicted from the two words on either side of it.
+"""LM scores by masked pseudo-likelihood: every word is predicted from the words on both sides of it.
 
-Words are counted over the whole corpus. Frequent words are classes of their own, the others share classes by frequency
-and length; a window network in numpy gives a word's class from its neighbours' classes, and the corpus's counts give
-the word within its class. The network is trained on all words: in each round every task runs through the masked words
-of its part from the same start (the phases of the mask are dealt to the rounds), and the tasks' parameters are averaged
-by the words they saw. A document's score is the sum of its words' conditional log-probabilities.
+The prediction is a hierarchical softmax over all words of the corpus: a word's class from the two words on either side,
+its leaf within the class from its neighbours, and the word within its leaf by the counts of the whole corpus. The most
+frequent words are leaves of their own; all others fall into leaves by their last letters, so they are told apart by both
+sides too. Two window networks in numpy give the first two levels.
 
-Words without an entry in the broadcast vocabulary get their counts by a join with the written table of all counts.
+The networks see their neighbours as classes, so what they learn from is a table of fixed size: how often each class and
+leaf stands between each pair of neighbours. One pass counts it over every position of every document; training runs over
+the counted contexts, weighted by their numbers, and doesn't depend on partitions, batches or the order of rows. A
+document's score is the sum of its words' conditional log-probabilities, added in whole numbers of 2^-32.
+
+Counts of all words are a written table. The most frequent ones are broadcast; the others' counts are joined.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ragged import NOT_SPACE, U64, Texts, chunks, mix, word_hashes, words
+from .ragged import LOWER, NOT_SPACE, U64, Texts, chunks, mix, word_hashes, words
 from .tables import Workspace
 
-#: Words at most with an entry of their own in the broadcast vocabulary (those of the highest counts, all of a count or
-#: none); the counts of the others are joined.
+#: Words whose counts are broadcast (those of the highest counts, all of a count or none); those of all others are joined.
 VOCABULARY = 1 << 16
-OWN, FREQUENCIES, LENGTHS = 95, 4, 8
-CLASSES = OWN + FREQUENCIES * LENGTHS + 1
-HIDDEN, MASK, BATCH, ROUNDS, RATE = 24, 16, 128, 2, 0.1
-PAD = CLASSES
+#: Classes and leaves of a class; words with a leaf of their own. The other leaves are for words by their ends.
+CLASSES, WITHIN, OWN = 64, 32, 1536
+LEAVES = CLASSES * WITHIN
+#: What the networks see of a neighbour: one of the TOP words, else by length and whether it has a leaf; PAD beyond the text.
+TOP, LENGTHS = 31, 8
+NEAR = TOP + 2 * LENGTHS + 1
+PAD = NEAR - 1
+#: And of the words beyond the neighbours: none, a top word, with or without a leaf and short or long.
+FAR, SHORT = 6, 6
+HIDDEN, EPOCHS, BATCH, RATE = 24, 12, 512, 0.2
 SLOTS = 20
+ONE = float(1 << 32)
 
 
 class Lexicon:
-    """Class and log-probability within it of every word. Its size is VOCABULARY's, not the corpus's."""
+    """Leaves of words, and the broadcast counts. Its size is VOCABULARY's, not the corpus's."""
 
-    def __init__(self, top: list[tuple[int, int, int]], tail: list[tuple[int, int, int]]):
-        """top: (hash, length, count) by falling count; tail: (length bin, words' counts, number of words) of all others."""
+    def __init__(self, top: list[tuple[int, int]]):
+        """top: (hash, count) by falling count."""
         h = np.array([x[0] for x in top], np.int64).view(np.uint64)
-        length = np.array([x[1] for x in top], np.int64)
-        count = np.array([x[2] for x in top], np.float64)
-        rank = np.arange(len(top))
-        # frequency bins of the others by rank; the tail is the last one
-        bins = np.minimum(FREQUENCIES - 1, np.floor(np.log(np.maximum(rank, OWN) / OWN) / np.log(VOCABULARY / OWN) * (FREQUENCIES - 1))).astype(np.int64)
-        kind = np.where(rank < OWN, rank, OWN + bins * LENGTHS + length_bin(length))
-        mass = np.bincount(kind, count, CLASSES)
-        self.tail_class = (OWN + (FREQUENCIES - 1) * LENGTHS + np.arange(LENGTHS)).astype(np.uint8)
-        number = np.ones(LENGTHS)
-        share = np.full(LENGTHS, 0.5)
-        for b, n, k in tail:
-            mass[self.tail_class[b]] += n
-            number[b], share[b] = k, n
-        log_mass = np.log(np.maximum(mass, 1))
         order = np.argsort(h)
-        self.hash, self.kind = h[order], kind[order].astype(np.uint8)
-        self.log_p = (np.log(count) - log_mass[kind])[order].astype(np.float32) if len(top) else np.zeros(0, np.float32)
-        self.tail_log_p = (np.log(share / number) - log_mass[self.tail_class]).astype(np.float32)
-        self.tail_log_p = np.minimum(self.tail_log_p, 0)
-        #: Of a word outside the vocabulary that is counted once; the logarithm of its count is joined.
-        self.once_log_p = -log_mass[self.tail_class].astype(np.float32)
+        self.hash = h[order]
+        self.count = np.array([x[1] for x in top], np.int64)[order]
+        self.own = np.where(order < OWN, order, -1).astype(np.int32)
         self.slot = np.full(1 << SLOTS, -1, np.int32)
         self.slot[(self.hash >> U64(64 - SLOTS)).astype(np.int64)] = np.arange(len(h), dtype=np.int32)
 
-    def read(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Classes and log-probabilities within them of the chunk's words, and the rows' offsets; places and hashes of the
-        words outside the vocabulary, whose log-probabilities lack the logarithm of their counts."""
-        w = words(t, NOT_SPACE)
-        h = word_hashes(t, w)
-        b = length_bin(w.end - w.start)
-        kind, log_p = self.tail_class[b], self.once_log_p[b]
-        known = np.zeros(len(h), bool)
-        if len(self.hash) and len(h):
-            to = self.slot[(h >> U64(64 - SLOTS)).astype(np.int64)].astype(np.int64)
-            hit = (to >= 0) & (self.hash[to] == h)
-            rest = np.flatnonzero(~hit & (to >= 0))
-            at = np.minimum(np.searchsorted(self.hash, h[rest]), len(self.hash) - 1)
-            found = self.hash[at] == h[rest]
-            to[rest[found]], hit[rest[found]] = at[found], True
-            kind[hit], log_p[hit] = self.kind[to[hit]], self.log_p[to[hit]]
-            known = hit
-        other = np.flatnonzero(~known)
-        return kind, log_p, w.woff, other, h[other]
-
-
-def length_bin(length: np.ndarray) -> np.ndarray:
-    return np.minimum(LENGTHS - 1, np.maximum(length - 1, 0) // 2).astype(np.int64)
-
-
-def contexts(kind: np.ndarray, woff: np.ndarray) -> np.ndarray:
-    """Classes 2 and 1 to the left, 1 and 2 to the right of each word; PAD beyond the document's ends."""
-    n = len(kind)
-    row = np.repeat(np.arange(len(woff) - 1), np.diff(woff))
-    first, last = woff[:-1][row], woff[1:][row]
-    at = np.arange(n)
-    out = np.full((4, n), PAD, np.int64)
-    for i, d in enumerate((-2, -1, 1, 2)):
-        p = at + d
-        inside = (p >= first) & (p < last)
-        out[i, inside] = kind[p[inside]]
-    return out
-
+    def entry(self, h: np.ndarray) -> np.ndarray:
+        """The words' entries, -1 without one."""
+        if not len(self.hash) or not len(h):
+            return np.full(len(h), -1, np.int64)
+        to = self.slot[(h >> U64(64 - SLOTS)).astype(np.int64)].astype(np.int64)
+        # a slot shows the last of its entries
+        rest = np.flatnonzero((to >= 0) & (self.hash[to] != h))
+        at = np.minimum(np.searchsorted(self.hash, h[rest]), len(self.hash) - 1)
+        to[rest] = np.where(self.hash[at] == h[rest], at, -1)
+        return to
 
-def masked(n: int, phase: int) -> np.ndarray:
-    """One in MASK of n words, by a hash of their place: no rhythm of the text falls in with it."""
-    return np.flatnonzero(mix(np.arange(n, dtype=np.uint64)) % U64(MASK) == U64(phase))
 
+class Reading:
+    """A chunk's words as the networks see them."""
 
-def phases(turn: int, rounds: int) -> range:
-    """The phases of the mask that a round trains; all rounds together train each once."""
-    return range(turn, MASK, rounds)
+    def __init__(self, t: Texts, lex: Lexicon):
+        w = words(t, NOT_SPACE)
+        self.woff, self.hash = w.woff, word_hashes(t, w)
+        self.entry = lex.entry(self.hash)
+        own = np.where(self.entry >= 0, lex.own[self.entry], -1) if len(lex.own) else np.full(len(self.hash), -1)
+        length = w.end - w.start
+        self.leaf = np.where(own >= 0, own, end_leaf(t.buf, w.start, w.end)).astype(np.int64)
+        bins = np.minimum(LENGTHS - 1, (length - 1) // 2)
+        near = np.where((own >= 0) & (own < TOP), own, TOP + np.where(own >= 0, 0, LENGTHS) + bins)
+        far = np.where((own >= 0) & (own < TOP), 1, 2 + 2 * (own < 0) + (length > SHORT))
+        n = len(near)
+        row = np.repeat(np.arange(len(w.woff) - 1), np.diff(w.woff))
+        first, last = w.woff[:-1][row], w.woff[1:][row]
+        at = np.arange(n)
+        side = []
+        for d, kind, none in ((-1, near, PAD), (1, near, PAD), (-2, far, 0), (2, far, 0)):
+            p = at + d
+            inside = (p >= first) & (p < last)
+            seen = np.full(n, none, np.int64)
+            seen[inside] = kind[p[inside]]
+            side.append(seen)
+        left, right, far_left, far_right = side
+        self.pair = left * NEAR + right
+        self.window = (self.pair * FAR + far_left) * FAR + far_right
+
+
+def end_leaf(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The leaf of words by their last three bytes, A-Z lower-cased."""
+    if not len(start):
+        return np.zeros(0, np.int64)
+    code = LOWER[buf[end - 1]].astype(np.uint64)
+    for k in (2, 3):
+        byte = LOWER[buf[np.maximum(end - k, 0)]].astype(np.uint64)
+        code = code * U64(257) + np.where(end - k >= start, byte + U64(1), U64(0))
+    return OWN + (mix(code) % U64(LEAVES - OWN)).astype(np.int64)
 
 
 class Network:
-    SHAPES = ((4, CLASSES + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
+    """A window network: embeddings of what stands around a word, a hidden layer, and groups of a softmax each."""
 
-    def __init__(self, flat: np.ndarray | None = None):
+    def __init__(self, sizes: tuple[int, ...], groups: int, flat: np.ndarray | None = None, held: np.ndarray | None = None):
+        self.sizes, self.groups = sizes, groups
+        out = LEAVES if groups > 1 else CLASSES
+        self.shapes = ((sum(sizes), HIDDEN), (HIDDEN,), (HIDDEN, out), (out,))
         if flat is None:
             r = np.random.Generator(np.random.PCG64(4))
-            parts = [r.standard_normal(s) * (0.1 if len(s) > 1 else 0) for s in self.SHAPES]
-            flat = np.concatenate([p.ravel() for p in parts])
+            flat = np.concatenate([(r.standard_normal(s) * (0.1 if len(s) > 1 else 0)).ravel() for s in self.shapes])
         self.flat = flat.astype(np.float32)
-        at, self.parts = 0, []
-        for s in self.SHAPES:
-            n = int(np.prod(s))
-            self.parts.append(self.flat[at : at + n].reshape(s))
-            at += n
-
-    def train(self, context: np.ndarray, target: np.ndarray, seen: np.ndarray) -> None:
-        """A pass of mini-batches with Adagrad; seen: squares of the gradients so far."""
-        e, b, w, c = self.parts
-        e = e.reshape(-1, HIDDEN)
-        flat = (context + (CLASSES + 1) * np.arange(4)[:, None]).T  # rows of e
-        grad, step = np.empty_like(self.flat), np.empty_like(self.flat)
-        ends = np.cumsum([int(np.prod(s)) for s in self.SHAPES])[:-1]
-        de, db, dw, dc = (g.reshape(s) for g, s in zip(np.split(grad, ends), ((-1, HIDDEN), *self.SHAPES[1:]), strict=True))
-        ones, rows = np.zeros((BATCH, len(e)), np.float32), np.arange(BATCH)
-        for lo in range(0, len(target), BATCH):
-            x, y = flat[lo : lo + BATCH], target[lo : lo + BATCH]
-            n = len(y)
-            at, one = rows[:n], ones[:n]
-            h = e.take(x[:, 0], 0)
-            for i in range(1, 4):
-                h += e.take(x[:, i], 0)
-            h += b
-            np.tanh(h, out=h)
-            z = w.T @ h.T  # a column for each word: sums over classes run along rows
-            z += c[:, None]
-            z -= z.max(0)
-            np.exp(z, out=z)
-            z /= z.sum(0)
-            z[y, at] -= 1
-            z /= n
-            dh = z.T @ w.T
-            dh *= 1 - h * h
-            one[at[:, None], x] = 1
-            np.matmul(one.T, dh, out=de)
-            one[at[:, None], x] = 0
-            np.sum(dh, 0, out=db)
-            np.matmul(h.T, z.T, out=dw)
-            np.sum(z, 1, out=dc)
-            np.multiply(grad, grad, out=step)
-            seen += step
-            np.sqrt(seen, out=step)
-            step += 1e-6
-            np.divide(grad, step, out=step)
-            step *= RATE
-            self.flat -= step
-
-    def log_p(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Log-probability of each word's class given its neighbours'."""
+        self.parts = self._split(self.flat)
+        #: Which outputs any word of the corpus has; others get no probability.
+        self.held = np.ones(out, bool) if held is None else held
+
+    def _split(self, flat: np.ndarray) -> list[np.ndarray]:
+        ends = np.cumsum([int(np.prod(s)) for s in self.shapes])[:-1]
+        return [x.reshape(s) for x, s in zip(np.split(flat, ends), self.shapes, strict=True)]
+
+    def inputs(self, context: np.ndarray) -> np.ndarray:
+        """Rows of the embeddings of each context's places."""
+        out = np.empty((len(context), len(self.sizes)), np.int64)
+        for i in range(len(self.sizes) - 1, -1, -1):
+            context, out[:, i] = np.divmod(context, self.sizes[i])
+        return out + np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+
+    def forward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hidden layer and the log-probabilities, [context, group, output]."""
         e, b, w, c = self.parts
-        left = (e[0][:, None] + e[1][None]).reshape(-1, HIDDEN) + b
-        right = (e[2][:, None] + e[3][None]).reshape(-1, HIDDEN)
-        i, j = context[0] * (CLASSES + 1) + context[1], context[2] * (CLASSES + 1) + context[3]
-        out = np.empty(len(target), np.float32)
-        for lo in range(0, len(target), 4096):
-            z = np.tanh(left[i[lo : lo + 4096]] + right[j[lo : lo + 4096]]) @ w + c
-            own = z[np.arange(len(z)), target[lo : lo + 4096]]
-            top = z.max()
-            z -= top
-            np.exp(np.maximum(z, -80, out=z), out=z)
-            out[lo : lo + 4096] = own - top - np.log(z.sum(1))
+        h = np.tanh(e[x].sum(1) + b)
+        z = h @ w + c
+        z[:, ~self.held] = -1e30
+        z = z.reshape(len(x), self.groups, -1)
+        z -= z.max(2, keepdims=True)
+        z -= np.log(np.exp(z).sum(2, keepdims=True))
+        return h, z
+
+    def train(self, context: np.ndarray, counts, epochs: int = EPOCHS) -> None:
+        """Adagrad over batches of contexts; counts(lo, hi): how often each output stands in those contexts."""
+        n = len(context)
+        if not n:
+            return
+        x = self.inputs(context)
+        starts = np.arange(0, n, BATCH)
+        total = np.zeros(self.shapes[2][1])
+        for lo in starts:
+            total += counts(lo, lo + BATCH).sum(0)
+        self.held = total > 0
+        e, _, w, c = self.parts
+        c[:] = np.log(np.maximum(total, 0.5))
+        seen = np.zeros_like(self.flat)
+        scale = np.float32(len(starts) / total.sum())
+        turn = np.random.Generator(np.random.PCG64(5))
+        for _ in range(epochs):
+            for lo in turn.permutation(starts):
+                target, rows = counts(lo, lo + BATCH), x[lo : lo + BATCH]
+                h, z = self.forward(rows)
+                want = target.reshape(z.shape)
+                grad = (np.exp(z, out=z) * want.sum(2, keepdims=True) - want).reshape(len(rows), -1) * scale
+                dh = (grad @ w.T) * (1 - h * h)
+                de = np.zeros_like(e)
+                for i in range(rows.shape[1]):
+                    one = np.zeros((len(rows), self.sizes[i]), np.float32)
+                    at = int(sum(self.sizes[:i]))
+                    one[np.arange(len(rows)), rows[:, i] - at] = 1
+                    de[at : at + self.sizes[i]] = one.T @ dh
+                step = np.concatenate([de.ravel(), dh.sum(0), (h.T @ grad).ravel(), grad.sum(0)])
+                seen += step * step
+                self.flat -= RATE * step / (np.sqrt(seen) + 1e-9)
+
+    def table(self) -> np.ndarray:
+        """Log-probabilities of all outputs in all contexts: float32[context, output]."""
+        n = int(np.prod(self.sizes))
+        out = np.empty((n, self.shapes[2][1]), np.float32)
+        for lo in range(0, n, 4096):
+            _, z = self.forward(self.inputs(np.arange(lo, min(lo + 4096, n))))
+            out[lo : lo + 4096] = z.reshape(len(z), -1)
         return out
 
 
+WINDOW, PAIR = (NEAR, NEAR, FAR, FAR), (NEAR, NEAR)
+
+
+@lru_cache(maxsize=1)
+def _tables(model: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Both networks' log-probabilities; they outlive the task."""
+    flat = np.frombuffer(zlib.decompress(model), np.float32)
+    held = flat[-LEAVES - CLASSES :] > 0
+    flat = flat[: -LEAVES - CLASSES]
+    kinds = Network(WINDOW, 1)
+    n = len(kinds.flat)
+    return Network(WINDOW, 1, flat[:n].copy(), held[LEAVES:]).table(), Network(PAIR, CLASSES, flat[n:].copy(), held[:LEAVES]).table()
+
+
+class Model:
+    """The lexicon, the trained networks and the leaves' masses."""
+
+    def __init__(self, lex: Lexicon, windows: np.ndarray, pairs: np.ndarray):
+        """windows[context, class] and pairs[context, leaf]: how often each stands there."""
+        self.lex = lex
+        self.mass = pairs.sum(0).astype(np.float64)
+        nets = []
+        for sizes, groups, found in ((WINDOW, 1, windows), (PAIR, CLASSES, pairs)):
+            some = np.flatnonzero(found.any(1))
+            net = Network(sizes, groups)
+            net.train(some, lambda lo, hi, found=found, some=some: found[some[lo:hi]].astype(np.float32))
+            nets.append(net)
+        held = [nets[1].held.astype(np.float32), nets[0].held.astype(np.float32)]
+        self.nets = zlib.compress(np.concatenate([nets[0].flat, nets[1].flat, *held]).tobytes(), 1)
+
+    def log_p(self, r: Reading) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probabilities of a chunk's words in whole numbers of 2^-32, and the places of the words outside the lexicon:
+        theirs lack the logarithm of their counts."""
+        kinds, leaves = _tables(self.nets)
+        each = kinds[r.window, r.leaf // WITHIN].astype(np.float64) + leaves[r.pair, r.leaf]
+        known = r.entry >= 0
+        count = np.where(known, self.lex.count[r.entry], 1) if len(self.lex.count) else np.ones(len(each))
+        each += np.log(count) - np.log(np.maximum(self.mass[r.leaf], 1))
+        return np.round(each * ONE).astype(np.int64), np.flatnonzero(~known)
+
+
 def lexicon(texts: DataFrame, ws: Workspace) -> tuple[Lexicon, DataFrame | None]:
     """The lexicon, and word and n (2 at least) of all words outside its vocabulary, if there are any."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         n = 0
         for b in batches:
             for t in chunks(b.column(0), 8 << 20):
                 w = words(t, NOT_SPACE)
-                h, first, c = np.unique(word_hashes(t, w), return_index=True, return_counts=True)
-                held.append((h, (w.end - w.start)[first], c))
-                n += len(h)
+                held.append(np.unique(word_hashes(t, w), return_counts=True))
+                n += len(held[-1][0])
                 if n > 1 << 20:
-                    held, n = [_merged(held)], 0
+                    held = [_merged(held)]
                     n = len(held[0][0])
                     if n > 1 << 20:
                         yield _counts(*held[0])
@@ -204,7 +249,7 @@ def lexicon(texts: DataFrame, ws: Workspace) -> tuple[Lexicon, DataFrame | None]
         if held:
             yield _counts(*_merged(held))
 
-    counted = texts.mapInArrow(count, "word long, length int, n long").groupBy("word").agg(F.min("length").alias("length"), F.sum("n").alias("n"))
+    counted = texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counted = ws.keep(counted, "words")
     # the smallest count of which VOCABULARY words at most have as much; a row for each different count decides it
     sizes = counted.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).limit(VOCABULARY).collect()
@@ -215,110 +260,134 @@ def lexicon(texts: DataFrame, ws: Workspace) -> tuple[Lexicon, DataFrame | None]
             break
         least = r["n"]
     if not sizes:
-        return Lexicon([], []), None
+        return Lexicon([]), None
     if least is None:
         least = sizes[0]["n"] + 1
     top = counted.filter(F.col("n") >= least).collect()  # VOCABULARY rows at most
     top.sort(key=lambda r: (-r["n"], r["word"]))
-    rest = counted.filter(F.col("n") < least)
-    bin_ = F.least(F.lit(LENGTHS - 1), F.floor(F.greatest(F.col("length") - 1, F.lit(0)) / 2)).cast("int")
-    tail = rest.groupBy(bin_.alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect()  # LENGTHS rows
-    lex = Lexicon([(r["word"], r["length"], r["n"]) for r in top], [(r["b"], r["n"], r["k"]) for r in tail])
-    if any(r["n"] > r["k"] for r in tail):
-        return lex, rest.filter("n > 1").select("word", "n")
+    lex = Lexicon([(r["word"], r["n"]) for r in top])
+    rest = counted.filter((F.col("n") < least) & (F.col("n") > 1))
+    if not rest.isEmpty():
+        return lex, rest
     ws.drop("words")
     return lex, None
 
 
-def _merged(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    h, length, c = (np.concatenate(x) for x in zip(*held, strict=True))
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    h, c = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.argsort(h, kind="stable")
-    h, length, c = h[order], length[order], c[order]
+    h, c = h[order], c[order]
     begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    return h[begin], length[begin], np.add.reduceat(c, begin) if len(h) else c
-
-
-def _counts(h: np.ndarray, length: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(length, pa.int32()), pa.array(c, pa.int64())], ["word", "length", "n"])
-
-
-def trained(texts: DataFrame, lex, rounds: int = ROUNDS) -> Network:
-    """The network after some rounds over all documents, other phases of the mask in each; every word is trained once."""
-    sc = texts.sparkSession.sparkContext
-    net = Network()
-    for turn in range(rounds):
-        start = sc.broadcast(net.flat)
-
-        def run(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> Iterator[pa.RecordBatch]:
-            own, n = Network(start.value.copy()), 0
-            seen = np.zeros_like(own.flat)
-            for b in batches:
-                for t in chunks(b.column(0)):
-                    kind, _, woff, *_ = lex.value.read(t)
-                    context = contexts(kind, woff)
-                    for phase in phases(turn, rounds):
-                        at = masked(len(kind), phase)
-                        if len(at):
-                            own.train(context[:, at], kind[at].astype(np.int64), seen)
-                            n += len(at)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(own.flat * np.float64(n)).tobytes()], pa.binary())], ["n", "sums"])
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n, total = 0, np.zeros(len(start.value))
-            for b in batches:
-                for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    n, total = n + k, total + np.frombuffer(data)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "sums"])
-
-        kind = "n long, sums binary"
-        sums = texts.mapInArrow(run, kind).repartition(8).mapInArrow(add, kind).collect()  # 8 rows of the network's size
-        n = sum(r["n"] for r in sums)
-        if n:
-            net = Network(sum(np.frombuffer(r["sums"]) for r in sums) / n)
-    return net
+    return h[begin], np.add.reduceat(c, begin) if len(h) else c
+
+
+def _counts(h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], ["word", "n"])
+
+
+#: The two tables of contexts, as (rows, columns); each is cut by the left neighbour.
+_STATISTICS = ((NEAR * NEAR * FAR * FAR, CLASSES), (NEAR * NEAR, LEAVES))
+_CELLS = "key int, cell binary, n binary"
+
+
+def statistics(texts: DataFrame, lex) -> list[np.ndarray]:
+    """How often each class stands in each window and each leaf between each pair, over every word of every text."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros(a * b, np.int64) for a, b in _STATISTICS]
+        held: list[list[np.ndarray]] = [[], []]
+        n = 0
+
+        def put() -> None:
+            for i, codes in enumerate(held):
+                if codes:
+                    total[i] += np.bincount(np.concatenate(codes), minlength=len(total[i]))
+                    codes.clear()
+
+        for b in batches:
+            for t in chunks(b.column(0)):
+                r = Reading(t, lex.value)
+                held[0].append(r.window * CLASSES + r.leaf // WITHIN)
+                held[1].append(r.pair * LEAVES + r.leaf)
+                n += len(r.leaf)
+                if n > 1 << 21:
+                    put()
+                    n = 0
+        put()
+        for i, x in enumerate(total):
+            yield from _cells({i * NEAR + k: part for k, part in enumerate(x.reshape(NEAR, -1))})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for key, cell, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if key not in sums:
+                    a, c = _STATISTICS[key // NEAR]
+                    sums[key] = np.zeros(a * c // NEAR, np.int64)
+                sums[key][np.frombuffer(cell, np.int32)] += np.frombuffer(n, np.int64)
+        yield from _cells(sums)
+
+    parts = texts.mapInArrow(gather, _CELLS)
+    few = parts.repartition("key", F.spark_partition_id() % 8).mapInArrow(add, _CELLS)
+    out = [np.zeros((a, b), np.int64) for a, b in _STATISTICS]
+    for r in few.repartition("key").mapInArrow(add, _CELLS).collect():  # the tables' fixed size at most
+        whole = out[r["key"] // NEAR].reshape(NEAR, -1)
+        whole[r["key"] % NEAR, np.frombuffer(r["cell"], np.int32)] = np.frombuffer(r["n"], np.int64)
+    return out
+
+
+def _cells(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for key, x in sums.items():
+        at = np.flatnonzero(x)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([x[at].tobytes()], pa.binary())], ["key", "cell", "n"])
+
+
+def fit(texts: DataFrame, ws: Workspace) -> tuple[Model, DataFrame | None]:
+    """The model of a column text, and the counts of the words outside its lexicon (word, n)."""
+    lex, rest = lexicon(texts, ws)
+    return Model(lex, *statistics(texts, texts.sparkSession.sparkContext.broadcast(lex))), rest
 
 
 def lm_scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of df: doc_id, n_words, log_likelihood (sum over its words) and mean_log_likelihood (null without words).
 
-    Null and empty texts have 0 words and a sum of 0. Every row stays, repeated ones too (they weigh by their number in
-    counts and training); other columns are left out. Counts of words combine in each task before their shuffle; the
-    driver gets VOCABULARY words, a row for each length and the networks' sums of eight tasks.
-    Where words outside the vocabulary repeat, rows are written with them once, and their counts come by a join.
+    Null and empty texts have 0 words and a sum of 0; an empty table gives no rows. Very long texts are read whole, as a
+    chunk of their own. Every row stays, repeated ones too (they weigh by their number in counts and training) and those
+    without doc_id; words of equal count are ranked by their hash; other columns are left out, so their names can't
+    clash. Scores are the same however the rows are partitioned. Three passes over the texts: counts of words (combined in
+    each task before their shuffle), counts of contexts, scores. The driver gets VOCABULARY words and the two tables of
+    contexts, whose size is fixed. Where words outside the vocabulary repeat, rows are written with them once, and their
+    counts come by a join.
     """
     spark = df.sparkSession
     ws = Workspace(spark, "lm")
-    texts = df.select(F.col(text).alias("text"))
-    made, rest = lexicon(texts, ws)
-    lex = spark.sparkContext.broadcast(made)
-    ready = spark.sparkContext.broadcast(trained(texts, lex).flat)
+    made, rest = fit(df.select(F.col(text).alias("text")), ws)
+    model = spark.sparkContext.broadcast(made)
     kind_of_id = df.schema[doc_id].dataType.simpleString()
     joined = rest is not None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(ready.value)
         for b in batches:
             for t in chunks(b.column(1)):
-                kind, log_p, woff, other, h = lex.value.read(t)
-                each = net.log_p(contexts(kind, woff), kind.astype(np.int64)).astype(np.float64) + log_p
+                r = Reading(t, model.value.lex)
+                each, other = model.value.log_p(r)
                 total = np.concatenate([[0], np.cumsum(each)])
-                n = np.diff(woff)
-                s = np.where(n > 0, total[woff[1:]] - total[woff[:-1]], 0.0)
-                more = [pa.ListArray.from_arrays(pa.array(np.searchsorted(other, woff), pa.int32()), pa.array(h.view(np.int64)))] if joined else []
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(t.lo, t.hi - t.lo), pa.array(n, pa.int64()), pa.array(s), *more], ["doc_id", "n_words", "log_likelihood", "others"][: 3 + joined])
+                more = [pa.ListArray.from_arrays(pa.array(np.searchsorted(other, r.woff), pa.int32()), pa.array(r.hash[other].view(np.int64)))] if joined else []
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(t.lo, t.hi - t.lo), pa.array(np.diff(r.woff), pa.int64()), pa.array(total[r.woff[1:]] - total[r.woff[:-1]]), *more], ["doc_id", "n_words", "total", "others"][: 3 + joined]
+                )
 
-    kind = f"doc_id {kind_of_id}, n_words long, log_likelihood double" + ", others array<bigint>" * joined
+    kind = f"doc_id {kind_of_id}, n_words long, total long" + ", others array<bigint>" * joined
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(score, kind)
     if joined:
         # the number of a row is written with it, so that it is the same in both reads
         rows = ws.keep(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-        # whole numbers of 2^-32: sums don't hang on the order of rows
-        log = F.round(F.log(F.col("n").cast("double")) * float(1 << 32)).cast("long")
+        log = F.round(F.log(F.col("n").cast("double")) * ONE).cast("long")
         others = rows.select("row", F.explode("others").alias("word")).join(rest.select("word", log.alias("log")), "word")
         sums = others.groupBy("row").agg(F.sum("log").alias("log"))
-        rows = rows.select("row", "doc_id", "n_words", "log_likelihood").join(sums, "row", "left")
-        rows = rows.withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce(F.col("log"), F.lit(0)) / float(1 << 32))
+        rows = rows.select("row", "doc_id", "n_words", "total").join(sums, "row", "left")
+        rows = rows.withColumn("total", F.col("total") + F.coalesce(F.col("log"), F.lit(0)))
+    rows = rows.withColumn("log_likelihood", F.col("total") / ONE)
     mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
     return rows.select("doc_id", "n_words", "log_likelihood", mean.alias("mean_log_likelihood"))
