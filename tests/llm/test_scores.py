@@ -316,3 +316,26 @@ def test_templates_follow_labels(spark):
     got = {r.page_id: r.verdict for r in url_filter(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
     assert got[0] == "block" and got[200] == "allow" and got[300] == "allow" and len(got) == len(rows)
     assert url_filter(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
+
+
+def test_templates_at_any_depth(spark):
+    """Six segments deep, what is blocked and what is allowed differ only in the last one; unlabelled pages follow their own."""
+    rules = [Rule("block", "d.org/a/b/c/d/e/bad/x"), Rule("allow", "d.org/a/b/c/d/e/good/x")]
+    rows = [(100 * k + i, f"http://d.org/a/b/c/d/e/{name}/{s}{i}") for k, (name, s) in enumerate([("bad", "x"), ("good", "x"), ("bad", "y"), ("good", "y")]) for i in range(60)]
+    got = {r.page_id: (r.verdict, r.rule) for r in url_filter(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert all(got[i] == ("block", rules[0].pattern) and got[100 + i] == ("allow", rules[1].pattern) and got[200 + i] == ("block", None) and got[300 + i] == ("allow", None) for i in range(60))
+
+
+def test_purity_counts_labelled_pages_only(spark):
+    """More pages without a label than with one in a template don't hide that all its labelled ones are blocked."""
+    rules = [Rule("block", "p.org/t/1"), Rule("allow", "p.org/ok/")]
+    rows = [(i, f"http://p.org/t/1{i}") for i in range(100)] + [(1000 + i, f"http://p.org/t/2{i}") for i in range(400)] + [(2000 + i, f"http://p.org/ok/{i}") for i in range(100)] + [(3000 + i, f"http://p.org/u/{i}") for i in range(300)]
+    got = {r.page_id: r.verdict for r in url_filter(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert {got[1000 + i] for i in range(400)} == {"block"} and {got[3000 + i] for i in range(300)} == {"allow"}
+
+
+def test_rare_names_are_one_branch(spark):
+    rules = [Rule("block", "r.org/bad/")]
+    rows = [(i, f"http://r.org/{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'abcdefghijklmnopqrstuvwxyz'[i // 26]}/home") for i in range(400)] + [(1000 + i, f"http://r.org/bad/{i}") for i in range(60)]
+    got = {r.page_id: r.template for r in url_filter(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert {got[i] for i in range(400)} == {"*/home"}
