@@ -5,8 +5,10 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from tributary.llm import near_dups
+from tributary.llm import near_dups, neighbours
 from tributary.llm.components import components
 from tributary.llm.decontamination import leaks
 from tributary.llm.near_dups import common, near_duplicates, shingle_sets
@@ -183,6 +185,50 @@ def test_few_rows_are_all_candidates(spark):
     assert got == [int(i) for i in np.argsort(-(v @ v[0])) if i]
 
 
+@pytest.mark.parametrize("n", [500, 1500, 5000])
+def test_recall_comes_from_hashing(spark, n):
+    """However few rows there are, not all of them are compared, and recall holds."""
+    g = np.random.default_rng(n)
+    v = g.standard_normal((n, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(v.ravel(), 64).cast(pa.list_(pa.float64()))})).repartition(3)
+    found = {}
+    for r in nearest(df, df.filter("vec_id % 20 = 0")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    s = v[::20] @ v.T
+    s[np.arange(len(s)), np.arange(0, n, 20)] = -np.inf
+    best = np.argpartition(-s, 20, 1)[:, :20]
+    assert np.mean([len(set(b.tolist()) & found[20 * i]) / 20 for i, b in enumerate(best)]) >= 0.9
+    turn = neighbours.Rotations(64, neighbours.norm_bands({0: n}), 20)
+    seen = np.zeros((len(s), n), bool)
+    for t in range(neighbours.TABLES):
+        sizes = np.bincount(turn.bucket(v, t), minlength=2 * turn.size)
+        seen |= turn.probed(v[::20], t, turn.probes(n, 20), sizes, 21)[:, turn.bucket(v, t)]
+    assert seen.mean() < 0.85
+
+
+@given(st.lists(st.integers(0, 40), min_size=1, max_size=60), st.integers(1, 30))
+@settings(max_examples=100, deadline=None)
+def test_parts_hold_every_bucket_once(sizes, rows):
+    p = neighbours.Parts(np.array(sizes), rows)
+    for b, n in enumerate(sizes):
+        own = [i for i, x in enumerate(p.buckets) if b in x]
+        assert own == list(range(p.first[b], p.first[b] + p.cut[b])) and len(own) == (0 if not n else -(-n // rows))
+        assert not n or (p.buckets[own[0]][p.place[b]] == b)
+    assert all(len(x) == 1 or sum(sizes[b] for b in x) <= rows for x in p.buckets)
+
+
+def test_queries_go_to_the_parts_they_probe(spark, monkeypatch):
+    """Parts of one row's size: results are as with large ones."""
+    v = np.random.default_rng(8).standard_normal((900, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    rows = lambda: sorted(map(tuple, nearest(df, df.filter("vec_id % 20 = 0"), 5).collect()))
+    whole = rows()
+    monkeypatch.setattr(neighbours, "PART", 1)
+    monkeypatch.setattr(neighbours, "LEAST", 40)
+    assert rows() == whole
+
+
 def test_smallest_copies():
     v = np.array([[1.0], [1.0], [2.0], [1.0], [1.0]])
     assert smallest_copies(v, np.array([9, 4, 1, 4, 7]), 2).tolist() == [1, 2, 4]

@@ -6,14 +6,16 @@ exact inner product. Largest inner product becomes nearest on the sphere within
 and direction, and a query looks in the nearest buckets of every band and in further ones of the bands of large norms, by
 the inner product that a band's rows may reach. Rows whose norms are within BAND of each other are one band.
 
-Buckets of a table are dealt to GROUPS; a group whose rows exceed ROWS is cut by a hash of vec_id and its queries go to
-each part, so that no task holds more, however many rows share a bucket. Copies of one vector are ranked by vec_id, so
+Buckets are packed into parts of PART bytes; a bucket that holds more is cut into parts of its own by a hash of vec_id, so
+that no task holds more, however many rows share a bucket. A query goes to the parts of the buckets it probes only: for a
+number of queries, what is shuffled grows in proportion to the probed rows. Copies of one vector are ranked by vec_id, so
 of each batch's copies the k + 1 smallest ids are kept: exactly those that can be among a query's k nearest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +24,11 @@ from pyspark.sql import functions as F
 
 from .tables import Workspace
 
-TABLES, PROBES = 2, 84
-#: Rows for each neighbour asked for that the probed buckets of a table must hold: few rows are all compared.
-FEWEST = 50
-GROUPS, ROWS = 16, 4096
+TABLES = 2
+#: Recall that the number of probes is chosen for, and pairs of random vectors that it is tried on.
+RECALL, PAIRS = 0.96, 4096
+#: Bytes of a part's vectors in double precision; rows at least, however long the vectors.
+PART, LEAST = 1 << 23, 256
 #: Ratio of norms within a band; bands at most, of which so many hold the largest norms apart, however few rows have them.
 BAND, BANDS, TOP = 1.05, 32, 8
 RESULT = "query_id long, rank int, vec_id long, score double"
@@ -76,6 +79,29 @@ class Rotations:
             x = hadamard(x * signs)
         return x
 
+    def probes(self, n: int, k: int) -> int:
+        """Buckets to probe in each table so that the k nearest of n vectors are found with RECALL, were they random; those
+        of vectors in clusters lie closer and are found more often. Tried on pairs at the cosines of the first to the kth."""
+        r = np.random.Generator(np.random.PCG64(11))
+        x, z = (r.standard_normal((PAIRS, self.dim)) for _ in range(2))
+        x /= np.sqrt((x * x).sum(1, keepdims=True))
+        z -= x * (x * z).sum(1, keepdims=True)
+        z /= np.maximum(np.sqrt((z * z).sum(1, keepdims=True)), 1e-12)
+        quantile = NormalDist().inv_cdf
+        share = np.minimum((np.arange(PAIRS) % k + 0.5) / max(n, 2 * k), 0.5)
+        cosine = np.minimum(np.array([quantile(1 - s) for s in share]) / np.sqrt(self.dim), 1)[:, None]
+        out = np.zeros((2, PAIRS, self.size))
+        out[0, :, : self.dim], out[1, :, : self.dim] = x, cosine * x + np.sqrt(1 - cosine * cosine) * z
+        y, stored = self.turned(out[0], 0), self.turned(out[1], 0)
+        near = np.stack([-y, y], 2).reshape(PAIRS, -1)
+        axis = np.abs(stored).argmax(1)
+        at = 2 * axis + (stored[np.arange(PAIRS), axis] > 0)
+        place = (near > near[np.arange(PAIRS), at][:, None]).sum(1)
+        order = np.bincount(place * k + np.arange(PAIRS) % k, minlength=2 * self.size * k).reshape(-1, k)
+        found = np.cumsum(order, 0) / np.bincount(np.arange(PAIRS) % k, minlength=k)
+        recall = (1 - (1 - found) ** self.tables).mean(1)
+        return int(np.argmax(recall >= min(RECALL, recall[-1]))) + 1
+
     def unit(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Directions, filled up to the size, and norms."""
         scale = np.abs(x).max(1, keepdims=True)
@@ -94,7 +120,8 @@ class Rotations:
 
     def probed(self, q: np.ndarray, table: int, n: int, sizes: np.ndarray, least: int) -> np.ndarray:
         """bool[query, bucket]: the n nearest buckets of every band, further ones by the inner product that they may reach
-        until another n (a band's counting by its share of the rows) are chosen, and until all hold at least so many rows."""
+        until another n (a band's counting by its share of the rows) are chosen, and until all hold at least so many rows:
+        as many as are asked for, so that fewer come back only where the index has no more."""
         y = self.turned(self.unit(q)[0], table)
         near = np.stack([-y, y], 2).reshape(len(y), -1)
         order = np.argsort(-near, 1, kind="stable")
@@ -113,6 +140,32 @@ class Rotations:
         return out | chosen
 
 
+class Parts:
+    """Which buckets of a table share a part, and which part is cut; from the buckets' sizes."""
+
+    def __init__(self, sizes: np.ndarray, rows: int):
+        #: Of each bucket its first part, how many parts it is cut into, and its place among the buckets of its part.
+        self.first, self.cut, self.place = (np.zeros(len(sizes), np.int32) for _ in range(3))
+        #: Buckets of each part.
+        self.buckets: list[np.ndarray] = []
+        open_, held = [], 0
+        for b in np.flatnonzero(sizes).tolist():
+            n = int(sizes[b])
+            if n > rows:
+                cut = -(-n // rows)
+                self.first[b], self.cut[b] = len(self.buckets), cut
+                self.buckets += [np.array([b])] * cut
+                continue
+            if held + n > rows or not open_:
+                open_, held = [], 0
+                self.buckets.append(open_)
+                at = len(self.buckets) - 1
+            self.first[b], self.cut[b], self.place[b] = at, 1, len(open_)
+            open_.append(b)
+            held += n
+        self.buckets = [np.array(x) for x in self.buckets]
+
+
 def smallest_copies(vectors: np.ndarray, ids: np.ndarray, keep: int) -> np.ndarray:
     """Rows to keep: of equal vectors those with the smallest ids; of rows with equal vector and id one."""
     key = np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).ravel()
@@ -135,13 +188,15 @@ def _binary(m: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in np.ascontiguousarray(m)], pa.binary())
 
 
-def nearest(index: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def nearest(index: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", tables: int = TABLES, probes: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: for each row of queries its k nearest rows of index found, its own vec_id
     left out, nearest first, ties to the smaller vec_id; score is the inner product in double precision.
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do those of another length than
-    most of index, nor rows without vec_id. Rows that repeat a vec_id count once, with the larger score. Other columns are left out.
-    Without any valid row the result is empty.
+    most of index (the shorter of two as frequent), nor rows without vec_id. Rows that repeat a vec_id count once, with the
+    larger score. Other columns are left out, so their names can't clash. Without any valid row the result is empty.
+    probes: buckets looked up in each table; by default so many that RECALL is met for that number of rows, were they
+    random. The driver gets the sizes of buckets, whose number the parameters fix.
     """
     spark = index.sparkSession
     double = index.schema[vector].dataType.elementType.simpleString() != "float"
@@ -176,21 +231,24 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "ve
             for t in range(tables):
                 bucket = turn.bucket(m.astype(np.float64), t)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), t, np.int32)), pa.array(bucket % GROUPS), pa.array(ids), data, pa.array(bucket)],
-                    ["t", "g", "id", "vector", "bucket"],
+                    [pa.array(np.full(len(ids), t, np.int32)), pa.array(bucket), pa.array(ids), data],
+                    ["t", "bucket", "id", "vector"],
                 )
 
-    rows = stored.filter(F.size("vector") == dim).mapInArrow(file, "t int, g int, id long, vector binary, bucket int")
+    rows = stored.filter(F.size("vector") == dim).mapInArrow(file, "t int, bucket int, id long, vector binary")
     rows = ws.keep(rows, "rows")
     sizes = np.zeros((tables, turn.bands * 2 * turn.size), np.int64)
     for r in rows.groupBy("t", "bucket").agg(F.count("*").alias("n")).collect():  # a row for each table, band and axis
         sizes[r["t"], r["bucket"]] = r["n"]
-    parts = {(t, g): -(-int(sizes[t, g::GROUPS].sum()) // ROWS) for t in range(tables) for g in range(GROUPS) if sizes[t, g::GROUPS].any()}
-    if not parts:
+    if not sizes.any():
         return spark.createDataFrame([], RESULT)
-    number = F.create_map(*[F.lit(x) for (t, g), n in parts.items() for x in (t * GROUPS + g, n)])[F.col("t") * GROUPS + F.col("g")]
-    none = F.lit(None).cast("binary")
-    filed = rows.select("t", "g", F.pmod(F.xxhash64("id"), number).cast("int").alias("part"), F.lit(0).alias("kind"), "id", "vector", "bucket", none.alias("probes"))
+    probes = probes or turn.probes(int(sizes[0].sum()), k)
+    parts = [Parts(x, max(LEAST, PART // (8 * dim))) for x in sizes]
+    where = [(t, int(b), int(p.first[b]), int(p.cut[b]), int(p.place[b])) for t, p in enumerate(parts) for b in np.flatnonzero(p.cut)]
+    where = spark.createDataFrame(where, "t int, bucket int, first int, cut int, place int")
+    part = (F.col("first") + F.pmod(F.xxhash64("id"), F.col("cut"))).cast("int")
+    # a row for each bucket: its number is fixed by the parameters
+    filed = rows.join(F.broadcast(where), ["t", "bucket"]).select("t", part.alias("part"), F.lit(0).alias("kind"), "id", "vector", "place", F.lit(None).cast("binary").alias("probes"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,51 +257,51 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "ve
             ids, m = b.column(0).to_numpy(), _matrix(b.column(1), dim, kind)
             # so many queries at a time that what they probe stays small
             for lo in range(0, len(ids), block):
-                yield from place(ids[lo : lo + block], m[lo : lo + block])
+                yield from put(ids[lo : lo + block], m[lo : lo + block])
 
     block = max(256, 8192 // turn.bands)
 
-    def place(ids: np.ndarray, m: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def put(ids: np.ndarray, m: np.ndarray) -> Iterator[pa.RecordBatch]:
         data = _binary(m)
         for t in range(tables):
-            probed = turn.probed(m.astype(np.float64), t, probes, sizes[t], FEWEST * k)
-            for g in range(GROUPS):
-                local = np.ascontiguousarray(probed[:, g::GROUPS], np.uint8)
+            probed = turn.probed(m.astype(np.float64), t, probes, sizes[t], k + 1)
+            for i, buckets in enumerate(parts[t].buckets):
+                local = np.ascontiguousarray(probed[:, buckets], np.uint8)
                 some = np.flatnonzero(local.any(1))
-                for part in range(parts.get((t, g), 0)):
-                    n = len(some)
+                n = len(some)
+                if n:
                     yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(np.full(n, x, np.int32)) for x in (t, g, part, 1)), pa.array(ids[some]), data.take(pa.array(some)), pa.array(np.zeros(n, np.int32)), _binary(local[some])],
-                        ["t", "g", "part", "kind", "id", "vector", "bucket", "probes"],
+                        [*(pa.array(np.full(n, x, np.int32)) for x in (t, i, 1)), pa.array(ids[some]), data.take(pa.array(some)), pa.array(np.zeros(n, np.int32)), _binary(local[some])],
+                        ["t", "part", "kind", "id", "vector", "place", "probes"],
                     )
 
-    schema = "t int, g int, part int, kind int, id long, vector binary, bucket int, probes binary"
+    schema = "t int, part int, kind int, id long, vector binary, place int, probes binary"
     asked = valid(queries).filter(F.size("vector") == dim).mapInArrow(ask, schema)
-    both = filed.union(asked).repartition("t", "g", "part").sortWithinPartitions("t", "g", "part", "kind")
+    both = filed.union(asked).repartition("t", "part").sortWithinPartitions("t", "part", "kind")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, None
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b.column(c).to_numpy() for c in range(5)]
-            m = np.frombuffer(b"".join(b.column(5).to_pylist()), kind).reshape(-1, dim)
-            bucket = b.column(6).to_numpy()
-            change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)) + 1
+            cols = [b.column(c).to_numpy() for c in range(4)]
+            m = np.frombuffer(b"".join(b.column(4).to_pylist()), kind).reshape(-1, dim)
+            place = b.column(5).to_numpy()
+            change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1
             for lo, hi in zip([0, *change.tolist()], [*change.tolist(), b.num_rows], strict=True):
-                now = tuple(int(c[lo]) for c in cols[:3])
+                now = tuple(int(c[lo]) for c in cols[:2])
                 if now != key:
                     key, held = now, []
-                if cols[3][lo] == 0:
-                    held.append((cols[4][lo:hi], m[lo:hi], bucket[lo:hi]))
+                if cols[2][lo] == 0:
+                    held.append((cols[3][lo:hi], m[lo:hi], place[lo:hi]))
                     continue
                 if len(held) != 1:
                     held = [tuple(np.concatenate(x) for x in zip(*held, strict=True))] if held else []
                 if held:
-                    probed = np.frombuffer(b"".join(b.column(7).slice(lo, hi - lo).to_pylist()), np.uint8).reshape(hi - lo, -1)
-                    for at in range(lo, hi, 256):
-                        to = min(hi, at + 256)
-                        yield _best(cols[4][at:to], m[at:to], probed[at - lo : to - lo], *held[0], k)
+                    probed = np.frombuffer(b"".join(b.column(6).slice(lo, hi - lo).to_pylist()), np.uint8).reshape(hi - lo, -1)
+                    for at in range(lo, hi, 128):
+                        to = min(hi, at + 128)
+                        yield _best(cols[3][at:to], m[at:to], probed[at - lo : to - lo], *held[0], k)
 
     found = both.mapInArrow(rank, "query_id long, ids array<bigint>, scores array<double>")
 
@@ -263,13 +321,12 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "ve
     return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merge, RESULT)
 
 
-def _best(query_ids, q, probed, ids, vectors, bucket, k: int) -> pa.RecordBatch:
+def _best(query_ids, q, probed, ids, vectors, place, k: int) -> pa.RecordBatch:
     """The k best rows of one part for each query, among the buckets it probes."""
     q = q.astype(np.float64)
     product = np.full((len(q), len(ids)), -np.inf)
-    local = bucket // GROUPS
-    for x in np.unique(local):
-        r, a = np.flatnonzero(local == x), np.flatnonzero(probed[:, x])
+    for x in np.unique(place):
+        r, a = np.flatnonzero(place == x), np.flatnonzero(probed[:, x])
         if len(a):
             product[np.ix_(a, r)] = q[a] @ vectors[r].astype(np.float64).T
     product[query_ids[:, None] == ids[None, :]] = -np.inf
