@@ -99,6 +99,35 @@ def test_blocks_compare_all(spark, monkeypatch):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize(("union", "common_"), [(4, 3), (8, 6), (12, 9), (16, 12), (20, 15), (21, 16)])
+def test_no_small_pair_is_missed(union, common_):
+    """Pairs at the threshold exactly, one of them with 16 shingles at most, share a key for certain."""
+    g = np.random.default_rng(union)
+    n = 40_000
+    values = g.integers(0, 2**63, (n, union), dtype=np.uint64)
+    more = g.integers(0, union - common_ + 1, n)  # how many of the rest belong to the first set
+    for k in range(union - common_ + 1):
+        some = values[more == k]
+        x, y = (np.sort(z, 1) for z in (some[:, : common_ + k], np.concatenate([some[:, :common_], some[:, common_ + k :]], 1)))
+        if min(x.shape[1], y.shape[1]) > near_dups.SMALL:
+            continue
+        (a, la), (b, lb) = (near_dups.prefix_keys(z.ravel(), np.arange(len(z) + 1) * z.shape[1], 75) for z in (x, y))
+        a, b = a.reshape(len(x), -1), b.reshape(len(y), -1)
+        assert (a[:, :, None] == b[:, None, :]).any((1, 2)).all()
+
+
+def test_links_of_short_texts(spark):
+    """Thousands of pairs of seven and eight words, at three of four shingles: all are linked."""
+    g = random.Random(12)
+    word = lambda: "".join(g.choice("abcdefghijklmnop") for _ in range(6))
+    rows = []
+    for i in range(4000):
+        w = [word() for _ in range(8)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:7]))]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * i] == got[2 * i + 1] == 2 * i for i in range(4000))
+
+
 def test_common_counts():
     g = np.random.default_rng(0)
     sets = [np.unique(g.integers(0, 60, g.integers(1, 50))).astype(np.uint64) for _ in range(70)]

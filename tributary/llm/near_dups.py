@@ -3,7 +3,9 @@
 Each permutation of the shingles' hashes gives two values, the smallest and the largest, so a signature of 128 values
 costs 64 hash evaluations a shingle; a value of either kind agrees with the probability of the sets' similarity. Four
 values (both of two permutations) make a band. With 32 bands a pair at a similarity of 0.75 shares none with a
-probability of 5e-6.
+probability of about 5e-6 if its sets are large; in small sets the smallest and the largest value hang together, so pairs
+with a set of SMALL shingles or fewer also meet by those of their prefixes: the smallest hashes, of which similar sets
+have one in common for certain.
 
 Documents with one and the same set are one node. Bands hold candidates; every link is confirmed on the full sets. First
 each band's members are compared with its hub, the smallest one, which joins nearly all true groups at a cost in
@@ -26,6 +28,8 @@ from .tables import Workspace
 
 SHINGLE, PERCENT = 5, 75
 PERMUTATIONS, BANDS = 64, 32
+#: Sets of which no link is missed, whatever the hashes.
+SMALL = 16
 #: Shingles of a block of a band's members; a member counts as BLOCK / 1024 at least, so that a task compares 2048 members at most.
 BLOCK = 1 << 17
 #: Sets beyond which a value's holders are counted by a matrix product.
@@ -67,26 +71,50 @@ def band_keys(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        at = 0
-        for v, off in shingle_sets(b.column(1)):
-            n = np.diff(off)
-            full = n > 0
-            a, c = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-            keys, koff = np.zeros(0, np.uint64), np.zeros(len(n) + 1, np.int64)
-            if full.any():
-                own = np.append(off[:-1][full], len(v))
-                a[full] = np.add.reduceat(mix(v ^ _A[0]), own[:-1])
-                c[full] = np.bitwise_xor.reduceat(mix(v ^ _A[1]), own[:-1])
-                keys = band_keys(v, own).ravel()
-                koff = np.concatenate([[0], np.cumsum(full * BANDS)])
-            ids = b.column(0).slice(at, len(n))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), list_array(keys.view(np.int64), koff, pa.int64())],
-                ["doc_id", "n_shingles", "fp_a", "fp_b", "bands"],
-            )
-            at += len(n)
+def prefix_keys(values: np.ndarray, off: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the sets that may be linked with one of SMALL shingles, and each set's number of them.
+
+    Of n ascending hashes the first n - ceil(n * percent / 100) + 1: two sets that are similar enough share one of these.
+    """
+    n = np.diff(off)
+    many = np.where((n > 0) & (n <= SMALL * 100 // percent), n - -(-n * percent // 100) + 1, 0)
+    return mix(values[gather_ranges(off[:-1], many)] * _C[0] + U64(BANDS)), many
+
+
+def keys_of(values: np.ndarray, off: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys and prefix keys of each set, and the sets' offsets in them; an empty set has none."""
+    full = np.diff(off) > 0
+    extra, many = prefix_keys(values, off, percent)
+    koff = np.concatenate([[0], np.cumsum(full * BANDS + many)])
+    out = np.empty(int(koff[-1]), np.uint64)
+    if full.any():
+        own = np.append(off[:-1][full], len(values))
+        out[(koff[:-1][full][:, None] + np.arange(BANDS)).ravel()] = band_keys(values, own).ravel()
+        out[gather_ranges(koff[:-1] + full * BANDS, many)] = extra
+    return out, koff
+
+
+def _sketcher(percent: int):
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = 0
+            for v, off in shingle_sets(b.column(1)):
+                n = np.diff(off)
+                full = n > 0
+                a, c = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+                if full.any():
+                    first = off[:-1][full]
+                    a[full] = np.add.reduceat(mix(v ^ _A[0]), first)
+                    c[full] = np.bitwise_xor.reduceat(mix(v ^ _A[1]), first)
+                keys, koff = keys_of(v, off, percent)
+                ids = b.column(0).slice(at, len(n))
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array(n, pa.int64()), pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), list_array(keys.view(np.int64), koff, pa.int64())],
+                    ["doc_id", "n_shingles", "fp_a", "fp_b", "bands"],
+                )
+                at += len(n)
+
+    return sketch
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,14 +142,15 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
 
     Links: 100 * common >= percent * union of the texts' distinct 5-word shingles (A-Z lower-cased; a text of fewer
     words is one shingle). Texts without words, empty and null ones have 0 shingles and no links. Rows of one doc_id are
-    one document. A row without doc_id has no component and is kept. Other columns are left out. Hot groups: equal sets
+    one document. A row without doc_id has no component and is kept. Very long texts are read whole, as a chunk of their
+    own; an empty table gives no rows. Other columns are left out, so their names can't clash. Hot groups: equal sets
     meet in aggregates that combine before the shuffle; joins back to them are plain equi-joins that Spark splits where
     a key is hot; links of a hub are compared row by row.
     """
     spark = df.sparkSession
     ws = Workspace(spark, "near")
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketch = ws.keep(rows.mapInArrow(_sketch, "doc_id long, n_shingles long, fp_a long, fp_b long, bands array<bigint>"), "sketch")
+    sketch = ws.keep(rows.mapInArrow(_sketcher(percent), "doc_id long, n_shingles long, fp_a long, fp_b long, bands array<bigint>"), "sketch")
     same = ["fp_a", "fp_b", "n_shingles"]
     real = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = ws.keep(real.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "nodes")
