@@ -99,6 +99,21 @@ def test_blocks_compare_all(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_crowd_that_shares_a_line(spark, monkeypatch):
+    """Short texts around one frequent line: large bands without many links, resolved by their rarest shingles."""
+    monkeypatch.setattr(near_dups, "BLOCK", 1024 * 2)
+    g = random.Random(13)
+    line = "all rights reserved by the owner of this page"
+    word = lambda: "".join(g.choice("abcdefghijklmnop") for _ in range(5))
+    rows = [(i, f"{word()} {line} {' '.join(word() for _ in range(g.randint(0, 9)))}") for i in range(400)]
+    rows += [(1000 + i, t + g.choice(["", " " + word()])) for i, (_, t) in enumerate(g.sample(rows, 120))]
+    seen = []
+    rarest = near_dups._rarest
+    monkeypatch.setattr(near_dups, "_rarest", lambda *a: seen.append(1) or rarest(*a))
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert seen and got == brute(rows)
+
+
 @pytest.mark.parametrize(("union", "common_"), [(4, 3), (8, 6), (12, 9), (16, 12), (20, 15), (21, 16)])
 def test_no_small_pair_is_missed(union, common_):
     """Pairs at the threshold exactly, one of them with 16 shingles at most, share a key for certain."""

@@ -9,8 +9,10 @@ have one in common for certain.
 
 Documents with one and the same set are one node. Bands hold candidates; every link is confirmed on the full sets. First
 each band's members are compared with its hub, the smallest one, which joins nearly all true groups at a cost in
-proportion to the members. Bands that still hold several components are then compared in full across these components,
-block by block within a task: nothing is capped, and no group's pairs are ever written out.
+proportion to the members. Bands that still hold several components are then compared in full across these components:
+small ones within a task; members of larger ones first meet again by the rarest of their shingles (the prefix of each set,
+ordered by how many of these members hold a shingle), which loses no link and leaves few members together, and what is
+still large is compared block by block. Nothing is capped, and no group's pairs are ever written out.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -166,10 +168,15 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
         links = ws.keep(_confirmed(pairs, sets, percent), "links-0")
         first = components(links, ws, "first").withColumnRenamed("id", "rep")
         now = ws.keep(members.join(first, "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("component")), "now")
-        apart = now.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.greatest("n", F.lit(BLOCK // 1024))).alias("load")).filter("low != high").select("band", "load")
-        rest = ws.keep(_rest(now.join(apart, "band"), sets, percent), "links-1")
+        apart = now.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), _load()).filter("low != high").select("band", "load")
+        open_ = ws.keep(now.join(apart, "band"), "open")
+        small = open_.filter(F.col("load") <= BLOCK)
+        large = open_.filter(F.col("load") > BLOCK)
+        if not large.isEmpty():
+            small = small.union(_rarest(large.select("rep", "component").distinct(), sets, percent, ws).select(small.columns))
+        rest = ws.keep(_rest(small, sets, percent), "links-1")
         labels = components(links.union(rest), ws, "all")
-        ws.drop("members", "now", "sets", "links-0", "links-1")
+        ws.drop("members", "now", "open", "rare", "sets", "links-0", "links-1")
 
     copies = nodes.filter("copies > 1").select(*same, "rep")
     out = sketch.select("doc_id", *same).join(copies, same, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
@@ -194,6 +201,34 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return each.select("a", "b", "of_a", "of_b").mapInArrow(confirm, "a long, b long").distinct()
 
 
+def _load() -> Column:
+    return F.sum(F.greatest("n", F.lit(BLOCK // 1024))).alias("load")
+
+
+def _rarest(members: DataFrame, sets: DataFrame, percent: int, ws: Workspace) -> DataFrame:
+    """Bands of members (rep, component) that share one of their rarest shingles: band, rep, n, component, load.
+
+    Of n shingles, the rarest among these members first, the first n - ceil(n * percent / 100) + 1 make the bands: two sets
+    that are similar enough share one of these, whatever the order, and the rarer they are the fewer others do.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                x = set_at(b.column(2), i)
+                rows = [pa.array(np.full(len(x), v)) for v in (b.column(0)[i].as_py(), b.column(1)[i].as_py(), len(x))]
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(x.view(np.int64))], ["rep", "component", "n", "shingle"])
+
+    held = members.join(sets.select(F.col("id").alias("rep"), "shingles"), "rep").select("rep", "component", "shingles")
+    each = ws.keep(held.mapInArrow(spread, "rep long, component long, n long, shingle long"), "rare")
+    holders = each.groupBy("shingle").agg(F.count("*").alias("df"))
+    prefix = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    ranked = each.join(holders, "shingle").groupBy("rep", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("all"))
+    bands = ranked.select("rep", "component", "n", F.explode(F.slice("all", 1, prefix)).alias("x")).filter("x.df > 1").select(F.col("x.shingle").alias("band"), "rep", "n", "component")
+    apart = bands.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), _load()).filter("low != high").select("band", "load")
+    return bands.join(apart, "band")
+
+
 def _rest(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between members (band, rep, component, load) of one band that lie in different components.
 
