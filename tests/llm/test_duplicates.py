@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tributary.llm import near_dups, neighbours
+from tributary.llm import decontamination, near_dups, neighbours
 from tributary.llm.components import components
 from tributary.llm.decontamination import leaks
 from tributary.llm.near_dups import common, near_duplicates, shingle_sets
@@ -310,6 +310,86 @@ def test_leaks(spark):
     assert all(0.6 <= r.similarity <= 1 for r in rows)
 
 
+def subsequence(a, b):
+    """Length of the longest common subsequence, by the table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def brute_leaks(docs, items):
+    """(doc, item) by the definition, over every place of every document; items: their words and answers, 64 words at most."""
+    out = set()
+    for d, words in docs:
+        for i, (passage, answer) in items.items():
+            m = len(passage)
+            if len(set(passage) & set(words)) < 0.5 * len(set(passage)):
+                continue
+            width = decontamination.span(m)
+            for at in range(max(1, len(words) - width + 1)):
+                c = subsequence(passage, words[at : at + width])
+                if c >= 0.85 * m or (c >= 0.6 * m and subsequence(answer, words[max(0, at - len(answer)) : at + width + len(answer)]) >= 0.6 * len(answer)):
+                    out.add((d, i))
+                    break
+    return out
+
+
+def edited(g, words, rate, say):
+    """words with a share of places replaced, dropped or followed by another word."""
+    out = []
+    for w in words:
+        if g.random() >= rate:
+            out.append(w)
+            continue
+        kind = g.randrange(3)
+        out += [say(1)[0]] if kind == 0 else [] if kind == 1 else [w, say(1)[0]]
+    return out
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.2, 0.3])
+def test_leaks_by_brute_force(spark, rate):
+    """Every window of every document against every item: what is found is right, and at each rate of edits nearly all is found."""
+    g, say = passages(20 + int(rate * 10))
+    items = {i: say(g.randint(20, 60)) for i in range(20)}
+    bench = [(i, " ".join(w[:-5]) + ". " + " ".join(w[-5:]) + ".") for i, w in items.items()]
+    docs = []
+    for d in range(90):
+        w = say(g.randint(20, 160))
+        if d % 2 == 0:
+            at = g.randrange(len(w))
+            w = w[:at] + edited(g, items[g.randrange(20)], rate, say) + w[at:]
+        docs.append((d, w))
+    want = brute_leaks(docs, {i: (w, w[-5:]) for i, w in items.items()})
+    rows = leaks(spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id) for r in rows}
+    assert len(want) > 30 and got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_benchmark_in_groups(spark, monkeypatch):
+    g, say = passages(30)
+    items = [say(30) for _ in range(12)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(d, " ".join(say(40) + (items[d % 12] if d < 24 else []) + say(40))) for d in range(80)], "doc_id long, text string")
+    whole = {(r.doc_id, r.item_id) for r in leaks(docs, bench).collect()}
+    monkeypatch.setattr(decontamination, "GROUP_TERMS", 90)
+    assert len(list(decontamination.groups((i, " ".join(x)) for i, x in enumerate(items)))) > 2
+    assert {(r.doc_id, r.item_id) for r in leaks(docs, bench).collect()} == whole == {(d, d % 12) for d in range(24)}
+
+
+def test_latent_basis_is_the_svd_s():
+    """The projection onto the sketch gives the eigenvectors of A^T A."""
+    g = np.random.default_rng(1)
+    a = g.standard_normal((400, 300)) * (0.9 ** np.arange(300))
+    o = g.standard_normal((300, decontamination.RANK + decontamination.OVERSAMPLE))
+    basis = decontamination.latent_basis(a.T @ (a @ o), o)
+    _, _, right = np.linalg.svd(a, full_matrices=False)
+    assert np.abs(basis[:20] @ right[:20].T).diagonal() == pytest.approx(np.ones(20), abs=1e-2)
+    assert basis @ basis.T == pytest.approx(np.eye(len(basis)), abs=1e-4)
+
+
 def test_answers_decide_on_paraphrases(spark):
     g, say = passages(8)
     body, answer = say(36), ["zz1", "zz2", "zz3", "zz4"]

@@ -2,10 +2,15 @@
 
 Passages of documents are TF-IDF vectors over the benchmark's words; document frequencies are counted over all passages
 of the corpus. Their latent space comes from a distributed randomised SVD: every task sends its passages through a random
-matrix and adds up A^T (A O), tasks' sums are added by blocks of terms, and the benchmark's own passages weigh as much as
-the whole corpus, so that the space keeps what tells its items apart. Passages whose cosine to a benchmark passage
-reaches COSINE, and whose part along it COVER of its weight, are candidates; the longest common subsequence of words decides, and for paraphrases also whether the
-answer (the words of the item's last sentence) is there.
+matrix O and adds up Y = A^T (A O), tasks' sums are added by blocks of terms, and the driver projects A^T A onto what Y
+spans, by Y (O^T Y)^-1 Y^T, whose eigenvectors are the latent dimensions: one pass over the corpus gives sketch and
+projection. The benchmark's own passages weigh as much as the whole corpus, so that the space keeps what tells its items
+apart. Passages whose cosine to a benchmark passage reaches COSINE, and whose part along it COVER of its weight, are
+candidates; the longest common subsequence of words decides, and for paraphrases also whether the answer (the words of
+the item's last sentence) is there.
+
+The benchmark is read in groups of bounded size, each with a space of its own; every passage of the corpus is compared
+with each of a group's, in blocks of a matrix product.
 
 Words in COMMON of all passages carry no weight there, be it that they are frequent or that the leak itself is. A benchmark
 passage that a leak could hold by such words alone has an exact path: every place where enough of its words stand close
@@ -16,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,19 +42,21 @@ COSINE = 0.4
 COVER = 0.2
 #: Share of a benchmark passage's words in common order: from COPY on a leak; from PARAPHRASE on, if the answer is there.
 COPY, PARAPHRASE, ANSWER = 0.85, 0.6, 0.6
-TERMS = 1 << 14
-BLOCK = 256
+#: Distinct words and words of a group of the benchmark at most (but for a single item): what is broadcast at once.
+GROUP_TERMS, GROUP_WORDS = 1 << 16, 1 << 20
+#: Terms of a block of the sketch; windows times benchmark passages compared at once.
+BLOCK, PRODUCT = 256, 1 << 22
+SCHEMA = "doc_id long, item_id long, similarity double, cosine double"
 
 
 @dataclass
 class Benchmark:
-    """Passages of the items' words, and the vocabulary they span. Grows with the benchmark only."""
+    """Passages of a group of items' words, and the vocabulary they span: its terms."""
 
     item: list[int]
     passages: list[np.ndarray]
     answers: list[np.ndarray]
     vocabulary: np.ndarray
-    term: np.ndarray
 
     @classmethod
     def of(cls, items: list[tuple[int, str]]) -> Benchmark:
@@ -63,12 +71,11 @@ class Benchmark:
                     passages.append(h[lo : lo + PASSAGE])
                     answers.append(answer)
         vocabulary = np.unique(np.concatenate(passages)) if passages else np.zeros(0, np.uint64)
-        exact = len(vocabulary) <= TERMS
-        return cls(item, passages, answers, vocabulary, (np.arange(len(vocabulary)) if exact else vocabulary % U64(TERMS)).astype(np.int64))
+        return cls(item, passages, answers, vocabulary)
 
     @property
     def terms(self) -> int:
-        return int(self.term.max()) + 1 if len(self.term) else 0
+        return len(self.vocabulary)
 
     def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words that the benchmark has, and their terms."""
@@ -77,7 +84,7 @@ class Benchmark:
         at = np.flatnonzero(seen[(h >> U64(48)).astype(np.int64)])
         to = np.minimum(np.searchsorted(self.vocabulary, h[at]), len(self.vocabulary) - 1)
         hit = self.vocabulary[to] == h[at]
-        return at[hit], self.term[to[hit]]
+        return at[hit], to[hit]
 
 
 def _hashes(text: str) -> np.ndarray:
@@ -86,6 +93,22 @@ def _hashes(text: str) -> np.ndarray:
     return word_hashes(t, words(t, ALNUM))
 
 
+def groups(items: Iterator[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
+    """The items in groups that stay within the bounds; the driver holds one group at a time."""
+    out, seen, n = [], set(), 0
+    for i, text in items:
+        h = _hashes(text)
+        own = set(h.tolist())
+        if out and (len(seen) + len(own - seen) > GROUP_TERMS or n + len(h) > GROUP_WORDS):
+            yield out
+            out, seen, n = [], set(), 0
+        out.append((i, text))
+        seen |= own
+        n += len(h)
+    if out:
+        yield out
+
+
 def windows(woff: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, first and last words of the windows of WINDOW words: every row with words has one at least, the last ends with it."""
     n = np.diff(woff)
@@ -101,8 +124,9 @@ def entries(at: np.ndarray, term: np.ndarray, first: np.ndarray, last: np.ndarra
     lo, hi = np.searchsorted(at, first), np.searchsorted(at, last)
     window = np.repeat(np.arange(len(first)), hi - lo)
     t = term[gather_ranges(lo, hi - lo)]
-    code, count = np.unique(window * TERMS + t, return_counts=True)
-    return code // TERMS, code % TERMS, count
+    wide = int(t.max()) + 1 if len(t) else 1
+    code, count = np.unique(window * wide + t, return_counts=True)
+    return code // wide, code % wide, count
 
 
 def project(window: np.ndarray, value: np.ndarray, basis: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -148,17 +172,31 @@ class Space:
     def finish(self, corpus: np.ndarray, passages: int) -> None:
         """The basis from the corpus's A^T (A O) and the benchmark's."""
         w, t, v, self.weight = self.own()
-        n = len(self.benchmark.passages)
-        dense = np.zeros((n, len(self.idf)), np.float32)
-        dense[w, t] = v
-        both = corpus + (max(passages, 1) / n) * (dense.T @ (dense @ self.random()))
-        scale = np.abs(both).max() or 1
-        q, s, _ = np.linalg.svd(both / scale, full_matrices=False)
-        self.basis = np.ascontiguousarray(q[:, : min(RANK, int((s > 1e-7 * s[0]).sum()) or 1)].T, np.float32)
-        z = dense @ self.basis.T
+        n, terms = len(self.benchmark.passages), len(self.idf)
+        random = self.random()
+        order = np.argsort(t, kind="stable")
+        sketch = project(w, v, np.ascontiguousarray(random.T), t, n)
+        own = project(t[order], v[order], sketch, w[order], terms).T
+        self.basis = latent_basis(corpus + (max(passages, 1) / n) * own, random)
+        z = project(w, v, self.basis, t, n).T
         self.items = (z / np.maximum(np.sqrt((z * z).sum(1, keepdims=True)), 1e-6)).astype(np.float32)
 
 
+def latent_basis(sketch: np.ndarray, random: np.ndarray) -> np.ndarray:
+    """The first eigenvectors (rows) of a positive matrix M from its sketch M O: those of M's projection onto the sketch,
+    Y (O^T Y)^-1 Y^T."""
+    y, o = sketch.astype(np.float64), random.astype(np.float64)
+    y /= np.abs(y).max() or 1
+    core = o.T @ y
+    value, vector = np.linalg.eigh((core + core.T) / 2)
+    some = value > 1e-6 * max(value[-1], 1e-300)
+    if not some.any():
+        return np.zeros((1, len(y)), np.float32)
+    left, s, _ = np.linalg.svd(y @ (vector[:, some] / np.sqrt(value[some])), full_matrices=False)
+    rank = min(RANK, int((s > 1e-3 * s[0]).sum()) or 1)
+    return np.ascontiguousarray(left[:, :rank].T, np.float32)
+
+
 def span(m: int) -> int:
     """Words among which a passage of m words is looked for."""
     return m + m // 3 + 4
@@ -217,8 +255,9 @@ class Judge:
         row, first, last = windows(w.woff, STRIDE)
         out: dict[tuple[int, int], tuple[float, float]] = {}
         at, term = s.benchmark.lookup(h)
-        for lo in range(0, len(row), 4096):
-            f, e = first[lo : lo + 4096], last[lo : lo + 4096]
+        step = max(16, min(4096, PRODUCT // len(s.items)))
+        for lo in range(0, len(row), step):
+            f, e = first[lo : lo + step], last[lo : lo + step]
             window, tm, c = entries(at, term, f, e)
             some = s.idf[tm] > 0
             window, tm, c = window[some], tm[some], c[some]
@@ -351,16 +390,28 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     space; of the counts of words where the exact path found it): a row for each document and item it holds a copy or a
     paraphrase of.
 
-    The benchmark is a bounded set of queries: it is collected and broadcast whole. Items without words, null texts and
-    empty ones match nothing. Rows of one doc_id give one row for each item; rows without doc_id are reported without it.
-    Three narrow passes over the texts; what is shuffled are counts and sums by term, and the leaks.
+    The benchmark is a set of queries, read and broadcast in groups of GROUP_TERMS distinct words at most; each group is
+    searched in all documents (the driver holds one group at a time). Items without words, null ones, null texts and empty
+    ones match nothing. Rows of one doc_id give one row for each item; rows without doc_id are reported without it. Very
+    long texts are read whole, as a chunk of their own; of two equal items each is reported; an empty table gives no rows.
+    Other columns are left out, so their names can't clash. For each group three narrow passes over the texts; what is
+    shuffled are counts and sums by term, and the leaks.
     """
     spark = documents.sparkSession
-    schema = "doc_id long, item_id long, similarity double, cosine double"
-    items = [(r[0], r[1]) for r in benchmark.select(F.col(item_id).cast("long"), F.col(item_text)).filter(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).orderBy(item_id, item_text).collect()]
+    asked = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).filter("t IS NOT NULL AND i IS NOT NULL").orderBy("i", "t")
+    found = [_leaks_of(documents, g, doc_id, text) for g in groups((r[0], r[1]) for r in asked.toLocalIterator())]
+    found = [x for x in found if x is not None]
+    if not found:
+        return spark.createDataFrame([], SCHEMA)
+    rows = reduce(DataFrame.union, found)
+    return rows.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", "cosine")).alias("best")).select("doc_id", "item_id", "best.similarity", "best.cosine")
+
+
+def _leaks_of(documents: DataFrame, items: list[tuple[int, str]], doc_id: str, text: str) -> DataFrame | None:
+    spark = documents.sparkSession
     made = Benchmark.of(items)
     if not made.passages:
-        return spark.createDataFrame([], schema)
+        return None
     texts = documents.select(F.col(text).alias("text"))
     df, n = _document_frequencies(texts, spark.sparkContext.broadcast(made))
     space = Space(made, df, n)
@@ -375,5 +426,4 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
                 ids = b.column(0).take(pa.array([t.lo + r for r, _ in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([i for _, i in found], pa.int64()), pa.array([x for x, _ in found.values()], pa.float64()), pa.array([x for _, x in found.values()], pa.float64())], ["doc_id", "item_id", "similarity", "cosine"])
 
-    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(search, schema)
-    return rows.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", "cosine")).alias("best")).select("doc_id", "item_id", "best.similarity", "best.cosine")
+    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(search, SCHEMA)
