@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tributary.llm import catalog, licenses
+from tributary.llm import catalog, licenses, quality
 from tributary.llm import pseudo_likelihood as pl
 from tributary.llm.licenses import license_scan
 from tributary.llm.mixing import mix
@@ -76,8 +77,6 @@ def junk(g, n):
 
 
 def test_held_out_accuracy(spark):
-    import zlib
-
     g = random.Random(2)
     docs = [(i, (prose if i % 3 else junk)(g, g.randint(20, 200)), "x") for i in range(600)] + [(1000, None, "x"), (1001, "", "x"), (None, prose(g, 50), "x"), (0, "repeat", "x")]
     labels = [(i, int(bool(i % 3)), 0) for i in range(500)] + [(1, None, 0), (None, 1, 0), (7777, 1, 0)]
@@ -107,6 +106,35 @@ def test_votes_against_brute_force():
         assert s == pytest.approx((w * labels[near]).sum() / w.sum(), abs=1e-4)
 
 
+def test_ties_at_the_last_neighbour_all_vote():
+    from tributary.llm.quality import SIZE, Voter
+
+    counts = np.zeros((60, SIZE), np.float32)
+    counts[:, 0], counts[:, 5] = 1, np.arange(60) < 30
+    labels = np.arange(60) % 3 == 0
+    for order in (np.arange(60), np.arange(60)[::-1]):
+        v = Voter(counts[order], labels[order].astype(np.float32))
+        assert v.scores(counts[:1]) == pytest.approx([1 / 3], abs=1e-6)
+
+
+def test_contradicting_labels_and_repeated_ids(spark):
+    d = spark.createDataFrame([(1, "good text here"), (1, "another one"), (2, "bad!!!"), (3, "fine words")], "doc_id long, text string")
+    lab = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), (3, 1), (None, 0)], "doc_id long, quality int")
+    assert not any(zlib.crc32(str(i).encode()) % 5 == 0 for i in (1, 2, 3))
+    v = quality.fit(d, lab)
+    assert v.labels.tolist() == [1, 1]
+
+
+def test_words_tell_labels_apart(spark):
+    """Texts of one style, whose words alone differ."""
+    g = random.Random(5)
+    good, bad = (["".join(g.choice("etaoinshr") for _ in range(5)) for _ in range(60)] for _ in range(2))
+    rows = [(i, " ".join(g.choice(good if i % 2 else bad) for _ in range(60))) for i in range(500)]
+    d, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(500)], "doc_id long, quality int")
+    got = [r for r in classify(d, lab).collect() if r.held_out]
+    assert np.mean([(r.score > 0.5) == (r.doc_id % 2 == 1) for r in got]) > 0.95
+
+
 def test_quality_without_rows(spark):
     d, lab = spark.createDataFrame([(1, "a")], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, quality int")
     assert classify(d.limit(0), lab).count() == 0 and [r.score for r in classify(d, lab).collect()] == [0.5]

@@ -1,10 +1,11 @@
 """Quality by nearest-neighbour voting among labelled documents in a latent-semantic space.
 
-Features of a text are counts that don't hang on its language: triples of character classes (letters by case, digits,
-kinds of space, each ASCII mark), repetition of words, and how often words come back. Their TF-IDF matrix over a bounded
-sample of labelled documents is reduced by a randomised SVD; the sample's vectors and the projection are broadcast (both
-of a size that the parameters fix). Every document is compared with every labelled vector, in blocks, and the labels of
-its NEIGHBOURS nearest ones vote with their cosine.
+Features of a text are the counts of its words (hashed into WORDS terms) and of its style: triples of character classes
+(letters by case, digits, kinds of space, each ASCII mark), repetition of words, and how often words come back. Both parts'
+TF-IDF over a bounded sample of labelled documents make one matrix, which a randomised SVD reduces; the sample's vectors
+and the projection are broadcast (both of a size that the parameters fix). Every document is compared with every labelled
+vector, in blocks, and the labels of its NEIGHBOURS nearest ones vote with their cosine; all that tie with the last of
+them vote too, so that no order of rows decides.
 """
 
 from __future__ import annotations
@@ -18,14 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ragged import NOT_SPACE, Texts, chunks, word_hashes, words
+from .ragged import NOT_SPACE, U64, Texts, chunks, word_hashes, words
 
 #: Labelled documents that the classifier learns from at most (chosen by a hash of doc_id): its documented bound.
 SAMPLE = 4000
 RANK, NEIGHBOURS, POWER = 48, 21, 4
 THRESHOLD = 0.3
 TRIPLES, RATIOS, SPANS = 2048, 16, (1, 2, 4, 8)
-SIZE = TRIPLES + RATIOS + 16 * len(SPANS)
+STYLE = TRIPLES + RATIOS + 16 * len(SPANS)
+#: Terms of words, and the length of their part beside that of the style's.
+WORDS, WEIGHT = 4096, 0.5
+SIZE = STYLE + WORDS
 
 
 def _classes() -> np.ndarray:
@@ -56,6 +60,7 @@ def features(t: Texts) -> np.ndarray:
         out[:, :TRIPLES] = counts.reshape(rows, TRIPLES)
     w = words(t, NOT_SPACE)
     h = word_hashes(t, w)
+    out[:, STYLE:] = np.bincount(w.rows() * WORDS + (h % U64(WORDS)).astype(np.int64), minlength=rows * WORDS).reshape(rows, WORDS)
     for r in np.flatnonzero(w.counts):
         own = h[w.woff[r] : w.woff[r + 1]]
         m = len(own)
@@ -68,7 +73,10 @@ def features(t: Texts) -> np.ndarray:
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """TF-IDF, each row of length 1: the style's part and, WEIGHT times as long, the words'."""
     x = np.log1p(counts) * idf
+    for part, length in ((x[:, :STYLE], 1.0), (x[:, STYLE:], WEIGHT)):
+        part *= length / np.maximum(np.sqrt((part * part).sum(1, keepdims=True)), 1e-9)
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
 
 
@@ -100,11 +108,12 @@ class Voter:
             return out
         k = min(NEIGHBOURS, len(self.vectors))
         for lo in range(0, len(counts), 512):
-            near = self.latent(counts[lo : lo + 512]) @ self.vectors.T
-            at = np.argpartition(-near, k - 1, 1)[:, :k]
-            weight = np.maximum(np.take_along_axis(near, at, 1), 0).astype(np.float64) ** POWER
+            # cosines to six places: equal vectors tie wherever they stand
+            near = np.round(self.latent(counts[lo : lo + 512]) @ self.vectors.T, 6)
+            last = -np.partition(-near, k - 1, 1)[:, k - 1 : k]
+            weight = np.where(near >= last, np.maximum(near, 0), 0).astype(np.float64) ** POWER
             total = weight.sum(1)
-            vote = (weight * self.labels[at]).sum(1) / np.maximum(total, 1e-12)
+            vote = weight @ self.labels.astype(np.float64) / np.maximum(total, 1e-12)
             out[lo : lo + 512] = np.where(total > 1e-12, np.clip(vote, 0, 1), self.prior)
         return out
 
@@ -114,9 +123,14 @@ def held_out(doc_id) -> DataFrame:
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text") -> Voter:
-    """Learn from at most SAMPLE labelled documents outside the held-out fifth; rows without label, id or text don't count."""
+    """Learn from at most SAMPLE labelled documents outside the held-out fifth (the first by a hash of doc_id).
+
+    Rows without label, id or text don't count, nor do ids whose labels contradict each other; equal labels of one id are
+    one. An id that many documents repeat is one document, by its smallest text. Without any, all scores are 0.5.
+    """
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IS NOT NULL")
-    known = known.filter(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    known = known.filter(~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("high")).filter("label = high").drop("high")
     known = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(SAMPLE)  # a bounded sample: SAMPLE rows
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("text IS NOT NULL").join(F.broadcast(known), "doc_id")
     rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # an id that many rows repeat is one document
@@ -137,7 +151,8 @@ def score(documents: DataFrame, voter: Voter, doc_id: str = "doc_id", text: str
     """Per row of documents: doc_id, the kept columns, held_out, score and predicted (1 from THRESHOLD on).
 
     A null or empty text has no features and gets the labelled sample's mean as its score. Every row stays, repeated ones
-    too; a row without doc_id counts as not held out. One narrow pass.
+    too; a row without doc_id counts as not held out. Very long texts are read whole, as a chunk of their own; an empty
+    table gives no rows; columns that aren't kept are left out, so their names can't clash. One narrow pass.
     """
     model = documents.sparkSession.sparkContext.broadcast(voter)
     kept = [c for c in keep if c != "doc_id"]
