@@ -63,6 +63,39 @@ def test_template_without_its_rarest_words(spark):
     assert {i: x for i, x in got.items() if x} == {1: "bsd", 2: "bsd", 3: "bsd", 5: "bsd"}
 
 
+def brute_labels(text):
+    """Labels by the definition: every template at every offset of the text."""
+    w, out = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()), set()
+    for t in licenses.TEMPLATES:
+        own = t.text.split()
+        m = len(own)
+        for at in range(-m, len(w)):
+            if not t.keys:
+                if at >= 0 and w[at : at + m] == own:
+                    out.add(t.label)
+                continue
+            agree = sum(0 <= at + j < len(w) and w[at + j] == x for j, x in enumerate(own))
+            near = w[max(0, at - m) : max(0, at + 2 * m)]
+            if agree / m >= licenses.AGREE and any(near[i : i + len(k)] == k for k in (key.split() for key in t.keys) for i in range(len(near))):
+                out.add(t.label)
+    return ",".join(sorted(out))
+
+
+def test_labels_by_brute_force(spark):
+    g = random.Random(21)
+    rows = []
+    for i in range(250):
+        w = g.choice(licenses.TEMPLATES).text.split()
+        if i % 3:
+            w = w[g.randrange(len(w)) // 2 :] if g.random() < 0.5 else w[: 1 + g.randrange(len(w))]
+        w = [g.choice(["the", "software", "license", "x"]) if g.random() < 0.1 else x for x in w]
+        if g.random() < 0.2:
+            w.insert(g.randrange(len(w) + 1), "word")
+        rows.append((i, " ".join([*g.choices(["the", "of", "a", "public", "software"], k=g.randrange(8)), *w, *g.choices(["and", "license"], k=g.randrange(5))])))
+    got = {r.doc_id: r.labels for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: brute_labels(t) for i, t in rows} and len(set(got.values())) > 10
+
+
 def test_anchors_miss_no_alignment():
     for m in range(1, 60):
         assert (m - licenses.anchors(m)) / m < licenses.AGREE <= (m - licenses.anchors(m) + 1) / m

@@ -1,10 +1,11 @@
 """License scans with a positional index of rare words.
 
 Templates are short texts of licences with key phrases. The index files every place of a template's words; words are
-ranked by their IDF over all documents. In a file each template is looked up by its rarest places, so many that an
-alignment that counts must hold one of them: a place of such a word and its place in the template give an offset, and
-the other words' postings are intersected by relative position. An alignment counts if enough of the template's words stand where they should and one
-of its key phrases stands there word for word. A template that is nothing but a key phrase is found wherever it stands.
+ranked by their IDF over all documents. A file's licence words have postings, their places in ascending order. Each
+template is looked up by its rarest places, so many that an alignment that counts must hold one of them: the postings of
+such a word, less its place in the template, give offsets, and the postings of the template's other words are intersected
+with these by relative position. An alignment counts if enough of the template's words stand where they should and one of
+its key phrases stands there word for word. A template that is nothing but a key phrase is found wherever it stands.
 """
 
 from __future__ import annotations
@@ -58,6 +59,16 @@ TEMPLATES = (
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("source and binary forms", "following conditions are met")),
     Template("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     Template("all-rights-reserved", "all rights reserved"),
+    Template("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", ("gnu general public license",)),
+    Template("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ("lesser general public license",)),
+    Template("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ("distributed on an as is basis",)),
+    Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("copies or substantial portions of the software",)),
+    Template("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse or promote products derived from this software",)),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
+    Template("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", ("alter it and redistribute it freely",)),
+    Template("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", ("eclipse public license",)),
+    Template("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
+    Template("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
 )
 
 
@@ -73,61 +84,74 @@ class Index:
     def __init__(self, templates: tuple[Template, ...]):
         self.templates = templates
         self.words = [_hashes(t.text) for t in templates]
-        self.keys = [[_hashes(k) for k in (t.keys or (t.text,))] for t in templates]
         self.vocabulary = np.unique(np.concatenate(self.words))
         self.term = [np.searchsorted(self.vocabulary, w) for w in self.words]
+        self.key_terms = [[np.searchsorted(self.vocabulary, _hashes(k)) for k in (t.keys or (t.text,))] for t in templates]
         self.idf = np.ones(len(self.vocabulary))
 
     def weigh(self, df: np.ndarray, n: int) -> None:
         self.idf = np.log((1 + n) / (1 + df)) + 1e-9
 
-    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the words that any template has, and which words they are."""
+    def postings(self, h: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Places of the words that any template has, and each licence word's own, ascending."""
+        if not len(h):
+            return np.zeros(0, np.int64), [np.zeros(0, np.int64)] * len(self.vocabulary)
         to = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
         at = np.flatnonzero(self.vocabulary[to] == h)
-        return at, to[at]
-
-    def alignments(self, k: int, h: np.ndarray, w: Words, term_at: np.ndarray, at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows, first words and agreement of the places where template k stands; at: places of licence words, ascending."""
-        own = self.words[k]
-        m = len(own)
+        term = to[at]
+        by_term = at[np.argsort(term, kind="stable")]
+        return at, np.split(by_term, np.cumsum(np.bincount(term, minlength=len(self.vocabulary)))[:-1])
+
+    def alignments(self, k: int, postings: list[np.ndarray], w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, first words and agreement of the places where template k stands."""
+        term = self.term[k]
+        m = len(term)
         phrase = not self.templates[k].keys
-        rarest = np.argsort(-self.idf[self.term[k]], kind="stable")
+        rarest = np.argsort(-self.idf[term], kind="stable")
         # of a phrase every word must be there, so its rarest one finds all places
         tried = rarest[:1] if phrase else rarest[: anchors(m)]
-        anchor = [np.flatnonzero(term_at == self.term[k][j]) for j in tried]
-        r = row[np.concatenate(anchor)]
-        start = np.concatenate([at[a] - j for a, j in zip(anchor, tried, strict=True)])
+        anchor = [postings[term[j]] for j in tried]
+        r = np.repeat(np.arange(len(w.woff) - 1), w.counts)[np.concatenate(anchor)]
+        start = np.concatenate([x - j for x, j in zip(anchor, tried, strict=True)])
+        size = int(w.woff[-1]) + m
         if phrase:
             fits = (start >= w.woff[r]) & (start + m <= w.woff[r + 1])
             start, r = start[fits], r[fits]
-            for j in range(m):
-                same = h[start + j] == own[j]
+            for j in rarest[1:]:
+                same = _among(start + j, postings[term[j]])
                 start, r = start[same], r[same]
             return r, start, np.ones(len(start))
-        # a template may be cut off at either end of a file: count the words that stand at their places within the row
-        code = np.unique(r * (len(h) + m) + start + m)
-        r, start = code // (len(h) + m), code % (len(h) + m) - m
+        # a template may be cut off at either end of a file: words beyond its row don't count
+        code = np.unique(r * size + start + m)
+        r, start = code // size, code % size - m
         same = np.zeros(len(start))
         for j in range(m):
             p = start + j
-            inside = (p >= w.woff[r]) & (p < w.woff[r + 1])
-            same[inside] += h[p[inside]] == own[j]
+            same += (p >= w.woff[r]) & (p < w.woff[r + 1]) & _among(p, postings[term[j]])
         share = same / m
         keep = np.flatnonzero(share >= AGREE)
-        keep = [i for i in keep if self._key(k, h, max(int(w.woff[r[i]]), int(start[i]) - m), min(int(w.woff[r[i] + 1]), int(start[i]) + 2 * m))]
+        keep = [i for i in keep if self._key(k, postings, max(int(w.woff[r[i]]), int(start[i]) - m), min(int(w.woff[r[i] + 1]), int(start[i]) + 2 * m))]
         return r[keep], np.maximum(start[keep], w.woff[r[keep]]), share[keep]
 
-    def _key(self, k: int, h: np.ndarray, lo: int, hi: int) -> bool:
-        for key in self.keys[k]:
-            at = lo + np.flatnonzero(h[lo : max(lo, hi - len(key) + 1)] == key[0])
+    def _key(self, k: int, postings: list[np.ndarray], lo: int, hi: int) -> bool:
+        """Whether one of template k's key phrases stands word for word in lo:hi."""
+        for key in self.key_terms[k]:
+            own = postings[key[0]]
+            at = own[np.searchsorted(own, lo) : np.searchsorted(own, hi - len(key) + 1)]
             for j in range(1, len(key)):
-                at = at[h[at + j] == key[j]]
+                at = at[_among(at + j, postings[key[j]])]
             if len(at):
                 return True
         return False
 
 
+def _among(places: np.ndarray, posting: np.ndarray) -> np.ndarray:
+    """Which places are in an ascending posting."""
+    if not len(posting):
+        return np.zeros(len(places), bool)
+    return posting[np.minimum(np.searchsorted(posting, places), len(posting) - 1)] == places
+
+
 def scan(index: Index, t: Texts) -> dict[str, list]:
     rows = t.hi - t.lo
     w = words(t, ALNUM)
@@ -136,11 +160,10 @@ def scan(index: Index, t: Texts) -> dict[str, list]:
     score = np.zeros(rows)
     base_labels: list[set[str]] = [set() for _ in range(rows)]
     labels: list[set[str]] = [set() for _ in range(rows)]
-    at, term_at = index.places(h) if len(h) else (np.zeros(0, np.int64),) * 2
-    row = np.searchsorted(w.woff, at, "right") - 1
+    _, postings = index.postings(h)
     weight = np.zeros(rows)
     for k, template in enumerate(index.templates):
-        r, start, share = index.alignments(k, h, w, term_at, at, row)
+        r, start, share = index.alignments(k, postings, w)
         for i, s, x in zip(r.tolist(), start.tolist(), share.tolist(), strict=True):
             labels[i].add(template.label)
             mass = float(index.idf[index.term[k]].sum()) * x
@@ -172,9 +195,9 @@ def document_frequencies(texts: DataFrame, index) -> tuple[np.ndarray, int]:
         for b in batches:
             for t in chunks(b.column(0)):
                 w = words(t, ALNUM)
-                at, term = index.value.places(word_hashes(t, w)) if len(w.start) else (np.zeros(0, np.int64),) * 2
-                r = np.searchsorted(w.woff, at, "right") - 1
-                df += np.bincount(np.unique(r * size + term) % size, minlength=size)
+                _, postings = index.value.postings(word_hashes(t, w))
+                rows = w.rows()
+                df += [len(np.unique(rows[p])) for p in postings]
                 n += t.hi - t.lo
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(df[some], n), pa.int64())], ["term", "n"])
