@@ -1,11 +1,26 @@
 """The pipeline on the smallest tables, against its stages by hand."""
 
+import re
+import sys
+import zlib
+from pathlib import Path
+
 import duckdb
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
+from tributary.llm import decontamination, quality
 from tributary.llm.catalog import ORACLE_SQL, QUERIES
+from tributary.llm.mixing import mix_sql
+from tributary.llm.ragged import chunks
+
+sys.path.insert(0, str(Path(__file__).parent))
+from test_duplicates import brute, brute_leaks  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -44,6 +59,61 @@ def test_stages_take_odd_rows_and_clashing_columns(spark):
         assert corpus_pipeline.STAGES[-1][1](spark, at, SMALL).count() == at.count()
 
 
+def lower(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+def test_run_against_brute_force(spark):
+    """Every stage again without Spark: votes, sets, subsequences, SQL and the library."""
+    docs = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    # quality: the fitted vectors, every vote counted by itself
+    voter = quality.fit(spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet"))
+    kept = []
+    for r in docs:
+        z = voter.latent(np.concatenate([quality.features(t) for t in chunks(pa.array([r[1] or ""]))]))[0]
+        near = sorted(((round(float(v @ z), 6), y) for v, y in zip(voter.vectors, voter.labels, strict=True)), reverse=True)
+        votes = [(max(c, 0) ** quality.POWER, y) for c, y in near if c >= near[min(quality.NEIGHBOURS, len(near)) - 1][0]]
+        total = sum(w for w, _ in votes)
+        if (sum(w * y for w, y in votes) / total if r[1] and total > 1e-12 else voter.prior) >= 0.3:
+            kept.append(r)
+    # near-duplicates: all pairs of sets
+    low = brute([(r[0], r[1]) for r in kept])
+    kept = [r for r in kept if low[r[0]] == r[0]]
+    # leaks: every window of every document against every passage
+    words = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(x))
+    items = []
+    for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect():
+        w = words(r.text)
+        sentences = [words(x) for x in re.split(r"[.!?\n]+", r.text) if words(x)]
+        half = decontamination.PASSAGE // 2
+        items += [(r.item_id, w[at : at + 2 * half], sentences[-1]) for at in (range(0, max(1, len(w) - half), half) if len(w) > 2 * half else [0]) if w]
+    gone = {d for d, _ in brute_leaks([(r[0], words(r[1])) for r in kept], items)}
+    assert gone
+    kept = [r for r in kept if r[0] not in gone]
+    # mixing: its SQL
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", kept)
+    drawn = {r[0] for r in c.execute(f"SELECT doc_id FROM ({mix_sql({'lang': 'lang', 'source': 'source'}, corpus_pipeline.WEIGHTS, corpus_pipeline.SHARE, max_epochs=1)}) WHERE copies > 0").fetchall()}
+    # tokens: the library
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    at, want = 0, []
+    for r in sorted(r for r in kept if r[0] in drawn):
+        ids = np.array([*library.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4")
+        want.append((r[0], at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    got = corpus_pipeline.run(spark, SMALL).select("doc_id", "start", "n_tokens", "ids_crc32").orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == want
+
+
+def test_equal_rows_are_one(spark):
+    kind = "doc_id long, text string, lang string, source string, n_chars int"
+    text = "one two three four five six seven eight"
+    rows = [(None, text, "en", "a", 1), (None, text, "en", "a", 1), (None, "other", "en", "a", 1), (None, None, None, None, None), (None, None, None, None, None), (4, text, "en", "a", 1), (4, text, "en", "a", 1), (4, "another text", "en", "a", 1), (5, text, "en", "a", 1), (6, "", "en", "a", 1)]
+    got = corpus_pipeline.near_dups(spark, spark.createDataFrame(rows, kind), SMALL).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted([("None", text), ("None", "other"), ("None", "None"), ("4", text), ("4", "another text"), ("6", "")])
+
+
 def test_clean_documents_stay(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     labels = spark.read.parquet(f"{SMALL}/labels.parquet").filter("quality = 1")

@@ -4,24 +4,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests on one machine), a temporary folder is set."""
+    """spark.checkpoint.dir of the session; where it is unset on one machine (tests), a temporary folder is set."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="tributary-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
 class Workspace:
-    """Written tables of one run of an operator; drop() removes those that no result reads any more."""
+    """Written tables of one run of an operator; drop() removes those that no result reads any more, clean() those of all
+    runs of this driver so far, once their results are read."""
+
+    roots: ClassVar[list[str]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/tributary-{name}-{uuid.uuid4().hex}"
+        self.roots.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -33,10 +40,18 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, self.path(name))
+
+    @classmethod
+    def clean(cls, spark: SparkSession) -> None:
+        while cls.roots:
+            _delete(spark, cls.roots.pop())
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
