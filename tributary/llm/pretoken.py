@@ -1,12 +1,14 @@
 """Pre-tokens of code points: where the two vocabularies' patterns cut a text, found for a whole chunk at once.
 
 Both patterns name contractions, runs of letters, of numbers and of other characters; they differ in what becomes of
-white space and of digits. A text is taken here if all its code points lie under ``SAFE``; callers read others with the
-vocabulary's own library or pattern, as tables of characters differ between Unicode versions beyond the common scripts.
+white space and of digits. ``CLASS`` knows the code points under ``SAFE``; as tables of characters differ between Unicode
+versions beyond the common scripts, ``classes_of`` asks a vocabulary's own splitter for the others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import regex
 
@@ -42,7 +44,29 @@ def contractions(cps: np.ndarray, off: np.ndarray, open_to: np.ndarray) -> list[
     return out
 
 
-def cut(cps: np.ndarray, off: np.ndarray, keeps_space: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Code points of the planes that have characters; what lies beyond them is no letter, number or space.
+PLANES = ((0, 0xD800), (0xE000, 0x34000), (0xE0000, 0xE1000))
+
+
+def classes_of(split: Callable[[str], list]) -> np.ndarray:
+    """The classes of all code points as a splitter sees them that drops white space, cuts each number and keeps other runs.
+
+    Of a code point c it is shown acca: one piece if c is a letter, two if it is a space, three if c is another
+    character and four if it is a number.
+    """
+    out = np.full(0x110000, OTHER, np.uint8)
+    kind = np.array([OTHER, LETTER, SPACE, OTHER, NUMBER], np.uint8)
+    for lo, hi in PLANES:
+        for at in range(lo, hi, 1 << 15):
+            to = min(at + (1 << 15), hi)
+            shown = "\n".join(f"a{chr(c)}{chr(c)}a" for c in range(at, to))
+            pieces = np.bincount([x[1][0] // 5 for x in split(shown)], minlength=to - at)
+            out[at:to] = kind[np.minimum(pieces, 4)]
+    out[:SAFE] = CLASS
+    return out
+
+
+def cut(cps: np.ndarray, off: np.ndarray, keeps_space: bool, classes: np.ndarray = CLASS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the pre-tokens, and the rows' offsets in them.
 
     keeps_space: one blank before a run belongs to it, other white space is a pre-token, numbers run on;
@@ -52,7 +76,7 @@ def cut(cps: np.ndarray, off: np.ndarray, keeps_space: bool) -> tuple[np.ndarray
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(off), np.int64)
-    kind = CLASS[cps]
+    kind = classes[cps]
     first = np.zeros(n, bool)
     first[off[:-1][off[:-1] < n]] = True
     begin = np.ones(n, bool)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import pretoken
-from .ragged import CHUNK, U64, chunks, code_points, random_values, span_hashes, text_column
+from .ragged import CHUNK, U64, chunks, code_points, mix, random_values, span_hashes, text_column
 
 NONE = np.int32(2**31 - 1)
 #: Entries of the table of known pre-tokens (12 bytes each).
@@ -100,10 +100,18 @@ class WordVocabulary:
         library = Tokenizer.from_str(text)
         self.normalise, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.byte = {c: i for i, c in enumerate(characters)}
+        self._classes: np.ndarray | None = None
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.special_bytes = [s.encode() for s in special]
 
+    @property
+    def classes(self) -> np.ndarray:
+        """The classes of all code points, as the library's splitter has them; found when a text needs them."""
+        if self._classes is None:
+            self._classes = pretoken.classes_of(self.split)
+        return self._classes
+
     def surviving(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Symbols left of each word; word i's UTF-8 bytes are data[off[i]:off[i + 1]], none is empty."""
         ids = self.inner[data]
@@ -158,6 +166,14 @@ _LOWER = np.array([0x20 if i in _FEW else ord(chr(i).lower()) for i in range(PLA
 _VALUE = random_values(PLAIN)
 
 
+def values_of(cps: np.ndarray) -> np.ndarray:
+    """A random odd value for each code point, the same in all workers."""
+    out = _VALUE[np.minimum(cps, PLAIN - 1)]
+    beyond = cps >= PLAIN
+    out[beyond] = mix(cps[beyond].astype(np.uint64) + U64(1 << 40)) | U64(1)
+    return out
+
+
 class Counter:
     """Counts of texts in one worker."""
 
@@ -183,25 +199,36 @@ class Counter:
         for t in chunks(column, 4 * CHUNK):
             cps, off = code_points(t)
             odd = (cps >= PLAIN) | np.isin(cps, _FEW)
-            slow = np.zeros(t.hi - t.lo, bool)
+            slow, special = np.zeros(t.hi - t.lo, bool), np.zeros(t.hi - t.lo, bool)
             if odd.any():
                 slow[np.unique(np.searchsorted(off, np.flatnonzero(odd), "right") - 1)] = True
             raw = t.buf.tobytes()
             for s in self.v.special_bytes:
                 at = raw.find(s)
                 while at >= 0:
-                    slow[np.searchsorted(t.off, at, "right") - 1] = True
+                    special[np.searchsorted(t.off, at, "right") - 1] = True
                     at = raw.find(s, at + 1)
-            for r in np.flatnonzero(slow):
-                found, special = self.v.words_of(t.text(r))
-                out[t.lo + r] = int(self.v.of_words(found).sum()) + special
+            slow |= special
+            for r in np.flatnonzero(special):
+                found, n = self.v.words_of(t.text(r))
+                out[t.lo + r] = int(self.v.of_words(found).sum()) + n
+            rest = np.flatnonzero(slow & ~special)
+            if len(rest):
+                # texts beyond the plain code points: normalised by the library, cut and merged like the others
+                made = [self.v.normalise(t.text(r)) for r in rest]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in made])])
+                own = np.frombuffer("".join(made).encode("utf-32-le", "surrogatepass"), np.uint32)
+                out[t.lo + rest] = self._counted(own, ends, self.v.classes)
             cps = _LOWER[np.where(odd, np.uint32(0x20), cps)]
-            start, end, woff = pretoken.cut(cps, off, keeps_space=False)
-            total = np.concatenate([[0], np.cumsum(self.known(span_hashes(_VALUE[cps], start, end), cps, start, end))])
-            counted = total[woff[1:]] - total[woff[:-1]]
-            out[t.lo : t.hi] = np.where(slow, out[t.lo : t.hi], counted)
+            out[t.lo : t.hi] = np.where(slow, out[t.lo : t.hi], self._counted(cps, off, pretoken.CLASS))
         return out
 
+    def _counted(self, cps: np.ndarray, off: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Symbols of each row of normalised code points."""
+        start, end, woff = pretoken.cut(cps, off, keeps_space=False, classes=classes)
+        total = np.concatenate([[0], np.cumsum(self.known(span_hashes(values_of(cps), start, end), cps, start, end))])
+        return total[woff[1:]] - total[woff[:-1]]
+
 
 @lru_cache(maxsize=1)
 def _counter(spec: str) -> Counter:
@@ -210,14 +237,17 @@ def _counter(spec: str) -> Counter:
 
 
 def utf8(cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of spans of code points under 0x800, on end, and the spans' offsets in them."""
+    """The UTF-8 bytes of spans of code points, on end, and the spans' offsets in them."""
     length = end - start
     c = cps[np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(int(length.sum()))]
-    wide = c >= 0x80
-    at = np.concatenate([[0], np.cumsum(wide + 1)])
+    extra = (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000)
+    at = np.concatenate([[0], np.cumsum(extra + 1)])
     data = np.empty(int(at[-1]), np.uint8)
-    data[at[:-1]] = np.where(wide, 0xC0 | (c >> 6), c)
-    data[at[:-1][wide] + 1] = 0x80 | (c[wide] & 0x3F)
+    lead = np.array([0, 0xC0, 0xE0, 0xF0], np.uint32)[extra]
+    data[at[:-1]] = lead | (c >> (6 * extra).astype(np.uint32))
+    for k in (1, 2, 3):
+        some = extra >= k
+        data[at[:-1][some] + k] = 0x80 | ((c[some] >> (6 * (extra[some] - k)).astype(np.uint32)) & 0x3F)
     return data, at[np.concatenate([[0], np.cumsum(length)])]
 
 
