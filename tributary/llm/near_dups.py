@@ -9,10 +9,12 @@ have one in common for certain.
 
 Documents with one and the same set are one node. Bands hold candidates; every link is confirmed on the full sets. First
 each band's members are compared with its hub, the smallest one, which joins nearly all true groups at a cost in
-proportion to the members. Bands that still hold several components are then compared in full across these components:
-small ones within a task; members of larger ones first meet again by the rarest of their shingles (the prefix of each set,
-ordered by how many of these members hold a shingle), which loses no link and leaves few members together, and what is
-still large is compared block by block. Nothing is capped, and no group's pairs are ever written out.
+proportion to the members. Bands that still hold several components are then compared in full across these components,
+a small band within a task. In a larger one the members of its largest component are cut into blocks, and each block meets
+the members of the other components, so that the cost is in proportion to the members while the others are few. Where they
+are many, too, the band's members first meet again by the rarest of their shingles (the prefix of each set, ordered by how
+many of these members hold a shingle), which loses no link and leaves few members together. Nothing is capped, and no
+group's pairs are ever written out.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -168,15 +170,13 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
         links = ws.keep(_confirmed(pairs, sets, percent), "links-0")
         first = components(links, ws, "first").withColumnRenamed("id", "rep")
         now = ws.keep(members.join(first, "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("component")), "now")
-        apart = now.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), _load()).filter("low != high").select("band", "load")
-        open_ = ws.keep(now.join(apart, "band"), "open")
-        small = open_.filter(F.col("load") <= BLOCK)
-        large = open_.filter(F.col("load") > BLOCK)
-        if not large.isEmpty():
-            small = small.union(_rarest(large.select("rep", "component").distinct(), sets, percent, ws).select(small.columns))
-        rest = ws.keep(_rest(small, sets, percent), "links-1")
+        open_ = ws.keep(now.join(_apart(now), "band"), "open")
+        few, many = open_.filter(F.col("others") <= BLOCK), open_.filter(F.col("others") > BLOCK)
+        if not many.isEmpty():
+            few = few.union(_rarest(many.select("rep", "component").distinct(), sets, percent, ws).select(few.columns))
+        rest = ws.keep(_rest(few, sets, percent), "links-1")
         labels = components(links.union(rest), ws, "all")
-        ws.drop("members", "now", "open", "rare", "sets", "links-0", "links-1")
+        ws.drop("members", "now", "open", "rare", "rare-bands", "sets", "links-0", "links-1")
 
     copies = nodes.filter("copies > 1").select(*same, "rep")
     out = sketch.select("doc_id", *same).join(copies, same, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
@@ -201,15 +201,20 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return each.select("a", "b", "of_a", "of_b").mapInArrow(confirm, "a long, b long").distinct()
 
 
-def _load() -> Column:
-    return F.sum(F.greatest("n", F.lit(BLOCK // 1024))).alias("load")
+def _apart(members: DataFrame) -> DataFrame:
+    """Bands of members (band, n, component) in several components: band, the largest component (big), its shingles
+    (largest) and those of all others (others)."""
+    each = members.groupBy("band", "component").agg(F.sum(F.greatest("n", F.lit(BLOCK // 1024))).alias("load"))
+    bands = each.groupBy("band").agg(F.max(F.struct("load", "component")).alias("top"), F.sum("load").alias("load"), F.count("*").alias("parts"))
+    return bands.filter("parts > 1").select("band", F.col("top.component").alias("big"), F.col("top.load").alias("largest"), (F.col("load") - F.col("top.load")).alias("others"))
 
 
 def _rarest(members: DataFrame, sets: DataFrame, percent: int, ws: Workspace) -> DataFrame:
-    """Bands of members (rep, component) that share one of their rarest shingles: band, rep, n, component, load.
+    """Bands of members (rep, component) that share one of their rarest shingles: band, rep, n, component, and _apart()'s.
 
     Of n shingles, the rarest among these members first, the first n - ceil(n * percent / 100) + 1 make the bands: two sets
-    that are similar enough share one of these, whatever the order, and the rarer they are the fewer others do.
+    that are similar enough share one of these, whatever the order, and the rarer they are the fewer others do. Of bands
+    with the same members one stays.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,19 +230,32 @@ def _rarest(members: DataFrame, sets: DataFrame, percent: int, ws: Workspace) ->
     prefix = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
     ranked = each.join(holders, "shingle").groupBy("rep", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("all"))
     bands = ranked.select("rep", "component", "n", F.explode(F.slice("all", 1, prefix)).alias("x")).filter("x.df > 1").select(F.col("x.shingle").alias("band"), "rep", "n", "component")
-    apart = bands.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), _load()).filter("low != high").select("band", "load")
-    return bands.join(apart, "band")
+    who = [F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(1 << 31))).alias("s"), F.count("*").alias("m")]
+    sizes = bands.groupBy("band").agg(*who, F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
+    once = sizes.groupBy("x", "s", "m").agg(F.min("band").alias("band")).select("band")
+    bands = ws.keep(bands.join(once, "band"), "rare-bands")
+    return bands.join(_apart(bands), "band")
 
 
 def _rest(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members (band, rep, component, load) of one band that lie in different components.
+    """Links between members (band, rep, component, and _apart()'s) of one band that lie in different components.
 
-    A band is cut into blocks of about BLOCK shingles by a hash of the member; a task compares two blocks of a band.
+    A band of more than BLOCK shingles is cut by a hash of the member into blocks of about as many: those of the largest
+    component each meet those of the others, and these meet each other; a task compares two blocks of a band.
     """
-    blocks = F.ceil(F.col("load") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    dealt = open_.select("band", "rep", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "component")
+    whole = F.col("largest") + F.col("others") <= BLOCK
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    a, b = blocks("largest"), blocks("others")
+    big = F.col("component") == F.col("big")
+    own = F.pmod(F.xxhash64("rep"), F.when(big, a).otherwise(b)).cast("int")
+    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    numbers = lambda n: F.sequence(F.lit(0), n - 1)
+    meets = (
+        F.when(whole, F.array(pair(F.lit(0), F.lit(0))))
+        .when(big, F.transform(numbers(b), lambda k: pair(own, a + k)))
+        .otherwise(F.concat(F.transform(numbers(a), lambda k: pair(k, a + own)), F.transform(numbers(b), lambda k: pair(a + F.least(own, k), a + F.greatest(own, k)))))
+    )
+    dealt = open_.select("band", "rep", "component", F.explode(meets).alias("at")).select("band", "at.i", "at.j", "rep", "component")
     rows = dealt.join(sets.select(F.col("id").alias("rep"), "shingles"), "rep").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "rep")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
