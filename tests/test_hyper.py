@@ -43,8 +43,26 @@ def test_criticality(spark, h4):
 
 def test_ranks_leave_gaps(spark, h4):
     base = spark.createDataFrame([(code(4),)], "v string")
-    rows = hyper.ranked(hyper.criticality(h4, base), h4, base).collect()
+    rated, reached = hyper.criticality_and_reach(h4, base)
+    rows = hyper.ranked(rated, h4, reached).collect()
     assert sorted(r["rank"] for r in rows) == [1, 1, 1, 4, 4, 4, 7, 7]
+    assert {r.code for r in rows if r.in_reach} | {code(4)} >= values(hyper.reach(h4, base)) and any(not r.in_reach for r in rows)
+    one = hyper.report_summary(rated, h4, reached).first()
+    assert (one.reach, one.n_tied_with_third, one.top1_code, one.top3_criticality) == (len(values(reached)), 3, code(1), 2)
+    with pytest.raises(ValueError):
+        hyper.checked_base(h4, "999999")
+
+
+def test_criticality_in_batches(spark, h4, monkeypatch):
+    monkeypatch.setattr(hyper, "SCENARIOS", 2)
+    test_criticality(spark, h4)
+
+
+def test_sides_and_names(spark):
+    kind = "process string, side string, code string, name string"
+    e = spark.createDataFrame([("p", "in", "x1", "a"), ("p", "in", None, "b"), ("p", "out", None, "c"), ("q", "in", None, "d"), ("r", "in", None, "")], kind)
+    assert {r.process: (r.ins, r.outs) for r in hyper.sides(e).collect()} == {"p": (["x1"], [])}
+    assert {r.process: (r.tail, r["head"]) for r in hyper.dihypergraph(e).collect()} == {"p": (["b", "x1"], ["c"]), "q": (["d"], [])}
 
 
 @pytest.mark.parametrize(("seed", "fallen"), [(3, [3, 5]), (1, [1, 3, 5]), (6, [6, 7]), (8, [8])])

@@ -49,11 +49,38 @@ def test_reconstructed_kappa(spark):
     assert half.n_total == 20 and half.agreement == pytest.approx(0.4)
 
 
-def test_bootstrap_interval(spark):
+def test_bootstrap_interval():
+    """The same draws as Python's generator, one choice at a time."""
     assert judge.interval([], 10, 0) == (0.0, 0.0) and judge.interval([1, 1], 10, 0) == (1.0, 1.0)
-    lo, hi = judge.interval([1] * 60 + [0] * 40, 500, 0)
-    assert 0.45 < lo < 0.6 < hi < 0.75
-    assert random.Random(0).choices([1, 0], k=3) == random.Random(0).choices([1, 0], k=3)
+    g = random.Random(9)
+    for n, n_boot, seed in ((3, 2000, 0), (7, 400, 0), (64, 300, 5), (100, 300, 1)):
+        bits = [g.randrange(2) for _ in range(n)]
+        one = random.Random(seed)
+        means = sorted(sum(one.choice(bits) for _ in range(n)) / n for _ in range(n_boot))
+        assert judge.interval(bits, n_boot, seed) == (means[int(0.025 * n_boot)], means[int(0.975 * n_boot) - 1])
+    lo, hi = judge.interval([1, 0, 1])
+    assert 0 <= lo <= 2 / 3 <= hi <= 1
+
+
+def test_bootstrap_in_the_order_of_records(spark):
+    rows = [("l", "a", i, i % 3 == 0) for i in range(50)]
+    df = spark.createDataFrame(rows, "label string, judge string, key int, overall_correct boolean").repartition(4)
+    assert tuple(judge.bootstrap_ci(df, 300).first()[2:]) == judge.interval([int(r[3]) for r in rows], 300, 0)
+    lo, hi = judge.binomial_ci(df).first()[2:]
+    assert 0.15 < lo < 17 / 50 < hi < 0.55
+
+
+def test_state_audit(spark):
+    e = spark.createDataFrame([(1, "100000"), (1, "x"), (2, "200000"), (3, None)], "process int, code string")
+    m = spark.createDataFrame([("100000",), ("300000",)], "code string")
+    assert tuple(judge.state_audit(e, m, m.limit(1)).first()) == (2, 1, 3, 1)
+
+
+def test_side_terms(spark):
+    e = spark.createDataFrame([(1, "in", "100000", "Borax Ore!"), (1, "out", None, "salt"), (1, "out", "200000", "B2O3")], "process int, side string, code string, name string")
+    m = spark.createDataFrame([("100000", "Natural borates", ["tincal", "ore"])], "code string, name string, aliases array<string>")
+    r = judge.side_terms(e, m).first()
+    assert (r.ins, r.outs) == (["borax ore", "natural borates", "tincal"], ["b2o3"])
 
 
 @pytest.mark.parametrize(("names", "terms"), [(["salt"], []), (["table salt"], ["table salt"]), (["Boric acid", "H3BO3", "boric  acid"], ["boric acid", "h3bo3"]), (["ab", "a b"], ["a b"])])

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tributary.functions import codes, text
-from tributary.operators import search, state
+from tributary.operators import instructions, search, state
 from tributary.sources import arrow, files, sinks
 from tributary.sqltool import SqlTool
 from tributary.streaming import ingest
@@ -22,7 +22,7 @@ def test_knn(spark):
     assert [r.id for r in search.knn(index, q, 9, "cosine").orderBy("rank").collect()] == [1, 2, 3, 4]
 
 
-@pytest.mark.parametrize(("n", "sizes"), [(0, []), (299, []), (300, [300]), (500, [500]), (700, [500]), (725, [500, 300]), (5000, [500] * 9)])
+@pytest.mark.parametrize(("n", "sizes"), [(0, []), (299, []), (300, [300]), (500, [500]), (700, [500]), (725, [500, 300]), (5000, [500] * 11 + [325])])
 def test_chunks(spark, n, sizes):
     df = spark.createDataFrame([(1, " ".join(["w"] * n))], "id int, text string")
     got = search.chunks(df, "id", "text").orderBy("chunk").collect()
@@ -77,11 +77,117 @@ def test_materials(spark):
     assert {r.asked: r.code for r in state.find_material(m, asked).collect()} == {"b": "b", "c": "2"}
 
 
-def test_instructions(spark):
-    base = {"processes": spark.createDataFrame([("p1",)], "process string"), "materials": spark.createDataFrame([("1", "a")], "code string, name string"), "refs": spark.createDataFrame([], "process string, pos int, url string")}
-    rows = [(0, "AddProcess", "p2", None, None, None), (1, "RemoveProcess", "p1", None, None, None), (2, "AddMaterial", None, "2", "b", None), (3, "AddReference", "p2", None, None, "u"), (4, "Nonsense", "p2", None, None, None)]
-    got = state.apply(base, spark.createDataFrame(rows, "pos int, kind string, process string, code string, name string, url string"))
-    assert [r.process for r in got["processes"].collect()] == ["p2"] and got["materials"].count() == 2 and got["refs"].count() == 1
+def state_of(spark, docs):
+    return spark.createDataFrame(docs, instructions.DOCUMENT)
+
+
+def todo(spark, *rows):
+    """Instructions from (kind, process, options)."""
+    names = "side description scale ins outs refs".split()
+    return spark.createDataFrame([(i, kind, process, *(o.get(n) for n in names)) for i, (kind, process, o) in enumerate(rows)], instructions.INSTRUCTION)
+
+
+def test_instructions_in_their_order(spark):
+    docs = state_of(spark, [("p", "old", 0.5, [("100000", "a")], [(None, "slag")], ["u"]), ("q", None, None, [], [], []), ("r", None, 0.1, [], [], [])])
+    asked = todo(
+        spark,
+        ("AddProcess", "n", {"description": "new", "scale": 0.7, "outs": [("200000", "b")], "ins": [("300000", "c")], "refs": ["x#1", "x"]}),
+        ("AddProcess", "p", {"description": "again"}),
+        ("SetProcess", "p", {"description": "set"}),
+        ("AddMaterial", "p", {"side": "out", "ins": [("400000", "d")]}),
+        ("AddMaterial", "p", {"side": "out", "ins": [("100000", "other name")]}),
+        ("AddMaterial", "p", {"side": "in", "ins": [("400000", "d")]}),
+        ("RemoveMaterial", "p", {"side": "in", "ins": [("100000", None)]}),
+        ("AddMaterial", "p", {"side": "out", "ins": [("100000", "a")]}),
+        ("AddReference", "p", {"refs": ["u#top", "w"]}),
+        ("RemoveProcess", "q", {}),
+        ("AddReference", "q", {"refs": ["z"]}),
+        ("RemoveProcess", "none", {}),
+        ("Nonsense", "p", {}),
+    )
+    after, messages = instructions.folded(docs, asked)
+    got = {r.process: r for r in after.collect()}
+    assert set(got) == {"n", "p", "r"} and got["r"].scale == 0.1
+    assert (got["n"].description, got["n"].scale, [tuple(x) for x in got["n"].ins], [tuple(x) for x in got["n"].outs]) == ("new", 0.7, [("300000", "c")], [("200000", "b")])
+    assert got["n"].refs == ["x#1", "x"]
+    p = got["p"]
+    assert (p.description, p.scale, p.ins, [tuple(x) for x in p.outs], p.refs) == ("set", 0.5, [], [(None, "slag"), ("400000", "d"), ("100000", "a")], ["u", "w"])
+    assert sorted(r.pos for r in messages.collect()) == [1, 4, 5, 10, 11, 12]
+
+
+def test_refused_addition_keeps_what_went_before(spark):
+    asked = todo(spark, ("AddProcess", "n", {"outs": [("200000", "b")], "ins": [("100000", "a"), ("200000", "b"), ("300000", "c")], "refs": ["u"]}))
+    after, messages = instructions.folded(state_of(spark, []), asked)
+    r = after.first()
+    assert [tuple(x) for x in r.outs] == [("200000", "b")] and [tuple(x) for x in r.ins] == [("100000", "a")] and r.refs == [] and messages.count() == 1
+
+
+def test_documents_of_tables(spark):
+    p = spark.createDataFrame([(1, "d", 0.5), (2, None, None)], "process long, description string, scale double")
+    e = spark.createDataFrame([(1, "in", "100000", "a", 1), (1, "in", None, "ore", 0), (1, "out", "200000", "b", 0)], "process long, side string, code string, name string, pos int")
+    r = spark.createDataFrame([(1, "v", 1), (1, "u", 0)], "process long, url string, pos int")
+    got = {x.process: x for x in instructions.documents_of(p, e, r).collect()}
+    assert [tuple(x) for x in got["1"].ins] == [(None, "ore"), ("100000", "a")] and got["1"].refs == ["u", "v"] and got["2"].ins == [] and got["2"].refs == []
+
+
+def test_lookups(spark):
+    m = spark.createDataFrame([("1", 0, "x", "a", None), ("2", 1, "x", "b", ""), ("3", 2, None, "c", "b")], "code string, pos int, id string, name string, label string")
+    assert {r.key: r.code for r in state.material_lookup(m).collect()} == {"x": "2", "a": "1", "b": "3", "c": "3"}
+    e = spark.createDataFrame([(1, "in", "1"), (1, "out", "1"), (2, "out", "1"), (2, "in", "9")], "process int, side string, code string")
+    assert {(r.process, r.role) for r in state.linked_processes(e, m).collect()} == {(1, "precursor"), (2, "product")}
+    assert {r.code for r in state.unknown(e, m).collect()} == {"9"}
+    mined = m.select("code", (F.col("code") == "1").alias("mined"))
+    assert {r.code for r in state.unmined(mined).collect()} == {"2", "3"} and state.wanted(m, None).count() == 3 and state.wanted(m, ["2"]).count() == 1
+    refs = spark.createDataFrame([("u", None), ("v", "404")], "url string, error string")
+    assert [r.line for r in state.listed_references(refs).collect()] == ["- u"]
+    assert sorted(r.line for r in state.listed_references(refs, failed=True).collect()) == ["- [FAILED] v", "- u"]
+    scored = spark.createDataFrame([("1", 0.5), ("1", None), ("2", 0.1)], "code string, score double")
+    assert {r.code: r.settled for r in state.settled(scored).collect()} == {"1": False, "2": True}
+
+
+def test_component_tree(spark):
+    rows = [("root", "a", "part"), ("root", "root", "part"), ("a", "b", "raw"), ("a", "c", "part"), ("b", "never", "part"), ("c", "d", "part"), ("d", "deep", "part"), ("root", "c", "part")]
+    got = state.component_tree(spark.createDataFrame(rows, "parent string, child string, kind string"), "root")
+    assert sorted((r.parent, r.child, r.level) for r in got.collect()) == [("a", "b", 2), ("a", "c", 2), ("c", "d", 2), ("c", "d", 3), ("d", "deep", 3), ("root", "a", 1), ("root", "c", 1)]
+    doc = json.loads(sinks.tree_document(got).first()[0])
+    assert len(doc["edges"]) == 7 and {n["id"] for n in doc["nodes"]} == {"a", "b", "c", "d", "deep"}
+
+
+def test_saved_states_are_kept_beside(spark, tmp_path):
+    path, one = str(tmp_path / "state"), {"materials": spark.range(1)}
+    assert sinks.save_state(one, path) is None
+    assert sinks.save_state({"materials": spark.range(2)}, path).endswith("state.1") and sinks.save_state({"materials": spark.range(3)}, path).endswith("state.2")
+    assert sinks.saved_state(spark, path, ("materials",))["materials"].count() == 3 and spark.read.parquet(f"{path}.1/materials").count() == 1
+
+
+def test_metric_documents(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"x": 1, "y": 2.5, "ok": true, "name": "n", "nested": {"z": 1}}')
+    (tmp_path / "b.json").write_text("{")
+    rows, bad = files.metric_documents(spark, str(tmp_path))
+    assert {(r.key, r.value) for r in rows.collect()} == {("x", 1.0), ("y", 2.5), ("ok", 1.0)} and [r.path[-6:] for r in bad.collect()] == ["b.json"]
+    assert files.config(spark, str(tmp_path / "a.json"))["name"] == "n"
+
+
+@pytest.mark.parametrize("kind", ["gml", "graphml", "edgelist", "adjlist", "json"])
+def test_graphs_are_read_as_written(spark, tmp_path, kind):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c")], "src string, dst string")
+    sinks.write_edges(edges, str(tmp_path / "g"), kind)
+    whole = "\n".join(p.read_text() for p in sorted((tmp_path / "g").glob("part-*")))
+    if kind == "json":
+        got = {(json.loads(x)["source"], json.loads(x)["target"]) for x in whole.split()}
+    elif kind in ("gml", "graphml"):
+        got = set(files.parse_graph(whole, kind))
+        got = {tuple("abc"[int(x)] for x in e) for e in got} if kind == "gml" else got
+    else:
+        (tmp_path / f"g.{kind}").write_text(whole)
+        got = {tuple(r) for r in files.read_graph(spark, str(tmp_path / f"g.{kind}"), kind).collect()}
+    assert got == {("a", "b"), ("b", "c"), ("a", "c")}
+
+
+def test_report_tables(spark):
+    df = spark.createDataFrame([("a|b", 1), ("c_d", None)], "name string, n int")
+    assert [r.line for r in sinks.markdown(df).orderBy("pos").collect()] == ["| name | n |", "| --- | --- |", "| a\\|b | 1 |", "| c_d |  |"]
+    assert {r.line for r in sinks.latex_rows(df, ["name", "n"]).collect()} == {"a|b & 1 \\\\", "c\\_d &  \\\\"}
 
 
 def test_nomenclature(spark, tmp_path):
@@ -164,11 +270,31 @@ def test_codes(spark):
     assert [r.t for r in got] == ["010121", "281000", None, None, None] and [r.s for r in got] == ["I", "I", None, None, None]
 
 
-@pytest.mark.parametrize(("name", "out"), [("Boric acid, crystals", "Boric acid"), ("Oxides (of boron, natural) and such", "Oxides (of boron, natural) and such")])
-def test_short_names(name, out):
-    assert text.shortened(name) == out
-    long = text.shortened("Natural borates and concentrates thereof (whether or not calcined) other")
-    assert len(long) <= 43 and long.count("(") == long.count(")")
+#: Names and the short forms that reports give them.
+SHORT = {
+    "Sodium perborate and other perborates": "Sodium perborate and other perborates",
+    "Methyl chloride (chloromethane, CH3Cl)": "Methyl chloride (chloromethane, CH3Cl)",
+    "Gadolinium gallium garnet, gallium-based garnet magnets": "Gadolinium gallium garnet",
+    "Calcium oxide (quicklime), industrial/technical grade": "Calcium oxide (quicklime)",
+    "Gallium in ores and concentrates (trace by-product in bauxite and zinc ores)": "Gallium in ores and concentrates",
+    "Aluminum oxide (Al2O3) refined industrial grade powder blend": "Aluminum oxide (Al2O3) refined industria...",
+    "a) b (c, d) e, f": "a) b (c, d) e",
+    " Boric acid; crystals": "Boric acid",
+    "": "",
+}
+
+
+def test_short_names(spark):
+    rows = spark.createDataFrame([(x,) for x in [*SHORT, None, "A" * 60, "B (" + "c" * 60 + ")", "(" * 5 + "d" * 50]], "s string")
+    got = {r.s: r.short for r in rows.select("s", text.shortened(F.col("s")).alias("short")).collect()}
+    assert {k: got[k] for k in SHORT} == SHORT and got[None] is None and got["A" * 60] == "A" * 40 + "..."
+    assert all(x is None or (x.count("(") == x.count(")") or s in SHORT) and len(x) <= 43 for s, x in got.items())
+
+
+def test_half_weight_depth():
+    for p in (0.5, 0.9, 0.98):
+        d = text.half_weight_depth(p)
+        assert text.rbo_weight(d, p) >= 0.5 and (d == 1 or text.rbo_weight(d - 1, p) < 0.5)
 
 
 def test_json_scanner():
@@ -229,3 +355,59 @@ def test_command_line(spark, tmp_path):
     main(["graph", "--path", str(tmp_path / "g.txt"), "--out", str(tmp_path / "g")], spark)
     assert spark.read.option("header", True).csv(str(tmp_path / "g")).count() == 3
     assert main(["sql", "--path", str(tmp_path / "b.csv"), "--query", "SELECT count(*) AS n FROM data"], spark) == [{"n": 2}]
+
+
+def test_more_commands(spark, tmp_path, capsys):
+    from tributary.__main__ import COMMANDS, main
+
+    assert len(COMMANDS) >= 25
+    doc = {"materials": {c: {"name": n} for c, n in (("100000", "borax"), ("200000", "boric acid"), ("300000", "boron"))}, "processes": {
+        "p": {"scale": 0.5, "precursors": [{"hs_code": "100000", "name": "borax"}], "products": [{"hs_code": "200000", "name": "boric acid"}], "references": ["https://e.org/a"]},
+        "q": {"scale": 0.1, "precursors": [{"hs_code": "200000"}], "products": [{"hs_code": "300000"}, {"hs_code": "999999"}], "references": []}}}
+    state_path = str(tmp_path / "s.json")
+    (tmp_path / "s.json").write_text(json.dumps(doc))
+    (tmp_path / "cache").mkdir()
+    import hashlib
+
+    (tmp_path / "cache" / (hashlib.md5(b"https://e.org/a").hexdigest() + ".json")).write_text(json.dumps({"url": "https://e.org/a", "content": "borax gives boric acid", "error": None}))
+    (tmp_path / "cache" / "x.json").write_text(json.dumps({"url": "https://e.org/x", "content": None, "error": "404"}))
+    (tmp_path / "h.txt").write_text("100000: a\n200000: b\n300000: c\n")
+    (tmp_path / "routes.csv").write_text("route,input_hs,output_hs\nr1,100000,200000\nr2,300000,100000\nr3,bad,100000\n")
+    (tmp_path / "listed.csv").write_text("commodity,hs_code\nboron,300000\n")
+    (tmp_path / "j1").write_text("".join(json.dumps({"key": f"k{i}", "overall_correct": i % 2 == 0, "error_mode": "codes"}) + "\n" for i in range(6)))
+    (tmp_path / "j2").write_text("".join(json.dumps({"key": f"k{i}", "overall_correct": True}) + "\n" for i in range(6)))
+    todo = [{"pos": 0, "kind": "RemoveProcess", "process": "q"}, {"pos": 1, "kind": "AddMaterial", "process": "p", "side": "out", "ins": [{"code": "100000", "name": "x"}]}]
+    (tmp_path / "todo").write_text("".join(json.dumps(x) + "\n" for x in todo))
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.json").write_text('{"x": 1}')
+    (tmp_path / "g.txt").write_text("a b\nb c\n")
+    caches = f"l:a:{tmp_path / 'j1'},l:b:{tmp_path / 'j2'}"
+
+    def run(name, *options):
+        out = str(tmp_path / f"out-{name}")
+        main([name, *options, *(["--out", out] if "out" in [o for o, _ in COMMANDS[name][1]] else [])], spark)
+        return spark.read.option("header", True).csv(out).collect() if "out" in [o for o, _ in COMMANDS[name][1]] and name != "edit" else out
+
+    one = run("criticality-summary", "--state", state_path, "--base", "200000")[0]
+    assert (one.reach, one.n_pre, one.n_edges) == ("2", "1", "2")
+    assert run("rank-stability", "--states", f"{state_path},{state_path}", "--base", "200000", "--samples", "3")[0].rbo_max == "1.0"
+    assert {r.judge: r.ci_hi for r in run("judge-summary", "--caches", caches)}["b"] == "1.0"
+    assert {r.label for r in run("judge-agreement", "--caches", caches, "--first", "a", "--second", "b")} == {"l", "*"}
+    assert {(r["mode"], r.n) for r in run("error-modes", "--caches", caches)} == {("codes", "3")}
+    assert tuple(run("hs-validity", "--state", state_path, "--nomenclature", str(tmp_path / "h.txt"))[0]) == ("3", "3", "2", "1")
+    assert {r.process: r.grounded for r in run("evidence", "--state", state_path, "--contents", str(tmp_path / "cache"))} == {"p": "true", "q": "false"}
+    assert {r.route: r.status for r in run("route-recall", "--state", state_path, "--routes", str(tmp_path / "routes.csv"))} == {"r1": "strict", "r2": "miss"}
+    assert run("coverage", "--state", state_path, "--listed", str(tmp_path / "listed.csv"))[0].overlap == "1"
+    assert run("audit", "--state", state_path)[0].n_processes == "2"
+    assert {r.role for r in run("processes", "--state", state_path, "--code", "200000")} == {"precursor", "product"}
+    assert len(run("materials", "--state", state_path, "--codes", "100000,300000")) == 2
+    assert run("metrics", "--folder", str(tmp_path / "m"))[0].key == "x"
+    run("edit", "--state", state_path, "--instructions", str(tmp_path / "todo"))
+    edited = [json.loads(x) for p in sorted((tmp_path / "out-edit").glob("part-*")) for x in p.read_text().splitlines()]
+    assert [x["process"] for x in edited] == ["p"] and "1 p:" in capsys.readouterr().err
+    main(["list-references", "--folder", str(tmp_path / "cache"), "--failed"], spark)
+    assert capsys.readouterr().out.splitlines() == ["- https://e.org/a", "- [FAILED] https://e.org/x"]
+    main(["convert-graph", "--path", str(tmp_path / "g.txt"), "--to", str(tmp_path / "g.json"), "--to-kind", "json"], spark)
+    assert spark.read.json(str(tmp_path / "g.json")).count() == 2
+    main(["audit", "--state", state_path, "--out", str(tmp_path / "audit.md")], spark)
+    assert spark.read.text(str(tmp_path / "audit.md")).count() == 3

@@ -3,6 +3,7 @@
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from tributary.operators import trade
 
@@ -41,16 +42,35 @@ def test_coverage_ignores_zero_flows(spark):
 
 
 def test_shares_and_ranks(spark):
-    rows = [(1, 842, "100000", 30), (2, 842, "100000", 70), (3, 842, "200000", None), (9, 842, "100000", 30), (1, 1, "100000", 99)]
+    rows = [(9, 842, "100000", 30), (1, 842, "100000", 30), (2, 842, "100000", 70), (3, 842, "200000", None), (1, 1, "100000", 99)]
     buckets = spark.createDataFrame([("a", "100000", "clean"), ("b", "100000", "shared"), ("b", "200000", "clean")], "material string, code string, quality string")
     partners = spark.createDataFrame([(1, "One", "ONE", False), (2, "Two", None, False), (3, "Group", "GRP", True)], "code long, name string, iso3 string, is_group boolean")
-    got = trade.import_share(flows(spark, rows), buckets, partners, 842).collect()
-    of_a = sorted((r.exporter_rank, r.exporter, r.exporter_iso3, round(r.import_share_pct, 4)) for r in got if r.material == "a")
-    assert of_a == [(1, "Two", "", 53.8462), (2, "One", "ONE", 23.0769), (3, "Unknown (9)", "", 23.0769)]
+    got = trade.import_share(flows(spark, rows).coalesce(1).withColumn("pos", F.monotonically_increasing_id()), buckets, partners, 842).collect()
+    of_a = sorted((r.exporter_rank, r.exporter, r.exporter_iso3, r.import_share_pct) for r in got if r.material == "a")
+    assert of_a == [(1, "Two", "", 53.85), (2, "Unknown (9)", "", 23.08), (3, "One", "ONE", 23.08)]
     zero = next(r for r in got if r.hs_bucket == "200000")
     assert (zero.import_share_pct, zero.exporter) == (0.0, "Unknown (3)")
 
 
+def test_ranks_go_by_rounded_shares(spark):
+    """Shares that differ beyond two digits tie; who was encountered first is ahead."""
+    kind = "partner long, reporter long, code string, year int, value decimal(18,3), pos long"
+    rows = [(5, 842, "100000", 2020, Decimal("10000.001"), 0), (4, 842, "100000", 2020, Decimal("10000.004"), 1), (6, 842, "100000", 2020, Decimal("80000"), 2)]
+    got = trade.import_share(spark.createDataFrame(rows, kind), spark.createDataFrame([("a", "100000", "clean")], "material string, code string, quality string"), spark.createDataFrame([], "code long, name string, iso3 string, is_group boolean"), 842).collect()
+    assert sorted((r.exporter_rank, r.exporter, r.import_share_pct, r.import_value_usd) for r in got) == [(1, "Unknown (6)", 80.0, 80000.0), (2, "Unknown (5)", 10.0, 10000.0), (3, "Unknown (4)", 10.0, 10000.0)]
+
+
+def test_lookups_of_codes_and_partners(spark):
+    rows = spark.createDataFrame([(1, "AAA", "old", 0), (1, "BBB", "new", 1), (2, None, "x", 0)], "code int, iso3 string, name string, pos int")
+    assert {tuple(r) for r in trade.partner_table(rows, "pos").collect()} == {(1, "BBB", "new"), (2, None, "x")}
+    codes = spark.createDataFrame([("1", "own"), ("2", "own"), ("3", "own")], "code string, description string")
+    texts = spark.createDataFrame([("1", "listed"), ("3", None)], "code string, text string")
+    assert {r.code: r.description for r in trade.described(codes, texts).collect()} == {"1": "listed", "2": "own", "3": None}
+    assert trade.distinct_codes(codes.union(codes)).first()[0] == 3 and trade.perspective("US") == 842
+    with pytest.raises(ValueError):
+        trade.perspective("EU")
+
+
 def test_first_dominant_keeps_encounter_order(spark):
     rows = [("m", "b", Decimal(5), 0), ("m", "a", Decimal(5), 1), ("z", "a", Decimal(0), 0)]
     got = trade.first_dominant(spark.createDataFrame(rows, "code string, supplier string, value decimal(10,2), pos long"), 0.5).collect()

@@ -26,7 +26,7 @@ VIEWS: dict[str, str] = {
     "processes": """SELECT process, cast(process % 11 AS double) / 10 AS scale, CASE WHEN process % 5 = 0 THEN NULL ELSE cast(process % 13 AS double) / 12 END AS score
         FROM entries GROUP BY process""",
     "trade": """SELECT cast(s_nationkey AS bigint) AS partner, cast(c_nationkey AS bigint) AS reporter, code, cast(year(l_shipdate) AS bigint) AS year,
-        cast(l_extendedprice AS decimal(18,2)) * (1 - cast(l_discount AS decimal(4,2))) AS value
+        cast(l_extendedprice AS decimal(18,2)) * (1 - cast(l_discount AS decimal(4,2))) AS value, l_orderkey * 10 + l_linenumber AS pos
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
         JOIN supplier ON l_suppkey = s_suppkey JOIN coded ON l_partkey = p_partkey""",
     "partners": "SELECT cast(n_nationkey AS bigint) AS code, n_name AS name, concat('N', lpad(cast(n_nationkey AS string), 2, '0')) AS iso3, n_nationkey % 12 = 5 AS is_group FROM nation",
@@ -45,14 +45,15 @@ VIEWS: dict[str, str] = {
     "runs": "SELECT year AS run, code AS item, cast(sum(value) AS decimal(38,4)) AS score FROM trade GROUP BY year, code",
     # the component tree: every code's parts, by halving
     "tree": "SELECT p_partkey AS id, CASE WHEN p_partkey = 0 THEN NULL ELSE cast(floor((p_partkey - 1) / 4) AS bigint) END AS parent, p_name AS name FROM part",
-    # the backbone of trade: each exporter's three largest importers
-    "net": """SELECT src, dst FROM (SELECT partner AS src, reporter AS dst, row_number() OVER (PARTITION BY partner ORDER BY sum(value) DESC, reporter) AS place
-        FROM trade WHERE partner <> reporter GROUP BY partner, reporter) ranked WHERE place <= 3""",
+    # the projection of the hypergraph: inputs to their process, the process to its outputs; and inputs to outputs
+    "net": """SELECT DISTINCT src, dst FROM (SELECT CASE WHEN side = 'in' THEN coalesce(code, name) ELSE concat('process ', cast(process AS string)) END AS src,
+          CASE WHEN side = 'in' THEN concat('process ', cast(process AS string)) ELSE coalesce(code, name) END AS dst FROM entries
+        UNION ALL SELECT a.code, b.code FROM entries a JOIN entries b ON a.process = b.process WHERE a.side = 'in' AND b.side = 'out' AND a.code <> b.code) links""",
 }
 
 #: Views that a view reads.
 NEEDS = {
-    "registry": ["coded"], "entries": ["coded"], "processes": ["entries"], "trade": ["coded"], "buckets": ["coded"], "runs": ["trade"], "net": ["trade"],
+    "registry": ["coded"], "entries": ["coded"], "processes": ["entries"], "trade": ["coded"], "buckets": ["coded"], "runs": ["trade"], "net": ["entries"],
 }
 
 

@@ -1,15 +1,117 @@
 """Graph analytics on edge tables (src, dst): degrees, components, paths, cores, centralities.
 
 Iterations are rounds of joins and aggregates with a checkpoint each; what reaches the driver is a row of totals.
+
+Measures over all pairs (reach, paths, betweenness) search from every vertex. A graph of BROADCAST_EDGES edges at most is
+broadcast and its vertices are dealt to tasks, each of which adds up its searches, so that no row for a pair is made; a
+larger one is searched by joins, a level a round. So are power iterations: a small graph's in memory, a larger one's by
+joins, with the same steps and the same ends.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 
+#: Edges of a graph that is broadcast at most (12 bytes each, and its vertices' names on the driver).
+BROADCAST_EDGES = 2_000_000
+#: Places (sources times vertices) that a task searches at a time.
+PLACES = 1 << 21
+
+
+@dataclass
+class Adjacency:
+    """A small digraph without parallel edges, by default without loops: vertex i's edges are start[i]:start[i + 1] of to."""
+
+    names: list
+    start: np.ndarray
+    to: np.ndarray
+
+    @classmethod
+    def of(cls, edges: DataFrame, loops: bool = False) -> Adjacency | None:
+        """The graph of an edge table, if it is small enough."""
+        plain = edges.select("src", "dst").distinct()
+        if plain.count() > BROADCAST_EDGES:
+            return None
+        got = plain.toArrow()
+        src, dst = got["src"].combine_chunks(), got["dst"].combine_chunks()
+        names = pa.concat_arrays([src, dst]).unique()
+        names = names.take(pc.sort_indices(names))
+        a, b = (pc.index_in(x, names).to_numpy(zero_copy_only=False).astype(np.int64) for x in (src, dst))
+        if not loops:
+            a, b = a[a != b], b[a != b]
+        order = np.lexsort((b, a))
+        return cls(names.to_pylist(), np.concatenate([[0], np.cumsum(np.bincount(a, minlength=len(names)))]), b[order])
+
+    @property
+    def ends(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.start) - 1), np.diff(self.start))
+
+    def reversed(self) -> Adjacency:
+        a = self.ends
+        order = np.lexsort((a, self.to))
+        return Adjacency(self.names, np.concatenate([[0], np.cumsum(np.bincount(self.to, minlength=len(self.start) - 1))]), a[order])
+
+    def levels(self, sources: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Breadth-first searches from several sources: a level's new places (source number * n + vertex), and the edges of
+        shortest paths that lead to them, as places of both ends and the edge's number."""
+        n = len(self.start) - 1
+        seen = np.full(len(sources) * n, -1, np.int32)
+        at = np.arange(len(sources)) * n + sources
+        seen[at] = 0
+        hops = 0
+        while len(at):
+            hops += 1
+            v = at % n
+            length = self.start[v + 1] - self.start[v]
+            begin = np.cumsum(length) - length
+            edge = np.arange(int(length.sum())) + np.repeat(self.start[v] - begin, length)
+            origin = np.repeat(at, length)
+            target = origin - origin % n + self.to[edge]
+            fresh = seen[target] < 0
+            seen[target[fresh]] = hops
+            on = seen[target] == hops
+            at = np.unique(target[fresh])
+            yield at, origin[on], target[on], edge[on]
+
+
+def searched(edges: DataFrame, graph: Adjacency, search) -> np.ndarray:
+    """Sums of search(graph, sources), an array of numbers, over all vertices, dealt to tasks."""
+    spark = edges.sparkSession
+    ready = spark.sparkContext.broadcast(graph)
+    n = len(graph.names)
+    step = max(1, PLACES // max(n, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            for lo in range(0, len(ids), step):
+                got = search(ready.value, ids[lo : lo + step])
+                total = got if total is None else total + got
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    tasks = max(1, min(n, spark.sparkContext.defaultParallelism * 4))
+    # the sums are of the graph's size, which is bounded, one for each of these tasks
+    parts = spark.range(0, n, 1, tasks).mapInArrow(run, "sums binary").toLocalIterator()
+    return sum((np.frombuffer(r["sums"]) for r in parts), np.zeros(0) if not n else 0.0)
+
+
+def _table(edges: DataFrame, graph: Adjacency, **columns) -> DataFrame:
+    kind = edges.schema["src"].dataType.simpleString()
+    spark = edges.sparkSession
+    made = pa.table({"v": pa.array(graph.names), **{c: pa.array(x) for c, x in columns.items()}})
+    return spark.createDataFrame(made).withColumn("v", F.col("v").cast(kind))
+
 
 def projection(entries: DataFrame) -> DataFrame:
     """Bipartite digraph of named materials and processes: inputs to the process, the process to its outputs; parallel edges once."""
@@ -62,8 +164,24 @@ def closure(edges: DataFrame) -> DataFrame:
     return known
 
 
+def _reached(graph: Adjacency, sources: np.ndarray) -> np.ndarray:
+    """For each vertex how many others it reaches, as far as it is a source; the sum of hops; their largest number."""
+    n = len(graph.names)
+    out = np.zeros(2 * n)
+    for hops, (at, *_) in enumerate(graph.levels(sources), 1):
+        found = np.bincount(at // n, minlength=len(sources))
+        out[sources] += found
+        out[n + sources] += hops * found
+    return out
+
+
 def reach_counts(edges: DataFrame) -> DataFrame:
     """v, descendants, ancestors; a vertex isn't its own."""
+    small = Adjacency.of(edges)
+    if small is not None:
+        n = len(small.names)
+        down, up = (searched(edges, g, _reached)[:n].astype(np.int64) for g in (small, small.reversed()))
+        return _table(edges, small, descendants=down, ancestors=up)
     pairs = closure(edges).filter("src <> dst")
     down = pairs.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("descendants"))
     up = pairs.groupBy(F.col("dst").alias("v")).agg(F.count("*").alias("ancestors"))
@@ -86,11 +204,43 @@ def weak_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFra
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """v, component: the smallest vertex that it reaches and that reaches it."""
-    c = closure(edges)
-    mutual = c.join(c.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi")
-    least = mutual.groupBy(F.col("src").alias("v")).agg(F.min("dst").alias("m"))
-    return vertices(edges).join(least, "v", "left").select("v", F.least("v", F.coalesce("m", "v")).alias("component"))
+    """v, component: the smallest vertex that it reaches and that reaches it.
+
+    Colouring: vertices without an edge in or out are components of their own and go, round by round. Each other vertex
+    takes the smallest vertex that reaches it; what reaches that one in turn, among those of its colour, is its component
+    and goes too. Rounds hang on path lengths and on how components follow each other; tables never outgrow the edges.
+    """
+    left = cut(edges.filter("src <> dst").select("src", "dst").distinct())
+    found = None
+    every = cut(vertices(edges))
+    while not left.isEmpty():
+        inner = left.select("src").intersect(left.select("dst")).select(F.col("src").alias("v"))
+        kept = cut(left.join(inner.withColumnRenamed("v", "src"), "src", "left_semi").join(inner.withColumnRenamed("v", "dst"), "dst", "left_semi").select("src", "dst"))
+        if kept.count() < left.count():
+            left = kept
+            continue
+        colour = cut(vertices(left).withColumn("c", F.col("v")))
+        while True:
+            near = left.join(colour.select(F.col("v").alias("src"), "c"), "src").groupBy(F.col("dst").alias("v")).agg(F.min("c").alias("near"))
+            new = cut(colour.join(near, "v", "left").select("v", F.least("c", F.coalesce("near", "c")).alias("c"), F.col("c").alias("old")))
+            done = new.filter("c <> old").isEmpty()
+            colour = new.select("v", "c")
+            if done:
+                break
+        same = left.join(colour.select(F.col("v").alias("src"), F.col("c").alias("a")), "src").join(colour.select(F.col("v").alias("dst"), F.col("c").alias("b")), "dst").filter("a = b")
+        back = cut(same.select("src", "dst", "a"))
+        inside = cut(colour.filter("v = c"))
+        fresh = inside
+        while not fresh.isEmpty():
+            more = back.join(fresh.select(F.col("v").alias("dst"), F.col("c").alias("a")), ["dst", "a"]).select(F.col("src").alias("v"), F.col("a").alias("c")).distinct()
+            fresh = cut(more.join(inside, "v", "left_anti"))
+            inside = cut(inside.union(fresh))
+        found = inside if found is None else found.union(inside)
+        gone = inside.select("v")
+        left = cut(left.join(gone.withColumnRenamed("v", "src"), "src", "left_anti").join(gone.withColumnRenamed("v", "dst"), "dst", "left_anti"))
+    if found is None:
+        return every.select("v", F.col("v").alias("component"))
+    return every.join(found, "v", "left").select("v", F.coalesce("c", "v").alias("component"))
 
 
 def component_stats(components: DataFrame) -> DataFrame:
@@ -124,7 +274,42 @@ def distances(edges: DataFrame) -> DataFrame:
 def path_stats(edges: DataFrame, directed: bool = False) -> DataFrame:
     """One row: mean shortest path and diameter of the largest component, by default without directions."""
     inside = largest_component(edges)
-    return distances(inside if directed else undirected(inside)).agg(F.coalesce(F.avg("hops"), F.lit(0.0)).alias("mean_path"), F.coalesce(F.max("hops"), F.lit(0)).alias("diameter"))
+    inside = inside if directed else undirected(inside)
+    small = Adjacency.of(inside)
+    if small is not None:
+        n = len(small.names)
+        got = searched(inside, small, _reached)
+        pairs, hops = float(got[:n].sum()), float(got[n:].sum())
+        longest = int(searched_max(inside, small))
+        return edges.sparkSession.createDataFrame([(hops / pairs if pairs else 0.0, longest)], "mean_path double, diameter int")
+    return distances(inside).agg(F.coalesce(F.avg("hops"), F.lit(0.0)).alias("mean_path"), F.coalesce(F.max("hops"), F.lit(0)).alias("diameter"))
+
+
+def searched_max(edges: DataFrame, graph: Adjacency) -> int:
+    """The largest number of hops of a shortest path."""
+    spark = edges.sparkSession
+    ready = spark.sparkContext.broadcast(graph)
+    n = len(graph.names)
+    step = max(1, PLACES // max(n, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            top = [sum(len(at) > 0 for at, *_ in ready.value.levels(ids[lo : lo + step])) for lo in range(0, len(ids), step)]
+            yield pa.RecordBatch.from_arrays([pa.array(top, pa.int32())], ["hops"])
+
+    tasks = max(1, min(n, spark.sparkContext.defaultParallelism * 4))
+    return spark.range(0, n, 1, tasks).mapInArrow(run, "hops int").agg(F.max("hops")).first()[0] or 0
+
+
+def average_clustering(edges: DataFrame) -> DataFrame:
+    """One row: the mean coefficient over the vertices of the largest component, without directions; vertices below degree 2 count as 0."""
+    return clustering(largest_component(edges)).agg(F.coalesce(F.avg("coefficient"), F.lit(0.0)).alias("average"))
+
+
+def is_connected(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """One row: whether all vertices are in one weak component; a graph without any isn't connected."""
+    return weak_components(edges, nodes).agg((F.count_distinct("component") == 1).alias("connected"))
 
 
 def clustering(edges: DataFrame) -> DataFrame:
@@ -145,6 +330,9 @@ def core_numbers(edges: DataFrame) -> DataFrame:
     """v, core by peeling: what has fewer than k + 1 neighbours left is of core k. Loops aren't allowed."""
     if not edges.filter("src = dst").isEmpty():
         raise ValueError("cores aren't defined for graphs with loops")
+    small = Adjacency.of(undirected(edges))
+    if small is not None:
+        return _table(edges, small, core=_cores(small))
     left, k, out = cut(undirected(edges)), 0, None
     while not left.isEmpty():
         deg = left.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("d"))
@@ -164,63 +352,164 @@ def core_numbers(edges: DataFrame) -> DataFrame:
     return out
 
 
+def _cores(graph: Adjacency) -> np.ndarray:
+    """Cores by peeling in rounds: what has at most k neighbours left goes with core k, until none has; then k grows."""
+    n, ends = len(graph.names), graph.ends
+    core, there, k = np.zeros(n, np.int32), np.ones(n, bool), 0
+    degree = np.diff(graph.start)
+    while there.any():
+        low = there & (degree <= k)
+        if not low.any():
+            k = int(degree[there].min())
+            continue
+        core[low] = k
+        there &= ~low
+        lost = low[graph.to] & there[ends]
+        degree = degree - np.bincount(ends[lost], minlength=n)
+    return core
+
+
+def core_shares(cores: DataFrame) -> DataFrame:
+    """core, n, share of the vertices, and the smallest and largest core, from core_numbers(); a row for each core."""
+    sizes = cores.groupBy("core").agg(F.count("*").alias("n"))
+    ends = sizes.agg(F.min("core").alias("min_core"), F.max("core").alias("max_core"), F.sum("n").alias("all"))
+    return sizes.crossJoin(F.broadcast(ends)).select("core", "n", (F.col("n") / F.col("all")).alias("share"), "min_core", "max_core")  # ends: one row
+
+
+def largest_strong_component(edges: DataFrame) -> DataFrame:
+    """Edges within the largest strong component, ties to the one with the smallest vertex."""
+    labels = cut(strong_components(edges))
+    top = labels.groupBy("component").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "component").limit(1).select("component")
+    own = labels.join(F.broadcast(top), "component").select("v")  # top: one row
+    return edges.join(own.withColumnRenamed("v", "src"), "src", "left_semi").join(own.withColumnRenamed("v", "dst"), "dst", "left_semi").select("src", "dst")
+
+
+class NotConverged(ArithmeticError):
+    """A power iteration whose rounds are spent."""
+
+
+def or_largest_strong(edges: DataFrame, measure, **options) -> DataFrame:
+    """measure of the graph; where it doesn't converge, of its largest strong component."""
+    try:
+        return measure(edges, **options)
+    except NotConverged:
+        return measure(largest_strong_component(edges), **options)
+
+
+def _settled(x: np.ndarray, step, max_iter: int, tol: float) -> np.ndarray:
+    """x after steps until one changes it by less than tol in all."""
+    if not len(x):
+        return x
+    for _ in range(max_iter):
+        new = step(x)
+        change, x = np.abs(new - x).sum(), new
+        if change < tol:
+            return x
+    raise NotConverged(f"no convergence in {max_iter} rounds")
+
+
 def pagerank(edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
-    """v, rank: power iteration; vertices without out-edges give to all; stops at an L1 change under n * tol."""
+    """v, rank: power iteration; vertices without out-edges give to all; stops at an L1 change under n * tol.
+
+    A round is one checkpoint and one row of totals for the driver: the change, and what the dangling vertices hold.
+    Raises NotConverged where max_iter rounds don't suffice.
+    """
+    small = Adjacency.of(edges, loops=True)
+    if small is not None:
+        n, ends = len(small.names), small.ends
+        out = np.diff(small.start)
+        rank = np.full(n, 1.0 / max(n, 1))
+
+        def step(x: np.ndarray) -> np.ndarray:
+            return (1 - alpha) / n + alpha * x[out == 0].sum() / n + alpha * np.bincount(small.to, x[ends] / out[ends], n)
+
+        return _table(edges, small, rank=_settled(rank, step, max_iter, n * tol))
     e = edges.select("src", "dst").distinct()
     out = e.groupBy("src").agg(F.count("*").alias("k"))
     links = cut(e.join(out, "src"))
-    nodes = cut(vertices(edges).join(out.withColumnRenamed("src", "v"), "v", "left").select("v", F.col("k").isNull().alias("dangling")))
-    n = nodes.count()
-    rank = cut(nodes.select("v", "dangling", F.lit(1.0 / max(n, 1)).alias("r")))
+    nodes = vertices(edges).join(out.withColumnRenamed("src", "v"), "v", "left").select("v", F.col("k").isNull().alias("dangling"))
+    rank = cut(nodes.withColumn("r", F.lit(1.0)))
+    n, lost = rank.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("dangling"), 1.0)), F.lit(0.0))).first()
+    if not n:
+        return rank.select("v", F.col("r").alias("rank"))
+    rank, lost = rank.withColumn("r", F.lit(1.0 / n)), lost / n
     for _ in range(max_iter):
-        lost = rank.filter("dangling").agg(F.coalesce(F.sum("r"), F.lit(0.0))).first()[0]
         given = links.join(rank.select(F.col("v").alias("src"), "r"), "src").groupBy(F.col("dst").alias("v")).agg(F.sum(F.col("r") / F.col("k")).alias("g"))
-        new = cut(rank.join(given, "v", "left").select("v", "dangling", "r", (F.lit((1 - alpha) / n + alpha * lost / n) + alpha * F.coalesce("g", F.lit(0.0))).alias("new")))
-        change = new.agg(F.sum(F.abs(F.col("new") - F.col("r")))).first()[0]
-        rank = new.select("v", "dangling", F.col("new").alias("r"))
-        if change is None or change < n * tol:
-            break
-    return rank.select("v", F.col("r").alias("rank"))
+        new = cut(rank.join(given, "v", "left").select("v", "dangling", F.col("r").alias("old"), (F.lit((1 - alpha) / n + alpha * lost / n) + alpha * F.coalesce("g", F.lit(0.0))).alias("r")))
+        change, lost = new.agg(F.sum(F.abs(F.col("r") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("r"))), F.lit(0.0))).first()
+        rank = new.select("v", "dangling", "r")
+        if change < n * tol:
+            return rank.select("v", F.col("r").alias("rank"))
+    raise NotConverged(f"no convergence in {max_iter} rounds")
 
 
 def hits(edges: DataFrame, max_iter: int = 1000, tol: float = 1e-8) -> DataFrame:
-    """v, hub, authority, each adding up to 1."""
+    """v, hub, authority, each adding up to 1: hubs by rounds of power iteration until their L1 change is under tol, with
+    one checkpoint and one row of totals a round. Raises NotConverged where max_iter rounds don't suffice."""
+    small = Adjacency.of(edges, loops=True)
+    if small is not None:
+        n, ends = len(small.names), small.ends
+
+        def authorities(hub: np.ndarray) -> np.ndarray:
+            return np.bincount(small.to, hub[ends], n)
+
+        def step(hub: np.ndarray) -> np.ndarray:
+            new = np.bincount(ends, authorities(hub)[small.to], n)
+            return new / (new.sum() or 1)
+
+        hub = _settled(np.full(n, 1.0 / max(n, 1)), step, max_iter, tol)
+        authority = authorities(hub)
+        return _table(edges, small, hub=hub, authority=authority / (authority.sum() or 1))
     e = cut(edges.select("src", "dst").distinct())
     state = cut(vertices(e).withColumn("hub", F.lit(1.0)))
+    n = state.count()
+    if not n:
+        return state.withColumn("authority", F.col("hub"))
+    state, total = state.withColumn("hub", F.lit(1.0 / n)), 1.0
 
-    def scaled(df: DataFrame, name: str) -> DataFrame:
-        total = df.agg(F.sum(name)).first()[0] or 1.0
-        return df.withColumn(name, F.col(name) / F.lit(float(total)))
+    def gathered(column: str, of: str, to: str, by: DataFrame) -> DataFrame:
+        return e.join(by.select(F.col("v").alias(of), column), of).groupBy(F.col(to).alias("v")).agg(F.sum(column).alias("g"))
 
-    state = cut(scaled(state, "hub"))
     for _ in range(max_iter):
-        auth = e.join(state.select(F.col("v").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("v")).agg(F.sum("hub").alias("authority"))
-        hub = e.join(auth.select(F.col("v").alias("dst"), "authority"), "dst").groupBy(F.col("src").alias("v")).agg(F.sum("authority").alias("new"))
-        both = cut(state.select("v", "hub").join(hub, "v", "left").join(auth, "v", "left").select("v", F.col("hub").alias("old"), F.coalesce("new", F.lit(0.0)).alias("hub"), F.coalesce("authority", F.lit(0.0)).alias("authority")))
-        both = cut(scaled(scaled(both, "hub"), "authority"))
-        change = both.agg(F.sum(F.abs(F.col("hub") - F.col("old")))).first()[0]
-        state = both.select("v", "hub", "authority")
-        if change is None or change < tol:
-            break
-    return state
+        authority = gathered("hub", "src", "dst", state).withColumnRenamed("g", "authority")
+        raw = gathered("authority", "dst", "src", authority)
+        both = cut(state.select("v", F.col("hub").alias("old")).join(raw, "v", "left").join(authority, "v", "left").select("v", "old", F.coalesce("g", F.lit(0.0)).alias("g"), F.coalesce("authority", F.lit(0.0)).alias("authority")))
+        total, held = both.agg(F.sum("g"), F.sum("authority")).first()
+        if not total:
+            return both.select("v", F.lit(0.0).alias("hub"), F.lit(0.0).alias("authority"))
+        state = both.select("v", (F.col("g") / total).alias("hub"), (F.col("authority") / held).alias("authority"), "old")
+        if state.agg(F.sum(F.abs(F.col("hub") - F.col("old")))).first()[0] < tol:
+            return state.select("v", "hub", "authority")
+    raise NotConverged(f"no convergence in {max_iter} rounds")
 
 
 def eigenvector(edges: DataFrame, max_iter: int = 1000, tol: float = 1e-6) -> DataFrame:
-    """v, value: left eigenvector centrality by power iteration on A + I, of length 1; stops at an L1 change under n * tol."""
+    """v, value: left eigenvector centrality by power iteration on A + I, of length 1; stops at an L1 change under n * tol.
+    One checkpoint a round. Raises NotConverged where max_iter rounds don't suffice."""
+    small = Adjacency.of(edges, loops=True)
+    if small is not None:
+        n, ends = len(small.names), small.ends
+
+        def step(x: np.ndarray) -> np.ndarray:
+            x = x + np.bincount(small.to, x[ends], n)
+            return x / (np.sqrt((x * x).sum()) or 1)
+
+        return _table(edges, small, value=_settled(np.full(n, 1.0 / max(n, 1) ** 0.5), step, max_iter, n * tol))
     e = cut(edges.select("src", "dst").distinct())
     state = cut(vertices(e).withColumn("x", F.lit(1.0)))
     n = state.count()
-    state = state.withColumn("x", F.lit(1.0 / max(n, 1) ** 0.5))
+    if not n:
+        return state.select("v", F.col("x").alias("value"))
+    state = state.withColumn("x", F.lit(1.0 / n**0.5))
     for _ in range(max_iter):
         given = e.join(state.select(F.col("v").alias("src"), "x"), "src").groupBy(F.col("dst").alias("v")).agg(F.sum("x").alias("g"))
         new = cut(state.join(given, "v", "left").select("v", F.col("x").alias("old"), (F.col("x") + F.coalesce("g", F.lit(0.0))).alias("x")))
-        norm = float(new.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0)
-        new = new.withColumn("x", F.col("x") / norm)
-        change = new.agg(F.sum(F.abs(F.col("x") - F.col("old")))).first()[0]
-        state = cut(new.select("v", "x"))
-        if change is None or change < n * tol:
-            break
-    return state.select("v", F.col("x").alias("value"))
+        norm = float(new.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0])
+        state = new.select("v", "old", (F.col("x") / norm).alias("x"))
+        if state.agg(F.sum(F.abs(F.col("x") - F.col("old")))).first()[0] < n * tol:
+            return state.select("v", F.col("x").alias("value"))
+        state = state.select("v", "x")
+    raise NotConverged(f"no convergence in {max_iter} rounds")
 
 
 def shortest_path_trees(edges: DataFrame) -> DataFrame:
@@ -238,7 +527,10 @@ def shortest_path_trees(edges: DataFrame) -> DataFrame:
 
 
 def betweenness(edges: DataFrame, normalized: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(v, value) and (src, dst, value): shortest paths through vertices and edges of a digraph, by Brandes' accumulation of all sources at once."""
+    """(v, value) and (src, dst, value): shortest paths through vertices and edges of a digraph, by Brandes' accumulation."""
+    small = Adjacency.of(edges)
+    if small is not None:
+        return _betweenness_of(edges, small, normalized)
     step = cut(edges.filter("src <> dst").select("src", "dst").distinct())
     tree = cut(shortest_path_trees(edges))
     # links of the trees: from v to a w one level further
@@ -266,6 +558,37 @@ def betweenness(edges: DataFrame, normalized: bool = False) -> tuple[DataFrame,
     return of_nodes, each.select("src", "dst", (F.coalesce("d", F.lit(0.0)) * edge_scale).alias("value"))
 
 
+def _dependencies(graph: Adjacency, sources: np.ndarray) -> np.ndarray:
+    """Dependencies of several sources on all vertices, then on all edges, added up."""
+    n, m = len(graph.names), len(graph.to)
+    paths = np.zeros(len(sources) * n)
+    own = np.arange(len(sources)) * n + sources
+    paths[own] = 1
+    steps = []
+    for _, origin, target, edge in graph.levels(sources):
+        paths += np.bincount(target, paths[origin], len(paths)) if len(target) else 0
+        steps.append((origin, target, edge))
+    delta, flow = np.zeros(len(paths)), np.zeros(m)
+    for origin, target, edge in reversed(steps):
+        share = paths[origin] / paths[target] * (1 + delta[target])
+        delta += np.bincount(origin, share, len(paths)) if len(origin) else 0
+        flow += np.bincount(edge, share, m) if len(edge) else 0
+    delta[own] = 0
+    return np.concatenate([delta.reshape(len(sources), n).sum(0), flow])
+
+
+def _betweenness_of(edges: DataFrame, graph: Adjacency, normalized: bool) -> tuple[DataFrame, DataFrame]:
+    n = len(graph.names)
+    got = searched(edges, graph, _dependencies)
+    node_scale = 1.0 / ((n - 1) * (n - 2)) if normalized and n > 2 else 1.0
+    edge_scale = 1.0 / (n * (n - 1)) if normalized and n > 1 else 1.0
+    kind = edges.schema["src"].dataType.simpleString()
+    names = pa.array(graph.names)
+    flows = pa.table({"src": names.take(pa.array(graph.ends)), "dst": names.take(pa.array(graph.to)), "value": pa.array(got[n:] * edge_scale)})
+    each = edges.sparkSession.createDataFrame(flows)
+    return _table(edges, graph, value=got[:n] * node_scale), each.select(F.col("src").cast(kind), F.col("dst").cast(kind), "value")
+
+
 def random_graph(spark, n: int, p: float, seed: int = 0) -> DataFrame:
     """Erdős–Rényi digraph on 0..n-1 without loops: each pair is an edge with probability p, from a seeded hash of the pair."""
     pairs = spark.range(n * n).select(F.floor(F.col("id") / n).alias("src"), (F.col("id") % n).alias("dst")).filter("src <> dst")

@@ -104,24 +104,90 @@ def reachable(g: Hypergraph, starts: DataFrame, removed: DataFrame | None = None
         n = now
 
 
+#: Vertices whose removal is tried at once.
+SCENARIOS = 1 << 14
+
+
 def criticality(g: Hypergraph, base: DataFrame) -> DataFrame:
     """code, criticality: how many vertices fewer are reached from the precursors and the base without each vertex; the base (one row, v) isn't rated."""
+    return criticality_and_reach(g, base)[0]
+
+
+def criticality_and_reach(g: Hypergraph, base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """criticality(), and reach(), which it finds on the way.
+
+    Without a vertex that no edge uses only itself is missing, so only the others are tried, SCENARIOS of them at a time.
+    """
     start = cut(precursors(g).union(base.select("v")).distinct())
     rated = cut(g.vertices.join(base, "v", "left_anti").select(F.col("v").alias("scenario")))
+    used = g.sources.select(F.col("v").alias("scenario")).distinct()
+    tried = cut(rated.join(used, "scenario", "left_semi"))
     whole = F.lit("")
-    starts = rated.crossJoin(start).filter("scenario <> v").union(start.select(whole.alias("scenario"), "v"))
-    got = reachable(g, starts, rated.select("scenario", F.col("scenario").alias("v"))).groupBy("scenario").agg(F.count("*").alias("n"))
-    full = got.filter("scenario = ''").agg(F.coalesce(F.max("n"), F.lit(0)).alias("n_all"))
-    out = rated.join(got, "scenario", "left").crossJoin(F.broadcast(full))  # full: one row
-    return out.select(F.col("scenario").alias("code"), (F.col("n_all") - F.coalesce("n", F.lit(0))).alias("criticality"))
-
-
-def ranked(c: DataFrame, g: Hypergraph, base: DataFrame) -> DataFrame:
-    """Criticality with competition rank, degrees and whether the vertex is a precursor."""
-    pre = precursors(g).withColumn("in_pre", F.lit(True))
+    batches = -(-tried.count() // SCENARIOS) or 1
+    full, counts = None, None
+    for i in range(batches):
+        some = tried.filter(F.pmod(F.xxhash64("scenario"), F.lit(batches)) == i)
+        starts = some.crossJoin(start).filter("scenario <> v")
+        if full is None:
+            starts = starts.union(start.select(whole.alias("scenario"), "v"))
+        got = reachable(g, starts, some.select("scenario", F.col("scenario").alias("v")))
+        if full is None:
+            full = got.filter("scenario = ''").select("v")
+        n = got.filter("scenario <> ''").groupBy("scenario").agg(F.count("*").alias("n"))
+        counts = n if counts is None else counts.union(n)
+    size = full.agg(F.count("*").alias("n_all"))
+    own = full.select(F.col("v").alias("scenario"), F.lit(1).alias("own"))
+    tested = tried.withColumn("tested", F.lit(True))
+    out = rated.join(counts, "scenario", "left").join(tested, "scenario", "left").join(own, "scenario", "left").crossJoin(F.broadcast(size))  # size: one row
+    value = F.when(F.col("tested"), F.col("n_all") - F.coalesce("n", F.lit(0))).otherwise(F.coalesce("own", F.lit(0)))
+    return out.select(F.col("scenario").alias("code"), value.cast("long").alias("criticality")), full
+
+
+def reach(g: Hypergraph, base: DataFrame) -> DataFrame:
+    """v: what is reached from the precursors and the base."""
+    return reachable(g, precursors(g).union(base.select("v")).distinct().select(F.lit("").alias("scenario"), "v")).select("v")
+
+
+def checked_base(g: Hypergraph, code: str) -> DataFrame:
+    """One row, v: a base material, which must be a vertex."""
+    base = g.vertices.filter(F.col("v") == code)
+    if base.isEmpty():
+        raise ValueError(f"{code} is no vertex")
+    return base
+
+
+def ranked(c: DataFrame, g: Hypergraph, reached: DataFrame) -> DataFrame:
+    """Criticality with competition rank, degrees, whether the vertex is reached and whether it is a precursor."""
+    marked = lambda df, name: df.select(F.col("v").alias("code"), F.lit(True).alias(name))
     out = c.withColumn("rank", F.rank().over(Window.orderBy(F.desc("criticality"))))
-    out = out.join(degrees(g).withColumnRenamed("v", "code"), "code").join(pre.withColumnRenamed("v", "code"), "code", "left")
-    return out.select("rank", "code", "criticality", "in_degree", "out_degree", F.coalesce("in_pre", F.lit(False)).alias("in_pre"))
+    out = out.join(degrees(g).withColumnRenamed("v", "code"), "code")
+    out = out.join(marked(reached, "in_reach"), "code", "left").join(marked(precursors(g), "in_pre"), "code", "left")
+    return out.select("rank", "code", "criticality", "in_degree", "out_degree", F.coalesce("in_reach", F.lit(False)).alias("in_reach"), F.coalesce("in_pre", F.lit(False)).alias("in_pre"))
+
+
+def report_summary(ranking: DataFrame, g: Hypergraph, reached: DataFrame) -> DataFrame:
+    """One row: vertices reached, precursors, how many codes share the third-highest criticality, and the first three codes with theirs."""
+    top = ranking.orderBy(F.desc("criticality"), "code").limit(3).agg(F.sort_array(F.collect_list(F.struct((-F.col("criticality")).alias("minus"), "code"))).alias("t"))
+    sizes = reached.agg(F.count("*").alias("reach")).crossJoin(F.broadcast(precursors(g).agg(F.count("*").alias("n_pre"))))
+    third = -F.get("t", F.size("t") - 1)["minus"]
+    tied = ranking.crossJoin(F.broadcast(top)).groupBy("t").agg(F.count_if(F.col("criticality") == third).alias("n_tied_with_third"))
+    columns = [x for i in range(3) for x in (F.coalesce(F.get("t", F.lit(i))["code"], F.lit("")).alias(f"top{i + 1}_code"), (-F.get("t", F.lit(i))["minus"]).alias(f"top{i + 1}_criticality"))]
+    return sizes.crossJoin(F.broadcast(tied)).select("reach", "n_pre", "n_tied_with_third", *columns)  # one row each
+
+
+def sides(entries: DataFrame) -> DataFrame:
+    """process, ins, outs: sets of codes of entries that have one, without any test of them; processes with neither side are left out."""
+    coded = entries.filter(F.col("code").isNotNull())
+    of = lambda k: F.array_sort(F.collect_set(F.when(F.col("side") == k, F.col("code"))))  # noqa: E731  a process's codes
+    return coded.groupBy("process").agg(of("in").alias("ins"), of("out").alias("outs"))
+
+
+def dihypergraph(entries: DataFrame) -> DataFrame:
+    """process, tail, head: the materials' names (or codes) of each side as sets; a process without any entry is left out."""
+    name = F.coalesce(F.nullif(F.col("code"), F.lit("")), F.nullif(F.col("name"), F.lit("")))
+    rows = entries.select("process", "side", name.alias("m")).filter("m IS NOT NULL")
+    of = lambda k: F.array_sort(F.collect_set(F.when(F.col("side") == k, F.col("m"))))
+    return rows.groupBy("process").agg(of("in").alias("tail"), of("out").alias("head"))
 
 
 def propagate(g: Hypergraph, seeds: DataFrame) -> DataFrame:

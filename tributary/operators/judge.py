@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import random
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import entry_class, has_code, is_six_digits
-from ..functions.text import contradicts, mentions
+from ..functions.text import contradicts, mentions, norm, usable_terms
 
 CRITERIA = ["process_plausible", "inputs_outputs_correct", "hs_codes_correct", "overall_correct"]
 
@@ -76,31 +78,65 @@ def modes_of_any(judged: DataFrame) -> DataFrame:
     return judged.filter(F.coalesce(F.col("error_mode") != "", F.lit(False))).groupBy("label", F.col("error_mode").alias("mode")).agg(F.count("*").alias("n"))
 
 
-def bootstrap_ci(judged: DataFrame, n_boot: int = 2000, seed: int = 0) -> DataFrame:
-    """Percentile interval of each label's and judge's precision by resampling, from Python's seeded generator.
+def bootstrap_ci(judged: DataFrame, n_boot: int = 2000, seed: int = 0, order: str = "key") -> DataFrame:
+    """Percentile interval of each label's and judge's precision by resampling its verdicts in their order.
 
-    The resamples of a group are drawn in one task from its two counts, in key order, so the group's rows don't travel.
+    The resamples are those of Python's seeded generator, one choice a draw. For this a group's verdicts meet in one task,
+    a byte each: a judge's cache of one label, which is bounded by what its verdicts cost. Larger groups: binomial_ci().
     """
+    bits = judged.select("label", "judge", F.col(order).alias("o"), yes("overall_correct").cast("byte").alias("bit"))
+
+    def draw(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("o", kind="stable")
+        return pd.DataFrame([(f.label.iloc[0], f.judge.iloc[0], *interval(f.bit.to_numpy(), n_boot, seed))], columns=["label", "judge", "ci_lo", "ci_hi"])
+
+    return bits.groupBy("label", "judge").applyInPandas(draw, "label string, judge string, ci_lo double, ci_hi double")
+
+
+def interval(bits, n_boot: int = 2000, seed: int = 0) -> tuple[float, float]:
+    """The interval of the bits' mean; (0, 0) without any.
+
+    Choices of Python's generator are its 32-bit numbers cut to the bits that n needs, those of n and more passed over;
+    numpy draws the same numbers many at a time.
+    """
+    bits = np.asarray(bits, np.int64)
+    n = len(bits)
+    if not n:
+        return 0.0, 0.0
+    state = random.Random(seed).getstate()[1]
+    source = np.random.RandomState()
+    source.set_state(("MT19937", np.array(state[:-1], np.uint32), state[-1]))
+    shift = np.uint32(32 - n.bit_length())
+    means, held = [], np.zeros(0, np.int64)
+    step = max(1, (1 << 22) // n)
+    while len(means) < n_boot:
+        want = min(step, n_boot - len(means)) * n
+        while len(held) < want:
+            raw = source.randint(0, 1 << 32, size=want, dtype=np.uint32) >> shift
+            held = np.concatenate([held, raw[raw < n].astype(np.int64)])
+        means += (bits[held[:want]].reshape(-1, n).sum(1) / n).tolist()
+        held = held[want:]
+    means.sort()
+    return means[int(0.025 * n_boot)], means[int(0.975 * n_boot) - 1]
+
+
+def binomial_ci(judged: DataFrame, n_boot: int = 2000, seed: int = 0) -> DataFrame:
+    """As bootstrap_ci() for groups of any size: a resample's correct verdicts are a binomial draw from the group's two
+    counts, which is all that travels. Seeded by the group's names."""
     counts = judged.groupBy("label", "judge").agg(F.count("*").alias("n"), F.count_if(yes("overall_correct")).alias("k"))
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for r in f.itertuples():
-                out.append((r.label, r.judge, *interval([1] * r.k + [0] * (r.n - r.k), n_boot, seed)))
+                g = np.random.default_rng([seed, zlib.crc32(f"{r.label}/{r.judge}".encode())])
+                means = np.sort(g.binomial(r.n, r.k / r.n, n_boot) / r.n)
+                out.append((r.label, r.judge, means[int(0.025 * n_boot)], means[int(0.975 * n_boot) - 1]))
             yield pd.DataFrame(out, columns=["label", "judge", "ci_lo", "ci_hi"])
 
     return counts.mapInPandas(draw, "label string, judge string, ci_lo double, ci_hi double")
 
 
-def interval(bits: list[int], n_boot: int, seed: int) -> tuple[float, float]:
-    if not bits:
-        return 0.0, 0.0
-    generator, n = random.Random(seed), len(bits)
-    means = sorted(sum(generator.choices(bits, k=n)) / n for _ in range(n_boot))
-    return means[int(0.025 * n_boot)], means[int(0.975 * n_boot) - 1]
-
-
 def gate_audit(entries: DataFrame, processes: DataFrame, registry: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row: processes, those unscored or below the threshold, and those with untyped or unregistered entries."""
     known = registry.select("code").distinct().withColumn("known", F.lit(True))
@@ -117,6 +153,15 @@ def invalid_edges(entries: DataFrame, nomenclature: DataFrame) -> DataFrame:
     return entries.filter(has_code(F.col("code"))).join(nomenclature.select("code"), "code", "left_anti").select("process").distinct()
 
 
+def state_audit(entries: DataFrame, registry: DataFrame, nomenclature: DataFrame) -> DataFrame:
+    """One row: registered materials, how many of these the nomenclature has, processes, and those with an invalid code."""
+    known = registry.select("code").join(nomenclature.select("code").distinct().withColumn("ok", F.lit(True)), "code", "left")
+    materials = known.agg(F.count("*").alias("n_registered"), F.count_if(yes("ok")).alias("n_valid"))
+    edges = entries.agg(F.count_distinct("process").alias("n_processes"))
+    bad = invalid_edges(entries.filter(is_six_digits(F.col("code"))), nomenclature).agg(F.count("*").alias("n_invalid_edges"))
+    return materials.crossJoin(F.broadcast(edges)).crossJoin(F.broadcast(bad))  # one row each
+
+
 def judge_on(judged: DataFrame, keys: DataFrame) -> DataFrame:
     """One row per judge: verdicts on these keys, how many are correct, and their share (0 without any)."""
     hit = judged.join(keys, "key", "left_semi")
@@ -136,6 +181,33 @@ def evidence(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return terms.select("process").join(got, "process", "left").select("process", yes("any_mention").alias("any_mention"), yes("grounded").alias("grounded"))
 
 
+def side_terms(entries: DataFrame, registry: DataFrame) -> DataFrame:
+    """process, ins, outs: the terms of each side's entries, for evidence().
+
+    An entry's terms are its own name and, if its code is registered, the name and aliases there; normalised, distinct, and
+    without terms too short or too common to ground a material.
+    """
+    known = registry.select("code", F.col("name").alias("_name"), "aliases")
+    rows = entries.join(known, "code", "left")
+    empty = F.array().cast("array<string>")
+    names = F.concat(F.array("name", "_name"), F.coalesce("aliases", empty))
+    terms = usable_terms(F.filter(F.transform(names, lambda x: norm(F.coalesce(x, F.lit("")))), lambda x: x != ""))
+    side = lambda k: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("side") == k, F.col("t"))))))
+    return rows.withColumn("t", terms).groupBy("process").agg(side("in").alias("ins"), side("out").alias("outs"))
+
+
+def evidence_summary(support: DataFrame) -> DataFrame:
+    """One row: processes, and the shares of those with any mention and of those grounded by one reference."""
+    share = lambda c: F.coalesce(F.count_if(F.col(c)) / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0))
+    return support.agg(F.count("*").alias("n_processes"), share("any_mention").alias("any_rate"), share("grounded").alias("grounded_rate"))
+
+
+def ranked_modes(judged: DataFrame) -> DataFrame:
+    """mode, n of all wrong verdicts, the most frequent first in place (ties by name)."""
+    pooled = error_modes(judged).filter("pooled = 1").groupBy("mode").agg(F.sum("n").alias("n"))
+    return pooled.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "mode")))
+
+
 def route_recall(routes: DataFrame, processes: DataFrame) -> DataFrame:
     """Per route its best status: strict (both sides within a process's), lenient (both overlap) or miss.
 

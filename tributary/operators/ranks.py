@@ -149,3 +149,11 @@ def tie_averaged(runs: DataFrame, pairs: DataFrame, p: float = 0.98, k: int = 10
 
     kind = runs.schema["run"].dataType.simpleString()
     return rows.select("left_run", "right_run", "seed", "a", "b").mapInPandas(run, f"left_run {kind}, right_run {kind}, rbo double, overlap double, jaccard double")
+
+
+def stability(compared_: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of comparisons (rbo, overlap) as one row of statistics, for each group."""
+    rbo, top = (stats(compared_, c, by) for c in ("rbo", "overlap"))
+    rbo = rbo.select(*by, *[F.col(c).alias(f"rbo_{c}") for c in ("mean", "sd", "sd_pop", "min", "max")])
+    top = top.select(*by, F.col("mean").alias("overlap_mean"), F.col("sd").alias("overlap_sd"))
+    return rbo.join(top, by) if by else rbo.crossJoin(F.broadcast(top))  # one row each

@@ -66,6 +66,8 @@ def cached(materials: DataFrame, buckets: DataFrame) -> DataFrame:
     return materials.withColumn("key", key).join(buckets, "key", "left").drop("key")
 
 
-def sampled(df: DataFrame, n: int, seed: int | None = None) -> DataFrame:
-    """n rows at random."""
-    return df.orderBy(F.rand(seed)).limit(n)
+def sampled(df: DataFrame, n: int, key: str, seed: int | None = None) -> DataFrame:
+    """n rows at random; with a seed those whose keys come first by a hash, however the rows are partitioned."""
+    if seed is None:
+        return df.orderBy(F.rand()).limit(n)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)

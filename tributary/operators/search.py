@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import distance_score
 
-#: Bytes of query vectors that are broadcast at most; beyond that they are joined in blocks.
+#: Bytes of query vectors in a block; a block is broadcast at a time.
 BROADCAST_QUERIES = 64 << 20
 
 
@@ -27,13 +29,22 @@ def cosine(a: Column, b: Column) -> Column:
 def knn(index: DataFrame, queries: DataFrame, k: int = 5, measure: str = "l2") -> DataFrame:
     """query, rank, id, score: each query's k nearest rows; measure l2 (score 1 / (1 + d)), raw (squared distance) or cosine.
 
-    index: id, vector; queries: query, vector. The queries are a stated set: every row is compared with each, block by
-    block; each task keeps k rows a query before they are ranked together. k is clamped to at least 1.
+    index: id, vector; queries: query, vector. The queries are a stated set: every row is compared with each, a block of
+    queries of BROADCAST_QUERIES bytes at a time; each task keeps k rows a query before they are ranked together. k is
+    clamped to at least 1, and to the rows there are.
     """
     k = max(k, 1)
     q = queries.select("query", F.col("vector").alias("q"))
     size = q.agg(F.sum(F.size("q") * 8)).first()[0] or 0
-    pairs = index.crossJoin(F.broadcast(q) if size <= BROADCAST_QUERIES else q)
+    blocks = -(-size // BROADCAST_QUERIES) or 1
+    if blocks == 1:
+        return _nearest(index, q, k, measure)
+    dealt = q.withColumn("_block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+    return reduce(DataFrame.union, [_nearest(index, dealt.filter(F.col("_block") == i).drop("_block"), k, measure) for i in range(blocks)])
+
+
+def _nearest(index: DataFrame, q: DataFrame, k: int, measure: str) -> DataFrame:
+    pairs = index.crossJoin(F.broadcast(q))  # a block of the stated queries
     if measure == "cosine":
         value = cosine(F.col("vector"), F.col("q"))
         order = [F.desc("score"), F.asc("id")]
@@ -46,14 +57,15 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 5, measure: str = "l2") -
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).filter(F.col("rank") <= k).select("query", "rank", "id", "score")
 
 
-def chunks(docs: DataFrame, id_: str, text: str, shortest: int = 300, longest: int = 500, overlap: float = 0.15, head: int = 4096) -> DataFrame:
+def chunks(docs: DataFrame, id_: str, text: str, shortest: int = 300, longest: int = 500, overlap: float = 0.15, head: int | None = None) -> DataFrame:
     """id, chunk (from 0, of those kept), tokens, text: windows of a text's tokens (runs without white space), as the index takes them.
 
-    The index reads the first head tokens of a document; windows start at every int(longest * (1 - overlap)) tokens until
-    one reaches the end, and count from shortest tokens on.
+    Windows start at every int(longest * (1 - overlap)) tokens until one reaches the end, and count from shortest tokens
+    on. head: tokens of a document that an index with a bounded input reads (4096 in one of them); all, unless it is given.
     """
     stride = int(longest * (1 - overlap))
-    words = F.slice(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\\s+"), lambda w: w != ""), 1, head)
+    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\\s+"), lambda w: w != "")
+    words = words if head is None else F.slice(words, 1, head)
     rows = docs.select(F.col(id_).alias("id"), words.alias("w")).withColumn("n", F.size("w"))
     last = F.greatest(F.lit(0), F.ceil((F.col("n") - longest) / stride).cast("int"))
     starts = F.transform(F.sequence(F.lit(0), last), lambda i: i * stride)

@@ -8,7 +8,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.codes import is_six_digits
 from ..functions.text import without_fragment
+from ..plans.lineage import cut
 
 
 def insert(table: DataFrame, rows: DataFrame, key: str, overwrite: bool = False) -> DataFrame:
@@ -47,14 +49,15 @@ def remove_references(refs: DataFrame, gone: DataFrame) -> DataFrame:
 def add_entries(entries: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entries with the new ones that don't stand on the other side of their process (by code, or a bare name), and the ones rejected for that.
 
-    New ones that are there already are ignored.
+    New ones that are there already are ignored; of new ones that say the same the first by code and name counts.
     """
     ident = F.coalesce(F.col("code"), F.lower("name"))
     held = entries.select("process", "side", ident.alias("_e")).distinct()
     marked = new.withColumn("_e", ident)
     other = held.select("process", "_e", F.when(F.col("side") == "in", "out").otherwise("in").alias("side"))
     rejected = marked.join(other, ["process", "side", "_e"], "left_semi")
-    fine = marked.join(other, ["process", "side", "_e"], "left_anti").join(held, ["process", "side", "_e"], "left_anti").dropDuplicates(["process", "side", "_e"])
+    fine = marked.join(other, ["process", "side", "_e"], "left_anti").join(held, ["process", "side", "_e"], "left_anti")
+    fine = fine.withColumn("_r", F.row_number().over(Window.partitionBy("process", "side", "_e").orderBy("name", *[c for c in entries.columns if c == "pos"]))).filter("_r = 1")
     return entries.unionByName(fine.select(*entries.columns)), rejected.select(*entries.columns)
 
 
@@ -103,22 +106,6 @@ def makers(entries: DataFrame, code: DataFrame) -> DataFrame:
     return entries.filter("side = 'out'").join(code.select("code").distinct(), "code", "left_semi").select("code", "process").distinct()
 
 
-#: Instructions that apply() knows: kind, and the columns it reads of process, side, code, name, url.
-KINDS = ("AddProcess", "RemoveProcess", "AddMaterial", "RemoveMaterial", "AddReference")
-
-
-def apply(state: dict[str, DataFrame], instructions: DataFrame) -> dict[str, DataFrame]:
-    """The state (processes, materials, refs) after instructions (pos, kind, ...); the last one for a key decides, unknown kinds change nothing."""
-    last = instructions.filter(F.col("kind").isin(*KINDS))
-    rank = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(F.desc("pos")))
-    of = lambda kinds, key: last.filter(F.col("kind").isin(*kinds)).withColumn("_r", rank(key)).filter("_r = 1")
-    p, m = of(["AddProcess", "RemoveProcess"], "process"), of(["AddMaterial", "RemoveMaterial"], "code")
-    processes = state["processes"].join(p.select("process"), "process", "left_anti").unionByName(p.filter("kind = 'AddProcess'").select("process"), allowMissingColumns=True)
-    materials = state["materials"].join(m.select("code"), "code", "left_anti").unionByName(m.filter("kind = 'AddMaterial'").select("code", "name"), allowMissingColumns=True)
-    refs = add_references(state["refs"], last.filter("kind = 'AddReference'").select("process", "url", "pos"))
-    return {"processes": processes, "materials": materials, "refs": refs}
-
-
 # Lists of a configuration or of an analysis context: questions, constraints, materials, references.
 
 
@@ -159,3 +146,72 @@ def refined(state: Any, generate: Callable[[Any, float], Any], review: Callable[
         if not updated and i + 1 >= min_reviews:
             break
     return state
+
+
+# Lookups and filters of the research folders.
+
+
+def unmined(materials: DataFrame) -> DataFrame:
+    """Materials to research: those that aren't mined; without a mark they aren't."""
+    return materials.filter(~F.coalesce("mined", F.lit(False)))
+
+
+def wanted(materials: DataFrame, codes: list[str] | None) -> DataFrame:
+    """Materials of a list of codes; all of them without one."""
+    return materials if codes is None else materials.filter(F.col("code").isin(codes))
+
+
+def unknown(suggested: DataFrame, materials: DataFrame) -> DataFrame:
+    """Suggested codes that aren't registered, each once."""
+    return suggested.select("code").filter("code <> ''").distinct().join(materials.select("code"), "code", "left_anti")
+
+
+def settled(processes_of: DataFrame) -> DataFrame:
+    """code, settled: whether research on a material may be skipped: it has a process, and all of them have a score. processes_of: code, score."""
+    return processes_of.groupBy("code").agg((F.count("*") == F.count("score")).alias("settled"))
+
+
+def listed_references(cached: DataFrame, failed: bool = False) -> DataFrame:
+    """Lines for cached references (url, error): those without an error, on demand also those with one, which are marked."""
+    line = F.when(F.col("error").isNull(), F.concat(F.lit("- "), "url")).otherwise(F.concat(F.lit("- [FAILED] "), "url"))
+    return cached.select("url", "error", line.alias("line")).filter(F.lit(failed) | F.col("error").isNull())
+
+
+def material_lookup(materials: DataFrame) -> DataFrame:
+    """key, code: every id, name and label of the materials (by pos); of a key that several have the last one's counts."""
+    keys = materials.select("code", "pos", F.explode(F.array("id", "name", "label")).alias("key")).filter("key <> ''")
+    return keys.groupBy("key").agg(F.max_by("code", "pos").alias("code"))
+
+
+def linked_processes(entries: DataFrame, codes: DataFrame) -> DataFrame:
+    """code, process, role of the processes a material takes part in; on both sides it is a precursor."""
+    rows = entries.join(codes.select("code").distinct(), "code", "left_semi")
+    return rows.groupBy("code", "process").agg(F.when(F.bool_or(F.col("side") == "in"), "precursor").otherwise("product").alias("role"))
+
+
+def other_than_parent(components: DataFrame) -> DataFrame:
+    """Components (parent, child) that aren't their own parent's name."""
+    return components.filter(F.col("child") != F.col("parent"))
+
+
+def all_codes(states: list[DataFrame]) -> DataFrame:
+    """The six-digit codes that any of several states registers."""
+    out = states[0].select("code")
+    for s in states[1:]:
+        out = out.union(s.select("code"))
+    return out.filter(is_six_digits(F.col("code"))).distinct()
+
+
+def component_tree(children: DataFrame, root: str, leaves: tuple[str, ...] = ("raw", "software", "equipment"), depth: int = 3) -> DataFrame:
+    """parent, child, level of the tree under root: children (parent, child, kind) level by level, depth levels at most.
+
+    Kinds in leaves aren't grown further. A child that several parents share is there for each of them.
+    """
+    edges = cut(other_than_parent(children).select("parent", "child", "kind").distinct())
+    level = cut(edges.filter(F.col("parent") == root).withColumn("level", F.lit(1)))
+    out = level
+    for i in range(2, depth + 1):
+        grow = level.filter(~F.col("kind").isin(list(leaves))).select(F.col("child").alias("parent")).distinct()
+        level = cut(edges.join(grow, "parent").withColumn("level", F.lit(i)))
+        out = out.union(level.select(out.columns))
+    return out.select("parent", "child", "kind", "level")

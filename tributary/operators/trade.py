@@ -33,25 +33,25 @@ def imports(trade: DataFrame, reporter: int, codes: DataFrame | None = None) ->
     return out if codes is None else out.join(codes.select("code").distinct(), "code", "left_semi")
 
 
-def import_share(trade: DataFrame, buckets: DataFrame, partners: DataFrame, reporter: int) -> DataFrame:
+def import_share(trade: DataFrame, buckets: DataFrame, partners: DataFrame, reporter: int, ordinal: str = "pos") -> DataFrame:
     """Per material, code and year the exporters' shares of a reporter's imports, with ranks.
 
-    A value counts for every material that claims its code. Ranks go by share, ties by partner code. Codes' claims and
-    partners are dimension tables: Spark broadcasts them if they are small, and joins by sort beyond that.
+    A value counts for every material that claims its code. Values and shares are rounded to two digits; ranks go by the
+    rounded share, ties by who was encountered first (the smallest ordinal of the flows). Codes' claims and partners are
+    dimension tables: Spark broadcasts them if they are small, and joins by sort beyond that.
     """
-    flows = imports(trade, reporter).groupBy("code", "partner", "year").agg(F.sum(F.coalesce("value", F.lit(0))).alias("value"))
+    flows = imports(trade, reporter).groupBy("code", "partner", "year").agg(F.sum(F.coalesce("value", F.lit(0))).alias("value"), F.min(ordinal).alias("pos"))
     claimed = flows.join(buckets.select("material", "code", "quality"), "code")
-    sums = claimed.groupBy("material", "code", "quality", "partner", "year").agg(F.sum("value").alias("value"))
+    sums = claimed.groupBy("material", "code", "quality", "partner", "year").agg(F.sum("value").alias("value"), F.min("pos").alias("pos"))
     group = Window.partitionBy("material", "code", "year")
     total = F.sum("value").over(group).cast("double")
-    share = F.when(total > 0, F.col("value").cast("double") / total * 100).otherwise(0.0)
-    ranked = sums.withColumn("import_share_pct", share)
-    ranked = ranked.withColumn("exporter_rank", F.row_number().over(group.orderBy(F.desc("import_share_pct"), "partner")))
+    ranked = sums.withColumn("import_share_pct", F.round(share_of(F.col("value").cast("double"), total), 2))
+    ranked = ranked.withColumn("exporter_rank", F.row_number().over(group.orderBy(F.desc("import_share_pct"), "pos", "partner")))
     named = ranked.join(partner_names(partners).withColumnRenamed("code", "partner"), "partner", "left")
     return named.select(
         "material", F.col("code").alias("hs_bucket"), F.col("quality").alias("hs_bucket_quality"), "year",
         F.coalesce("name", F.format_string("Unknown (%d)", "partner")).alias("exporter"), F.coalesce("iso3", F.lit("")).alias("exporter_iso3"),
-        F.col("value").cast("double").alias("import_value_usd"), "import_share_pct", "exporter_rank",
+        F.round("value", 2).cast("double").alias("import_value_usd"), "import_share_pct", "exporter_rank",
     )
 
 
@@ -110,4 +110,39 @@ def newest_file_wins(flows: DataFrame, year: str = "year", position: str = "file
 
 
 def share_of(value: Column, total: Column) -> Column:
+    """In percent; 0 without a total."""
     return F.when(total > 0, value / total * 100).otherwise(0.0)
+
+
+def partner_table(rows: DataFrame, ordinal: str) -> DataFrame:
+    """code, iso3, name of all partner areas, groups too; of a code that repeats the last row counts."""
+    return last_wins(rows, ["code"], ordinal).select("code", "iso3", "name")
+
+
+def described(codes: DataFrame, descriptions: DataFrame, fallback: str = "description") -> DataFrame:
+    """codes with the nomenclature's text for their code; a column of their own only where the nomenclature lacks the code."""
+    known = descriptions.select("code", F.col("text").alias("_text"), F.lit(True).alias("_known"))
+    out = codes.join(known, "code", "left")
+    return out.withColumn(fallback, F.when(F.col("_known"), F.col("_text")).otherwise(F.col(fallback))).drop("_text", "_known")
+
+
+def distinct_codes(buckets: DataFrame) -> DataFrame:
+    """One row: how many codes all materials' buckets hold."""
+    return buckets.agg(F.count_distinct("code").alias("n_codes"))
+
+
+def dominant_report(flows: DataFrame, graph, threshold: float = 0.75) -> DataFrame:
+    """code, supplier, share, n_dependents: codes with a dominant supplier and how many others fall with each of them."""
+    from . import hyper
+
+    found = first_dominant(flows, threshold)
+    fell = hyper.propagate(graph, found.select(F.col("code").alias("scenario"), F.col("code").alias("v")).join(graph.vertices, "v", "left_semi"))
+    others = fell.filter("scenario <> v").groupBy(F.col("scenario").alias("code")).agg(F.count("*").alias("n_dependents"))
+    return found.join(others, "code", "left").select("code", "supplier", "share", F.coalesce("n_dependents", F.lit(0)).alias("n_dependents"))
+
+
+def perspective(name: str) -> int:
+    """The reporter of a perspective; only the United States' is supported."""
+    if name != "US":
+        raise ValueError(f"perspective {name} isn't supported")
+    return 842

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import codes, text
-from ..operators import dists, graphs, hyper, judge, ranks, references, report, search, state, trade
+from ..operators import dists, graphs, hyper, instructions, judge, ranks, references, report, search, state, trade
 from ..sources import files, sinks
 from ..streaming import ingest
 from .lineage import checkpoint_dir
@@ -40,15 +41,15 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- trade
 
-_SHARES = f""", flows AS (SELECT code, partner, year, sum(value) AS value FROM trade WHERE reporter = {fx.REPORTER} GROUP BY code, partner, year),
-claimed AS (SELECT material, code, quality, partner, year, sum(value) AS value FROM flows JOIN buckets USING (code) GROUP BY ALL),
-shared AS (SELECT *, CASE WHEN sum(value) OVER g > 0 THEN value::DOUBLE / (sum(value) OVER g)::DOUBLE * 100 ELSE 0 END AS import_share_pct
+_SHARES = f""", flows AS (SELECT code, partner, year, sum(value) AS value, min(pos) AS pos FROM trade WHERE reporter = {fx.REPORTER} GROUP BY code, partner, year),
+claimed AS (SELECT material, code, quality, partner, year, sum(value) AS value, min(pos) AS pos FROM flows JOIN buckets USING (code) GROUP BY ALL),
+shared AS (SELECT *, round(CASE WHEN sum(value) OVER g > 0 THEN value::DOUBLE / (sum(value) OVER g)::DOUBLE * 100 ELSE 0 END, 2) AS import_share_pct
   FROM claimed WINDOW g AS (PARTITION BY material, code, year))"""
 
 
 @query(fx.sql("""SELECT material, s.code AS hs_bucket, quality AS hs_bucket_quality, year, coalesce(p.name, 'Unknown (' || partner || ')') AS exporter,
-  coalesce(p.iso3, '') AS exporter_iso3, value::DOUBLE AS import_value_usd, import_share_pct,
-  row_number() OVER (PARTITION BY material, s.code, year ORDER BY import_share_pct DESC, partner)::INT AS exporter_rank
+  coalesce(p.iso3, '') AS exporter_iso3, round(value, 2)::DOUBLE AS import_value_usd, import_share_pct,
+  row_number() OVER (PARTITION BY material, s.code, year ORDER BY import_share_pct DESC, s.pos, partner)::INT AS exporter_rank
 FROM shared s LEFT JOIN (SELECT * FROM partners WHERE NOT is_group) p ON p.code = s.partner""", "trade", "buckets", "partners", more=_SHARES))
 def trade_import_share(spark: SparkSession, d: str) -> DataFrame:
     return trade.import_share(v(spark, d, "trade"), v(spark, d, "buckets"), v(spark, d, "partners"), fx.REPORTER)
@@ -201,10 +202,11 @@ FROM verts x WHERE x.v <> (SELECT v FROM base)"""
 
 
 @query(fx.sql(f"""SELECT (rank() OVER (ORDER BY criticality DESC))::INT AS rank, code, criticality, (SELECT count(*) FROM tgt t WHERE t.v = c.code) AS in_degree,
-  (SELECT count(*) FROM src s WHERE s.v = c.code) AS out_degree, code IN (SELECT v FROM pre) AS in_pre FROM ({_CRIT}) c""", "entries", "registry", more=_graph() + _fixpoint(_SCENARIOS, _REMOVED)))
+  (SELECT count(*) FROM src s WHERE s.v = c.code) AS out_degree, code IN (SELECT v FROM made{ROUNDS} WHERE scenario = '') AS in_reach, code IN (SELECT v FROM pre) AS in_pre FROM ({_CRIT}) c""", "entries", "registry", more=_graph() + _fixpoint(_SCENARIOS, _REMOVED)))
 def criticality_ranked(spark: SparkSession, d: str) -> DataFrame:
     g = _hyper(spark, d)
-    return hyper.ranked(hyper.criticality(g, _base(g)), g, _base(g))
+    rated, reached = hyper.criticality_and_reach(g, _base(g))
+    return hyper.ranked(rated, g, reached)
 
 
 @query(fx.sql(_CRIT, "entries", "registry", more=_graph(False) + _fixpoint(_SCENARIOS, _REMOVED)))
@@ -317,6 +319,26 @@ def judge_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return judge.bootstrap_ci(v(spark, d, "judged"))
 
 
+@query()
+def judge_binomial_ci(spark: SparkSession, d: str) -> DataFrame:
+    return judge.binomial_ci(v(spark, d, "judged"))
+
+
+@query(fx.sql(f"""SELECT mode, n, row_number() OVER (ORDER BY n DESC, mode)::INT AS place FROM (SELECT mode, count(*)::BIGINT AS n FROM (SELECT coalesce(nullif(error_mode, ''), 'unspecified') AS mode FROM judged WHERE NOT coalesce(overall_correct, false)) GROUP BY mode)""", "judged"))
+def error_modes_ranked(spark: SparkSession, d: str) -> DataFrame:
+    return judge.ranked_modes(v(spark, d, "judged"))
+
+
+_LISTED = "SELECT code FROM registry WHERE code NOT LIKE '%5'"
+
+
+@query(fx.sql(f"""SELECT (SELECT count(*) FROM registry) AS n_registered, (SELECT count(*) FROM registry WHERE code IN ({_LISTED})) AS n_valid, count(DISTINCT process) AS n_processes,
+  (SELECT count(DISTINCT process) FROM entries WHERE regexp_matches(code, '^[0-9]{{6}}$') AND code NOT IN ({_LISTED})) AS n_invalid_edges FROM entries""", "entries", "registry"))
+def state_audit(spark: SparkSession, d: str) -> DataFrame:
+    registry = v(spark, d, "registry")
+    return judge.state_audit(v(spark, d, "entries"), registry, registry.filter("code NOT LIKE '%5'"))
+
+
 _MODE = "SELECT label, judge, coalesce(nullif(error_mode, ''), 'unspecified') AS mode FROM judged WHERE NOT coalesce(overall_correct, false)"
 
 
@@ -340,21 +362,36 @@ def _norm_sql(x: str) -> str:
 
 
 _GENERIC = ", ".join(f"'{x}'" for x in text.GENERIC_TERMS)
-_TERMS = f""", words AS (SELECT item_id AS process, pos, term FROM (SELECT item_id, unnest(string_split({_norm_sql('text')}, ' ')) AS term, generate_subscripts(string_split({_norm_sql('text')}, ' '), 1) AS pos FROM benchmark)
-  WHERE length(term) >= 4 AND term NOT IN ({_GENERIC})),
-sides AS (SELECT DISTINCT process, term, pos % 2 AS side FROM words), texts AS (SELECT doc_id % (SELECT max(item_id) + 1 FROM benchmark) AS process, doc_id, {_norm_sql('text')} AS text FROM documents),
+_TERMS = f""", parts AS (SELECT item_id, string_split({_norm_sql('text')}, ' ') AS w FROM benchmark), own AS (SELECT item_id, unnest(w) AS name, generate_subscripts(w, 1) AS pos FROM parts),
+named AS (SELECT item_id, pos % 2 AS side, name AS term FROM own UNION ALL SELECT item_id, pos % 2, unnest([w[1], w[2], concat_ws(' ', w[3], w[4])]) FROM own JOIN parts USING (item_id) WHERE pos % 3 = 0),
+sides AS (SELECT DISTINCT item_id AS process, term, side FROM named WHERE CASE WHEN contains(term, ' ') THEN length(term) >= 3 ELSE length(term) >= 4 AND term NOT IN ({_GENERIC}) END),
+texts AS (SELECT doc_id % (SELECT max(item_id) + 1 FROM benchmark) AS process, doc_id, {_norm_sql('text')} AS text FROM documents),
 hits AS (SELECT t.process, doc_id, bool_or(side = 1) AS i, bool_or(side = 0) AS o FROM texts t JOIN sides s ON s.process = t.process AND contains(t.text, s.term)
-  AND regexp_matches(t.text, '(^|[^a-z0-9])' || replace(replace(s.term, '+', '\\+'), '-', '\\-') || '([^a-z0-9]|$)') GROUP BY ALL)"""
+  AND regexp_matches(t.text, '(^|[^a-z0-9])' || replace(replace(s.term, '+', '\\+'), '-', '\\-') || '([^a-z0-9]|$)') GROUP BY ALL),
+support AS (SELECT item_id AS process, coalesce(bool_or(i OR o), false) AS any_mention, coalesce(bool_or(i AND o), false) AS grounded FROM benchmark LEFT JOIN hits ON process = item_id GROUP BY item_id)"""
 
 
-@query("WITH " + _TERMS[2:] + """ SELECT item_id AS process, coalesce(bool_or(i OR o), false) AS any_mention, coalesce(bool_or(i AND o), false) AS grounded FROM benchmark LEFT JOIN hits ON process = item_id GROUP BY item_id""")
-def evidence_support(spark: SparkSession, d: str) -> DataFrame:
+def _support(spark: SparkSession, d: str) -> DataFrame:
+    """Items of the benchmark as processes: their words are entries, odd ones inputs; every third has the item's registered code."""
     items = t(spark, d, "benchmark").select(F.col("item_id").alias("process"), F.split(text.norm(F.col("text")), " ").alias("w"))
-    side = lambda k: text.usable_terms(F.filter("w", lambda x, i: (i + 1) % 2 == k))
-    terms = items.select("process", side(1).alias("ins"), side(0).alias("outs"))
-    n = t(spark, d, "benchmark").agg((F.max("item_id") + 1).alias("n"))
-    texts = t(spark, d, "documents").crossJoin(F.broadcast(n)).select((F.col("doc_id") % F.col("n")).alias("process"), text.norm(F.col("text")).alias("text"))  # n: one row
-    return judge.evidence(texts, terms)
+    code = F.format_string("1%05d", "process")
+    words = items.select("process", F.posexplode("w").alias("i", "name")).withColumn("n", F.col("i") + 1)
+    entries = words.select("process", F.when(F.col("n") % 2 == 1, "in").otherwise("out").alias("side"), F.when(F.col("n") % 3 == 0, code).alias("code"), "name")
+    at = lambda i: F.get("w", F.lit(i))
+    registry = items.select(code.alias("code"), at(0).alias("name"), F.array(at(1), F.concat_ws(" ", at(2), at(3))).alias("aliases"))
+    docs = t(spark, d, "documents").crossJoin(F.broadcast(items.agg((F.max("process") + 1).alias("k"))))  # k: one row
+    texts = docs.select((F.col("doc_id") % F.col("k")).alias("process"), text.norm(F.col("text")).alias("text"))
+    return judge.evidence(texts, judge.side_terms(entries, registry))
+
+
+@query("WITH " + _TERMS[2:] + " SELECT * FROM support")
+def evidence_support(spark: SparkSession, d: str) -> DataFrame:
+    return _support(spark, d)
+
+
+@query("WITH " + _TERMS[2:] + " SELECT count(*) AS n_processes, count(*) FILTER (any_mention) / count(*) AS any_rate, count(*) FILTER (grounded) / count(*) AS grounded_rate FROM support")
+def evidence_summary(spark: SparkSession, d: str) -> DataFrame:
+    return judge.evidence_summary(_support(spark, d))
 
 
 _SETS = """, p AS (SELECT process, coalesce(list(DISTINCT code) FILTER (side = 'in' AND code <> ''), []) AS ins, coalesce(list(DISTINCT code) FILTER (side = 'out' AND code <> ''), []) AS outs FROM entries GROUP BY process),
@@ -498,7 +535,7 @@ def pairwise_topk_overlap(spark: SparkSession, d: str) -> DataFrame:
 def rank_tie_average(spark: SparkSession, d: str) -> DataFrame:
     runs = v(spark, d, "runs").withColumn("score", F.floor(F.log10(F.col("score").cast("double") + 1) * 4))
     pairs = ranks.run_pairs(runs).withColumn("seed", F.lit(100))
-    return ranks.tie_averaged(runs, pairs, _P, 10, 100)
+    return ranks.tie_averaged(runs, pairs, _P, 10, 1000)
 
 
 @query(fx.sql("""SELECT degree, avg(i) AS in_mean, round(coalesce(stddev_samp(i), 0), 9) AS in_sd, avg(o) AS out_mean, round(coalesce(stddev_samp(o), 0), 9) AS out_sd FROM (
@@ -531,10 +568,19 @@ def histogram_summary(spark: SparkSession, d: str) -> DataFrame:
     return dists.histogram(t(spark, d, "orders"), "o_totalprice", 20)
 
 
-@query()
+_AVERAGE = """WITH ends AS (SELECT event_type AS id, min(value)::DOUBLE AS lo, max(value)::DOUBLE AS hi FROM events WHERE value IS NOT NULL GROUP BY event_type),
+h AS (SELECT id, b, lo + b * ((hi - lo) / 15) AS l, lo + (b + 1) * ((hi - lo) / 15) AS r, (SELECT count(*) FROM events e WHERE e.event_type = id AND least(floor((value - lo) / ((hi - lo) / 15)), 14) = b) AS n FROM ends, (SELECT unnest(range(0, 15)) AS b)),
+p AS (SELECT id, (l + r) / 2 AS c, n::DOUBLE / sum(n) OVER (PARTITION BY id) AS y FROM h), span AS (SELECT min(l) AS lo, max(r) AS hi FROM h),
+x AS (SELECT id, bin, lo + bin * ((hi - lo) / 25) AS "left", lo + (bin + 0.5::DOUBLE) * ((hi - lo) / 25) AS x FROM ends_ids, span, (SELECT unnest(range(0, 25)) AS bin)),
+near AS (SELECT id, bin, "left", x, (SELECT max(c) FROM p WHERE p.id = x.id AND c <= x) AS c0, (SELECT min(c) FROM p WHERE p.id = x.id AND c >= x) AS c1 FROM x),
+v AS (SELECT bin, "left", CASE WHEN c0 IS NULL OR c1 IS NULL THEN 0 WHEN c0 = c1 THEN a.y ELSE a.y + (b.y - a.y) * (x - c0) / (c1 - c0) END AS y FROM near LEFT JOIN p a ON a.id = near.id AND a.c = c0 LEFT JOIN p b ON b.id = near.id AND b.c = c1)
+SELECT 'value' AS key, bin::INT AS bin, round(min("left"), 6) AS "left", round(avg(y), 9) AS mean, round(stddev_pop(y), 9) AS std FROM v GROUP BY bin""".replace("ends_ids", "(SELECT id FROM ends)")
+
+
+@query(_AVERAGE)
 def average_distribution(spark: SparkSession, d: str) -> DataFrame:
     rows = dists.histogram(t(spark, d, "events"), "value", 15, ["event_type"]).select(F.lit("value").alias("key"), F.col("event_type").alias("id"), "left", "right", "n")
-    return dists.average(rows)
+    return dists.average(rows).select("key", "bin", F.round("left", 6).alias("left"), F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
 
 
 @query(f"""WITH h AS (SELECT "left", "right", n::DOUBLE AS mean, sqrt(n) AS std FROM {_hist_sql('part', 'p_size', 30)}), k AS (SELECT unnest(range((SELECT floor(min("left"))::BIGINT FROM h), (SELECT ceil(max("right"))::BIGINT FROM h))) AS degree)
@@ -581,10 +627,11 @@ def reach_counts(spark: SparkSession, d: str) -> DataFrame:
     return graphs.reach_counts(v(spark, d, "net"))
 
 
-@query(fx.sql("SELECT v, least(v, (SELECT min(dst) FROM c WHERE c.src = v)) AS component FROM (SELECT code AS v FROM partners)", "net", "partners",
-    more=", e AS (SELECT src, dst FROM net UNION SELECT dst, src FROM net), c(src, dst) AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src)", recursive=True))
+@query(fx.sql("SELECT v, least(v, (SELECT min(dst) FROM c WHERE c.src = v)) AS component FROM (SELECT v FROM nodes UNION SELECT name FROM partners)", "net", "partners",
+    more=_NODES + ", e AS (SELECT src, dst FROM net UNION SELECT dst, src FROM net), c(src, dst) AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src)", recursive=True))
 def weak_components(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.weak_components(v(spark, d, "net"), v(spark, d, "partners").select(F.col("code").alias("v")))
+    net = v(spark, d, "net")
+    return graphs.weak_components(net, graphs.vertices(net).union(v(spark, d, "partners").select("name")).distinct())
 
 
 @query(fx.sql("SELECT v, least(v, (SELECT min(a.dst) FROM closure a JOIN closure b ON a.src = b.dst AND a.dst = b.src WHERE a.src = v)) AS component FROM nodes", "net", more=_NODES + _CLOSURE, recursive=True))
@@ -610,11 +657,30 @@ def clustering(spark: SparkSession, d: str) -> DataFrame:
     return graphs.clustering(v(spark, d, "net"))
 
 
-@query()
+def _cores(rounds: int = 24) -> str:
+    """Cores as the fixpoint of the h-index of the neighbours' numbers, from the degrees on."""
+    out = ["c0 AS MATERIALIZED (SELECT src AS v, count(*) AS c FROM e GROUP BY src)"]
+    for i in range(1, rounds + 1):
+        out.append(f"c{i} AS MATERIALIZED (SELECT v, count(*) FILTER (c >= r) AS c FROM (SELECT e.src AS v, n.c, row_number() OVER (PARTITION BY e.src ORDER BY n.c DESC) AS r FROM e JOIN c{i - 1} n ON n.v = e.dst) GROUP BY v)")
+    return ", e AS (SELECT src, dst FROM net WHERE src <> dst UNION SELECT dst, src FROM net WHERE src <> dst), " + ",\n".join(out) + f", cores AS (SELECT v, c::INT AS core FROM c{rounds})"
+
+
+@query(fx.sql("SELECT v, core FROM cores", "net", more=_cores()))
 def kcore_stats(spark: SparkSession, d: str) -> DataFrame:
     return graphs.core_numbers(v(spark, d, "net"))
 
 
+@query(fx.sql("SELECT core, count(*) AS n, count(*) / sum(count(*)) OVER () AS share, min(core) OVER () AS min_core, max(core) OVER () AS max_core FROM cores GROUP BY core", "net", more=_cores()))
+def kcore_shares(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.core_shares(graphs.core_numbers(v(spark, d, "net")))
+
+
+@query(fx.sql("SELECT count(DISTINCT component) = 1 AS connected FROM (SELECT v, least(v, (SELECT min(dst) FROM c WHERE c.src = v)) AS component FROM nodes)", "net",
+    more=_NODES + ", e AS (SELECT src, dst FROM net UNION SELECT dst, src FROM net), c(src, dst) AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src)", recursive=True))
+def graph_connected(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.is_connected(v(spark, d, "net"))
+
+
 @query()
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
     return graphs.pagerank(v(spark, d, "net"))
@@ -622,12 +688,12 @@ def pagerank(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hits_hubs(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.hits(v(spark, d, "net"), 30, 1e-6)
+    return graphs.or_largest_strong(v(spark, d, "net"), graphs.hits)
 
 
 @query()
 def eigenvector(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.eigenvector(v(spark, d, "net"), 50, 1e-5)
+    return graphs.or_largest_strong(v(spark, d, "net"), graphs.eigenvector)
 
 
 @query()
@@ -645,12 +711,12 @@ def edge_betweenness(spark: SparkSession, d: str) -> DataFrame:
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = v(spark, d, "vectors")
-    return rows.select("id", "vector"), rows.filter("id < 10").select(F.col("id").alias("query"), "vector")  # the stated queries
+    return rows.select("id", "vector"), rows.filter("id % 20 = 0").select(F.col("id").alias("query"), "vector")  # the stated queries
 
 
 def _knn_sql(measure: str) -> str:
     value = "list_cosine_similarity(a.vector::DOUBLE[], b.vector::DOUBLE[])" if measure == "cosine" else "list_distance(a.vector::DOUBLE[], b.vector::DOUBLE[])"
-    return fx.sql(f"SELECT query, rank::INT AS rank, id FROM (SELECT a.id AS query, b.id, row_number() OVER (PARTITION BY a.id ORDER BY {value} {'DESC' if measure == 'cosine' else ''}, b.id) AS rank FROM vectors a, vectors b WHERE a.id < 10) WHERE rank <= 5", "vectors")
+    return fx.sql(f"SELECT query, rank::INT AS rank, id FROM (SELECT a.id AS query, b.id, row_number() OVER (PARTITION BY a.id ORDER BY {value} {'DESC' if measure == 'cosine' else ''}, b.id) AS rank FROM vectors a, vectors b WHERE a.id % 20 = 0) WHERE rank <= 5", "vectors")
 
 
 @query(_knn_sql("l2"))
@@ -663,14 +729,14 @@ def knn_cosine(spark: SparkSession, d: str) -> DataFrame:
     return search.knn(*_vectors(spark, d), 5, "cosine").select("query", "rank", "id")
 
 
-def _chunk_sql(shortest: int, longest: int, stride: int, head: int, columns: str) -> str:
-    return f"""WITH w AS (SELECT doc_id AS id, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '')[1:{head}] AS w FROM documents),
+def _chunk_sql(shortest: int, longest: int, stride: int, columns: str) -> str:
+    return f"""WITH w AS (SELECT doc_id AS id, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT id, w, unnest(range(0, greatest(0, ceil((len(w) - {longest}) / {stride}))::BIGINT * {stride} + 1, {stride})) AS start FROM w),
 k AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY start) - 1 AS chunk, w[start + 1:start + {longest}] AS p FROM s WHERE least({longest}, len(w) - start) >= {shortest})
 SELECT {columns} FROM k"""
 
 
-@query(_chunk_sql(300, 500, 425, 4096, "id, chunk::INT AS chunk, len(p)::INT AS tokens, md5(array_to_string(p, ' ')) AS digest"))
+@query(_chunk_sql(300, 500, 425, "id, chunk::INT AS chunk, len(p)::INT AS tokens, md5(array_to_string(p, ' ')) AS digest"))
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     return search.chunks(t(spark, d, "documents"), "doc_id", "text").select("id", "chunk", "tokens", F.md5("text").alias("digest"))
 
@@ -704,7 +770,7 @@ def page_texts(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "pages").select("page_id", F.length(files.html_text(F.col("html"))).cast("long").alias("n")).filter("n IS NOT NULL")
 
 
-@query(_chunk_sql(100, 200, 170, 4096, "id::VARCHAR || '#chunk' || chunk AS chunk_url, chunk::INT AS chunk, len(p)::INT AS tokens, md5(array_to_string(p, ' ')) AS digest"))
+@query(_chunk_sql(100, 200, 170, "id::VARCHAR || '#chunk' || chunk AS chunk_url, chunk::INT AS chunk, len(p)::INT AS tokens, md5(array_to_string(p, ' ')) AS digest"))
 def stream_chunk_ingest(spark: SparkSession, d: str) -> DataFrame:
     """The documents table as a stream, in one trigger, appended to a table in the shared folder."""
     checkpoint_dir(spark)
@@ -776,9 +842,9 @@ def source_bands(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "pages").select("page_id", report.source_score(F.col("url")).alias("score"))
 
 
-@query()
+@query("SELECT doc_id, lang FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 50")
 def sample_items(spark: SparkSession, d: str) -> DataFrame:
-    return report.sampled(t(spark, d, "documents").select("doc_id", "lang"), 50, 7)
+    return report.sampled(t(spark, d, "documents").select("doc_id", "lang"), 50, "doc_id", 7)
 
 
 @query(fx.sql("SELECT process, side, code FROM entries WHERE process NOT IN (SELECT process FROM processes WHERE scale < 0.4) OR process IS NULL", "entries", "processes"))
@@ -812,9 +878,154 @@ def component_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def random_graph_degrees(spark: SparkSession, d: str) -> DataFrame:
+    """Degrees of a graph of each kind, of as many vertices as there are nations."""
     n = t(spark, d, "nation").count()
-    both = graphs.random_graph(spark, n, 0.2, 1).withColumn("kind", F.lit("random")).unionByName(graphs.small_world(spark, n, 4, 0.3, 1).withColumn("kind", F.lit("small world")))
-    return both.groupBy("kind", "src").agg(F.count("*").alias("degree"))
+    drawn = lambda edges: spark.createDataFrame(edges, "src long, dst long")
+    kinds = {
+        "random": graphs.random_graph(spark, n, 0.2, 1), "small world": graphs.small_world(spark, n, 4, 0.3, 1), "small world, added": graphs.small_world_added(spark, n, 4, 0.3, 1),
+        "preferential": drawn(graphs.preferential(n, 2, 1)), "regular": drawn(graphs.regular(n, 4, 1)), "clustered": drawn(graphs.clustered(n, 2, 0.5, 1)),
+    }
+    ends = [e.select(F.lit(k).alias("kind"), F.explode(F.array(F.col("src").cast("long"), F.col("dst").cast("long"))).alias("v")) for k, e in kinds.items()]
+    return functools.reduce(DataFrame.union, ends).groupBy("kind", "v").agg(F.count("*").alias("degree"))
+
+
+# ---------------------------------------------------------------- lookups, filters and edits
+
+
+@query(fx.sql("SELECT process, coalesce(list_sort(list(DISTINCT code) FILTER (side = 'in')), []) AS ins, coalesce(list_sort(list(DISTINCT code) FILTER (side = 'out')), []) AS outs FROM entries WHERE code IS NOT NULL GROUP BY process", "entries"))
+def hyper_sides(spark: SparkSession, d: str) -> DataFrame:
+    return hyper.sides(v(spark, d, "entries"))
+
+
+@query(fx.sql("""SELECT process, coalesce(string_agg(DISTINCT m, '|' ORDER BY m) FILTER (side = 'in'), '') AS tail, coalesce(string_agg(DISTINCT m, '|' ORDER BY m) FILTER (side = 'out'), '') AS head
+FROM (SELECT process, side, coalesce(nullif(code, ''), nullif(name, '')) AS m FROM entries) WHERE m IS NOT NULL GROUP BY process""", "entries"))
+def dihypergraph(spark: SparkSession, d: str) -> DataFrame:
+    return hyper.dihypergraph(v(spark, d, "entries")).select("process", *[F.array_join(c, "|").alias(c) for c in ("tail", "head")])
+
+
+@query(fx.sql(f"""SELECT (SELECT count(*) FROM made{ROUNDS} WHERE scenario = '') AS reach, (SELECT count(*) FROM pre) AS n_pre, (SELECT count(*) FROM c WHERE criticality = (SELECT min(criticality) FROM three)) AS n_tied_with_third,
+  max(code) FILTER (k = 1) AS top1_code, max(criticality) FILTER (k = 1) AS top1_criticality, max(code) FILTER (k = 2) AS top2_code, max(criticality) FILTER (k = 2) AS top2_criticality, max(code) FILTER (k = 3) AS top3_code, max(criticality) FILTER (k = 3) AS top3_criticality
+FROM three""", "entries", "registry", more=_graph() + _fixpoint(_SCENARIOS, _REMOVED) + f", c AS MATERIALIZED ({_CRIT}), three AS (SELECT *, row_number() OVER (ORDER BY criticality DESC, code) AS k FROM c QUALIFY k <= 3)"))
+def criticality_summary(spark: SparkSession, d: str) -> DataFrame:
+    g = _hyper(spark, d)
+    rated, reached = hyper.criticality_and_reach(g, _base(g))
+    return hyper.report_summary(rated, g, reached)
+
+
+@query(fx.sql("""SELECT code, process, CASE WHEN bool_or(side = 'in') THEN 'precursor' ELSE 'product' END AS role FROM entries WHERE code IN (SELECT code FROM registry) GROUP BY code, process""", "entries", "registry"))
+def linked_processes(spark: SparkSession, d: str) -> DataFrame:
+    return state.linked_processes(v(spark, d, "entries"), v(spark, d, "registry"))
+
+
+@query("""SELECT key, code FROM (SELECT key, code, row_number() OVER (PARTITION BY key ORDER BY pos DESC) AS r FROM (SELECT p_brand AS code, p_partkey AS pos, unnest([p_type, p_name, p_brand]) AS key FROM part) WHERE key <> '') WHERE r = 1""")
+def material_lookup(spark: SparkSession, d: str) -> DataFrame:
+    rows = t(spark, d, "part").select(F.col("p_brand").alias("code"), F.col("p_partkey").alias("pos"), F.col("p_type").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("label"))
+    return state.material_lookup(rows)
+
+
+@query("SELECT url, CASE WHEN page_id % 7 = 0 THEN '- [FAILED] ' ELSE '- ' END || url AS line FROM pages")
+def listed_references(spark: SparkSession, d: str) -> DataFrame:
+    rows = t(spark, d, "pages").select("url", F.when(F.col("page_id") % 7 == 0, "not found").alias("error"))
+    return state.listed_references(rows, failed=True).select("url", "line")
+
+
+@query(fx.sql("SELECT DISTINCT code FROM coded WHERE regexp_matches(code, '^[0-9]{6}$') AND (brand_no % 2 = 0 OR brand_no % 3 = 0)", "coded"))
+def codes_of_states(spark: SparkSession, d: str) -> DataFrame:
+    rows = v(spark, d, "coded")
+    return state.all_codes([rows.filter("brand_no % 2 = 0"), rows.filter("brand_no % 3 = 0")])
+
+
+@query(fx.sql("SELECT code, name FROM registry WHERE code NOT LIKE '%3' AND code IN (SELECT code FROM coded WHERE brand_no % 2 = 0)", "registry", "coded"))
+def unmined_wanted(spark: SparkSession, d: str) -> DataFrame:
+    codes_ = [r["code"] for r in v(spark, d, "coded").filter("brand_no % 2 = 0").select("code").distinct().collect()]  # a list that a user gives
+    rows = v(spark, d, "registry").withColumn("mined", F.when(F.col("code").endswith("3"), True))
+    return state.wanted(state.unmined(rows), codes_).select("code", "name")
+
+
+@query(fx.sql("SELECT DISTINCT code FROM entries WHERE code <> '' AND code NOT IN (SELECT code FROM registry)", "entries", "registry"))
+def unknown_codes(spark: SparkSession, d: str) -> DataFrame:
+    return state.unknown(v(spark, d, "entries"), v(spark, d, "registry"))
+
+
+@query(fx.sql("SELECT code, count(*) = count(score) AS settled FROM (SELECT DISTINCT code, process FROM entries WHERE side = 'out' AND code IN (SELECT code FROM registry)) JOIN processes USING (process) GROUP BY code", "entries", "registry", "processes"))
+def settled_materials(spark: SparkSession, d: str) -> DataFrame:
+    made = state.makers(v(spark, d, "entries"), v(spark, d, "registry"))
+    return state.settled(made.join(v(spark, d, "processes"), "process").select("code", "score"))
+
+
+@query(fx.sql("SELECT DISTINCT code, CASE WHEN code IN (SELECT code FROM registry) THEN (SELECT name FROM registry r WHERE r.code = c.code) ELSE 'brand ' || min(brand_no) OVER (PARTITION BY code) END AS description FROM coded c", "registry", "coded"))
+def code_descriptions(spark: SparkSession, d: str) -> DataFrame:
+    rows = v(spark, d, "coded").groupBy("code").agg(F.concat(F.lit("brand "), F.min("brand_no").cast("string")).alias("description"))
+    return trade.described(rows, v(spark, d, "registry").select("code", F.col("name").alias("text"))).select("code", "description")
+
+
+@query(fx.sql("SELECT count(DISTINCT code) AS n_codes FROM buckets", "buckets"))
+def bucket_codes(spark: SparkSession, d: str) -> DataFrame:
+    return trade.distinct_codes(v(spark, d, "buckets"))
+
+
+@query("SELECT code, iso3, name FROM (SELECT n_regionkey AS code, upper(substr(n_name, 1, 3)) AS iso3, n_name AS name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey DESC) AS r FROM nation) WHERE r = 1")
+def partner_table(spark: SparkSession, d: str) -> DataFrame:
+    rows = t(spark, d, "nation").select(F.col("n_regionkey").alias("code"), F.upper(F.substring("n_name", 1, 3)).alias("iso3"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("pos"))
+    return trade.partner_table(rows, "pos")
+
+
+_NAMES = "SELECT p_partkey, concat(p_name, CASE p_partkey % 5 WHEN 0 THEN ' (of ' || p_type || ', ' || p_brand || ')' WHEN 1 THEN ', ' || p_type WHEN 2 THEN ' ' || p_type || ' ' || p_brand || ' and further kinds' WHEN 3 THEN ' (' || p_brand || '; ' || p_type || ') and more, less' ELSE '' END) AS s FROM part"
+
+
+@query(f"""SELECT p_partkey, CASE WHEN length(w) <= 24 THEN w WHEN length(h) - length(replace(h, '(', '')) > length(h) - length(replace(h, ')', '')) THEN rtrim(substr(w, 1, instr(h, '(') - 1)) ELSE rtrim(h) || '...' END AS short
+FROM (SELECT p_partkey, w, substr(w, 1, 24) AS h FROM (SELECT p_partkey, trim(regexp_extract(s, '^([^(),;]|\\([^)]*\\))*')) AS w FROM ({_NAMES})))""")
+def short_names(spark: SparkSession, d: str) -> DataFrame:
+    return _tables(spark, d, _NAMES).select("p_partkey", text.shortened(F.col("s"), 24).alias("short"))
+
+
+@query("""SELECT page_id, replace(replace(replace(replace(replace(replace(url, '&', '\\&'), '%', '\\%'), '$', '\\$'), '#', '\\#'), '_', '\\_'), '~', '\\textasciitilde{}') AS tex, sha256(url) AS cache, coalesce(nullif(split_part(url, '#', 2), ''), url) AS name FROM pages""")
+def escaped_names(spark: SparkSession, d: str) -> DataFrame:
+    u = F.col("url")
+    return t(spark, d, "pages").select("page_id", text.latex(u).alias("tex"), text.cache_name(u).alias("cache"), text.material_name(F.split_part(u, F.lit("#"), F.lit(2)), u).alias("name"))
+
+
+@query(f"""WITH RECURSIVE nodes AS ({fx.VIEWS['tree']}), grown AS (SELECT parent, id AS child, 1 AS level FROM nodes WHERE parent = 0 UNION ALL SELECT n.parent, n.id, g.level + 1 FROM nodes n JOIN grown g ON n.parent = g.child WHERE g.level < 3 AND g.child % 5 <> 0)
+SELECT parent, child, level::INT AS level FROM grown""")
+def component_tree(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("id") % 5 == 0, "raw").otherwise("part")
+    rows = v(spark, d, "tree").filter("parent IS NOT NULL").select("parent", F.col("id").alias("child"), kind.alias("kind"))
+    return state.component_tree(rows, 0).select("parent", "child", "level")
+
+
+@query(fx.sql("""SELECT round(avg(rbo), 6) AS rbo_mean, round(stddev_samp(rbo), 6) AS rbo_sd, round(stddev_pop(rbo), 6) AS rbo_sd_pop, round(min(rbo), 6) AS rbo_min, round(max(rbo), 6) AS rbo_max,
+  round(avg(overlap), 6) AS overlap_mean, round(stddev_samp(overlap), 6) AS overlap_sd FROM pairs""", "runs",
+    more=_PLACES + ", " + _rbo_sql("places", "places") + """, pairs AS (SELECT rbo, overlap FROM rbo JOIN (SELECT a.run AS left_run, b.run AS right_run, count(b.item) AS overlap FROM places a, places b
+  WHERE a.run < b.run AND a.item = b.item AND a.place <= 10 AND b.place <= 10 GROUP BY ALL) USING (left_run, right_run))"""))
+def rank_stability(spark: SparkSession, d: str) -> DataFrame:
+    runs = v(spark, d, "runs")
+    places, pairs = ranks.positions(runs), ranks.run_pairs(runs)
+    both = ranks.rbo(places, places, pairs, _P).join(ranks.top_overlap(places, pairs, 10), ["left_run", "right_run"])
+    got = ranks.stability(both, [])
+    return got.select(*[F.round(c, 6).alias(c) for c in got.columns])
+
+
+@query(fx.sql(f"""SELECT code, supplier, share, (SELECT count(*) FROM fell{ROUNDS} x WHERE x.scenario = a.code AND x.v <> a.code) AS n_dependents FROM first a""", "trade", "entries", "registry",
+    more=_graph() + """, whole AS (SELECT code, sum(value) AS total FROM trade GROUP BY code), by_partner AS (SELECT code, partner AS supplier, sum(value) AS value, min(pos) AS pos FROM trade GROUP BY code, partner),
+first AS (SELECT code, supplier, share FROM (SELECT code, supplier, value::DOUBLE / total::DOUBLE AS share, row_number() OVER (PARTITION BY code ORDER BY pos, supplier) AS r FROM by_partner JOIN whole USING (code) WHERE value::DOUBLE / total::DOUBLE >= 0.1) WHERE r = 1)"""
+    + _cascade("SELECT code AS scenario, code AS v FROM first WHERE code IN (SELECT v FROM verts)")))
+def dominant_report(spark: SparkSession, d: str) -> DataFrame:
+    flows = v(spark, d, "trade").select("code", F.col("partner").alias("supplier"), "value", "pos")
+    return trade.dominant_report(flows, _hyper(spark, d), 0.1)
+
+
+@query()
+def folded_instructions(spark: SparkSession, d: str) -> DataFrame:
+    """Processes after an instruction for each reference and each entry: half of them repeat what is there, some are refused."""
+    entries = v(spark, d, "entries")
+    docs = instructions.documents_of(v(spark, d, "processes").select("process", F.lit(None).cast("string").alias("description"), "scale"), entries, v(spark, d, "refs"))
+    none = lambda kind: F.lit(None).cast(kind)
+    entry, many = instructions.ENTRY, f"array<{instructions.ENTRY}>"
+    moved = entries.select((F.col("pos") * 3).alias("pos"), F.lit("AddMaterial").alias("kind"), (F.col("process") + 1).cast("string").alias("process"), "side", none("string").alias("description"), none("double").alias("scale"),
+        F.array(F.struct("code", "name").cast(entry)).alias("ins"), none(many).alias("outs"), none("array<string>").alias("refs"))
+    gone = v(spark, d, "processes").filter("scale < 0.2").select((F.col("process") * 15).alias("pos"), F.lit("RemoveProcess").alias("kind"), F.col("process").cast("string").alias("process"), none("string").alias("side"), none("string").alias("description"), none("double").alias("scale"), none(many).alias("ins"), none(many).alias("outs"), none("array<string>").alias("refs"))
+    after, _ = instructions.folded(docs, moved.unionByName(gone))
+    return after.select("process", F.size("ins").alias("n_ins"), F.size("outs").alias("n_outs"), F.size("refs").alias("n_refs"))
 
 
 # ---------------------------------------------------------------- the SQL surface

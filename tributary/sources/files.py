@@ -196,3 +196,18 @@ def html_text(html):
     plain = F.regexp_replace(html, "(?is)<(script|style)[^>]*>.*?</\\1>", " ")
     plain = F.trim(F.regexp_replace(F.regexp_replace(plain, "(?s)<[^>]*>", " "), "\\s+", " "))
     return F.when(F.length(plain) > 100, plain)
+
+
+def metric_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(path, key, value) of the numbers in a folder's JSON documents, booleans as 0 and 1, and the paths of those that can't be read."""
+    docs = spark.read.text(f"{folder}/*.json", wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.expr("try_parse_json(value)").alias("d"))
+    good = docs.filter("d IS NOT NULL AND startswith(schema_of_variant(d), 'OBJECT')")
+    rows = good.selectExpr("path", "explode(cast(d AS map<string, variant>)) AS (key, v)")
+    number = F.expr("coalesce(try_cast(v AS double), cast(try_variant_get(v, '$', 'boolean') AS double))")
+    plain = F.expr("schema_of_variant(v) IN ('BIGINT', 'DOUBLE', 'BOOLEAN') OR startswith(schema_of_variant(v), 'DECIMAL')")
+    return rows.filter(plain).select("path", "key", number.alias("value")), docs.join(good.select("path"), "path", "left_anti").select("path")
+
+
+def config(spark: SparkSession, path: str) -> dict:
+    """A small JSON document of settings, by any store's path."""
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
