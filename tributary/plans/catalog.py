@@ -14,7 +14,7 @@ from ..functions import codes, text
 from ..operators import dists, graphs, hyper, instructions, judge, ranks, references, report, search, state, trade
 from ..sources import files, sinks
 from ..streaming import ingest
-from .lineage import checkpoint_dir
+from .lineage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -773,9 +773,7 @@ def page_texts(spark: SparkSession, d: str) -> DataFrame:
 @query(_chunk_sql(100, 200, 170, "id::VARCHAR || '#chunk' || chunk AS chunk_url, chunk::INT AS chunk, len(p)::INT AS tokens, md5(array_to_string(p, ' ')) AS digest"))
 def stream_chunk_ingest(spark: SparkSession, d: str) -> DataFrame:
     """The documents table as a stream, in one trigger, appended to a table in the shared folder."""
-    checkpoint_dir(spark)
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    out = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = t(spark, d, "documents").schema
     docs = spark.readStream.schema(schema).parquet(f"{d}/documents.parquet" if _is_folder(spark, f"{d}/documents.parquet") else f"{d}/documents.parque[t]")
     made = ingest.chunk_stream(docs, "doc_id", "text", shortest=100, longest=200)

@@ -8,11 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Leave spark.checkpoint.dir as it is; set a temporary folder only where none is set (one machine, tests)."""
+    """Leave spark.checkpoint.dir as it is; on one machine, where none is set (tests), set a temporary folder."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tributary-"))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    checkpoint_dir(spark)
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once, in the shared checkpoint folder: plans of later rounds start from there."""
     checkpoint_dir(df.sparkSession)

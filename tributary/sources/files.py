@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from pathlib import Path
 from xml.etree import ElementTree
 
@@ -112,7 +113,9 @@ def data_table(spark: SparkSession, path: str) -> DataFrame:
     if kind == ".csv":
         return spark.read.option("header", True).option("inferSchema", True).csv(path)
     if kind == ".json":
-        return spark.read.option("multiLine", True).json(path)
+        # a document of an array, or a document a line
+        first = spark.read.text(path).filter("trim(value) <> ''").limit(1).collect()
+        return spark.read.option("multiLine", bool(first) and first[0]["value"].lstrip().startswith("[")).json(path)
     if kind == ".parquet":
         return spark.read.parquet(path)
     if kind in (".arrow", ".ipc"):
@@ -154,17 +157,18 @@ def read_graph(spark: SparkSession, path: str, kind: str | None = None) -> DataF
 
 def parse_graph(text: str, kind: str) -> list[tuple[str, str]]:
     if kind == "json":
-        d = json.loads(text)
-        return [(str(x["source"]), str(x["target"])) for x in d.get("links", d.get("edges", []))]
+        try:
+            d = json.loads(text)
+            links = d.get("links", d.get("edges", [d] if "source" in d else []))
+        except ValueError:  # a link a line
+            links = [json.loads(row) for row in text.splitlines() if row.strip()]
+        return [(str(x["source"]), str(x["target"])) for x in links]
     if kind in ("graphml", "gexf"):
         return [(e.get("source"), e.get("target")) for e in ElementTree.fromstring(text).iter() if e.tag.rpartition("}")[2] == "edge"]
-    words = text.split()
     if kind == "gml":
-        ends = {"source": [], "target": []}
-        for name, value in zip(words, words[1:], strict=False):
-            if name in ends:
-                ends[name].append(value)
-        return list(zip(ends["source"], ends["target"], strict=True))
+        names = {i: x for i, x in re.findall(r'node\s*\[[^\]]*?id\s+(\S+)\s+label\s+"([^"]*)"', text)}
+        ends = re.findall(r'edge\s*\[[^\]]*?source\s+"?([^\s"]+)"?\s+target\s+"?([^\s"]+)"?', text)
+        return [(names.get(x, x), names.get(y, y)) for x, y in ends]
     if kind == "pajek":
         out, inside, label = [], False, {}
         for row in text.splitlines():
