@@ -179,7 +179,7 @@ def test_graphs_are_read_as_written(spark, tmp_path, kind):
         got = set(files.parse_graph(whole, kind))
     else:
         (tmp_path / f"g.{kind}").write_text(whole)
-        got = {tuple(r) for r in files.read_graph(spark, str(tmp_path / f"g.{kind}"), kind).collect()}
+        got = {tuple(r) for r in files.read_graph(spark, str(tmp_path / f"g.{kind}"), kind, directed=True).collect()}
     assert got == {("a", "b"), ("b", "c"), ("a", "c")}
 
 
@@ -244,7 +244,9 @@ def test_yearly_files(spark, tmp_path):
 @pytest.mark.parametrize(("name", "body"), [("g.txt", "a b\n# no\nb c 1.0\n"), ("g.adjlist", "a b\nb c\n"), ("g.json", '{"links":[{"source":"a","target":"b"},{"source":"b","target":"c"}]}'), ("g.graphml", '<graphml xmlns="x"><graph><edge source="a" target="b"/><edge source="b" target="c"/></graph></graphml>'), ("g.gml", "graph [ edge [ source a target b ] edge [ source b target c ] ]"), ("g.net", '*Vertices 3\n1 "a"\n2 "b"\n3 "c"\n*Arcs\n1 2\n2 3\n')])
 def test_graph_files(spark, tmp_path, name, body):
     (tmp_path / name).write_text(body)
-    assert {(r.src, r.dst) for r in files.read_graph(spark, str(tmp_path / name)).collect()} == {("a", "b"), ("b", "c")}
+    assert {(r.src, r.dst) for r in files.read_graph(spark, str(tmp_path / name), directed=True).collect()} == {("a", "b"), ("b", "c")}
+    both = files.read_graph(spark, str(tmp_path / name)).count()
+    assert both == (4 if name == "g.adjlist" else 2) and files.read_graph(spark, str(tmp_path / name), directed=False).count() == 4
 
 
 def test_sinks(spark, tmp_path):

@@ -39,6 +39,14 @@ def chapter(code: Column) -> Column:
     return F.substring(code, 1, 2).try_cast("int")
 
 
+def legend(codes: DataFrame) -> DataFrame:
+    """section, chapters: the ranges of chapters that the codes lie in, each once."""
+    spans = F.lit(None).cast("string")
+    for lo, hi, _ in reversed(SECTIONS):
+        spans = F.when(chapter(F.col("code")).between(lo, hi), f"{lo:02d}-{hi:02d}").otherwise(spans)
+    return codes.select(section(F.col("code")).alias("section"), spans.alias("chapters")).filter("section IS NOT NULL").distinct()
+
+
 def section(code: Column) -> Column:
     """The section of a code; null for chapters without one."""
     out = F.lit(None).cast("string")

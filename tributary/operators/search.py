@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import distance_score
@@ -57,6 +59,15 @@ def _nearest(index: DataFrame, q: DataFrame, k: int, measure: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).filter(F.col("rank") <= k).select("query", "rank", "id", "score")
 
 
+def kept_index(spark: SparkSession, folder: str, source: str, build: Callable[[str], DataFrame]) -> DataFrame:
+    """The index of a source file: kept in folder under a name made of the source's path, built and written if it isn't there."""
+    path = f"{folder}/{hashlib.sha256(source.encode()).hexdigest()}.parquet"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        build(source).write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
+
+
 def chunks(docs: DataFrame, id_: str, text: str, shortest: int = 300, longest: int = 500, overlap: float = 0.15, head: int | None = None) -> DataFrame:
     """id, chunk (from 0, of those kept), tokens, text: windows of a text's tokens (runs without white space), as the index takes them.
 

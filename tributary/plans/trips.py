@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..functions import text
-from ..operators import graphs, hyper, judge, ranks, search, state, trade
+from ..functions import codes, text
+from ..operators import dists, graphs, hyper, judge, ranks, search, state, trade
 from ..sources import arrow, files, sinks
 from ..sqltool import SqlTool
-from .catalog import _CRIT, _REMOVED, _REPORT_MORE, _SCENARIOS, _base, _dominance, _fixpoint, _hyper, query, t, v
+from .catalog import _CRIT, _REMOVED, _REPORT_MORE, _SCENARIOS, _SECTION, _base, _dominance, _fixpoint, _hyper, query, t, v
 from .lineage import shared_dir
 
 
@@ -167,7 +167,7 @@ def source_graph_files(spark: SparkSession, d: str) -> DataFrame:
     for kind in ("edgelist", "adjlist", "json", "gml", "graphml"):
         path = _folder(spark, "graph")
         sinks.write_edges(edges.coalesce(1), path, kind)
-        got = files.read_graph(spark, path, kind).select(F.lit(kind).alias("kind"), "src", "dst")
+        got = files.read_graph(spark, path, kind, directed=True).select(F.lit(kind).alias("kind"), "src", "dst")
         out = got if out is None else out.union(got)
     return out
 
@@ -216,9 +216,74 @@ def sink_saved_state(spark: SparkSession, d: str) -> DataFrame:
     return now.crossJoin(F.broadcast(before.withColumnRenamed("n", "n_before")))  # one row each
 
 
+@query(fx.sql("SELECT process::VARCHAR AS process, count(*) FILTER (side = 'in')::INT AS n_in, count(*) FILTER (side = 'out')::INT AS n_out, arg_min(name, pos) FILTER (side = 'in') AS first_in, 'u' || process || '#x' AS url FROM entries GROUP BY process", "entries"))
+def source_process_records(spark: SparkSession, d: str) -> DataFrame:
+    got = files.process_records(files.state(spark, _document(spark, d)))
+    n = lambda c: F.coalesce(F.size(c), F.lit(0))
+    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(n(c))
+    return got.select("process", size("precursors").alias("n_in"), size("products").alias("n_out"), F.get("precursors", F.lit(0))["name"].alias("first_in"), F.get("references", F.lit(0))["url"].alias("url"))
+
+
+@query("SELECT src, dst FROM (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst FROM nation UNION SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation)")
+def source_undirected_graph(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark, "graph")
+    sinks.write_edges(t(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst")), path, "adjlist")
+    return files.read_graph(spark, path, "adjlist")
+
+
+@query("SELECT r_regionkey, CASE WHEN r_regionkey % 2 = 1 THEN 'newer' ELSE r_name END AS r_name FROM region")
+def sink_cached_rows(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark, "cached")
+    rows = t(spark, d, "region").select("r_regionkey", "r_name")
+    sinks.cached_rows(rows, path, "r_regionkey")
+    sinks.cached_rows(rows.filter("r_regionkey % 2 = 1").withColumn("r_name", F.lit("newer")), path, "r_regionkey")
+    return sinks.saved_state(spark, path, ("rows",))["rows"]
+
+
+@query("SELECT count(*) AS n, count(*) AS again FROM embeddings")
+def kept_index(spark: SparkSession, d: str) -> DataFrame:
+    """An index built once for its source, then read."""
+    folder, built = _folder(spark, "index"), []
+    source = f"{d}/embeddings.parquet"
+
+    def build(path: str) -> DataFrame:
+        built.append(path)
+        return spark.read.parquet(path).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+    first, again = (search.kept_index(spark, folder, source, build) for _ in range(2))
+    assert len(built) == 1
+    return first.agg(F.count("*").alias("n")).crossJoin(F.broadcast(again.agg(F.count("*").alias("again"))))  # one row each
+
+
 # ---------------------------------------------------------------- functions
 
 
+@query(fx.sql("SELECT process, CASE WHEN score IS NULL THEN '#ccc' WHEN score <= 0.49 THEN 'rgb(255, ' || round(165 * (score / 0.49))::INT || ', 0)' ELSE 'rgb(' || round(144 - 144 * ((score - 0.5) / 0.5))::INT || ', ' || round(238 - 110 * ((score - 0.5) / 0.5))::INT || ', ' || round(144 - 144 * ((score - 0.5) / 0.5))::INT || ')' END AS colour FROM processes", "processes"))
+def score_colours(spark: SparkSession, d: str) -> DataFrame:
+    return v(spark, d, "processes").select("process", text.score_colour(F.col("score")).alias("colour"))
+
+
+@query(fx.sql("SELECT DISTINCT " + _SECTION + " AS section, CASE " + " ".join(f"WHEN try_cast(substr(code, 1, 2) AS INTEGER) BETWEEN {a} AND {b} THEN '{a:02d}-{b:02d}'" for a, b, _ in codes.SECTIONS) + " END AS chapters FROM coded WHERE (" + _SECTION + ") IS NOT NULL", "coded"))
+def section_legend(spark: SparkSession, d: str) -> DataFrame:
+    return codes.legend(v(spark, d, "coded"))
+
+
+@query("""WITH obs AS (SELECT 'value' AS key, event_type AS id, value::DOUBLE AS value FROM events UNION ALL SELECT 'user', event_type, user_id::DOUBLE FROM events UNION ALL SELECT 'month', event_type, month(ts)::DOUBLE FROM events),
+ends AS (SELECT key, id, CASE WHEN min(value) = max(value) THEN min(value) - 0.5 ELSE min(value) END AS lo, CASE WHEN min(value) = max(value) THEN max(value) + 0.5 ELSE max(value) END AS hi FROM obs WHERE value IS NOT NULL GROUP BY key, id), tally AS (SELECT key, id, least(floor((value - lo) / ((hi - lo) / 15)), 14)::INT AS b, count(*) AS n FROM obs JOIN ends USING (key, id) GROUP BY ALL),
+h AS (SELECT key, id, b, lo + b * ((hi - lo) / 15) AS l, lo + (b + 1) * ((hi - lo) / 15) AS r, coalesce(n, 0) AS n FROM (SELECT *, unnest(range(0, 15))::INT AS b FROM ends) LEFT JOIN tally USING (key, id, b)),
+p AS (SELECT key, id, (l + r) / 2 AS c, n::DOUBLE / sum(n) OVER (PARTITION BY key, id) AS y FROM h), span AS (SELECT key, min(l) AS lo, max(r) AS hi FROM h GROUP BY key),
+x AS (SELECT key, id, bin, lo + bin * ((hi - lo) / 25) AS "left", lo + (bin + 0.5::DOUBLE) * ((hi - lo) / 25) AS x FROM (SELECT key, id, unnest(range(0, 25)) AS bin FROM ends) JOIN span USING (key)),
+near AS (SELECT x.key, x.id, bin, "left", x, max(c) FILTER (c <= x) AS c0, min(c) FILTER (c >= x) AS c1 FROM x JOIN p USING (key, id) GROUP BY ALL),
+v AS (SELECT near.key, bin, "left", CASE WHEN c0 IS NULL OR c1 IS NULL THEN 0 WHEN c0 = c1 THEN a.y ELSE a.y + (b.y - a.y) * (x - c0) / (c1 - c0) END AS y FROM near LEFT JOIN p a ON a.key = near.key AND a.id = near.id AND a.c = c0 LEFT JOIN p b ON b.key = near.key AND b.id = near.id AND b.c = c1)
+SELECT key, bin::INT AS bin, round(min("left"), 6) AS "left", round(avg(y), 9) AS mean, round(stddev_pop(y), 9) AS std FROM v GROUP BY key, bin""")
+def average_distributions(spark: SparkSession, d: str) -> DataFrame:
+    """Several named distributions of each event type, averaged by name."""
+    own = {"value": F.col("value"), "user": F.col("user_id"), "month": F.month("ts")}
+    obs = t(spark, d, "events").select(F.col("event_type").alias("id"), F.explode(F.array(*[F.struct(F.lit(k).alias("key"), c.cast("double").alias("value")) for k, c in own.items()])).alias("o")).select("id", "o.key", "o.value")
+    got = dists.average(dists.histogram(obs, "value", 15, ["key", "id"]))
+    return got.select("key", "bin", F.round("left", 6).alias("left"), F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
+
+
 @query("""SELECT p_partkey, lower(trim(regexp_replace(p_name || ' (' || p_type || ')', '\\s*\\([^)]*\\)', '', 'g'))) AS plain, upper(substr(p_type, 1, 1)) || substr(p_type, 2) AS capital,
   CASE WHEN p_size = 1 THEN 'N/A' ELSE printf('%.1f%%', 100.0 * 7 / p_size) END AS share, substr(p_name, 1, 4) AS head FROM part""")
 def text_functions(spark: SparkSession, d: str) -> DataFrame:

@@ -89,6 +89,16 @@ def state(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"materials": materials, "processes": processes, "entries": entries, "refs": refs}
 
 
+def process_records(state_: dict[str, DataFrame]) -> DataFrame:
+    """A state's processes as records: process, description, scale, score, precursors and products (name, hs_code; a bare
+    name without a code) and references (url, source_score, content_score), each in its order."""
+    ordered = lambda x: F.transform(F.array_sort(F.collect_list(F.struct("pos", x.alias("x")))), lambda r: r["x"])  # noqa: E731  a process's own
+    out = state_["processes"]
+    for name, rows in (("precursors", state_["entries"].filter("side = 'in'")), ("products", state_["entries"].filter("side = 'out'"))):
+        out = out.join(rows.groupBy("process").agg(ordered(F.struct("name", F.col("code").alias("hs_code"))).alias(name)), "process", "left")
+    return out.join(state_["refs"].groupBy("process").agg(ordered(F.struct("url", "source_score", "content_score")).alias("references")), "process", "left")
+
+
 def contents(spark: SparkSession, folder: str) -> DataFrame:
     """key, url, content of cached pages; those with an error, without content or malformed are left out. key is the file's stem."""
     raw = spark.read.text(f"{folder}/*.json", wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), "^(.*)\\.json$", 1).alias("key"), F.from_json("value", "url string, content string, error string").alias("r"))
@@ -141,18 +151,28 @@ def graph_kind(path: str, head: str) -> str:
     return {".graphml": "graphml", ".gexf": "gexf", ".gml": "gml", ".net": "pajek", ".adjlist": "adjlist", ".json": "json"}.get(Path(path).suffix.lower(), "edgelist")
 
 
-def read_graph(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """Edges (src, dst) of a graph file. Edge and adjacency lists are read by Spark; the others, of a driver's size, by the driver."""
+def read_graph(spark: SparkSession, path: str, kind: str | None = None, directed: bool | None = None) -> DataFrame:
+    """Edges (src, dst) of a graph file. Edge and adjacency lists are read by Spark; the others, of a driver's size, by the driver.
+
+    An undirected graph has each edge in both directions, once; unless it is said, only adjacency lists are undirected.
+    """
+    kind, edges = _edges(spark, path, kind)
+    if kind == "adjlist" if directed is None else not directed:
+        return edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    return edges
+
+
+def _edges(spark: SparkSession, path: str, kind: str | None) -> tuple[str, DataFrame]:
     if kind is None:
         head = "\n".join(r["value"] for r in spark.read.text(path).limit(40).collect())[:2048]
         kind = graph_kind(path, head)
     rows = spark.read.text(path).filter("trim(value) <> '' AND NOT trim(value) LIKE '#%'").select(F.split(F.trim("value"), "\\s+").alias("w"))
     if kind == "edgelist":
-        return rows.filter(F.size("w") >= 2).select(F.col("w")[0].alias("src"), F.col("w")[1].alias("dst"))
+        return kind, rows.filter(F.size("w") >= 2).select(F.col("w")[0].alias("src"), F.col("w")[1].alias("dst"))
     if kind == "adjlist":
-        return rows.select(F.col("w")[0].alias("src"), F.explode(F.slice("w", 2, 1 << 30)).alias("dst"))
+        return kind, rows.select(F.col("w")[0].alias("src"), F.explode(F.slice("w", 2, 1 << 30)).alias("dst"))
     text = spark.read.text(path, wholetext=True).first()[0]
-    return spark.createDataFrame(parse_graph(text, kind), "src string, dst string")
+    return kind, spark.createDataFrame(parse_graph(text, kind), "src string, dst string")
 
 
 def parse_graph(text: str, kind: str) -> list[tuple[str, str]]:

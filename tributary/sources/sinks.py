@@ -96,6 +96,18 @@ def save_state(state: dict[str, DataFrame], path: str, backup: bool = True) -> s
     return old
 
 
+def cached_rows(df: DataFrame, path: str, key: str) -> None:
+    """Rows of a cache by their key: those of the keys in df take the place of older ones, others stay."""
+    spark = df.sparkSession
+    jvm = spark._jvm
+    store = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = df
+    if store.exists(jvm.org.apache.hadoop.fs.Path(path)):
+        old = spark.read.parquet(f"{path}/rows")
+        whole = old.join(df.select(key), key, "left_anti").select(*df.columns).union(df)
+    save_state({"rows": whole}, path, backup=False)
+
+
 def saved_state(spark: SparkSession, path: str, names: tuple[str, ...] = ("materials", "processes", "entries", "refs")) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
