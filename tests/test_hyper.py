@@ -116,3 +116,24 @@ def test_report(spark, h4):
     assert (s.n_codes, s.n_invalid, s.n_absent, s.n_in_trade, s.n_dominated, s.n_cascading, s.max_code) == (5, 1, 2, 2, 1, 1, code(3))
     empty = hyper.summary(hyper.disruption(h4, registry, dom.limit(0)).filter(F.lit(False))).first()
     assert empty.n_codes == 0 and empty.max_code == ""
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rounds_of_joins_are_the_same(spark, monkeypatch, seed):
+    """Random hypergraphs, with edges without sources and vertices without edges, in memory and by joins."""
+    import random
+
+    g = random.Random(seed)
+    rows = [(p, side, code(g.randrange(1, 15)), "") for p in range(18) for side in ("in", "out") for _ in range(g.randint(0 if side == "in" else 1, 3))]
+    entries = spark.createDataFrame(rows, "process int, side string, code string, name string")
+    registry = spark.createDataFrame([(code(i), "m") for i in range(1, 17)], "code string, name string")
+    h = hyper.build(entries, registry)
+    base = spark.createDataFrame([(code(1),)], "v string")
+    starts = spark.createDataFrame([(s, code(i)) for s in ("x", "y") for i in g.sample(range(1, 17), 6)], "scenario string, v string")
+    removed = spark.createDataFrame([("y", code(3)), ("z", code(16))], "scenario string, v string")
+    seeds = h.vertices.selectExpr("v AS scenario", "v")
+    pairs = lambda df: sorted(map(tuple, df.collect()))
+    measures = [lambda: hyper.reachable(h, starts, removed), lambda: hyper.criticality(h, base), lambda: hyper.propagate(h, seeds), lambda: hyper.reach(h, base)]
+    small = [pairs(m()) for m in measures]
+    monkeypatch.setattr(hyper, "BROADCAST_ENDS", -1)
+    assert [pairs(m()) for m in measures] == small

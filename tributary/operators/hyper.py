@@ -1,13 +1,19 @@
 """Directed hypergraphs of processes: build, audit, reach, criticality, disruption.
 
-Tables: entries (process, side in|out, code or null, name), registry (code, name). Fixpoints run over all scenarios at once,
-one DataFrame round after the other; each round is checkpointed, and only its row count reaches the driver.
+Tables: entries (process, side in|out, code or null, name), registry (code, name).
+
+Fixpoints run over many scenarios. A hypergraph of BROADCAST_ENDS ends at most is broadcast, and scenarios are dealt to tasks,
+each of which runs its own to their ends as rows of a matrix. For a larger one all scenarios run at once, one DataFrame
+round after the other; each round is checkpointed, and only its row count reaches the driver. Both give the same rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +21,12 @@ from ..functions.codes import typed_code
 from ..plans.lineage import cut
 
 
+#: Ends (sources and targets) of a hypergraph that is broadcast at most (8 bytes each, and its vertices' names on the driver).
+BROADCAST_ENDS = 2_000_000
+#: Cells (scenarios times ends) that a task holds at a time.
+CELLS = 1 << 22
+
+
 @dataclass
 class Hypergraph:
     vertices: DataFrame  # v
@@ -23,6 +35,108 @@ class Hypergraph:
     edges: DataFrame  # edge, n_src
 
 
+class Incidence:
+    """A small hypergraph as arrays: sources by edge, targets by vertex."""
+
+    def __init__(self, sources: pa.Table, targets: pa.Table):
+        number = lambda *columns: np.unique(np.concatenate([np.asarray(c.to_pylist(), object) for c in columns]).astype(object)) if any(len(c) for c in columns) else np.zeros(0, object)
+        self.names = number(sources["v"], targets["v"])
+        edges = number(sources["edge"], targets["edge"])
+        at = {x: i for i, x in enumerate(self.names.tolist())}
+        of = {x: i for i, x in enumerate(edges.tolist())}
+        get = lambda t, c, d: np.array([d[x] for x in t[c].to_pylist()], np.int64)
+        edge, v = get(sources, "edge", of), get(sources, "v", at)
+        order = np.lexsort((v, edge))
+        self.source, edge = v[order], edge[order]
+        self.n_edges, self.at = len(edges), at
+        #: Edges with sources, and where theirs begin.
+        self.with_sources, self.begin = np.unique(edge, return_index=True)
+        edge, v = get(targets, "edge", of), get(targets, "v", at)
+        order = np.lexsort((edge, v))
+        self.target_edge = edge[order]
+        #: Vertices that some edge makes, and where theirs begin.
+        self.made, self.made_begin = np.unique(v[order], return_index=True)
+
+    @classmethod
+    def of(cls, g: Hypergraph) -> Incidence | None:
+        """The hypergraph's arrays, if it is small enough."""
+        sources, targets = cut(g.sources.select("edge", "v")), cut(g.targets.select("edge", "v"))
+        if sources.count() + targets.count() > BROADCAST_ENDS:
+            return None
+        return cls(sources.toArrow(), targets.toArrow())
+
+    def mask(self, sets: list) -> np.ndarray:
+        """A row of flags for each set of names; names that no edge has don't matter."""
+        out = np.zeros((len(sets), len(self.names)), bool)
+        for i, x in enumerate(sets):
+            out[i, [self.at[v] for v in x or () if v in self.at]] = True
+        return out
+
+    def made_by(self, edges: np.ndarray, every: bool = False) -> np.ndarray:
+        """For flags of edges those of the vertices that any of them (every one that makes it) makes."""
+        out = np.zeros((len(edges), len(self.names)), bool)
+        if len(self.made):
+            out[:, self.made] = (np.logical_and if every else np.logical_or).reduceat(edges[:, self.target_edge], self.made_begin, 1)
+        return out
+
+    def reached(self, starts: np.ndarray, removed: np.ndarray) -> np.ndarray:
+        first = starts & ~removed
+        made = np.zeros_like(first)
+        while True:
+            fired = np.ones((len(first), self.n_edges), bool)
+            if len(self.begin):
+                fired[:, self.with_sources] = np.logical_and.reduceat((first | made)[:, self.source], self.begin, 1)
+            new = self.made_by(fired) & ~removed
+            if (new == made).all():
+                return made
+            made = new
+
+    def fallen(self, seeds: np.ndarray) -> np.ndarray:
+        failed = seeds
+        while True:
+            dead = np.zeros((len(failed), self.n_edges), bool)
+            if len(self.begin):
+                dead[:, self.with_sources] = np.logical_or.reduceat(failed[:, self.source], self.begin, 1)
+            new = failed | self.made_by(dead, every=True)
+            if (new == failed).all():
+                return failed
+            failed = new
+
+
+def _by_scenario(inc: Incidence, rows: DataFrame, run, alone: bool = False) -> DataFrame:
+    """(scenario, v) of run(incidence, flags of each set column) for rows of scenario and sets of names.
+
+    alone: names that no edge has stay in the result with the first set that holds them.
+    """
+    ready = rows.sparkSession.sparkContext.broadcast(inc)
+    kind = rows.schema["scenario"].dataType.simpleString()
+    step = max(1, CELLS // max(1, len(inc.source) + len(inc.target_edge)))
+
+    def batches(bs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inc = ready.value
+        for b in bs:
+            for lo in range(0, b.num_rows, step):
+                part = b.slice(lo, step)
+                sets = [part.column(i).to_pylist() for i in range(1, part.num_columns)]
+                got = run(inc, *[inc.mask(x) for x in sets])
+                who, v = np.nonzero(got)
+                names = inc.names[v].tolist()
+                who = who.tolist()
+                if alone:
+                    for i, x in enumerate(sets[0]):
+                        more = [y for y in x or () if y not in inc.at]
+                        names += more
+                        who += [i] * len(more)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(who, pa.int64())), pa.array(names, pa.string())], ["scenario", "v"])
+
+    return rows.mapInArrow(batches, f"scenario {kind}, v string")
+
+
+def _sets(rows: DataFrame, name: str) -> DataFrame:
+    """scenario, and its vertices as one set: as many as the small hypergraph has at most."""
+    return rows.groupBy("scenario").agg(F.collect_set("v").alias(name))
+
+
 def build(entries: DataFrame, registry: DataFrame, include_unregistered: bool = False, drop_sourceless: bool = False) -> Hypergraph:
     """Sides are sets of vertices; processes without a target go, then on demand those without a source."""
     typed = entries.withColumn("v", typed_code(F.col("code")))
@@ -86,6 +200,10 @@ def reachable(g: Hypergraph, starts: DataFrame, removed: DataFrame | None = None
     only if some edge makes them. removed vertices are neither used nor made; other products of their edges are.
     """
     removed = removed if removed is not None else starts.limit(0)
+    small = Incidence.of(g)
+    if small is not None:
+        rows = _sets(starts, "s").join(_sets(removed, "r"), "scenario", "full_outer").select("scenario", "s", "r")
+        return cut(_by_scenario(small, rows, Incidence.reached))
     sources, targets, edges = cut(g.sources), cut(g.targets), cut(g.edges)
     removed = cut(removed)
     scenarios = starts.select("scenario").union(removed.select("scenario")).distinct()
@@ -195,6 +313,9 @@ def propagate(g: Hypergraph, seeds: DataFrame) -> DataFrame:
 
     A process dies with any of its sources; a material fails once it has producers and all are dead.
     """
+    small = Incidence.of(g)
+    if small is not None:
+        return cut(_by_scenario(small, _sets(seeds, "s"), Incidence.fallen, alone=True))
     sources, targets = cut(g.sources), cut(g.targets)
     producers = targets.groupBy("v").agg(F.count("*").alias("n_producers"))
     failed = cut(seeds.select("scenario", "v").distinct())
