@@ -66,6 +66,14 @@ def test_ids_of_odd_texts(encoder):
     assert ids_of(mine, ODD) == [library.encode(x or "", add_special_tokens=False).ids for x in ODD]
 
 
+def test_ids_of_every_code_point(encoder):
+    """Rows of 97 characters on end, with letters, digits and blanks among them, over all planes that have any."""
+    mine, library = encoder
+    points = [c for lo, hi in ((0x20, 0xD800), (0xE000, 0x34000), (0xE0000, 0xE1000), (0x10FF00, 0x110000)) for c in range(lo, hi, 7 if lo else 3)]
+    rows = ["".join(chr(c) + ("", "a", " ", "1", chr(c))[i % 5] for i, c in enumerate(points[at : at + 97])) for at in range(0, len(points), 97)]
+    assert ids_of(mine, rows) == [x.ids for x in library.encode_batch(rows, add_special_tokens=False)]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(texts, min_size=1, max_size=4))
 def test_ids_are_the_library_s(encoder, rows):

@@ -156,6 +156,15 @@ def random_values(n: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, n, dtype=np.uint64) * U64(2) + U64(1)
 
 
+def code_values(cps: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """A random odd value for each code point, the same in all workers: the table's, and beyond it a mix of the code point."""
+    out = table[np.minimum(cps, len(table) - 1)]
+    beyond = cps >= len(table)
+    if beyond.any():
+        out[beyond] = mix(cps[beyond].astype(np.uint64) + U64(1 << 40)) | U64(1)
+    return out
+
+
 def hash_word(word: str) -> int:
     """The hash that word_hashes() gives one word."""
     b = np.frombuffer(word.encode(), np.uint8)

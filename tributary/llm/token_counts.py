@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import pretoken
-from .ragged import CHUNK, U64, chunks, code_points, mix, random_values, span_hashes, text_column
+from .ragged import CHUNK, U64, chunks, code_points, code_values, random_values, span_hashes, text_column
 
 NONE = np.int32(2**31 - 1)
 #: Entries of the table of known pre-tokens (12 bytes each).
@@ -166,14 +166,6 @@ _LOWER = np.array([0x20 if i in _FEW else ord(chr(i).lower()) for i in range(PLA
 _VALUE = random_values(PLAIN)
 
 
-def values_of(cps: np.ndarray) -> np.ndarray:
-    """A random odd value for each code point, the same in all workers."""
-    out = _VALUE[np.minimum(cps, PLAIN - 1)]
-    beyond = cps >= PLAIN
-    out[beyond] = mix(cps[beyond].astype(np.uint64) + U64(1 << 40)) | U64(1)
-    return out
-
-
 class Counter:
     """Counts of texts in one worker."""
 
@@ -226,7 +218,7 @@ class Counter:
     def _counted(self, cps: np.ndarray, off: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """Symbols of each row of normalised code points."""
         start, end, woff = pretoken.cut(cps, off, keeps_space=False, classes=classes)
-        total = np.concatenate([[0], np.cumsum(self.known(span_hashes(values_of(cps), start, end), cps, start, end))])
+        total = np.concatenate([[0], np.cumsum(self.known(span_hashes(code_values(cps, _VALUE), start, end), cps, start, end))])
         return total[woff[1:]] - total[woff[:-1]]
 
 

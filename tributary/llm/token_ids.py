@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import pretoken, rans
-from .ragged import U64, chunks, code_points, gather_ranges, random_values, span_hashes
+from .ragged import U64, chunks, code_points, code_values, gather_ranges, random_values, span_hashes
 from .tables import Workspace
 
 SEGMENT, BLOCK = 1 << 21, 1 << 18
@@ -48,6 +48,7 @@ class Encoder:
         self.kind = np.uint16 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
         self.library.no_truncation()
         self.library.no_padding()
+        self._classes: np.ndarray | None = None
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self._forget()
 
@@ -60,9 +61,16 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    @property
+    def classes(self) -> np.ndarray:
+        """The classes of all code points, as the library's splitter has them; found when a text needs them."""
+        if self._classes is None:
+            self._classes = pretoken.classes_of_runs(self.library.pre_tokenizer.pre_tokenize_str)
+        return self._classes
+
     def _spans(self, cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each span's place in the store and its number of ids."""
-        h = span_hashes(_VALUE[cps], start, end)
+        h = span_hashes(code_values(cps, _VALUE), start, end)
         slot = (h >> U64(64 - KNOWN_BITS)).astype(np.int64)
         at, length = self.at[slot].astype(np.int64), self.length[slot]
         new = np.flatnonzero(self.key[slot] != h)
@@ -92,20 +100,17 @@ class Encoder:
             cps, off = code_points(t)
             rows = t.hi - t.lo
             slow = np.zeros(rows, bool)
-            odd = cps >= pretoken.SAFE
-            if odd.any():
-                slow[np.unique(np.searchsorted(off, np.flatnonzero(odd), "right") - 1)] = True
-                cps = np.where(odd, np.uint32(0x20), cps)
+            classes = self.classes if len(cps) and int(cps.max()) >= pretoken.SAFE else pretoken.CLASS
             raw = t.buf.tobytes()
             for s in self.special:
                 at = raw.find(s)
                 while at >= 0:
                     slow[np.searchsorted(t.off, at, "right") - 1] = True
                     at = raw.find(s, at + 1)
-            if slow.any():  # characters whose class may differ between versions, special strings: the library alone
+            if slow.any():  # special strings: the library alone
                 cps = cps.copy()
                 cps[gather_ranges(off[:-1][slow], np.diff(off)[slow])] = 0x20
-            start, end, woff = pretoken.cut(cps, off, keeps_space=True)
+            start, end, woff = pretoken.cut(cps, off, keeps_space=True, classes=classes)
             at, length = self._spans(cps, start, end)
             total = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
             counts = total[woff[1:]] - total[woff[:-1]]
