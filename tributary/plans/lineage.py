@@ -21,6 +21,16 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
 
 
+#: Splits of a table below which it is small enough to be dealt anew: four gigabytes at Spark's usual size of a split.
+FEW_SPLITS = 32
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A table just read, dealt to all cores where its files make fewer splits than there are; larger tables stay as they are."""
+    cores = min(scan.sparkSession.sparkContext.defaultParallelism, FEW_SPLITS)
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once, in the shared checkpoint folder: plans of later rounds start from there."""
     checkpoint_dir(df.sparkSession)
