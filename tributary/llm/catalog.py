@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import spread
 from .decontamination import leaks
 from .licenses import license_scan
 from .mixing import mix, mix_sql
@@ -40,6 +41,11 @@ def domain_of(source):
     return F.element_at(F.array(*map(F.lit, DOMAINS)), (F.coalesce(n, F.lit(0)) % len(DOMAINS) + 1).cast("int"))
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' id and text, for the operators that read no more."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     out = mix(docs, {"domain": domain_of(None), "lang": F.col("lang"), "source": F.col("source")}, MIX_WEIGHTS, MIX_SHARE)
@@ -51,7 +57,7 @@ def op6_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return token_counts(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,28 +65,28 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_min_max_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(documents(spark, sf_dir))
 
 
 def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
+    vectors = spread(table(spark, sf_dir, "embeddings"))
     return nearest(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
 def op9_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op7_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op5_rare_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(table(spark, sf_dir, "documents"))
+    return license_scan(documents(spark, sf_dir))
 
 
 def op4_masked_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(table(spark, sf_dir, "documents"))
+    return lm_scores(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
