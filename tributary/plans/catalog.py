@@ -681,9 +681,18 @@ def graph_connected(spark: SparkSession, d: str) -> DataFrame:
     return graphs.is_connected(v(spark, d, "net"))
 
 
-@query()
+def _ranks(rounds: int = 150, alpha: float = 0.85) -> str:
+    """Unrolled rounds of PageRank."""
+    out = ["k AS (SELECT src, count(*) AS k FROM net GROUP BY src)", "n AS (SELECT count(*) AS n FROM nodes)", "r0 AS MATERIALIZED (SELECT v, 1.0::DOUBLE / n AS r FROM nodes, n)"]
+    for i in range(1, rounds + 1):
+        out.append(f"""r{i} AS MATERIALIZED (SELECT v, {1 - alpha} / n + {alpha} * lost / n + {alpha} * coalesce(g, 0) AS r FROM nodes LEFT JOIN (SELECT dst AS v, sum(r / k) AS g FROM net JOIN k USING (src) JOIN r{i - 1} x ON x.v = net.src GROUP BY dst) USING (v),
+  n, (SELECT coalesce(sum(r), 0) AS lost FROM r{i - 1} WHERE v NOT IN (SELECT src FROM k)))""")
+    return ", " + ",\n".join(out)
+
+
+@query(fx.sql('SELECT v, round(r, 8) AS "rank" FROM r150', "net", more=_NODES + _ranks()))
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.pagerank(v(spark, d, "net"))
+    return graphs.pagerank(v(spark, d, "net"), max_iter=1000, tol=1e-13).select("v", F.round("rank", 8).alias("rank"))
 
 
 @query()
@@ -696,14 +705,34 @@ def eigenvector(spark: SparkSession, d: str) -> DataFrame:
     return graphs.or_largest_strong(v(spark, d, "net"), graphs.eigenvector)
 
 
-@query()
+def _dependencies(levels: int = 14) -> str:
+    """Unrolled levels of shortest paths from every source, then what each edge carries, from the last level back."""
+    out = ["step AS MATERIALIZED (SELECT src, dst FROM net WHERE src <> dst)", "l0 AS MATERIALIZED (SELECT v AS s, v, 1::DOUBLE AS p FROM nodes)", "k0 AS MATERIALIZED (SELECT s, v FROM l0)"]
+    for i in range(1, levels + 1):
+        out.append(f"l{i} AS MATERIALIZED (SELECT l.s, e.dst AS v, sum(l.p) AS p FROM l{i - 1} l JOIN step e ON e.src = l.v WHERE NOT EXISTS (SELECT 1 FROM k{i - 1} k WHERE k.s = l.s AND k.v = e.dst) GROUP BY l.s, e.dst)")
+        out.append(f"k{i} AS MATERIALIZED (SELECT * FROM k{i - 1} UNION ALL SELECT s, v FROM l{i})")
+    out.append(f"d{levels} AS (SELECT s, v, 0::DOUBLE AS d FROM l{levels} WHERE false)")
+    for i in range(levels - 1, -1, -1):
+        out.append(f"f{i} AS MATERIALIZED (SELECT a.s, a.v, b.v AS w, a.p / b.p * (1 + coalesce(d.d, 0)) AS c FROM l{i} a JOIN step e ON e.src = a.v JOIN l{i + 1} b ON b.s = a.s AND b.v = e.dst LEFT JOIN d{i + 1} d ON d.s = b.s AND d.v = b.v)")
+        out.append(f"d{i} AS MATERIALIZED (SELECT s, v, sum(c) AS d FROM f{i} GROUP BY s, v)")
+    nodes = " UNION ALL ".join(f"SELECT v, d FROM d{i} WHERE s <> v" for i in range(levels))
+    carried = " UNION ALL ".join(f"SELECT v AS src, w AS dst, c FROM f{i}" for i in range(levels))
+    return ", " + ",\n".join(out) + f", of_nodes AS (SELECT v, sum(d) AS d FROM ({nodes}) GROUP BY v), of_edges AS (SELECT src, dst, sum(c) AS d FROM ({carried}) GROUP BY src, dst)"
+
+
+@query(fx.sql("SELECT v, round(coalesce(d, 0), 5) AS value FROM nodes LEFT JOIN of_nodes USING (v)", "net", more=_NODES + _dependencies()))
 def node_betweenness(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.betweenness(v(spark, d, "net"))[0]
+    return graphs.betweenness(v(spark, d, "net"))[0].select("v", F.round("value", 5).alias("value"))
 
 
-@query()
+@query(fx.sql("SELECT src, dst, round(coalesce(d, 0) / (n * (n - 1)), 10) AS value FROM step LEFT JOIN of_edges USING (src, dst), (SELECT count(*) AS n FROM nodes)", "net", more=_NODES + _dependencies()))
 def edge_betweenness(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.betweenness(v(spark, d, "net"), normalized=True)[1]
+    return graphs.betweenness(v(spark, d, "net"), normalized=True)[1].select("src", "dst", F.round("value", 10).alias("value"))
+
+
+@query(fx.sql("SELECT src, dst, round(coalesce(d, 0), 5) AS value FROM step LEFT JOIN of_edges USING (src, dst)", "net", more=_NODES + _dependencies()))
+def edge_betweenness_sums(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.betweenness(v(spark, d, "net"))[1].select("src", "dst", F.round("value", 5).alias("value"))
 
 
 # ---------------------------------------------------------------- search, text, streaming
