@@ -695,14 +695,31 @@ def pagerank(spark: SparkSession, d: str) -> DataFrame:
     return graphs.pagerank(v(spark, d, "net"), max_iter=1000, tol=1e-13).select("v", F.round("rank", 8).alias("rank"))
 
 
-@query()
+def _hubs(rounds: int = 40) -> str:
+    """Unrolled rounds of hubs, each adding up to 1; the last one's authorities."""
+    out = ["h0 AS MATERIALIZED (SELECT v, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS h FROM nodes)"]
+    for i in range(1, rounds + 1):
+        out.append(f"a{i} AS MATERIALIZED (SELECT dst AS v, sum(h) AS a FROM net JOIN h{i - 1} x ON x.v = net.src GROUP BY dst)")
+        out.append(f"h{i} AS MATERIALIZED (SELECT v, coalesce(g, 0) / sum(g) OVER () AS h FROM nodes LEFT JOIN (SELECT src AS v, sum(a) AS g FROM net JOIN a{i} x ON x.v = net.dst GROUP BY src) USING (v))")
+    return ", " + ",\n".join(out) + f", last AS (SELECT dst AS v, sum(h) AS a FROM net JOIN h{rounds} x ON x.v = net.src GROUP BY dst)"
+
+
+@query(fx.sql("SELECT v, round(h, 8) AS hub, round(coalesce(a, 0) / sum(a) OVER (), 8) AS authority FROM h40 LEFT JOIN last USING (v)", "net", more=_NODES + _hubs()))
 def hits_hubs(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.or_largest_strong(v(spark, d, "net"), graphs.hits)
+    got = graphs.or_largest_strong(v(spark, d, "net"), graphs.hits, tol=1e-12)
+    return got.select("v", *[F.round(c, 8).alias(c) for c in ("hub", "authority")])
 
 
-@query()
+def _left_vector(rounds: int = 60) -> str:
+    out = ["x0 AS MATERIALIZED (SELECT v, 1.0::DOUBLE / sqrt((SELECT count(*) FROM nodes)) AS x FROM nodes)"]
+    for i in range(1, rounds + 1):
+        out.append(f"""x{i} AS MATERIALIZED (SELECT v, y / sqrt(sum(y * y) OVER ()) AS x FROM (SELECT v, x + coalesce(g, 0) AS y FROM x{i - 1} LEFT JOIN (SELECT dst AS v, sum(x) AS g FROM net JOIN x{i - 1} z ON z.v = net.src GROUP BY dst) USING (v)))""")
+    return ", " + ",\n".join(out)
+
+
+@query(fx.sql("SELECT v, round(x, 8) AS value FROM x60", "net", more=_NODES + _left_vector()))
 def eigenvector(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.or_largest_strong(v(spark, d, "net"), graphs.eigenvector)
+    return graphs.or_largest_strong(v(spark, d, "net"), graphs.eigenvector, tol=1e-14).select("v", F.round("value", 8).alias("value"))
 
 
 def _dependencies(levels: int = 14) -> str:
