@@ -74,10 +74,12 @@ def features(t: Texts) -> np.ndarray:
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """TF-IDF, each row of length 1: the style's part and, WEIGHT times as long, the words'."""
-    x = np.log1p(counts) * idf
+    x = np.log1p(counts)
+    x *= idf
     for part, length in ((x[:, :STYLE], 1.0), (x[:, STYLE:], WEIGHT)):
-        part *= length / np.maximum(np.sqrt((part * part).sum(1, keepdims=True)), 1e-9)
-    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
+        part *= length / np.maximum(np.sqrt(np.einsum("ij,ij->i", part, part)), 1e-9)[:, None]
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
+    return x
 
 
 class Voter:
@@ -87,7 +89,7 @@ class Voter:
         n = len(counts)
         self.labels = labels.astype(np.float32)
         self.prior = float(labels.mean()) if n else 0.5
-        self.idf = np.log((1 + n) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
+        self.idf = np.log((1 + n) / (1 + np.count_nonzero(counts, 0))).astype(np.float32) + 1
         x = weighted(counts, self.idf)
         rank = min(RANK, *x.shape)
         y = x @ np.random.Generator(np.random.PCG64(9)).standard_normal((SIZE, rank + 10)).astype(np.float32)
@@ -95,10 +97,13 @@ class Voter:
             y, _ = np.linalg.qr(x @ (x.T @ y))
         _, _, right = np.linalg.svd(y.T @ x, full_matrices=False)
         self.projection = np.ascontiguousarray(right[:rank].T, np.float32)
-        self.vectors = self.latent(counts)
+        self.vectors = self._unit(x @ self.projection)
 
     def latent(self, counts: np.ndarray) -> np.ndarray:
-        z = weighted(counts, self.idf) @ self.projection
+        return self._unit(weighted(counts, self.idf) @ self.projection)
+
+    @staticmethod
+    def _unit(z: np.ndarray) -> np.ndarray:
         return z / np.maximum(np.sqrt((z * z).sum(1, keepdims=True)), 1e-9)
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
@@ -111,9 +116,10 @@ class Voter:
             # cosines to six places: equal vectors tie wherever they stand
             near = np.round(self.latent(counts[lo : lo + 512]) @ self.vectors.T, 6)
             last = -np.partition(-near, k - 1, 1)[:, k - 1 : k]
-            weight = np.where(near >= last, np.maximum(near, 0), 0).astype(np.float64) ** POWER
-            total = weight.sum(1)
-            vote = weight @ self.labels.astype(np.float64) / np.maximum(total, 1e-12)
+            who, at = np.nonzero(near >= last)
+            weight = np.maximum(near[who, at], 0).astype(np.float64) ** POWER
+            total = np.bincount(who, weight, len(near))
+            vote = np.bincount(who, weight * self.labels[at], len(near)) / np.maximum(total, 1e-12)
             out[lo : lo + 512] = np.where(total > 1e-12, np.clip(vote, 0, 1), self.prior)
         return out
 
@@ -143,7 +149,9 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", doc_id:
 
     got = rows.select("doc_id", "text", "label").mapInArrow(count, "doc_id long, label int, counts binary").collect()
     got.sort(key=lambda r: r["doc_id"])
-    counts = np.array([np.frombuffer(zlib.decompress(r["counts"]), np.float32) for r in got], np.float32).reshape(len(got), SIZE)
+    counts = np.empty((len(got), SIZE), np.float32)
+    for i, r in enumerate(got):
+        counts[i] = np.frombuffer(zlib.decompress(r["counts"]), np.float32)
     return Voter(counts, np.array([r["label"] for r in got], np.float32))
 
 
