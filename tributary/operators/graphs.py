@@ -79,7 +79,7 @@ class Adjacency:
             fresh = seen[target] < 0
             seen[target[fresh]] = hops
             on = seen[target] == hops
-            at = np.unique(target[fresh])
+            at = np.flatnonzero(seen == hops)
             yield at, origin[on], target[on], edge[on]
 
 
@@ -100,7 +100,7 @@ def searched(edges: DataFrame, graph: Adjacency, search) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-    tasks = max(1, min(n, spark.sparkContext.defaultParallelism * 4))
+    tasks = max(1, min(n, spark.sparkContext.defaultParallelism))
     # the sums are of the graph's size, which is bounded, one for each of these tasks
     parts = spark.range(0, n, 1, tasks).mapInArrow(run, "sums binary").toLocalIterator()
     return sum((np.frombuffer(r["sums"]) for r in parts), np.zeros(0) if not n else 0.0)
@@ -164,14 +164,38 @@ def closure(edges: DataFrame) -> DataFrame:
     return known
 
 
-def _reached(graph: Adjacency, sources: np.ndarray) -> np.ndarray:
-    """For each vertex how many others it reaches, as far as it is a source; the sum of hops; their largest number."""
-    n = len(graph.names)
-    out = np.zeros(2 * n)
-    for hops, (at, *_) in enumerate(graph.levels(sources), 1):
-        found = np.bincount(at // n, minlength=len(sources))
-        out[sources] += found
-        out[n + sources] += hops * found
+def _reached(into: Adjacency, sources: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """For each source how many vertices it reaches, the sum of hops to them, and the largest number of hops of all.
+
+    into: each vertex's edges lead to where it is reached from. A word's 64 bits stand for as many sources, so a level is
+    one pass over the edges for all of them.
+    """
+    n, k = len(into.names), len(sources)
+    seen = np.zeros((n, -(-k // 64)), np.uint64)
+    np.bitwise_or.at(seen, (sources, np.arange(k) // 64), np.uint64(1) << (np.arange(k) % 64).astype(np.uint64))
+    front = seen.copy()
+    has = np.flatnonzero(np.diff(into.start))
+    begin = into.start[:-1][has]
+    found, total, hops = np.zeros(k), np.zeros(k), 0
+    while len(has):
+        new = np.zeros_like(seen)
+        new[has] = np.bitwise_or.reduceat(front[into.to], begin, 0)
+        new &= ~seen
+        some = np.flatnonzero(new.any(1))
+        if not len(some):
+            break
+        hops += 1
+        seen |= new
+        front = new
+        each = np.unpackbits(new[some].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)[:k]
+        found += each
+        total += hops * each
+    return found, total, hops
+
+
+def _counted(into: Adjacency, sources: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(into.names))
+    out[sources] = _reached(into, sources)[0]
     return out
 
 
@@ -179,8 +203,7 @@ def reach_counts(edges: DataFrame) -> DataFrame:
     """v, descendants, ancestors; a vertex isn't its own."""
     small = Adjacency.of(edges)
     if small is not None:
-        n = len(small.names)
-        down, up = (searched(edges, g, _reached)[:n].astype(np.int64) for g in (small, small.reversed()))
+        down, up = (searched(edges, g, _counted).astype(np.int64) for g in (small.reversed(), small))
         return _table(edges, small, descendants=down, ancestors=up)
     pairs = closure(edges).filter("src <> dst")
     down = pairs.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("descendants"))
@@ -276,30 +299,21 @@ def path_stats(edges: DataFrame, directed: bool = False) -> DataFrame:
     inside = largest_component(edges)
     inside = inside if directed else undirected(inside)
     small = Adjacency.of(inside)
-    if small is not None:
-        n = len(small.names)
-        got = searched(inside, small, _reached)
-        pairs, hops = float(got[:n].sum()), float(got[n:].sum())
-        longest = int(searched_max(inside, small))
-        return edges.sparkSession.createDataFrame([(hops / pairs if pairs else 0.0, longest)], "mean_path double, diameter int")
-    return distances(inside).agg(F.coalesce(F.avg("hops"), F.lit(0.0)).alias("mean_path"), F.coalesce(F.max("hops"), F.lit(0)).alias("diameter"))
-
-
-def searched_max(edges: DataFrame, graph: Adjacency) -> int:
-    """The largest number of hops of a shortest path."""
-    spark = edges.sparkSession
-    ready = spark.sparkContext.broadcast(graph)
-    n = len(graph.names)
-    step = max(1, PLACES // max(n, 1))
+    if small is None:
+        return distances(inside).agg(F.coalesce(F.avg("hops"), F.lit(0.0)).alias("mean_path"), F.coalesce(F.max("hops"), F.lit(0)).alias("diameter"))
+    spark, n = edges.sparkSession, len(small.names)
+    ready = spark.sparkContext.broadcast(small.reversed())
+    step = max(64, PLACES // max(n, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
-            top = [sum(len(at) > 0 for at, *_ in ready.value.levels(ids[lo : lo + step])) for lo in range(0, len(ids), step)]
-            yield pa.RecordBatch.from_arrays([pa.array(top, pa.int32())], ["hops"])
+            got = [_reached(ready.value, ids[lo : lo + step]) for lo in range(0, len(ids), step)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x[0].sum()) for x in got]), pa.array([int(x[1].sum()) for x in got]), pa.array([x[2] for x in got], pa.int32())], ["pairs", "hops", "longest"])
 
-    tasks = max(1, min(n, spark.sparkContext.defaultParallelism * 4))
-    return spark.range(0, n, 1, tasks).mapInArrow(run, "hops int").agg(F.max("hops")).first()[0] or 0
+    tasks = max(1, min(n, spark.sparkContext.defaultParallelism))
+    sums = spark.range(0, n, 1, tasks).mapInArrow(run, "pairs long, hops long, longest int").agg(F.sum("pairs").alias("pairs"), F.sum("hops").alias("hops"), F.max("longest").alias("longest"))
+    return sums.select(F.coalesce(F.col("hops") / F.nullif(F.col("pairs"), F.lit(0)), F.lit(0.0)).alias("mean_path"), F.coalesce("longest", F.lit(0)).alias("diameter"))
 
 
 def average_clustering(edges: DataFrame) -> DataFrame:

@@ -23,11 +23,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return dot(a, b) / F.nullif(norm, F.lit(0.0))
-
-
 def knn(index: DataFrame, queries: DataFrame, k: int = 5, measure: str = "l2") -> DataFrame:
     """query, rank, id, score: each query's k nearest rows; measure l2 (score 1 / (1 + d)), raw (squared distance) or cosine.
 
@@ -46,15 +41,15 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 5, measure: str = "l2") -
 
 
 def _nearest(index: DataFrame, q: DataFrame, k: int, measure: str) -> DataFrame:
-    pairs = index.crossJoin(F.broadcast(q))  # a block of the stated queries
-    if measure == "cosine":
-        value = cosine(F.col("vector"), F.col("q"))
-        order = [F.desc("score"), F.asc("id")]
-        score = F.col("v")
+    if measure == "cosine":  # lengths are taken once a vector, not once a pair
+        unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.nullif(F.sqrt(dot(v, v)), F.lit(0.0)))
+        index, q = index.select("id", unit(F.col("vector")).alias("vector")), q.select("query", unit(F.col("q")).alias("q"))
+        value, order, score = dot(F.col("vector"), F.col("q")), [F.desc("score"), F.asc("id")], F.col("v")
     else:
         value = squared_l2(F.col("vector"), F.col("q"))
         order = [F.asc("v"), F.asc("id")]
         score = distance_score(F.col("v")) if measure == "l2" else F.col("v")
+    pairs = index.crossJoin(F.broadcast(q))  # a block of the stated queries
     rows = pairs.select("query", "id", value.alias("v")).filter("v IS NOT NULL").withColumn("score", score)
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).filter(F.col("rank") <= k).select("query", "rank", "id", "score")
 

@@ -14,7 +14,7 @@ from ..functions import codes, text
 from ..operators import dists, graphs, hyper, instructions, judge, ranks, references, report, search, state, trade
 from ..sources import files, sinks
 from ..streaming import ingest
-from .lineage import shared_dir
+from .lineage import shared_dir, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -379,7 +379,7 @@ def _support(spark: SparkSession, d: str) -> DataFrame:
     entries = words.select("process", F.when(F.col("n") % 2 == 1, "in").otherwise("out").alias("side"), F.when(F.col("n") % 3 == 0, code).alias("code"), "name")
     at = lambda i: F.get("w", F.lit(i))
     registry = items.select(code.alias("code"), at(0).alias("name"), F.array(at(1), F.concat_ws(" ", at(2), at(3))).alias("aliases"))
-    docs = t(spark, d, "documents").crossJoin(F.broadcast(items.agg((F.max("process") + 1).alias("k"))))  # k: one row
+    docs = spread(t(spark, d, "documents").select("doc_id", "text")).crossJoin(F.broadcast(items.agg((F.max("process") + 1).alias("k"))))  # k: one row
     texts = docs.select((F.col("doc_id") % F.col("k")).alias("process"), text.norm(F.col("text")).alias("text"))
     return judge.evidence(texts, judge.side_terms(entries, registry))
 
@@ -756,7 +756,7 @@ def edge_betweenness_sums(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = v(spark, d, "vectors")
+    rows = spread(v(spark, d, "vectors"))
     return rows.select("id", "vector"), rows.filter("id % 20 = 0").select(F.col("id").alias("query"), "vector")  # the stated queries
 
 
@@ -784,7 +784,7 @@ SELECT {columns} FROM k"""
 
 @query(_chunk_sql(300, 500, 425, "id, chunk::INT AS chunk, len(p)::INT AS tokens, md5(array_to_string(p, ' ')) AS digest"))
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
-    return search.chunks(t(spark, d, "documents"), "doc_id", "text").select("id", "chunk", "tokens", F.md5("text").alias("digest"))
+    return search.chunks(spread(t(spark, d, "documents").select("doc_id", "text")), "doc_id", "text").select("id", "chunk", "tokens", F.md5("text").alias("digest"))
 
 
 @query("""SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '') AS domain, md5(string_split(url, '#')[1]) AS key, string_split(url, '#')[1] AS url FROM pages""")
