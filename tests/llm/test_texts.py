@@ -83,12 +83,12 @@ def test_ids_are_the_library_s(encoder, rows):
 
 def test_known_words_may_be_forgotten(encoder):
     mine, library = encoder
-    mine._forget = lambda: (mine.key.fill(0), setattr(mine, "used", 0), setattr(mine, "store", np.zeros(64, mine.kind)))
-    mine._forget()
+    mine.known._forget = lambda: (mine.known.key.fill(0), setattr(mine.known, "used", 0), setattr(mine.known, "store", np.zeros(64, mine.known.kind)))
+    mine.known._forget()
     rows = [" ".join(f"word{i}x{j}" for j in range(40)) for i in range(5)]
     assert ids_of(mine, rows) == [library.encode(x, add_special_tokens=False).ids for x in rows]
-    del mine._forget
-    mine._forget()
+    del mine.known._forget
+    mine.known._forget()
 
 
 def test_token_counts_query(spark):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import spread
+from .alignment import alignment
 from .decontamination import leaks
 from .licenses import license_scan
 from .mixing import mix, mix_sql
@@ -89,6 +90,10 @@ def op4_masked_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(documents(spark, sf_dir))
 
 
+def op12_byte_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_token_ids": op2_token_ids,
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_min_max_dedup": op8_min_max_dedup,
     "op9_neighbour_votes": op9_neighbour_votes,
     "op10_cross_polytope": op10_cross_polytope,
+    "op12_byte_owners": op12_byte_owners,
 }
 
 _DOMAIN_SQL = f"list_extract({list(DOMAINS)}, (coalesce(try_cast(regexp_extract(source, '([0-9]+)', 1) AS BIGINT), 0) % {len(DOMAINS)} + 1)::INTEGER)"

@@ -20,16 +20,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import pretoken, rans
-from .ragged import U64, chunks, code_points, code_values, gather_ranges, random_values, span_hashes
+from .ragged import Texts, chunks, code_points, gather_ranges
+from .span_cache import SpanCache
 from .tables import Workspace
 
 SEGMENT, BLOCK = 1 << 21, 1 << 18
 END_ID = 0
-KNOWN_BITS = 21
-#: Ids of known pre-tokens that a worker holds before it starts anew.
-STORE = 1 << 22
-
-_VALUE = random_values(pretoken.SAFE)
 
 SCHEMA = (
     "part int, segment int, n_ids long, n_docs long, freq binary, blocks array<binary>, block_docs array<int>, "
@@ -45,18 +41,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec)
-        self.kind = np.uint16 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+        kind = np.uint16 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
         self.library.no_truncation()
         self.library.no_padding()
         self._classes: np.ndarray | None = None
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self._forget()
-
-    def _forget(self) -> None:
-        self.key = np.zeros(1 << KNOWN_BITS, np.uint64)
-        self.at = np.zeros(1 << KNOWN_BITS, np.int32)
-        self.length = np.zeros(1 << KNOWN_BITS, np.int32)
-        self.store, self.used = np.zeros(STORE, self.kind), 0
+        self.known = SpanCache(kind, lambda strings: [e.ids for e in self.library.encode_batch_fast(strings, add_special_tokens=False)])
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -68,59 +58,36 @@ class Encoder:
             self._classes = pretoken.classes_of_runs(self.library.pre_tokenizer.pre_tokenize_str)
         return self._classes
 
-    def _spans(self, cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each span's place in the store and its number of ids."""
-        h = span_hashes(code_values(cps, _VALUE), start, end)
-        slot = (h >> U64(64 - KNOWN_BITS)).astype(np.int64)
-        at, length = self.at[slot].astype(np.int64), self.length[slot]
-        new = np.flatnonzero(self.key[slot] != h)
-        if len(new):
-            _, first, back = np.unique(h[new], return_index=True, return_inverse=True)
-            which = new[first]
-            text = cps.tobytes().decode("utf-32-le")
-            strings = [text[a:b] for a, b in zip(start[which].tolist(), end[which].tolist(), strict=True)]
-            made = [e.ids for e in self.library.encode_batch_fast(strings, add_special_tokens=False)]
-            lengths = np.array([len(x) for x in made], np.int32)
-            n = int(lengths.sum())
-            if self.used + n > len(self.store):
-                self._forget()
-                if n > len(self.store):
-                    self.store = np.zeros(n, self.kind)
-                return self._spans(cps, start, end)
-            self.store[self.used : self.used + n] = np.fromiter((i for x in made for i in x), self.kind, n)
-            places = self.used + np.cumsum(lengths) - lengths
-            self.used += n
-            at[new], length[new] = places[back], lengths[back]
-            self.key[slot[which]], self.at[slot[which]], self.length[slot[which]] = h[which], places, lengths
-        return at, length
-
     def texts(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each chunk of rows: all ids on end, and the number of each row's."""
         for t in chunks(column):
-            cps, off = code_points(t)
-            rows = t.hi - t.lo
-            slow = np.zeros(rows, bool)
-            classes = self.classes if len(cps) and int(cps.max()) >= pretoken.SAFE else pretoken.CLASS
-            raw = t.buf.tobytes()
-            for s in self.special:
-                at = raw.find(s)
-                while at >= 0:
-                    slow[np.searchsorted(t.off, at, "right") - 1] = True
-                    at = raw.find(s, at + 1)
-            if slow.any():  # special strings: the library alone
-                cps = cps.copy()
-                cps[gather_ranges(off[:-1][slow], np.diff(off)[slow])] = 0x20
-            start, end, woff = pretoken.cut(cps, off, keeps_space=True, classes=classes)
-            at, length = self._spans(cps, start, end)
-            total = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
-            counts = total[woff[1:]] - total[woff[:-1]]
-            ids = self.store[gather_ranges(at, length)]
-            if slow.any():
-                own = {r: self.whole(t.text(r)) for r in np.flatnonzero(slow).tolist()}
-                cut = total[woff]
-                ids = np.concatenate([own[r] if r in own else ids[cut[r] : cut[r + 1]] for r in range(rows)] or [ids[:0]])
-                counts[list(own)] = [len(x) for x in own.values()]
-            yield ids, counts
+            yield self.chunk(t)
+
+    def chunk(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
+        cps, off = code_points(t)
+        rows = t.hi - t.lo
+        slow = np.zeros(rows, bool)
+        classes = self.classes if len(cps) and int(cps.max()) >= pretoken.SAFE else pretoken.CLASS
+        raw = t.buf.tobytes()
+        for s in self.special:
+            at = raw.find(s)
+            while at >= 0:
+                slow[np.searchsorted(t.off, at, "right") - 1] = True
+                at = raw.find(s, at + 1)
+        if slow.any():  # special strings: the library alone
+            cps = cps.copy()
+            cps[gather_ranges(off[:-1][slow], np.diff(off)[slow])] = 0x20
+        start, end, woff = pretoken.cut(cps, off, keeps_space=True, classes=classes)
+        at, length = self.known.spans(cps, start, end)
+        total = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
+        counts = total[woff[1:]] - total[woff[:-1]]
+        ids = self.known.store[gather_ranges(at, length)]
+        if slow.any():
+            own = {r: self.whole(t.text(r)) for r in np.flatnonzero(slow).tolist()}
+            cut = total[woff]
+            ids = np.concatenate([own[r] if r in own else ids[cut[r] : cut[r + 1]] for r in range(rows)] or [ids[:0]])
+            counts[list(own)] = [len(x) for x in own.values()]
+        return ids, counts
 
 
 @lru_cache(maxsize=1)
