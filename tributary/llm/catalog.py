@@ -14,6 +14,7 @@ from .licenses import license_scan
 from .mixing import mix, mix_sql
 from .near_dups import near_duplicates
 from .neighbours import nearest
+from .ngram_join import ngram_join, ngram_join_sql
 from .pseudo_likelihood import lm_scores
 from .quality import classify
 from .tables import table
@@ -90,6 +91,10 @@ def op4_masked_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(documents(spark, sf_dir))
 
 
+def op11_sparse_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(documents(spark, sf_dir))
+
+
 def op12_byte_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_min_max_dedup": op8_min_max_dedup,
     "op9_neighbour_votes": op9_neighbour_votes,
     "op10_cross_polytope": op10_cross_polytope,
+    "op11_sparse_product": op11_sparse_product,
     "op12_byte_owners": op12_byte_owners,
 }
 
@@ -113,4 +119,5 @@ _DOMAIN_SQL = f"list_extract({list(DOMAINS)}, (coalesce(try_cast(regexp_extract(
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": mix_sql({"domain": _DOMAIN_SQL, "lang": "lang", "source": "source"}, MIX_WEIGHTS, MIX_SHARE),
     "op6_url_templates": url_filter_sql(RULES),
+    "op11_sparse_product": ngram_join_sql(),
 }

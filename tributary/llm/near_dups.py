@@ -19,7 +19,7 @@ group's pairs are ever written out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -237,11 +237,12 @@ def _rarest(members: DataFrame, sets: DataFrame, percent: int, ws: Workspace) ->
     return bands.join(_apart(bands), "band")
 
 
-def _rest(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest(open_: DataFrame, sets: DataFrame, percent: int, alike: Callable | None = None) -> DataFrame:
     """Links between members (band, rep, component, and _apart()'s) of one band that lie in different components.
 
     A band of more than BLOCK shingles is cut by a hash of the member into blocks of about as many: those of the largest
     component each meet those of the others, and these meet each other; a task compares two blocks of a band.
+    alike(sets, components, percent) gives the matrix of links between sets, _alike() unless another one is given.
     """
     whole = F.col("largest") + F.col("others") <= BLOCK
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
@@ -263,25 +264,26 @@ def _rest(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             for i, (*k, rep, component) in enumerate(zip(*(b.column(c).to_pylist() for c in range(5)), strict=True)):
                 if k != key:
-                    yield from _joined(group, percent)
+                    yield from _joined(group, percent, alike or _alike)
                     key, group = k, []
                 group.append((rep, component, set_at(b.column(5), i).copy()))  # else a batch would stay for the group's sake
-        yield from _joined(group, percent)
+        yield from _joined(group, percent, alike or _alike)
 
     return rows.select("band", "i", "j", "rep", "component", "shingles").mapInArrow(compare, "a long, b long").distinct()
 
 
-def _joined(group: list[tuple[int, int, np.ndarray]], percent: int) -> Iterator[pa.RecordBatch]:
+def _alike(sets: list[np.ndarray], part: np.ndarray, percent: int) -> np.ndarray:
+    same = common(sets)
+    size = np.array([len(x) for x in sets])
+    return (100 * same >= percent * (size[:, None] + size[None, :] - same)) & (part[:, None] != part[None, :])
+
+
+def _joined(group: list[tuple[int, int, np.ndarray]], percent: int, alike: Callable) -> Iterator[pa.RecordBatch]:
     """Edges that join the members which links connect: the smallest of them with each other one."""
     if len({c for _, c, _ in group}) < 2:
         return
-    sets = [x for _, _, x in group]
-    same = common(sets)
-    size = np.array([len(x) for x in sets])
-    link = 100 * same >= percent * (size[:, None] + size[None, :] - same)
     ids = np.array([r for r, _, _ in group])
-    part = np.array([c for _, c, _ in group])
-    link &= part[:, None] != part[None, :]
+    link = alike([x for _, _, x in group], np.array([c for _, c, _ in group]), percent)
     if not link.any():
         return
     root = ids.copy()
@@ -298,13 +300,24 @@ def _joined(group: list[tuple[int, int, np.ndarray]], percent: int) -> Iterator[
 def common(sets: list[np.ndarray]) -> np.ndarray:
     """The number of common values of every two sets."""
     m = len(sets)
+    value, who = by_value(sets)
+    out = np.zeros(m * m, np.int64)
+    add_common(out, m, value, who)
+    return out.reshape(m, m)
+
+
+def by_value(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All sets' values, ascending, and the set of each."""
     value = np.concatenate(sets)
-    who = np.repeat(np.arange(m), [len(x) for x in sets])
+    who = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     order = np.argsort(value, kind="stable")
-    value, who = value[order], who[order]
+    return value[order], who[order]
+
+
+def add_common(out: np.ndarray, m: int, value: np.ndarray, who: np.ndarray) -> None:
+    """Add to the m x m counts (flat) what each value's holders have in common; values ascend."""
     begin = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
     length = np.diff(np.append(begin, len(value)))
-    out = np.zeros(m * m, np.int64)
     for n in np.unique(length[length <= DENSE]).tolist():
         at = begin[length == n]
         for step in range(0, len(at), 1 << 14):
@@ -316,4 +329,3 @@ def common(sets: list[np.ndarray]) -> np.ndarray:
         held = np.zeros((m, len(some)), np.float32)
         held[who[gather_ranges(begin[some], length[some])], np.repeat(np.arange(len(some)), length[some])] = 1
         out += (held @ held.T).astype(np.int64).ravel()
-    return out.reshape(m, m)
