@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import spread
 from .alignment import alignment
+from .collocations import collocations, collocations_sql
 from .decontamination import leaks
 from .licenses import license_scan
 from .mixing import mix, mix_sql
@@ -99,6 +100,10 @@ def op12_byte_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
+def op13_level_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(spread(table(spark, sf_dir, "documents").select("text", "lang")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_token_ids": op2_token_ids,
@@ -112,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_cross_polytope": op10_cross_polytope,
     "op11_sparse_product": op11_sparse_product,
     "op12_byte_owners": op12_byte_owners,
+    "op13_level_passes": op13_level_passes,
 }
 
 _DOMAIN_SQL = f"list_extract({list(DOMAINS)}, (coalesce(try_cast(regexp_extract(source, '([0-9]+)', 1) AS BIGINT), 0) % {len(DOMAINS)} + 1)::INTEGER)"
@@ -120,4 +126,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_mixing": mix_sql({"domain": _DOMAIN_SQL, "lang": "lang", "source": "source"}, MIX_WEIGHTS, MIX_SHARE),
     "op6_url_templates": url_filter_sql(RULES),
     "op11_sparse_product": ngram_join_sql(),
+    "op13_level_passes": collocations_sql(),
 }
