@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tributary.llm import near_dups, ngram_join
-from tributary.llm.ngram_join import deciding, product_links
+from tributary.llm.ngram_join import deciding, open_pairs, product_links
 
 
 def shingles(text, n=3):
@@ -86,6 +86,24 @@ def test_columns_that_decide(rng=random.Random(4)):
         assert set(x) & set(y)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_no_link_is_discarded_by_its_deciding_columns(seed):
+    rng = np.random.default_rng(seed)
+    sets = []
+    for n in rng.integers(9, 80, 12):
+        base = rng.choice(5000, int(n), replace=False)
+        for _ in range(6):
+            edit = np.where(rng.random(n) < rng.choice([0, 0.02, 0.06, 0.3]), rng.integers(5000, 9000, n), base)
+            sets.append(np.unique(edit[rng.random(n) < rng.choice([1, 0.97])]))
+    sets = [s for s in sets if deciding(np.array([len(s)]), 90)[0]]
+    columns = [s[: int(deciding(np.array([len(s)]), 90)[0])] for s in sets]
+    size, part = np.array([len(s) for s in sets]), np.arange(len(sets))
+    both = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    link = (100 * both >= 90 * (size[:, None] + size[None, :] - both)) & (part[:, None] != part[None, :])
+    open_ = open_pairs(columns, size, part, 90)
+    assert link.any() and not (link & ~open_).any() and (open_ == open_.T).all() and open_.sum() < open_.size / 2
+
+
 @pytest.mark.parametrize("slices", [1, 8, 64])
 def test_product_is_all_overlaps(slices):
     rng = np.random.default_rng(slices)

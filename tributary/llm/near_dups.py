@@ -237,12 +237,16 @@ def _rarest(members: DataFrame, sets: DataFrame, percent: int, ws: Workspace) ->
     return bands.join(_apart(bands), "band")
 
 
-def _rest(open_: DataFrame, sets: DataFrame, percent: int, alike: Callable | None = None) -> DataFrame:
-    """Links between members (band, rep, component, and _apart()'s) of one band that lie in different components.
+def _rest(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members (band, rep, component, and _apart()'s) of one band that lie in different components."""
+    return _compared(_dealt(open_), sets, percent, _alike)
+
+
+def _dealt(open_: DataFrame) -> DataFrame:
+    """The members in blocks that are compared in one task: band, i, j, rep, component.
 
     A band of more than BLOCK shingles is cut by a hash of the member into blocks of about as many: those of the largest
     component each meet those of the others, and these meet each other; a task compares two blocks of a band.
-    alike(sets, components, percent) gives the matrix of links between sets, _alike() unless another one is given.
     """
     whole = F.col("largest") + F.col("others") <= BLOCK
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
@@ -256,7 +260,11 @@ def _rest(open_: DataFrame, sets: DataFrame, percent: int, alike: Callable | Non
         .when(big, F.transform(numbers(b), lambda k: pair(own, a + k)))
         .otherwise(F.concat(F.transform(numbers(a), lambda k: pair(k, a + own)), F.transform(numbers(b), lambda k: pair(a + F.least(own, k), a + F.greatest(own, k)))))
     )
-    dealt = open_.select("band", "rep", "component", F.explode(meets).alias("at")).select("band", "at.i", "at.j", "rep", "component")
+    return open_.select("band", "rep", "component", F.explode(meets).alias("at")).select("band", "at.i", "at.j", "rep", "component")
+
+
+def _compared(dealt: DataFrame, sets: DataFrame, percent: int, alike: Callable) -> DataFrame:
+    """Links within the blocks; alike(sets, components, percent) gives the matrix of links between sets."""
     rows = dealt.join(sets.select(F.col("id").alias("rep"), "shingles"), "rep").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "rep")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,10 +272,10 @@ def _rest(open_: DataFrame, sets: DataFrame, percent: int, alike: Callable | Non
         for b in batches:
             for i, (*k, rep, component) in enumerate(zip(*(b.column(c).to_pylist() for c in range(5)), strict=True)):
                 if k != key:
-                    yield from _joined(group, percent, alike or _alike)
+                    yield from _joined(group, percent, alike)
                     key, group = k, []
                 group.append((rep, component, set_at(b.column(5), i).copy()))  # else a batch would stay for the group's sake
-        yield from _joined(group, percent, alike or _alike)
+        yield from _joined(group, percent, alike)
 
     return rows.select("band", "i", "j", "rep", "component", "shingles").mapInArrow(compare, "a long, b long").distinct()
 

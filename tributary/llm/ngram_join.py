@@ -8,8 +8,9 @@ bounds that follow from the sizes alone keep the product sparse:
   that many documents hold last; it needs frequencies of no exactness, so n-grams are counted in SLOTS counters by their hash.
 - Rows: two linked sizes differ by the factor 100 / percent at most, so the rows of a column are cut into bands of sizes, and
   a band meets itself and the next only.
-- Entries: blocks of rows are multiplied slice by slice of the columns; a pair whose overlap so far and whose n-grams still
-  to come can't reach its need is discarded, and rows without open pairs leave the product.
+- Entries: blocks of rows are multiplied slice by slice of the columns, the deciding ones first; a pair whose overlap so far
+  and whose n-grams still to come can't reach its need is discarded, and rows without open pairs leave the product. So the
+  n-grams of all but few rows never have to be shuffled.
 
 Documents with one and the same set are one row. First each column's rows are multiplied with its hub alone, which joins most
 true groups at a cost in proportion to their members; columns whose rows then still lie in several components are multiplied
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .near_dups import BLOCK, _apart, _confirmed, _rarest, _rest, add_common, by_value, shingle_sets
+from .near_dups import BLOCK, _apart, _compared, _confirmed, _dealt, _rarest, add_common, by_value, common, shingle_sets
 from .ragged import U64, gather_ranges, list_array, mix
 from .tables import Workspace
 
@@ -133,6 +134,69 @@ def product_links(sets: list[np.ndarray], part: np.ndarray, percent: int, slices
     return open_  # no columns are left, so what is open has its need
 
 
+def open_pairs(columns: list[np.ndarray], n: np.ndarray, part: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets of n n-grams and different parts may still be linked after the product of their deciding columns.
+
+    Of two sets, all n-grams up to the earlier one of their last deciding columns have been seen. What they have in common
+    beyond it is no more than either of them still holds.
+    """
+    last = np.array([x[-1] for x in columns])
+    seen = np.stack([np.searchsorted(x, np.minimum(last, x[-1]), "right") for x in columns])  # [i, j]: of i's, up to the earlier end
+    left = n[:, None] - seen
+    need = -(-percent * (n[:, None] + n[None, :]) // (100 + percent))
+    return (part[:, None] != part[None, :]) & (common(columns) + np.minimum(left, left.T) >= need)
+
+
+def _columns(batch: pa.RecordBatch, i: int) -> list[np.ndarray]:
+    """Each row's values of a list column."""
+    column = batch.column(i)
+    values, off = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+
+
+def _open_hubs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may be linked by their deciding columns."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = _columns(b, 3), _columns(b, 5)
+            n, m = b.column(2).to_numpy(), b.column(4).to_numpy()
+            keep = [bool(open_pairs([x[i], y[i]], np.array([n[i], m[i]]), np.arange(2), percent)[0, 1]) for i in range(b.num_rows)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    of = lambda c: nodes.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("columns").alias(f"of_{c}"))
+    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "n_a", "of_a", "n_b", "of_b").mapInArrow(check, "a long, b long")
+
+
+def _open_members(dealt: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The blocks' members that may be linked with another one by their deciding columns."""
+    of = nodes.select("rep", F.col("n_shingles").alias("n"), "columns")
+    rows = dealt.join(of, "rep").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "rep")
+
+    def passed(group: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if len({g[4] for g in group}) > 1:
+            keep = open_pairs([g[6] for g in group], np.array([g[5] for g in group]), np.array([g[4] for g in group]), percent).any(1)
+            if keep.any():
+                rows = zip(*(g[:5] for g, k in zip(group, keep.tolist(), strict=True) if k), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _MEMBER, strict=True)], ["band", "i", "j", "rep", "component"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, []
+        for b in batches:
+            columns = _columns(b, 6)
+            for i, row in enumerate(zip(*(b.column(c).to_pylist() for c in range(6)), strict=True)):
+                if row[:3] != key:
+                    yield from passed(group)
+                    key, group = row[:3], []
+                group.append((*row, columns[i].copy()))  # else a batch would stay for the group's sake
+        yield from passed(group)
+
+    return rows.select("band", "i", "j", "rep", "component", "n", "columns").mapInArrow(check, "band long, i int, j int, rep long, component long")
+
+
+_MEMBER = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+
+
 def ngram_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """Per row of df: doc_id, n_shingles and component_id (the smallest doc_id it is connected with).
 
@@ -156,21 +220,25 @@ def ngram_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     members = ws.keep(entries.join(shared.select("band", "hub"), "band"), "members")
     labels = None
     if not members.isEmpty():
-        ids = members.select(F.col("rep").alias("doc_id")).distinct()
-        sets = ws.keep(rows.join(ids, "doc_id", "left_semi").mapInArrow(_sets(n), "id long, shingles binary"), "sets")
+
+        def sets_of(ids: DataFrame, name: str) -> DataFrame:
+            return ws.keep(rows.join(ids.toDF("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(n), "id long, shingles binary"), name)
+
         near = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
         pairs = members.filter((F.col("rep") != F.col("hub.rep")) & near).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
-        links = ws.keep(_confirmed(pairs, sets, percent), "links-0")
+        pairs = ws.keep(_open_hubs(pairs, nodes, percent), "pairs")
+        links = ws.keep(_confirmed(pairs, sets_of(pairs.select("a").union(pairs.select("b")), "sets-0"), percent), "links-0")
         first = components(links, ws, "first").withColumnRenamed("id", "rep")
         now = ws.keep(members.join(first, "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("component")), "now")
         sized = ws.keep(_by_size(now.join(_apart(now).select("band"), "band"), percent), "sized")
         open_ = ws.keep(sized.join(_once(sized), "band").join(_apart(sized), "band"), "open")
         few, many = open_.filter(F.col("others") <= BLOCK), open_.filter(F.col("others") > BLOCK)
         if not many.isEmpty():
-            few = few.union(_rarest(many.select("rep", "component").distinct(), sets, percent, ws).select(few.columns))
-        rest = ws.keep(_rest(few, sets, percent, product_links), "links-1")
+            few = few.union(_rarest(many.select("rep", "component").distinct(), sets_of(many.select("rep"), "sets-1"), percent, ws).select(few.columns))
+        still = ws.keep(_open_members(_dealt(few), nodes, percent), "still")
+        rest = ws.keep(_compared(still, sets_of(still.select("rep"), "sets-2"), percent, product_links), "links-1")
         labels = components(links.union(rest), ws, "all").withColumnRenamed("id", "rep")
-        ws.drop("members", "now", "sized", "open", "rare", "rare-bands", "sets", "links-0", "links-1")
+        ws.drop("members", "pairs", "now", "sized", "open", "rare", "rare-bands", "still", "sets-0", "sets-1", "sets-2", "links-0", "links-1")
 
     copies = nodes.filter("copies > 1").select(*same, "rep")
     out = incidence.select("doc_id", *same).join(copies, same, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
