@@ -6,8 +6,9 @@ bounds that follow from the sizes alone keep the product sparse:
 - Columns: of a document's n n-grams, ordered alike in all documents, the first n - ceil(n percent / 100) + 1 hold one of any
   document that it is linked with, so only these are multiplied to find which rows meet. The order is by frequency, n-grams
   that many documents hold last; it needs frequencies of no exactness, so n-grams are counted in SLOTS counters by their hash.
-- Rows: two linked sizes differ by the factor 100 / percent at most, so the rows of a column are cut into bands of sizes, and
-  a band meets itself and the next only.
+- Rows: a document whose first common n-gram stands at place i has an overlap of n - i at most, so a partner can't be larger
+  than that allows; a column keeps the rows that still have a partner there, and multiplies two rows only where it is the
+  first that they have in common.
 - Entries: blocks of rows are multiplied slice by slice of the columns, the deciding ones first; a pair whose overlap so far
   and whose n-grams still to come can't reach its need is discarded, and rows without open pairs leave the product. So the
   n-grams of all but few rows never have to be shuffled.
@@ -19,7 +20,6 @@ in full across these, in blocks of bounded size. No column is capped, and no gro
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -134,8 +134,9 @@ def product_links(sets: list[np.ndarray], part: np.ndarray, percent: int, slices
     return open_  # no columns are left, so what is open has its need
 
 
-def open_pairs(columns: list[np.ndarray], n: np.ndarray, part: np.ndarray, percent: int) -> np.ndarray:
-    """Which sets of n n-grams and different parts may still be linked after the product of their deciding columns.
+def open_pairs(columns: list[np.ndarray], n: np.ndarray, part: np.ndarray, percent: int, first: int | None = None) -> np.ndarray:
+    """Which sets of n n-grams and different parts may still be linked after the product of their deciding columns; on demand
+    only those of which no column before `first` is common.
 
     Of two sets, all n-grams up to the earlier one of their last deciding columns have been seen. What they have in common
     beyond it is no more than either of them still holds.
@@ -144,7 +145,10 @@ def open_pairs(columns: list[np.ndarray], n: np.ndarray, part: np.ndarray, perce
     seen = np.stack([np.searchsorted(x, np.minimum(last, x[-1]), "right") for x in columns])  # [i, j]: of i's, up to the earlier end
     left = n[:, None] - seen
     need = -(-percent * (n[:, None] + n[None, :]) // (100 + percent))
-    return (part[:, None] != part[None, :]) & (common(columns) + np.minimum(left, left.T) >= need)
+    open_ = (part[:, None] != part[None, :]) & (common(columns) + np.minimum(left, left.T) >= need)
+    if first is not None and open_.any():
+        open_ &= common([x[: np.searchsorted(x, first)] for x in columns]) == 0
+    return open_
 
 
 def _columns(batch: pa.RecordBatch, i: int) -> list[np.ndarray]:
@@ -169,13 +173,16 @@ def _open_hubs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _open_members(dealt: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The blocks' members that may be linked with another one by their deciding columns."""
+    """The blocks' members that may be linked with another one by their deciding columns, in the block of the first common one."""
     of = nodes.select("rep", F.col("n_shingles").alias("n"), "columns")
     rows = dealt.join(of, "rep").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "rep")
 
     def passed(group: list[tuple]) -> Iterator[pa.RecordBatch]:
         if len({g[4] for g in group}) > 1:
-            keep = open_pairs([g[6] for g in group], np.array([g[5] for g in group]), np.array([g[4] for g in group]), percent).any(1)
+            columns, band = [g[6] for g in group], group[0][0]
+            of_column = all(x[min(np.searchsorted(x, band), len(x) - 1)] == band for x in columns)  # else the rarest n-grams' block
+            n, part = np.array([g[5] for g in group]), np.array([g[4] for g in group])
+            keep = open_pairs(columns, n, part, percent, band if of_column else None).any(1)
             if keep.any():
                 rows = zip(*(g[:5] for g, k in zip(group, keep.tolist(), strict=True) if k), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _MEMBER, strict=True)], ["band", "i", "j", "rep", "component"])
@@ -215,9 +222,11 @@ def ngram_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     real = incidence.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = ws.keep(real.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("columns").alias("columns")), "nodes")
 
-    entries = nodes.select("rep", F.col("n_shingles").alias("n"), F.explode("columns").alias("band"))
-    shared = entries.groupBy("band").agg(F.count("*").alias("m"), F.min(F.struct("rep", "n")).alias("hub")).filter("m > 1")
-    members = ws.keep(entries.join(shared.select("band", "hub"), "band"), "members")
+    placed = nodes.select("rep", F.col("n_shingles").alias("n"), F.posexplode("columns").alias("place", "band"))
+    entries = placed.select("band", "rep", "n", F.expr(f"{100 + percent} * (n - place) div {percent} - n").alias("most"))  # the largest partner
+    least = F.min(F.when(F.col("most") >= F.col("n"), F.col("n"))).alias("least")  # of two rows, the smaller one can have a larger partner
+    shared = entries.groupBy("band").agg(F.count("*").alias("m"), F.min(F.struct("rep", "n")).alias("hub"), least).filter("m > 1 AND least IS NOT NULL").drop("m")
+    members = ws.keep(entries.join(shared, "band").filter("most >= n OR least <= most").select("band", "rep", "n", "hub"), "members")
     labels = None
     if not members.isEmpty():
 
@@ -230,15 +239,14 @@ def ngram_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
         links = ws.keep(_confirmed(pairs, sets_of(pairs.select("a").union(pairs.select("b")), "sets-0"), percent), "links-0")
         first = components(links, ws, "first").withColumnRenamed("id", "rep")
         now = ws.keep(members.join(first, "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("component")), "now")
-        sized = ws.keep(_by_size(now.join(_apart(now).select("band"), "band"), percent), "sized")
-        open_ = ws.keep(sized.join(_once(sized), "band").join(_apart(sized), "band"), "open")
+        open_ = ws.keep(now.join(_once(now), "band").join(_apart(now), "band"), "open")
         few, many = open_.filter(F.col("others") <= BLOCK), open_.filter(F.col("others") > BLOCK)
         if not many.isEmpty():
             few = few.union(_rarest(many.select("rep", "component").distinct(), sets_of(many.select("rep"), "sets-1"), percent, ws).select(few.columns))
         still = ws.keep(_open_members(_dealt(few), nodes, percent), "still")
         rest = ws.keep(_compared(still, sets_of(still.select("rep"), "sets-2"), percent, product_links), "links-1")
         labels = components(links.union(rest), ws, "all").withColumnRenamed("id", "rep")
-        ws.drop("members", "pairs", "now", "sized", "open", "rare", "rare-bands", "still", "sets-0", "sets-1", "sets-2", "links-0", "links-1")
+        ws.drop("members", "pairs", "now", "open", "rare", "rare-bands", "still", "sets-0", "sets-1", "sets-2", "links-0", "links-1")
 
     copies = nodes.filter("copies > 1").select(*same, "rep")
     out = incidence.select("doc_id", *same).join(copies, same, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
@@ -248,15 +256,6 @@ def ngram_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
 
 
-def _by_size(members: DataFrame, percent: int) -> DataFrame:
-    """Each member in two groups of its column, with the band of sizes below its own and with the one above: two sizes that
-    can be linked lie in one band or in neighbouring ones, so every such pair shares a group."""
-    width = math.log(100 / percent) * (1 + 1e-6) if percent < 100 else 1e-9
-    size = F.floor(F.log("n") / F.lit(width))
-    groups = members.select("band", "rep", "n", "component", F.explode(F.array(size, size + 1)).alias("group"))
-    return groups.select(F.xxhash64("band", "group").alias("band"), "rep", "n", "component")
-
-
 def _once(members: DataFrame) -> DataFrame:
     """Of groups with the same members, in several components, one: band."""
     who = [F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(1 << 31))).alias("s"), F.count("*").alias("m")]
