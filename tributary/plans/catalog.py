@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import codes, text
-from ..operators import dists, graphs, hyper, instructions, judge, ranks, references, report, search, state, trade
+from ..operators import asof, dists, graphs, hyper, instructions, judge, ranks, references, report, search, smallworld, state, trade
 from ..sources import files, sinks
 from ..streaming import ingest
 from .lineage import shared_dir, spread
@@ -775,6 +775,14 @@ def knn_cosine(spark: SparkSession, d: str) -> DataFrame:
     return search.knn(*_vectors(spark, d), 5, "cosine").select("query", "rank", "id")
 
 
+@query()
+def knn_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Cosine neighbours by small-world graphs; a test holds their recall against knn_cosine."""
+    index, asked = _vectors(spark, d)
+    kept = search.kept_index(spark, f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}", f"{d}/embeddings.parquet", lambda _: smallworld.graph_index(index))
+    return smallworld.graph_knn(kept, asked).select("query", "rank", "id")
+
+
 def _chunk_sql(shortest: int, longest: int, stride: int, columns: str) -> str:
     return f"""WITH w AS (SELECT doc_id AS id, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT id, w, unnest(range(0, greatest(0, ceil((len(w) - {longest}) / {stride}))::BIGINT * {stride} + 1, {stride})) AS start FROM w),
@@ -1109,3 +1117,32 @@ _TREE = "(id, depth) AS (SELECT id, 0 FROM nodes WHERE parent IS NULL UNION ALL
 @query(f"WITH RECURSIVE nodes AS ({fx.VIEWS['tree']}), walk{_TREE}")
 def sql_recursive_tree(spark: SparkSession, d: str) -> DataFrame:
     return _tables(spark, d, f"WITH RECURSIVE nodes AS ({fx.VIEWS['tree']}), walk{_TREE}")
+
+
+def _events(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = t(spark, d, "events").select("user_id", "event_id", "event_type", "ts", "value")
+    return rows, rows.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("click"), F.col("ts").alias("at"), F.col("value").alias("worth"))
+
+
+@query("""SELECT l.event_id, r.event_id AS click, r.value AS worth FROM events l ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') r ON l.user_id = r.user_id AND l.ts >= r.ts""")
+def sql_asof(spark: SparkSession, d: str) -> DataFrame:
+    """Each event with its user's last click until then."""
+    left, clicks = _events(spark, d)
+    return asof.asof_join(left, clicks, "ts", "at", ["user_id"], ">=", "left").select("event_id", "click", "worth")
+
+
+@query("""SELECT l.event_id, r.event_id AS click, r.value AS worth FROM events l ASOF JOIN (SELECT * FROM events WHERE event_type = 'click') r ON l.user_id = r.user_id AND l.ts < r.ts""")
+def sql_asof_next(spark: SparkSession, d: str) -> DataFrame:
+    """Each event with its user's next click, if there is one."""
+    left, clicks = _events(spark, d)
+    return asof.asof_join(left, clicks, "ts", "at", ["user_id"], "<").select("event_id", "click", "worth")
+
+
+@query("""SELECT l_orderkey, l_linenumber, o.o_orderkey AS before, o.o_totalprice::DOUBLE AS total FROM (SELECT *, l_suppkey % 50 AS k FROM lineitem) l
+ASOF JOIN (SELECT o_custkey % 50 AS k, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice, o_orderdate FROM orders GROUP BY k, o_orderdate) o
+  ON l.k = o.k AND l.l_shipdate > o.o_orderdate""")
+def sql_asof_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Each line with the last order of its group from a day before; of orders of one day that with the largest key."""
+    lines = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", (F.col("l_suppkey") % 50).alias("k"))
+    orders = t(spark, d, "orders").select((F.col("o_custkey") % 50).alias("k"), F.col("o_orderkey").alias("before"), F.col("o_totalprice").cast("double").alias("total"), "o_orderdate")
+    return asof.asof_join(lines, orders, "l_shipdate", "o_orderdate", ["k"], ">").select("l_orderkey", "l_linenumber", "before", "total")

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import codes, text
-from ..operators import dists, graphs, hyper, judge, ranks, search, state, trade
+from ..operators import dists, graphs, hyper, judge, ranks, search, smallworld, state, trade
 from ..sources import arrow, files, sinks
 from ..sqltool import SqlTool
-from .catalog import _CRIT, _REMOVED, _REPORT_MORE, _SCENARIOS, _SECTION, _base, _dominance, _fixpoint, _hyper, query, t, v
+from .catalog import _CRIT, _REMOVED, _REPORT_MORE, _SCENARIOS, _SECTION, _base, _dominance, _fixpoint, _hyper, _knn_sql, query, t, v
 from .lineage import shared_dir
 
 
@@ -240,19 +240,19 @@ def sink_cached_rows(spark: SparkSession, d: str) -> DataFrame:
     return sinks.saved_state(spark, path, ("rows",))["rows"]
 
 
-@query("SELECT count(*) AS n, count(*) AS again FROM embeddings")
+@query(_knn_sql("cosine"))
 def kept_index(spark: SparkSession, d: str) -> DataFrame:
-    """An index built once for its source, then read."""
+    """An index of graphs built once for its source and kept under the hash of its path; its vectors, read again, searched exactly."""
+    rows = v(spark, d, "vectors").select("id", "vector")
     folder, built = _folder(spark, "index"), []
-    source = f"{d}/embeddings.parquet"
 
     def build(path: str) -> DataFrame:
         built.append(path)
-        return spark.read.parquet(path).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+        return smallworld.graph_index(rows)
 
-    first, again = (search.kept_index(spark, folder, source, build) for _ in range(2))
+    kept = [search.kept_index(spark, folder, f"{d}/embeddings.parquet", build) for _ in range(2)][1]
     assert len(built) == 1
-    return first.agg(F.count("*").alias("n")).crossJoin(F.broadcast(again.agg(F.count("*").alias("again"))))  # one row each
+    return search.knn(kept.select("id", "vector"), rows.filter("id % 20 = 0").select(F.col("id").alias("query"), "vector"), 5, "cosine").select("query", "rank", "id")
 
 
 # ---------------------------------------------------------------- functions
