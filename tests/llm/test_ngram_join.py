@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tributary.llm import near_dups, ngram_join
@@ -60,9 +61,10 @@ def test_components_are_those_of_all_pairs(spark, seed):
     assert sorted(map(tuple, found.collect())) == brute(rows)
 
 
-@pytest.mark.parametrize("block", [40, 400])
-def test_small_blocks(spark, monkeypatch, block):
-    """Large columns are cut into blocks, and their members meet by their rarest n-grams."""
+@pytest.mark.parametrize(("block", "many"), [(40, 8), (400, 8), (40, 0)])
+def test_small_blocks(spark, monkeypatch, block, many):
+    """Large columns are cut into blocks, and beyond `many` of these their members meet by their rarest n-grams."""
+    monkeypatch.setattr(ngram_join, "MANY", many)
     monkeypatch.setattr(near_dups, "BLOCK", block)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     rows = corpus(9, 120)
@@ -118,6 +120,13 @@ def test_product_is_all_overlaps(slices):
     assert want.any() and (product_links(sets, part, 90, slices) == want).all()
 
 
+def test_levels_count_all_texts(spark):
+    texts = ["a b c d", "a b c", "a b c x", None, ""] * 3
+    levels = ngram_join.frequency_levels(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4), 3)
+    values = {t: next(near_dups.shingle_sets(pa.array([t]), 3))[0] for t in ("a b c", "b c d", "q r s")}
+    assert [int(levels[ngram_join._slot(v)][0]) for v in values.values()] == [6, 3, 0] and len(levels) == ngram_join.SLOTS
+
+
 def test_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(30000))
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One"), (5, "one"), (6, "one two"), (7, "ONE  two"), (8, long), (9, long + " end"), (9, long + " end"), (10, "x"), (None, "one"), (None, long), (11, "été à été"), (12, "ÉTÉ à été")]

@@ -34,8 +34,11 @@ from .ragged import U64, gather_ranges, list_array, mix
 from .tables import Workspace
 
 NGRAM, PERCENT = 3, 90
-#: Counters of n-grams by their hash, a power of two: a table of fixed size, whatever the corpus.
-SLOTS = 1 << 18
+#: Counters of n-grams by their hash, a power of two, and of a run of them that is summed together: a table of fixed size,
+#: whatever the corpus, of 4 MB once it is broadcast.
+SLOTS, RUN = 1 << 22, 1 << 14
+#: Blocks of others beyond which a column's rows meet again by their rarest n-grams.
+MANY = 8
 #: Slices of the columns of a block's product.
 SLICES = 8
 
@@ -48,23 +51,39 @@ def _slot(values: np.ndarray) -> np.ndarray:
 
 
 def _counter(k: int) -> Callable:
+    """A task's counts, a row for each run of counters that isn't empty, packed."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(SLOTS, np.int64)
         for b in batches:
             for values, _ in shingle_sets(b.column(0), k):
-                n += np.bincount(_slot(values), minlength=SLOTS)
-        held = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(n[held])], ["slot", "n"])
+                np.add.at(n, _slot(values), 1)
+        runs = n.reshape(-1, RUN)
+        held = np.flatnonzero(runs.any(1))
+        packed = [pa.compress(runs[i].tobytes(), codec="zstd", asbytes=True) for i in held]
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(packed, pa.binary())], ["run", "n"])
 
     return count
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The levels of the runs in this task: floor(2 log2 n) of each counter."""
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for run, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            n = np.frombuffer(pa.decompress(packed, 8 * RUN, codec="zstd", asbytes=True), np.int64)
+            total[run] = total[run] + n if run in total else n
+    levels = [np.floor(2 * np.log2(np.maximum(n, 1))).astype(np.uint8).tobytes() for n in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(levels, pa.binary())], ["run", "level"])
+
+
 def frequency_levels(texts: DataFrame, k: int) -> np.ndarray:
     """For each slot how many n-grams of all texts fall in it, in steps of half a power of two."""
-    counts = texts.mapInArrow(_counter(k), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    n = np.zeros(SLOTS, np.int64)
-    n[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
-    return np.floor(2 * np.log2(np.maximum(n, 1))).astype(np.uint8)
+    counts = texts.mapInArrow(_counter(k), "run int, n binary").repartition("run").mapInArrow(_summed, "run int, level binary").toArrow()
+    out = np.zeros((SLOTS // RUN, RUN), np.uint8)
+    for run, level in zip(counts.column("run").to_pylist(), counts.column("level").to_pylist(), strict=True):
+        out[run] = np.frombuffer(level, np.uint8)
+    return out.ravel()
 
 
 def deciding(n: np.ndarray, percent: int) -> np.ndarray:
@@ -238,13 +257,18 @@ def ngram_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
         pairs = ws.keep(_open_hubs(pairs, nodes, percent), "pairs")
         links = ws.keep(_confirmed(pairs, sets_of(pairs.select("a").union(pairs.select("b")), "sets-0"), percent), "links-0")
         first = components(links, ws, "first").withColumnRenamed("id", "rep")
-        now = ws.keep(members.join(first, "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("component")), "now")
+        # blocks of deciding columns first: n is their number
+        size = F.greatest(F.lit(1), F.ceil(F.col("n") * (100 - percent) / 100)).cast("long").alias("n")
+        now = ws.keep(members.join(first, "rep", "left").select("band", "rep", size, F.coalesce("component", "rep").alias("component")), "now")
         open_ = ws.keep(now.join(_once(now), "band").join(_apart(now), "band"), "open")
-        few, many = open_.filter(F.col("others") <= BLOCK), open_.filter(F.col("others") > BLOCK)
+        few, many = open_.filter(F.col("others") <= MANY * BLOCK), open_.filter(F.col("others") > MANY * BLOCK)
         if not many.isEmpty():
             few = few.union(_rarest(many.select("rep", "component").distinct(), sets_of(many.select("rep"), "sets-1"), percent, ws).select(few.columns))
         still = ws.keep(_open_members(_dealt(few), nodes, percent), "still")
-        rest = ws.keep(_compared(still, sets_of(still.select("rep"), "sets-2"), percent, product_links), "links-1")
+        # what is left of a block is dealt again by the sizes of the full sets
+        left = still.join(nodes.select("rep", F.col("n_shingles").alias("n")), "rep").select(F.xxhash64("band", "i", "j").alias("band"), "rep", "n", "component")
+        left = left.join(_once(left), "band").join(_apart(left), "band")
+        rest = ws.keep(_compared(_dealt(left), sets_of(still.select("rep"), "sets-2"), percent, product_links), "links-1")
         labels = components(links.union(rest), ws, "all").withColumnRenamed("id", "rep")
         ws.drop("members", "pairs", "now", "open", "rare", "rare-bands", "still", "sets-0", "sets-1", "sets-2", "links-0", "links-1")
 
