@@ -418,6 +418,28 @@ def test_leak_that_a_third_of_the_passages_hold(spark):
     assert all(r.cosine > 0.4 for r in got)
 
 
+@pytest.mark.parametrize("common", [7, 10, 12, 13, 14, 17])
+def test_leaks_that_keep_the_lightest_words(spark, common):
+    """Items of 24 words, 30 to 70 % of them frequent; their leaks keep all frequent words and the fewest others."""
+    g, say = passages(40 + common)
+    often = [f"of{i}" for i in range(40)]
+    filler = lambda n: [g.choice(often) if g.random() < 0.3 else say(1)[0] for _ in range(n)]
+    items, docs = {}, [(d, filler(120)) for d in range(100)]
+    for i in range(20):
+        w = g.sample(often, common) + [f"item{i}x{j}" for j in range(24 - common - 4)]
+        g.shuffle(w)
+        items[i] = w + [f"answer{i}x{j}" for j in range(4)]
+        keep = [w for w in items[i] if w in often or w.startswith("answer")]
+        more = max(0, 15 - len(keep))
+        keep += [w for w in items[i] if w not in keep][:more]
+        docs.append((500 + i, say(30) + [w for w in items[i] if w in keep] + say(30)))
+    bench = [(i, " ".join(w[:-4]) + ". " + " ".join(w[-4:]) + ".") for i, w in items.items()]
+    want = brute_leaks(docs, [(i, w, w[-4:]) for i, w in items.items()])
+    assert {(500 + i, i) for i in items} <= want
+    got = leaks(spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+
+
 def test_leak_of_frequent_words_only(spark):
     g, say = passages(12)
     often = [f"of{i}" for i in range(12)]

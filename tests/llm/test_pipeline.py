@@ -26,7 +26,7 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def test_names():
-    assert [q for n in range(1, 11) for q in QUERIES if q.startswith(f"op{n}_")] == sorted(QUERIES, key=lambda q: int(q[2:].split("_")[0])) and len(QUERIES) == 10
+    assert [q for n in range(1, 14) for q in QUERIES if q.startswith(f"op{n}_")] == sorted(QUERIES, key=lambda q: int(q[2:].split("_")[0])) and len(QUERIES) == 13
 
 
 def test_stages(spark):
@@ -127,9 +127,11 @@ def test_duplicates_and_leaks_go(spark):
     extra = docs.filter("doc_id = 5").withColumn("doc_id", docs.doc_id + 9000)
     both = docs.union(extra).checkpoint()
     assert corpus_pipeline.near_dups(spark, both, SMALL).filter("doc_id = 9005").count() == 0
-    leak = spark.createDataFrame([(9100, f"before {item} after", "en", "src1", 1), (9101, None, None, None, None)], docs.schema)
-    got = {r.doc_id for r in corpus_pipeline.decontaminate(spark, docs.union(leak), SMALL).collect()}
-    assert 9100 not in got and 9101 in got
+    rows = [(9100, f"before {item} after", "en", "src1", 1), (9101, None, None, None, None), (None, f"some more {item}", "en", "src1", 1), (None, "a clean text", "en", "src1", 2), (None, None, "en", "src1", 3)]
+    leak = spark.createDataFrame(rows, docs.schema)
+    got = corpus_pipeline.decontaminate(spark, docs.union(leak), SMALL).collect()
+    assert 9100 not in {r.doc_id for r in got} and 9101 in {r.doc_id for r in got}
+    assert sorted(r.n_chars for r in got if r.doc_id is None) == [2, 3]
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))

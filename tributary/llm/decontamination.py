@@ -12,9 +12,10 @@ the item's last sentence) is there.
 The benchmark is read in groups of bounded size, each with a space of its own; every passage of the corpus is compared
 with each of a group's, in blocks of a matrix product.
 
-Words in COMMON of all passages carry no weight there, be it that they are frequent or that the leak itself is. A benchmark
-passage that a leak could hold by such words alone has an exact path: every place where enough of its words stand close
-together is a candidate, so that none is lost.
+Words in COMMON of all passages carry no weight there, be it that they are frequent or that the leak itself is, and others
+weigh little. A leak needs PARAPHRASE of a passage's words only, so it may hold the lightest ones and miss the space's
+thresholds. Where these could hold less than SAFE of a benchmark passage's weight, the passage has an exact path beside the
+space: every place where enough of its words stand close together is a candidate, so that none is lost.
 """
 
 from __future__ import annotations
@@ -40,13 +41,15 @@ COMMON = 0.05
 COSINE = 0.4
 #: And share of the benchmark passage's weight that a window must hold: a few words in common are no candidate.
 COVER = 0.2
+#: Share of a passage's weight that any leak of it holds, from which on the latent space alone is asked.
+SAFE = 0.5
 #: Share of a benchmark passage's words in common order: from COPY on a leak; from PARAPHRASE on, if the answer is there.
 COPY, PARAPHRASE, ANSWER = 0.85, 0.6, 0.6
 #: Distinct words and words of a group of the benchmark at most (but for a single item): what is broadcast at once.
 GROUP_TERMS, GROUP_WORDS = 1 << 16, 1 << 20
 #: Terms of a block of the sketch; windows times benchmark passages compared at once.
 BLOCK, PRODUCT = 256, 1 << 22
-SCHEMA = "doc_id long, item_id long, similarity double, cosine double"
+SCHEMA = "doc_id {kind}, item_id long, similarity double, cosine double"
 
 
 @dataclass
@@ -145,14 +148,18 @@ class Space:
         self.benchmark = benchmark
         idf = np.log((1 + n) / (1 + df))
         self.idf = np.where(df >= COMMON * n, 0, idf * idf).astype(np.float32) if n else np.ones(len(df), np.float32)
-        light = self.idf == 0
-        #: Passages that a leak may hold without any weighted word: these are searched exactly.
+        #: Passages that a leak may hold with little weight, and their terms: these are searched exactly, too.
         terms = [benchmark.lookup(p)[1] for p in benchmark.passages]
-        self.exact = [i for i, t in enumerate(terms) if light[t].sum() >= PARAPHRASE * len(t)]
+        self.exact = [i for i, t in enumerate(terms) if self.lightest(t) < SAFE]
         self.exact_terms = [np.unique(terms[i]) for i in self.exact]
         if not self.idf.any():
             self.idf = np.maximum(idf, 0.1).astype(np.float32)
 
+    def lightest(self, terms: np.ndarray) -> float:
+        """The share of a passage's weight that as many of its words hold as a leak needs, the lightest ones."""
+        weight = np.sort(self.idf[terms].astype(np.float64) ** 2)
+        return float(weight[: needed(len(terms))].sum() / max(weight.sum(), 1e-30))
+
     def values(self, window: np.ndarray, term: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """TF-IDF of the entries, each window's made of length 1, and the lengths before that."""
         v = (1 + np.log(count)).astype(np.float32) * self.idf[term]
@@ -197,6 +204,11 @@ def latent_basis(sketch: np.ndarray, random: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(left[:, :rank].T, np.float32)
 
 
+def needed(m: int) -> int:
+    """Words of a passage of m that a leak holds at least."""
+    return max(1, int(np.ceil(PARAPHRASE * m - 1e-9)))
+
+
 def span(m: int) -> int:
     """Words among which a passage of m words is looked for."""
     return m + m // 3 + 4
@@ -293,7 +305,7 @@ class Judge:
         member = np.zeros(self.space.benchmark.terms, bool)
         member[own] = True
         place = at[member[term]]
-        need = max(1, int(np.ceil(PARAPHRASE * m - 1e-9)))
+        need = needed(m)
         if len(place) < need:
             return np.zeros(0, np.int64)
         # the first of need words in a row of the text that stand within a span
@@ -385,10 +397,10 @@ def _sketched(texts: DataFrame, space) -> np.ndarray:
     return out
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", kind: str = "long") -> DataFrame:
     """doc_id, item_id, similarity (share of a benchmark passage's words in common order) and cosine (in the latent
     space; of the counts of words where the exact path found it): a row for each document and item it holds a copy or a
-    paraphrase of.
+    paraphrase of. kind: the type of the documents' ids.
 
     The benchmark is a set of queries, read and broadcast in groups of GROUP_TERMS distinct words at most; each group is
     searched in all documents (the driver holds one group at a time). Items without words, null ones, null texts and empty
@@ -399,15 +411,15 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     """
     spark = documents.sparkSession
     asked = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).filter("t IS NOT NULL AND i IS NOT NULL").orderBy("i", "t")
-    found = [_leaks_of(documents, g, doc_id, text) for g in groups((r[0], r[1]) for r in asked.toLocalIterator())]
+    found = [_leaks_of(documents, g, doc_id, text, kind) for g in groups((r[0], r[1]) for r in asked.toLocalIterator())]
     found = [x for x in found if x is not None]
     if not found:
-        return spark.createDataFrame([], SCHEMA)
+        return spark.createDataFrame([], SCHEMA.format(kind=kind))
     rows = reduce(DataFrame.union, found)
     return rows.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", "cosine")).alias("best")).select("doc_id", "item_id", "best.similarity", "best.cosine")
 
 
-def _leaks_of(documents: DataFrame, items: list[tuple[int, str]], doc_id: str, text: str) -> DataFrame | None:
+def _leaks_of(documents: DataFrame, items: list[tuple[int, str]], doc_id: str, text: str, kind: str) -> DataFrame | None:
     spark = documents.sparkSession
     made = Benchmark.of(items)
     if not made.passages:
@@ -426,4 +438,4 @@ def _leaks_of(documents: DataFrame, items: list[tuple[int, str]], doc_id: str, t
                 ids = b.column(0).take(pa.array([t.lo + r for r, _ in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([i for _, i in found], pa.int64()), pa.array([x for x, _ in found.values()], pa.float64()), pa.array([x for _, x in found.values()], pa.float64())], ["doc_id", "item_id", "similarity", "cosine"])
 
-    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(search, SCHEMA)
+    return documents.select(F.col(doc_id).cast(kind).alias("doc_id"), F.col(text).alias("text")).mapInArrow(search, SCHEMA.format(kind=kind))
