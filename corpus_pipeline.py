@@ -29,7 +29,11 @@ def whole(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier marks 0 go; it learns from all labelled documents outside the held-out fifth."""
+    """Documents that the classifier marks 0 go; it learns from all labelled documents outside the held-out fifth.
+
+    Every row is judged by its whole text alone, so repeated rows and rows without doc_id are; null and empty texts have a
+    score as well. An empty table stays empty; columns are carried along under names of their own, so none can clash.
+    """
     voter = fit(docs, table(spark, sf_dir, "labels"))
     # one pass carries the documents along, under names of their own: no join brings verdicts and texts together
     own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
@@ -58,19 +62,34 @@ def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a copy or a paraphrase of a benchmark item go, by their doc_id; rows without one stay."""
-    gone = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a copy or a paraphrase of a benchmark item go.
+
+    Rows of one doc_id go together, rows without doc_id by their text; null and empty texts hold nothing and stay. Very long
+    texts are searched whole; an empty table stays empty; other columns, whatever their names, are kept as they are.
+    """
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5("text")))
+    gone = leaks(docs.select(key.alias("key"), "text"), table(spark, sf_dir, "benchmark"), doc_id="key", kind="string")
+    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, key == gone["_gone"], "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents drawn, at most once each, to the target weights of languages and sources."""
+    """Whole documents drawn, at most once each, to the target weights of languages and sources.
+
+    Null languages and sources are groups of their own. Rows of one doc_id have one place in the order and are drawn together,
+    as are rows without one; a null or empty text has no tokens and is drawn by its place like any other. A very long text is
+    one document; an empty table stays empty. Columns are carried as one struct, so their names can't clash.
+    """
     drawn = mix(whole(docs), {"lang": F.col("lang"), "source": F.col("source")}, WEIGHTS, SHARE, max_epochs=1)
     return drawn.filter("_copies > 0").select("document.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token files of what is left, read again."""
+    """The token files of what is left, read again: a row for each document, rows of one doc_id or of none each their own.
+
+    A null or empty text is its end id alone; very long texts are encoded whole; an empty table gives no rows; other columns
+    are left out.
+    """
     return token_ids(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
