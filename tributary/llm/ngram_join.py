@@ -133,7 +133,7 @@ def product_links(sets: list[np.ndarray], part: np.ndarray, percent: int, slices
     m, size = len(sets), np.array([len(x) for x in sets])
     both = size[:, None] + size[None, :]
     need = -(-percent * both // (100 + percent))
-    open_ = (part[:, None] != part[None, :]) & (np.minimum(size[:, None], size[None, :]) >= need)
+    open_ = sizes_fit(size, part, percent)
     value, who = by_value(sets)
     count, left = np.zeros(m * m, np.int64), size.copy()
     overlap = count.reshape(m, m)
@@ -170,6 +170,12 @@ def open_pairs(columns: list[np.ndarray], n: np.ndarray, part: np.ndarray, perce
     return open_
 
 
+def sizes_fit(n: np.ndarray, part: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets of different parts have sizes that can be linked."""
+    need = -(-percent * (n[:, None] + n[None, :]) // (100 + percent))
+    return (part[:, None] != part[None, :]) & (np.minimum(n[:, None], n[None, :]) >= need)
+
+
 def _columns(batch: pa.RecordBatch, i: int) -> list[np.ndarray]:
     """Each row's values of a list column."""
     column = batch.column(i)
@@ -191,17 +197,26 @@ def _open_hubs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "n_a", "of_a", "n_b", "of_b").mapInArrow(check, "a long, b long")
 
 
-def _open_members(dealt: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The blocks' members that may be linked with another one by their deciding columns, in the block of the first common one."""
-    of = nodes.select("rep", F.col("n_shingles").alias("n"), "columns")
-    rows = dealt.join(of, "rep").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "rep")
+def _open_members(dealt: DataFrame, of: DataFrame, percent: int, only_first: bool) -> DataFrame:
+    """The blocks' members that may be linked with another one, of which the block's column is the first common one.
+
+    of: rep, n and columns: with only_first those that other rows have too, and no more than that and the sizes is asked; else
+    the deciding ones.
+    """
+    rows = dealt.join(of.select("rep", "n", "columns"), "rep").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "rep")
 
     def passed(group: list[tuple]) -> Iterator[pa.RecordBatch]:
         if len({g[4] for g in group}) > 1:
             columns, band = [g[6] for g in group], group[0][0]
             of_column = all(x[min(np.searchsorted(x, band), len(x) - 1)] == band for x in columns)  # else the rarest n-grams' block
             n, part = np.array([g[5] for g in group]), np.array([g[4] for g in group])
-            keep = open_pairs(columns, n, part, percent, band if of_column else None).any(1)
+            if only_first:
+                keep = sizes_fit(n, part, percent)
+                if of_column:
+                    keep &= common([x[: np.searchsorted(x, band)] for x in columns]) == 0
+            else:
+                keep = open_pairs(columns, n, part, percent, band if of_column else None)
+            keep = keep.any(1)
             if keep.any():
                 rows = zip(*(g[:5] for g, k in zip(group, keep.tolist(), strict=True) if k), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _MEMBER, strict=True)], ["band", "i", "j", "rep", "component"])
@@ -264,13 +279,16 @@ def ngram_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
         few, many = open_.filter(F.col("others") <= MANY * BLOCK), open_.filter(F.col("others") > MANY * BLOCK)
         if not many.isEmpty():
             few = few.union(_rarest(many.select("rep", "component").distinct(), sets_of(many.select("rep"), "sets-1"), percent, ws).select(few.columns))
-        still = ws.keep(_open_members(_dealt(few), nodes, percent), "still")
+        sized = nodes.select("rep", F.col("n_shingles").alias("n"), "columns")
+        held = few.groupBy("rep").agg(F.array_sort(F.collect_set("band")).alias("columns")).join(sized.select("rep", "n"), "rep")  # a set's own columns
+        maybe = ws.keep(_open_members(_dealt(few), held, percent, True), "maybe")
+        still = ws.keep(_open_members(maybe, sized, percent, False), "still")
         # what is left of a block is dealt again by the sizes of the full sets
         left = still.join(nodes.select("rep", F.col("n_shingles").alias("n")), "rep").select(F.xxhash64("band", "i", "j").alias("band"), "rep", "n", "component")
         left = left.join(_once(left), "band").join(_apart(left), "band")
         rest = ws.keep(_compared(_dealt(left), sets_of(still.select("rep"), "sets-2"), percent, product_links), "links-1")
         labels = components(links.union(rest), ws, "all").withColumnRenamed("id", "rep")
-        ws.drop("members", "pairs", "now", "open", "rare", "rare-bands", "still", "sets-0", "sets-1", "sets-2", "links-0", "links-1")
+        ws.drop("members", "pairs", "now", "open", "rare", "rare-bands", "maybe", "still", "sets-0", "sets-1", "sets-2", "links-0", "links-1")
 
     copies = nodes.filter("copies > 1").select(*same, "rep")
     out = incidence.select("doc_id", *same).join(copies, same, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
