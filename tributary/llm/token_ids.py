@@ -175,7 +175,9 @@ def write_ids(df: DataFrame, path: str, vocabulary: str, doc_id: str = "doc_id",
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.select("doc_id", "text", keys[1].alias("_h"), keys[2].alias("_n"))
     rows = rows.repartitionByRange("doc_id", "_h", "_n").sortWithinPartitions("doc_id", "_h", "_n").select("doc_id", "text")
-    rows.mapInArrow(encode, SCHEMA).write.mode("errorifexists").parquet(path)
+    # the blocks are packed already: pages without compression or dictionaries hold no second copy of them
+    packed = rows.mapInArrow(encode, SCHEMA).write.option("compression", "uncompressed").option("parquet.enable.dictionary", "false")
+    packed.mode("errorifexists").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
