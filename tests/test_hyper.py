@@ -1,5 +1,7 @@
 """Hypergraph semantics on the worked four-edge example."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ EDGES = [("e1", [1, 2], [3]), ("e2", [3], [4, 5]), ("e3", [4, 6], [7]), ("e4", [
 
 
 def code(i):
-    return f"{i}00000"
+    return f"{i:<06d}"
 
 
 @pytest.fixture(scope="module")
@@ -53,9 +55,37 @@ def test_ranks_leave_gaps(spark, h4):
         hyper.checked_base(h4, "999999")
 
 
-def test_criticality_in_batches(spark, h4, monkeypatch):
-    monkeypatch.setattr(hyper, "SCENARIOS", 2)
-    test_criticality(spark, h4)
+def brute_criticality(edges, vertices, base):
+    """Reach again from the start without each vertex."""
+    made_by = [(set(a), set(b)) for a, b in edges]
+    start = {v for a, _ in made_by for v in a} - {v for _, b in made_by for v in b} | {base}
+
+    def reach(without):
+        there, made = start - {without}, set()
+        while True:
+            new = {v for a, b in made_by if a <= there | made for v in b} - {without}
+            if new == made:
+                return made
+            made = new
+
+    whole = len(reach(None))
+    return {v: whole - len(reach(v)) for v in vertices if v != base}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_criticality_is_what_a_new_start_gives(spark, seed):
+    """Cycles, several ways to one vertex, edges without sources, the base among targets."""
+    rng = random.Random(seed)
+    n = 14
+    edges = [(rng.sample(range(n), rng.choice([0, 1, 1, 2, 3])), rng.sample(range(n), rng.choice([1, 1, 2]))) for _ in range(rng.choice([10, 18, 26]))]
+    rows = [(f"e{i}", side, code(10 + v), "") for i, (a, b) in enumerate(edges) for side, part in (("in", a), ("out", b)) for v in part]
+    registry = spark.createDataFrame([(code(10 + v), "m") for v in range(n)], "code string, name string")
+    g = hyper.build(spark.createDataFrame(rows, "process string, side string, code string, name string"), registry)
+    base = rng.randrange(n)
+    rated, reached = hyper.criticality_and_reach(g, spark.createDataFrame([(code(10 + base),)], "v string"))
+    assert "Cartesian" not in rated._jdf.queryExecution().toString() and "NestedLoop" not in rated._jdf.queryExecution().toString()
+    assert {r.code: r.criticality for r in rated.collect()} == {code(10 + v): c for v, c in brute_criticality(edges, range(n), base).items()}
+    assert values(reached) == values(hyper.reach(g, spark.createDataFrame([(code(10 + base),)], "v string")))
 
 
 def test_sides_and_names(spark):

@@ -222,8 +222,25 @@ def reachable(g: Hypergraph, starts: DataFrame, removed: DataFrame | None = None
         n = now
 
 
-#: Vertices whose removal is tried at once.
-SCENARIOS = 1 << 14
+def made_in_round(g: Hypergraph, start: DataFrame) -> DataFrame:
+    """(v, round): what is reached from the start (v), and the round in which it is made first, from 1 on.
+
+    An edge fires in the round after that in which its last source is there; start vertices are there from the beginning.
+    """
+    sources, targets, edges = cut(g.sources), cut(g.targets), cut(g.edges)
+    there = cut(start.select("v").distinct())
+    made = None
+    i = 0
+    while True:
+        i += 1
+        held = sources.join(there, "v", "left_semi").groupBy("edge").agg(F.count("*").alias("n"))
+        ready = edges.join(held, "edge", "left").filter("coalesce(n, 0) = n_src").select("edge")
+        new = targets.join(ready, "edge", "left_semi").select("v").distinct()
+        new = cut((new if made is None else new.join(made, "v", "left_anti")).withColumn("round", F.lit(i)))
+        made = new if made is None else made.unionByName(new)
+        if new.isEmpty():
+            return cut(made)
+        there = cut(there.union(new.select("v")).distinct())
 
 
 def criticality(g: Hypergraph, base: DataFrame) -> DataFrame:
@@ -234,31 +251,39 @@ def criticality(g: Hypergraph, base: DataFrame) -> DataFrame:
 def criticality_and_reach(g: Hypergraph, base: DataFrame) -> tuple[DataFrame, DataFrame]:
     """criticality(), and reach(), which it finds on the way.
 
-    Without a vertex that no edge uses only itself is missing, so only the others are tried, SCENARIOS of them at a time.
+    What is reached is computed once, with the round of each vertex. For a removed vertex only what may fall with it is
+    looked at: a vertex falls once all its live supports (edges that fire with sources of earlier rounds alone) have lost a
+    source. That deletes too much where a vertex is also made by later ones, so what has an edge left whose sources all stand
+    is taken back, round by round. There are rows for what falls with a vertex only, never for what stays.
     """
     start = cut(precursors(g).union(base.select("v")).distinct())
+    made = made_in_round(g, start)
+    there = start.withColumn("round", F.lit(0)).unionByName(made.join(start, "v", "left_anti"))
+    held = g.sources.join(there, "v").groupBy("edge").agg(F.count("*").alias("n"), F.max("round").alias("top"))
+    fired = g.edges.join(held, "edge", "left").filter("coalesce(n, 0) = n_src").select("edge", "n_src", F.coalesce("top", F.lit(0)).alias("top"))
+    fired = cut(fired)
+    sources = cut(g.sources.join(fired, "edge", "left_semi"))
+    all_targets = cut(g.targets.join(fired.select("edge", "top"), "edge"))
+    targets = cut(all_targets.join(start, "v", "left_anti"))  # the base is there without them
+    supports = targets.join(made, "v").filter("top < round").select("edge", "v")
     rated = cut(g.vertices.join(base, "v", "left_anti").select(F.col("v").alias("scenario")))
-    used = g.sources.select(F.col("v").alias("scenario")).distinct()
-    tried = cut(rated.join(used, "scenario", "left_semi"))
-    whole = F.lit("")
-    batches = -(-tried.count() // SCENARIOS) or 1
-    full, counts = None, None
-    for i in range(batches):
-        some = tried.filter(F.pmod(F.xxhash64("scenario"), F.lit(batches)) == i)
-        starts = some.crossJoin(start).filter("scenario <> v")
-        if full is None:
-            starts = starts.union(start.select(whole.alias("scenario"), "v"))
-        got = reachable(g, starts, some.select("scenario", F.col("scenario").alias("v")))
-        if full is None:
-            full = got.filter("scenario = ''").select("v")
-        n = got.filter("scenario <> ''").groupBy("scenario").agg(F.count("*").alias("n"))
-        counts = n if counts is None else counts.union(n)
-    size = full.agg(F.count("*").alias("n_all"))
-    own = full.select(F.col("v").alias("scenario"), F.lit(1).alias("own"))
-    tested = tried.withColumn("tested", F.lit(True))
-    out = rated.join(counts, "scenario", "left").join(tested, "scenario", "left").join(own, "scenario", "left").crossJoin(F.broadcast(size))  # size: one row
-    value = F.when(F.col("tested"), F.col("n_all") - F.coalesce("n", F.lit(0))).otherwise(F.coalesce("own", F.lit(0)))
-    return out.select(F.col("scenario").alias("code"), value.cast("long").alias("criticality")), full
+    tried = cut(rated.join(sources.select(F.col("v").alias("scenario")).distinct(), "scenario", "left_semi"))
+    fallen = propagate(Hypergraph(g.vertices, sources, supports, fired), tried.select("scenario", F.col("scenario").alias("v")))
+    while True:
+        dead = cut(fallen.join(sources, "v").select("scenario", "edge").distinct())
+        back = fallen.filter("v <> scenario").join(targets.select("edge", "v"), "v").join(dead, ["scenario", "edge"], "left_anti").select("scenario", "v").distinct()
+        back = cut(back)
+        if back.isEmpty():
+            break
+        fallen = cut(fallen.join(back, ["scenario", "v"], "left_anti"))
+    lost = fallen.join(made.select("v"), "v", "left_semi").groupBy("scenario").agg(F.count("*").alias("n"))
+    # the base itself is reached as long as an edge makes it
+    own = all_targets.join(base.select("v"), "v", "left_semi").select("edge")
+    unmade = dead.join(own, "edge").groupBy("scenario").agg(F.count("*").alias("m")).join(F.broadcast(own.agg(F.count("*").alias("of"))), F.col("m") == F.col("of")).select("scenario", F.lit(1).alias("m"))
+    alone = made.select(F.col("v").alias("scenario"), F.lit(1).alias("own"))
+    out = rated.join(lost, "scenario", "left").join(unmade, "scenario", "left").join(alone, "scenario", "left")
+    value = F.coalesce("n", "own", F.lit(0)) + F.coalesce("m", F.lit(0))  # without a vertex that nothing uses only itself is missing
+    return out.select(F.col("scenario").alias("code"), value.cast("long").alias("criticality")), made.select("v")
 
 
 def reach(g: Hypergraph, base: DataFrame) -> DataFrame:
