@@ -151,7 +151,7 @@ class Space:
         #: Passages that a leak may hold with little weight, and their terms: these are searched exactly, too.
         terms = [benchmark.lookup(p)[1] for p in benchmark.passages]
         self.exact = [i for i, t in enumerate(terms) if self.lightest(t) < SAFE]
-        self.exact_terms = [np.unique(terms[i]) for i in self.exact]
+        self.exact_terms = [np.unique(terms[i], return_counts=True) for i in self.exact]
         if not self.idf.any():
             self.idf = np.maximum(idf, 0.1).astype(np.float32)
 
@@ -286,8 +286,15 @@ class Judge:
                 share = self.leak(int(p), h, int(w.woff[r]), int(w.woff[r + 1]), int(f[i]), int(e[i]))
                 if share and share > out.get(key, (0.0,))[0]:
                     out[key] = (share, float(near[i, p]))
+        by_term = np.argsort(term, kind="stable")
+        places, begin = at[by_term], np.searchsorted(term[by_term], np.arange(s.benchmark.terms + 1))
         for p, own in zip(s.exact, s.exact_terms, strict=True):
-            some = self.dense(p, own, at, term, w.woff, row, first, last).tolist()
+            near = self.weighted(p, own, places, begin)
+            if near is not None:
+                near = around(at, near, span(len(s.benchmark.passages[p])))
+                if not len(near):
+                    continue
+            some = self.dense(p, own, *((at, term) if near is None else (at[near], term[near])), w.woff, row, first, last).tolist()
             like = {i: cosine(h[first[i] : last[i]], s.benchmark.passages[p]) for i in some}
             for i in sorted(some, key=lambda i: -like[i]):
                 r = int(row[i])
@@ -299,26 +306,72 @@ class Judge:
                     out[key] = (share, like[i])
         return out
 
-    def dense(self, p: int, own: np.ndarray, at: np.ndarray, term: np.ndarray, woff: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Windows around which some span holds as many of passage p's words as a leak must: no other can be one."""
+    def weighted(self, p: int, own: tuple[np.ndarray, np.ndarray], places: np.ndarray, begin: np.ndarray) -> np.ndarray | None:
+        """First words of spans with as many words with weight as passage p's leaks have besides those without; None if
+        these may have none. places are sorted by term, each one's begin at begin[term]."""
+        m = len(self.space.benchmark.passages[p])
+        heavy = self.space.idf[own[0]] > 0
+        need = needed(m) - int(own[1][~heavy].sum())
+        if need <= 0:
+            return None
+        terms = own[0][heavy]
+        place = np.sort(places[gather_ranges(begin[terms], begin[terms + 1] - begin[terms])])
+        first = place[: max(len(place) - need + 1, 0)]
+        return first[place[need - 1 :] - first < span(m)]
+
+    def dense(self, p: int, own: tuple[np.ndarray, np.ndarray], at: np.ndarray, term: np.ndarray, woff: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Windows around which some span holds as many of passage p's words as a leak must, each as often as the passage
+        has it at most: no other can be one."""
         m = len(self.space.benchmark.passages[p])
-        member = np.zeros(self.space.benchmark.terms, bool)
-        member[own] = True
-        place = at[member[term]]
+        times = np.zeros(self.space.benchmark.terms, np.uint8)
+        times[own[0]] = own[1]
+        mine = times[term] > 0
+        place = at[mine]
         need = needed(m)
         if len(place) < need:
             return np.zeros(0, np.int64)
         # the first of need words in a row of the text that stand within a span
-        begin, end = place[: len(place) - need + 1], place[need - 1 :]
-        r = np.searchsorted(woff, begin, "right") - 1
-        near = (end - begin < span(m)) & (end < woff[r + 1])
-        begin, end = begin[near], end[near]
+        near = np.flatnonzero(place[need - 1 :] - place[: len(place) - need + 1] < span(m))
+        begin, end = place[near], place[near + need - 1]
+        inside = end < woff[np.searchsorted(woff, begin, "right")]
+        near, begin, end = near[inside], begin[inside], end[inside]
+        if not len(begin):
+            return np.zeros(0, np.int64)
+        whole = self.enough(place, term[mine], times, near, np.minimum(begin + span(m), woff[np.searchsorted(woff, begin, "right")]), need)
+        begin, end = begin[whole], end[whole]
         lo, hi = np.maximum(woff[:-1][row], first - m), np.minimum(woff[1:][row], last + m)
         # ends ascend with begins: the first begin within reach has the smallest end
         to = np.searchsorted(begin, lo)
         some = np.flatnonzero(to < len(begin))
         return some[end[to[some]] < hi[some]]
 
+    def enough(self, place: np.ndarray, term: np.ndarray, times: np.ndarray, first: np.ndarray, to: np.ndarray, need: int) -> np.ndarray:
+        """Of the spans from place[first] up to `to`, those with `need` words, each counted as often as the passage has it."""
+        out = np.zeros(len(first), bool)
+        count = np.searchsorted(place, to) - first
+        for lo in range(0, len(first), 1 << 10):
+            n = count[lo : lo + (1 << 10)]
+            inside = np.arange(int(n.max())) < n[:, None]
+            words_ = np.full(inside.shape, -1, np.int64)
+            words_[inside] = term[gather_ranges(first[lo : lo + len(n)], n)]
+            words_.sort(1)
+            new = np.ones(words_.shape, bool)
+            new[:, 1:] = words_[:, 1:] != words_[:, :-1]
+            at = np.arange(words_.shape[1])
+            again = at - np.maximum.accumulate(np.where(new, at, 0), 1)
+            out[lo : lo + len(n)] = ((words_ >= 0) & (again < times[words_])).sum(1) >= need
+        return out
+
+
+def around(at: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
+    """Indices of the places that can lie in one span of this width with one that begins at any of these words."""
+    if not len(begin):
+        return begin
+    lo, hi = np.searchsorted(at, begin - width), np.searchsorted(at, begin + 2 * width)
+    new = np.append(True, lo[1:] > hi[:-1])
+    lo, hi = lo[new], hi[np.append(new[1:], True)]
+    return gather_ranges(lo, hi - lo)
+
 
 def cosine(a: np.ndarray, b: np.ndarray) -> float:
     """Of the counts of words."""
