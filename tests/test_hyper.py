@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tributary import fixtures
 from tributary.operators import hyper
+from tributary.plans import catalog
 
 EDGES = [("e1", [1, 2], [3]), ("e2", [3], [4, 5]), ("e3", [4, 6], [7]), ("e4", [8], [4])]
 
@@ -88,6 +90,18 @@ def test_criticality_is_what_a_new_start_gives(spark, seed):
     assert values(reached) == values(hyper.reach(g, spark.createDataFrame([(code(10 + base),)], "v string")))
 
 
+def test_codes_that_grow_with_the_table(spark):
+    d = "/root/testdata/sf0.001"
+    edges = {}
+    for r in fixtures.view(spark, d, "wide").collect():
+        edges.setdefault(r.process, ([], []))[r.side == "out"].append(r.code)
+    edges = [e for e in edges.values() if e[1]]
+    codes = {r.code for r in fixtures.view(spark, d, "wide").select("code").collect()}
+    base = min(v for _, b in edges for v in b)
+    got = {r.code: r.criticality for r in catalog.QUERIES["criticality_wide"](spark, d).collect()}
+    assert got == brute_criticality(edges, codes, base) and max(got.values()) > 3
+
+
 def test_sides_and_names(spark):
     kind = "process string, side string, code string, name string"
     e = spark.createDataFrame([("p", "in", "x1", "a"), ("p", "in", None, "b"), ("p", "out", None, "c"), ("q", "in", None, "d"), ("r", "in", None, "")], kind)

@@ -23,6 +23,9 @@ VIEWS: dict[str, str] = {
     # five parts on end are a process; bare strings have no code
     "entries": """SELECT cast(floor(p_partkey / 5) AS bigint) AS process, CASE WHEN p_size % 2 = 0 THEN 'in' ELSE 'out' END AS side,
         CASE WHEN p_size % 7 = 0 THEN NULL ELSE code END AS code, p_name AS name, p_partkey AS pos FROM coded""",
+    # the same with a code for each part, so that codes grow with the table: inputs are the parts two thirds down the list
+    "wide": """SELECT cast(floor(p_partkey / 5) AS bigint) AS process, CASE WHEN p_size % 2 = 0 THEN 'in' ELSE 'out' END AS side,
+        lpad(cast(CASE WHEN p_size % 2 = 0 THEN cast(floor(p_partkey * 2 / 3) AS bigint) ELSE p_partkey END % 1000000 AS string), 6, '0') AS code, p_name AS name FROM part""",
     "processes": """SELECT process, cast(process % 11 AS double) / 10 AS scale, CASE WHEN process % 5 = 0 THEN NULL ELSE cast(process % 13 AS double) / 12 END AS score
         FROM entries GROUP BY process""",
     "trade": """SELECT cast(s_nationkey AS bigint) AS partner, cast(c_nationkey AS bigint) AS reporter, code, cast(year(l_shipdate) AS bigint) AS year,

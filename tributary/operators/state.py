@@ -156,8 +156,10 @@ def unmined(materials: DataFrame) -> DataFrame:
     return materials.filter(~F.coalesce("mined", F.lit(False)))
 
 
-def wanted(materials: DataFrame, codes: list[str] | None) -> DataFrame:
-    """Materials of a list of codes; all of them without one."""
+def wanted(materials: DataFrame, codes: list[str] | DataFrame | None) -> DataFrame:
+    """Materials of a list, or a table, of codes; all of them without one."""
+    if isinstance(codes, DataFrame):
+        return materials.join(codes.select("code"), "code", "left_semi")
     return materials if codes is None else materials.filter(F.col("code").isin(codes))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import codes, text
-from ..operators import asof, dists, graphs, hyper, instructions, judge, ranks, references, report, search, smallworld, state, trade
+from ..operators import asof, dists, graphs, hyper, instructions, judge, ranks, references, report, search, sketches, smallworld, state, trade
 from ..sources import files, sinks
 from ..streaming import ingest
 from .lineage import shared_dir, spread
@@ -627,6 +627,17 @@ def reach_counts(spark: SparkSession, d: str) -> DataFrame:
     return graphs.reach_counts(v(spark, d, "net"))
 
 
+@query()
+def reach_estimates(spark: SparkSession, d: str) -> DataFrame:
+    """reach_counts() by sketches; a test holds their error."""
+    return sketches.reach_estimates(v(spark, d, "net"))
+
+
+@query()
+def distance_estimates(spark: SparkSession, d: str) -> DataFrame:
+    return sketches.distance_estimates(v(spark, d, "net"))
+
+
 @query(fx.sql("SELECT v, least(v, (SELECT min(dst) FROM c WHERE c.src = v)) AS component FROM (SELECT v FROM nodes UNION SELECT name FROM partners)", "net", "partners",
     more=_NODES + ", e AS (SELECT src, dst FROM net UNION SELECT dst, src FROM net), c(src, dst) AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src)", recursive=True))
 def weak_components(spark: SparkSession, d: str) -> DataFrame:
@@ -987,11 +998,18 @@ def codes_of_states(spark: SparkSession, d: str) -> DataFrame:
     return state.all_codes([rows.filter("brand_no % 2 = 0"), rows.filter("brand_no % 3 = 0")])
 
 
+@query()
+def criticality_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Criticality where codes grow with the table; a test holds it against a new search without each code."""
+    rows = v(spark, d, "wide")
+    g = hyper.build(rows, rows.groupBy("code").agg(F.min("name").alias("name")))
+    return hyper.criticality(g, _base(g))
+
+
 @query(fx.sql("SELECT code, name FROM registry WHERE code NOT LIKE '%3' AND code IN (SELECT code FROM coded WHERE brand_no % 2 = 0)", "registry", "coded"))
 def unmined_wanted(spark: SparkSession, d: str) -> DataFrame:
-    codes_ = [r["code"] for r in v(spark, d, "coded").filter("brand_no % 2 = 0").select("code").distinct().collect()]  # a list that a user gives
     rows = v(spark, d, "registry").withColumn("mined", F.when(F.col("code").endswith("3"), True))
-    return state.wanted(state.unmined(rows), codes_).select("code", "name")
+    return state.wanted(state.unmined(rows), v(spark, d, "coded").filter("brand_no % 2 = 0").select("code")).select("code", "name")
 
 
 @query(fx.sql("SELECT DISTINCT code FROM entries WHERE code <> '' AND code NOT IN (SELECT code FROM registry)", "entries", "registry"))
