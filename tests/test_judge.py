@@ -1,6 +1,7 @@
 """Judges, evidence, routes, coverage, references."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +97,20 @@ def test_evidence(spark):
     assert got == {1: (True, True), 2: (False, False), 3: (True, False), 4: (False, False)}
 
 
+def test_evidence_is_every_term_between_boundaries(spark):
+    rng = random.Random(5)
+    say = lambda n: "".join(rng.choice("aab1+-  ") for _ in range(n))
+    texts = [(i % 30, say(rng.randrange(0, 14))) for i in range(60)]
+    terms = [(i, [say(rng.randrange(1, 4)).strip() or "a" for _ in range(2)], [say(rng.randrange(1, 4)).strip() or "b"]) for i in range(30)]
+    got = {r.process: (r.any_mention, r.grounded) for r in judge.evidence(spark.createDataFrame(texts, "process int, text string"), spark.createDataFrame(terms, "process int, ins array<string>, outs array<string>")).collect()}
+    named = lambda x, t: any(re.search(f"(?<![a-z0-9]){re.escape(y)}(?![a-z0-9])", x) for y in t)
+    want = {}
+    for i, a, b in terms:
+        hits = [(named(x, a), named(x, b)) for p, x in texts if p == i]
+        want[i] = (any(x or y for x, y in hits), any(x and y for x, y in hits))
+    assert got == want and len(set(want.values())) == 3
+
+
 def test_routes(spark):
     raw = spark.createDataFrame([("a", "100000|200000", "300000"), ("b", "100000|900000", "300000"), ("c", "700000", "800000"), ("d", "x", "300000"), ("e", "", "300000")], "route string, input_hs string, output_hs string")
     good, bad = judge.valid_routes(raw)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import entry_class, has_code, is_six_digits
-from ..functions.text import contradicts, mentions, norm, usable_terms
+from ..functions.text import contradicts, marked, mentions, norm, split_terms, usable_terms
 
 CRITERIA = ["process_plausible", "inputs_outputs_correct", "hs_codes_correct", "overall_correct"]
 
@@ -174,9 +174,14 @@ def evidence(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """Per process: whether any reference names a term of either side, and whether one names both.
 
     texts: process, text (normalised); terms: process, ins and outs (arrays of terms). Texts meet only their process's terms.
+    A text's words are marked once, a term's once a process: no expression is built for a term and a text, but for terms that
+    begin or end with a sign.
     """
-    rows = texts.filter(F.coalesce(F.col("text") != "", F.lit(False))).join(terms, "process")
-    hits = rows.select("process", mentions(F.col("text"), F.col("ins")).alias("i"), mentions(F.col("text"), F.col("outs")).alias("o"))
+    parts = {f"{c}_{k}": x for c in ("ins", "outs") for k, x in zip(("marked", "other"), split_terms(F.col(c)), strict=True)}
+    own = terms.select("process", *[x.alias(c) for c, x in parts.items()])
+    rows = texts.filter(F.coalesce(F.col("text") != "", F.lit(False))).select("process", "text", marked(F.col("text")).alias("words")).join(own, "process")
+    named = lambda c: F.exists(f"{c}_marked", lambda t: F.contains("words", t)) | mentions(F.col("text"), F.col(f"{c}_other"))
+    hits = rows.select("process", named("ins").alias("i"), named("outs").alias("o"))
     got = hits.groupBy("process").agg(F.bool_or(F.col("i") | F.col("o")).alias("any_mention"), F.bool_or(F.col("i") & F.col("o")).alias("grounded"))
     return terms.select("process").join(got, "process", "left").select("process", yes("any_mention").alias("any_mention"), yes("grounded").alias("grounded"))
 
