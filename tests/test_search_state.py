@@ -392,6 +392,10 @@ def test_more_commands(spark, tmp_path, capsys):
     one = run("criticality-summary", "--state", state_path, "--base", "200000")[0]
     assert (one.reach, one.n_pre, one.n_edges) == ("2", "1", "2")
     assert run("rank-stability", "--states", f"{state_path},{state_path}", "--base", "200000", "--samples", "3")[0].kind in ("borda", "pairwise")
+    beside = {k: spark.read.option("header", True).csv(f"{tmp_path}/out-rank-stability-{k}").collect() for k in ("aggregate", "runs", "degrees")}
+    assert [(r["rank"], r.item, r.n_runs_present) for r in sorted(beside["aggregate"], key=lambda r: int(r["rank"]))] == [("1", "100000", "2"), ("2", "300000", "2")]
+    assert {(r.aggregate, r.run, r.n_items, r.overlap) for r in beside["runs"]} == {(x, y, "2", "2.0") for x in ("borda", "critsum") for y in ("0000", "0001")}
+    assert {(r.degree, r.in_mean, r.out_sd) for r in beside["degrees"]} == {("0", "1.0", "0.0"), ("1", "2.0", "0.0")}
     assert {r.judge: r.ci_hi for r in run("judge-summary", "--caches", caches)}["b"] == "1.0"
     assert {r.label for r in run("judge-agreement", "--caches", caches, "--first", "a", "--second", "b")} == {"l", "*"}
     assert {(r["mode"], r.n) for r in run("error-modes", "--caches", caches)} == {("codes", "3")}

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import norm
 from .operators import graphs, hyper, instructions, judge, ranks, references, report, state, trade
+from .plans.lineage import cut
 from .sources import files, sinks
 from .sqltool import SqlTool
 
@@ -125,18 +126,29 @@ def disruption_summary(spark: SparkSession, a: argparse.Namespace) -> None:
 
 @command("states", "base", "out", p={"type": float, "default": 0.98}, k={"type": int, "default": 10}, samples={"type": int, "default": 1000}, seed={"type": int, "default": 0}, **FLAGS)
 def rank_stability(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Criticality of several states (a comma list of paths) against each other and against their Borda count."""
-    lists = []
+    """Criticality of several states (a comma list of paths) against each other and against their aggregates.
+
+    Four tables: the comparisons' statistics, and beside it the Borda order (-aggregate), each run against either aggregate
+    (-runs) and the degrees over all runs (-degrees).
+    """
+    lists, sides = [], []
     for i, path in enumerate(a.states.split(",")):
         g, _ = _graph(spark, path, a)
-        lists.append(hyper.criticality(g, _base(g, a.base)).select(F.lit(f"{i:04d}").alias("run"), F.col("code").alias("item"), F.col("criticality").alias("score")))
+        run = F.lit(f"{i:04d}").alias("run")
+        lists.append(hyper.criticality(g, _base(g, a.base)).select(run, F.col("code").alias("item"), F.col("criticality").alias("score")))
+        degrees = hyper.degrees(g)
+        sides += [degrees.select(run, F.lit(k).alias("side"), F.col(f"{k}_degree").alias("degree")) for k in ("in", "out")]
     runs = functools.reduce(DataFrame.union, lists)
-    total = ranks.borda(runs).select(F.lit("borda").alias("run"), "item", F.col("points").alias("score"))
+    borda = ranks.borda(runs)
     number = F.row_number().over(Window.orderBy("left_run", "right_run"))  # pairs of a few runs
     pairs = ranks.run_pairs(runs).withColumn("seed", a.seed + 99 + number)
-    own = runs.select(F.col("run").alias("left_run")).distinct().select("left_run", F.lit("borda").alias("right_run"), (F.col("left_run").cast("int") + a.seed).alias("seed"))
-    both = ranks.tie_averaged(runs, pairs, a.p, a.k, a.samples).withColumn("kind", F.lit("pairwise")).union(ranks.tie_averaged(runs.union(total), own, a.p, a.k, a.samples).withColumn("kind", F.lit("borda")))
+    each = cut(ranks.against(runs, {"borda": borda, "critsum": ranks.critsum(runs)}, a.p, a.k, a.samples, a.seed))
+    kinds = each.select("rbo", "overlap", F.col("aggregate").alias("kind"))
+    both = ranks.tie_averaged(runs, pairs, a.p, a.k, a.samples).select("rbo", "overlap", F.lit("pairwise").alias("kind")).union(kinds)
     written(ranks.stability(both, ["kind"]), a.out)
+    written(ranks.aggregate_order(runs, borda), f"{a.out}-aggregate")
+    written(each, f"{a.out}-runs")
+    written(ranks.degree_table(functools.reduce(DataFrame.union, sides)), f"{a.out}-degrees")
 
 
 @command("caches", "out")

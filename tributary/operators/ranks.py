@@ -20,6 +20,26 @@ def critsum(runs: DataFrame) -> DataFrame:
     return runs.groupBy("item").agg(F.sum("score").alias("points"))
 
 
+def aggregate_order(runs: DataFrame, points: DataFrame) -> DataFrame:
+    """rank, item, points, n_runs_present: an aggregate's items by their points (ties by item), and how many runs have each."""
+    present = runs.groupBy("item").agg(F.count_distinct("run").alias("n_runs_present"))
+    place = F.row_number().over(Window.orderBy(F.desc("points"), "item"))
+    return points.join(present, "item").select(place.alias("rank"), "item", "points", "n_runs_present")
+
+
+def against(runs: DataFrame, aggregates: dict[str, DataFrame], p: float, k: int, samples: int, seed: int) -> DataFrame:
+    """aggregate, run, n_items, rbo, overlap, jaccard: each run against each aggregate (item, points); the i-th run in order of
+    names, from 0, has the seed seed + i."""
+    names = runs.groupBy("run").agg(F.count("*").alias("n_items")).withColumn("seed", F.row_number().over(Window.orderBy("run")) - 1 + seed)  # a few runs
+    out = None
+    for name, points in aggregates.items():
+        both = runs.select("run", "item", F.col("score").cast("double").alias("score")).union(points.select(F.lit(name), "item", F.col("points").cast("double")))
+        pairs = names.select(F.col("run").alias("left_run"), F.lit(name).alias("right_run"), "seed")
+        rows = tie_averaged(both, pairs, p, k, samples).select(F.col("right_run").alias("aggregate"), F.col("left_run").alias("run"), "rbo", "overlap", "jaccard")
+        out = rows if out is None else out.union(rows)
+    return out.join(names.select("run", "n_items"), "run").select("aggregate", "run", "n_items", "rbo", "overlap", "jaccard")
+
+
 def positions(runs: DataFrame) -> DataFrame:
     """Place of each item in its run by score, ties by item."""
     return runs.select("run", "item", F.row_number().over(Window.partitionBy("run").orderBy(F.desc("score"), "item")).alias("place"))

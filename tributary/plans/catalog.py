@@ -495,6 +495,13 @@ def borda_points(spark: SparkSession, d: str) -> DataFrame:
     return ranks.borda(v(spark, d, "runs"))
 
 
+@query(fx.sql("""SELECT (row_number() OVER (ORDER BY sum(b) DESC, item))::INT AS rank, item, sum(b)::BIGINT AS points, count(DISTINCT run) AS n_runs_present
+FROM (SELECT run, item, rank() OVER (PARTITION BY run ORDER BY score) - 1 AS b FROM runs) GROUP BY item""", "runs"))
+def rank_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    runs = v(spark, d, "runs")
+    return ranks.aggregate_order(runs, ranks.borda(runs))
+
+
 @query(fx.sql("SELECT item, sum(score)::DOUBLE AS points FROM runs GROUP BY item", "runs"))
 def critsum_points(spark: SparkSession, d: str) -> DataFrame:
     return ranks.critsum(v(spark, d, "runs")).select("item", F.col("points").cast("double").alias("points"))
