@@ -332,6 +332,16 @@ def test_refine_loop():
     assert state.refined(0, lambda s, t: s + 1, lambda s, t: (s, True), 1, 4) == 4
 
 
+def test_markdown(spark):
+    page = """<html><head><title>t</title></head><body><nav><a href="/x">menu</a></nav><!-- no -->
+<h1 class="a">Boric  acid</h1><p>Made of <b>borax</b> &amp; <em>acid</em>,<br>see <a class="r" href="https://e.org/a?b=1">this &lt;page&gt;</a>.</p>
+<ul><li>one</li><li>two</li></ul><h3>More</h3>
+<form><input name="q"><button>go</button></form><pre>x  y</pre><script>var a = "</p>";</script></body></html>"""
+    want = "# Boric acid\n\nMade of **borax** & *acid*,\nsee [this <page>](https://e.org/a?b=1).\n\n* one\n* two\n\n### More\n\nx y"
+    got = spark.createDataFrame([(page,), ("",), (None,), ("plain",)], "html string").select(files.html_markdown(F.col("html"))).collect()
+    assert [r[0] for r in got] == [want, "", None, "plain"]
+
+
 def test_command_line(spark, tmp_path):
     from tributary.__main__ import main
 

@@ -842,6 +842,12 @@ def page_texts(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "pages").select("page_id", F.length(files.html_text(F.col("html"))).cast("long").alias("n")).filter("n IS NOT NULL")
 
 
+@query(f"SELECT page_id, md5(x) AS digest, length(x) AS n FROM (SELECT page_id, {files.markdown_sql('html')} AS x FROM pages)")
+def page_markdown(spark: SparkSession, d: str) -> DataFrame:
+    x = files.html_markdown(F.col("html"))
+    return t(spark, d, "pages").select("page_id", x.alias("x")).select("page_id", F.md5("x").alias("digest"), F.length("x").cast("long").alias("n"))
+
+
 @query(_chunk_sql(100, 200, 170, "id::VARCHAR || '#chunk' || chunk AS chunk_url, chunk::INT AS chunk, len(p)::INT AS tokens, md5(array_to_string(p, ' ')) AS digest"))
 def stream_chunk_ingest(spark: SparkSession, d: str) -> DataFrame:
     """The documents table as a stream, in one trigger, appended to a table in the shared folder."""

@@ -222,6 +222,47 @@ def html_text(html):
     return F.when(F.length(plain) > 100, plain)
 
 
+#: Elements that aren't content, with all that is in them.
+_OUTSIDE = ("head", "script", "style", "nav", "footer", "header", "form", "button")
+#: A page's markup as Markdown, one replacement after the other (groups as \\1); patterns that Java and RE2 read alike.
+MARKDOWN_RULES: list[tuple[str, str]] = [
+    ("(?s)<!--.*?-->", ""),
+    *[(f"(?is)<{x}\\b[^>]*>.*?</{x}>", "") for x in _OUTSIDE],
+    ("(?i)<input\\b[^>]*>", ""),
+    ("[ \\t\\r\\n]+", " "),
+    *[(f"(?i)<h{n}\\b[^>]*>", "\n\n" + "#" * n + " ") for n in range(1, 7)],
+    ("(?i)</h[1-6]>", "\n\n"),
+    ("(?i)<li\\b[^>]*>", "\n* "),
+    ("(?i)<br\\b[^>]*>", "\n"),
+    ("(?i)</?(?:p|div|section|article|main|ul|ol|table|tr|blockquote|pre)\\b[^>]*>", "\n\n"),
+    ('(?is)<a\\b[^>]*\\bhref="([^"]*)"[^>]*>(.*?)</a>', "[\\2](\\1)"),
+    ("(?i)</?(?:b|strong)\\b[^>]*>", "**"),
+    ("(?i)</?(?:i|em)\\b[^>]*>", "*"),
+    ("<[^>]*>", ""),
+    *[(f"&{name};", char) for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("amp", "&"))],
+    ("[ \\t]+", " "),
+    (" ?\\n ?", "\n"),
+    ("\\n{3,}", "\n\n"),
+    ("^[ \\n]+", ""),
+    ("[ \\n]+\\z", ""),
+]
+
+
+def html_markdown(html):
+    """A page as Markdown: headings, lists, links and emphasis, without scripts, menus, forms and comments; null stays null."""
+    for pattern, to in MARKDOWN_RULES:
+        html = F.regexp_replace(html, pattern, re.sub(r"\\(\d)", r"$\1", to))
+    return html
+
+
+def markdown_sql(html: str) -> str:
+    """html_markdown() in DuckDB's SQL."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    for pattern, to in MARKDOWN_RULES:
+        html = f"regexp_replace({html}, {quoted(pattern)}, {quoted(to)}, 'g')"
+    return html
+
+
 def metric_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(path, key, value) of the numbers in a folder's JSON documents, booleans as 0 and 1, and the paths of those that can't be read."""
     docs = spark.read.text(f"{folder}/*.json", wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.expr("try_parse_json(value)").alias("d"))
