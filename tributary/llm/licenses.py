@@ -217,7 +217,8 @@ def license_scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", temp
 
     Words are runs of digits, letters and characters beyond ASCII, A-Z lower-cased. score: 0 without a label, else from
     0.5 to 1 by the IDF of the best template found. A null text counts as empty. Every row stays, repeated ones too; other
-    columns are left out. Two narrow passes; the templates, a fixed list, are broadcast.
+    columns are left out, so their names can't clash. A very long text is scanned whole, as a chunk of its own; an empty table
+    gives no rows. Two narrow passes; the templates, a fixed list, are broadcast.
     """
     sc = df.sparkSession.sparkContext
     index = Index(templates)

@@ -66,7 +66,9 @@ def mix(df: DataFrame, levels: dict[str, Column], weights: list[dict[str, int]],
     levels: names and columns of the tree from the top (null counts as ''); weights: for each level the weights of names,
     whole numbers, 1 for a name that isn't there; share: the budget as a fraction (numerator, denominator) of all tokens.
     The last document taken may have a part of its tokens taken. Rows of one doc_id stand in one place of the order and
-    are taken together, as are rows without one. Columns of df that start with _ are left out.
+    are taken together, as are rows without one; null and empty texts have no tokens and are taken by their place. A very
+    long text counts by its bytes like any other; an empty table gives no rows. Columns of df that start with _ are left out:
+    these names are the operator's.
 
     Leaves may be of any size: what decides on a leaf's documents is one row (its epochs, the last place of the order
     that is taken), found from sums over 4096 buckets of the order and the rows of one bucket. Those rows join documents

@@ -248,7 +248,8 @@ def token_counts(df: DataFrame, vocabulary: str, text: str = "text", limit: int
 
     vocabulary: path, on the driver, of a BPE vocabulary with word ends; it is read there and broadcast (its size is the
     file's, not the data's). A null text counts as empty: 0 bytes, 0 tokens. Repeated rows stay; other columns of df are
-    left out, so that their names can't clash. One narrow pass: no shuffle, and a lost task is just run again.
+    left out, so that their names can't clash. A very long text is counted whole, as a chunk of its own; an empty table gives
+    no rows. One narrow pass: no shuffle, and a lost task is just run again.
     """
     spark = df.sparkSession
     spec = spark.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())

@@ -155,7 +155,9 @@ def write_ids(df: DataFrame, path: str, vocabulary: str, doc_id: str = "doc_id",
 
     A null text counts as empty (its end id alone). Null ids come first; rows of one id follow a hash of their text, so
     that their order doesn't hang on the input's. Rows with one id, even a third of them all, are dealt to many tasks:
-    the ranges are cut by id, that hash and the row's number. One shuffle, of the texts; a task holds one segment.
+    the ranges are cut by id, that hash and the row's number. A very long text is a segment of its own; of an empty table
+    files without rows are written; other columns are left out, so their names can't clash. One shuffle, of the texts; a task
+    holds one segment.
     """
     spark = df.sparkSession
     spec = spark.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
@@ -220,7 +222,8 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
 
 
 def token_ids(df: DataFrame, vocabulary: str, path: str | None = None) -> DataFrame:
-    """write_ids() to a path (a new one in the shared folder, if none is given), then read_ids() from it."""
+    """write_ids() to a path (a new one in the shared folder, if none is given), then read_ids() from it: a row for each row of
+    df, whatever its id or text; odd rows as in write_ids()."""
     path = path or Workspace(df.sparkSession, "ids").path("tokens")
     write_ids(df, path, vocabulary)
     return read_ids(df.sparkSession, path)
