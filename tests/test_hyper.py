@@ -74,7 +74,7 @@ def brute_criticality(edges, vertices, base):
     return {v: whole - len(reach(v)) for v in vertices if v != base}
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(4))
 def test_criticality_is_what_a_new_start_gives(spark, seed):
     """Cycles, several ways to one vertex, edges without sources, the base among targets."""
     rng = random.Random(seed)
