@@ -26,6 +26,8 @@ MIN_COUNT, LONGEST, TOP, SCALE = 100, 5, 2000, 1000
 UNKNOWN = "und"
 #: Bits of the largest bitmap of frequent phrases, 32 MB; smaller levels take 16 bits a phrase.
 BITMAP_BITS = 28
+#: Shares into which a language's phrases are dealt to be ranked; a task gets SHARES times `top` phrases at last.
+SHARES = 128
 #: Bytes of texts whose phrases are counted at once.
 COUNTED = 1 << 22
 
@@ -200,9 +202,12 @@ def ranked(found: DataFrame, every: DataFrame, total: DataFrame, ws: Workspace,
     cuts = cuts.join(every.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["lang", "rest"]).join(total, "lang")
     score = F.expr(f"(CAST(a AS DECIMAL(18, 0)) * CAST({SCALE} AS DECIMAL(4, 0)) * CAST(n AS DECIMAL(15, 0))) div (CAST(l AS DECIMAL(18, 0)) * CAST(r AS DECIMAL(18, 0)))")
     lowest = cuts.withColumn("score", score).groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("x"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     scored = ws.keep(lowest.select("lang", "phrase", "a", F.col("x.l").alias("l"), F.col("x.r").alias("r"), "n", F.col("x.score").alias("score")), "scored")
-    out = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    # the first of each share of a language's phrases, then of these: no task gets all phrases of a language
+    share = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SHARES))).orderBy(*order)
+    some = scored.withColumn("rank", F.row_number().over(share)).filter(F.col("rank") <= top).drop("rank")
+    out = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
     return out.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
