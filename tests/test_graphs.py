@@ -197,3 +197,43 @@ def test_core_shares_and_connection(spark):
     assert got == {2: (3, 0.5, 1, 2), 1: (3, 0.5, 1, 2)}
     assert graphs.average_clustering(df).first()[0] == pytest.approx((1 + 1 + 1 / 3 + 0) / 4)
     assert not graphs.is_connected(df).first()[0] and graphs.is_connected(df.filter("src < 5")).first()[0]
+
+
+@pytest.fixture(scope="module")
+def doubled():
+    """A digraph in which vertices repeat: 0 to 9 as they come, 10 and more with the edges of one of those, and one with a loop only."""
+    g = random.Random(8)
+    one = {(g.randrange(10), g.randrange(10)) for _ in range(18)}
+    of = lambda v: [v, *[v + 10 * i for i in range(1, 1 + v % 3)]]
+    return sorted({(a, b) for x, y in one if x != y for a in of(x) for b in of(y)} | {(99, 99)})
+
+
+def test_twins_share_their_neighbours(spark, doubled):
+    got = {r.v: (r.rep, r["size"]) for r in graphs.twins(table(spark, doubled)).collect()}
+    near = {v: (frozenset(b for a, b in doubled if a == v != b), frozenset(a for a, b in doubled if b == v != a)) for v in set(itertools.chain(*doubled))}
+    groups = {x: [v for v in near if near[v] == x] for x in near.values()}
+    assert got == {v: (min(groups[x]), len(groups[x])) for v, x in near.items()}
+    assert any(n > 1 for _, n in got.values())
+
+
+def test_betweenness_of_twins(spark, doubled, monkeypatch):
+    """One search serves all twins: as many searches as groups of them, with the sums of a search from each vertex."""
+    searched = []
+    run = graphs.searched
+    monkeypatch.setattr(graphs, "searched", lambda edges, graph, *more: searched.append(len(graph.names)) or run(edges, graph, *more))
+    test_betweenness_against_brandes(spark, [e for e in doubled if e[0] != e[1]])
+    assert searched[0] <= 10
+
+
+def test_reach_and_paths_of_twins(spark, doubled):
+    """Twins reach each other where they come back to themselves; each counts in the mean of the paths."""
+    reach = {v: len(bfs(doubled, v)[0]) - 1 for v in set(itertools.chain(*doubled))}
+    assert {r.v: r.descendants for r in graphs.reach_counts(table(spark, doubled)).collect()} == reach
+    for directed in (True, False):
+        inside = [e for e in doubled if 99 not in e]
+        around = inside if directed else inside + [(b, a) for a, b in inside]
+        weak = {v: min(bfs(inside + [(b, a) for a, b in inside], v)[0]) for v in set(itertools.chain(*inside))}
+        top = min(set(weak.values()), key=lambda k: (-list(weak.values()).count(k), k))
+        hops = [h for v in weak if weak[v] == top for h in bfs(around, v)[0].values() if h]
+        r = graphs.path_stats(table(spark, doubled), directed).first()
+        assert (r.diameter, r.mean_path) == (max(hops), pytest.approx(sum(hops) / len(hops)))

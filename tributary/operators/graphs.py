@@ -2,10 +2,11 @@
 
 Iterations are rounds of joins and aggregates with a checkpoint each; what reaches the driver is a row of totals.
 
-Measures over all pairs (reach, paths, betweenness) search from every vertex. A graph of BROADCAST_EDGES edges at most is
-broadcast and its vertices are dealt to tasks, each of which adds up its searches, so that no row for a pair is made; a
-larger one is searched by joins, a level a round. So are power iterations: a small graph's in memory, a larger one's by
-joins, with the same steps and the same ends.
+Measures over all pairs (reach, paths, betweenness) search from every vertex. Vertices with the same neighbours on both
+sides are twins: they stand for each other, so one of them is searched from and through, with their number as its weight. A
+graph that then has BROADCAST_EDGES edges at most is broadcast and its vertices are dealt to tasks, each of which adds up its
+searches, so that no row for a pair is made; a larger one is searched by joins, a level a round. So are power iterations: a
+small graph's in memory, a larger one's by joins, with the same steps and the same ends.
 """
 
 from __future__ import annotations
@@ -29,11 +30,13 @@ PLACES = 1 << 21
 
 @dataclass
 class Adjacency:
-    """A small digraph without parallel edges, by default without loops: vertex i's edges are start[i]:start[i + 1] of to."""
+    """A small digraph without parallel edges, by default without loops: vertex i's edges are start[i]:start[i + 1] of to, and
+    it stands for size[i] twins (None: one each)."""
 
     names: list
     start: np.ndarray
     to: np.ndarray
+    size: np.ndarray | None = None
 
     @classmethod
     def of(cls, edges: DataFrame, loops: bool = False) -> Adjacency | None:
@@ -58,24 +61,29 @@ class Adjacency:
     def reversed(self) -> Adjacency:
         a = self.ends
         order = np.lexsort((a, self.to))
-        return Adjacency(self.names, np.concatenate([[0], np.cumsum(np.bincount(self.to, minlength=len(self.start) - 1))]), a[order])
+        return Adjacency(self.names, np.concatenate([[0], np.cumsum(np.bincount(self.to, minlength=len(self.start) - 1))]), a[order], self.size)
 
     def levels(self, sources: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Breadth-first searches from several sources: a level's new places (source number * n + vertex), and the edges of
-        shortest paths that lead to them, as places of both ends and the edge's number."""
+        """Breadth-first searches from several sources: a level's new places (source number * (n + 1) + vertex), and the edges
+        of shortest paths that lead to them, as places of both ends and the edge's number. The source itself is at place n;
+        its own vertex there are its twins, which aren't entered if it has none."""
         n = len(self.start) - 1
-        seen = np.full(len(sources) * n, -1, np.int32)
-        at = np.arange(len(sources)) * n + sources
+        seen = np.full(len(sources) * (n + 1), -1, np.int32)
+        row = np.arange(len(sources)) * (n + 1)
+        single = np.ones(len(sources), bool) if self.size is None else self.size[sources] == 1
+        seen[(row + sources)[single]] = 0
+        at = row + n
         seen[at] = 0
         hops = 0
         while len(at):
             hops += 1
-            v = at % n
+            v = at % (n + 1)
+            v = np.where(v == n, sources[at // (n + 1)], v)
             length = self.start[v + 1] - self.start[v]
             begin = np.cumsum(length) - length
             edge = np.arange(int(length.sum())) + np.repeat(self.start[v] - begin, length)
             origin = np.repeat(at, length)
-            target = origin - origin % n + self.to[edge]
+            target = origin - origin % (n + 1) + self.to[edge]
             fresh = seen[target] < 0
             seen[target[fresh]] = hops
             on = seen[target] == hops
@@ -83,12 +91,42 @@ class Adjacency:
             yield at, origin[on], target[on], edge[on]
 
 
-def searched(edges: DataFrame, graph: Adjacency, search) -> np.ndarray:
-    """Sums of search(graph, sources), an array of numbers, over all vertices, dealt to tasks."""
+def twins(edges: DataFrame) -> DataFrame:
+    """v, rep, size: the smallest of the vertices with the same neighbours on both sides, loops aside, and how many they are.
+
+    Neighbours are equal by their number and 128 bits of hash on each side, combined before they are shuffled.
+    """
+    plain = edges.filter("src <> dst").select("src", "dst").distinct()
+    ends = plain.select(F.col("src").alias("v"), F.col("dst").alias("w"), F.lit(0).alias("side")).union(plain.select(F.col("dst").alias("v"), F.col("src").alias("w"), F.lit(1).alias("side")))
+    ends = ends.union(vertices(edges).select("v", F.lit(None).alias("w"), F.lit(None).alias("side")))  # those with loops only
+    of = lambda side, x: F.coalesce(x(F.when(F.col("side") == side, F.xxhash64("w", F.lit(side)))), F.lit(0))
+    keys = [f(side) for side in (0, 1) for f in (lambda k: F.count_if(F.col("side") == k), lambda k: of(k, F.bit_xor), lambda k: F.coalesce(F.bit_xor(F.when(F.col("side") == k, F.xxhash64(F.lit("twin"), "w"))), F.lit(0)))]
+    names = [f"k{i}" for i in range(len(keys))]
+    key = cut(ends.groupBy("v").agg(*[x.alias(c) for x, c in zip(keys, names, strict=True)]))
+    return key.join(key.groupBy(*names).agg(F.min("v").alias("rep"), F.count("*").alias("size")), names).select("v", "rep", "size")
+
+
+def _folded(edges: DataFrame) -> tuple[DataFrame, Adjacency | None]:
+    """twins(), and the graph of one vertex for each group of them, if it is small enough."""
+    same = cut(twins(edges))
+    reps = same.filter("v = rep").select("v")
+    among = edges.join(reps.withColumnRenamed("v", "src"), "src", "left_semi").join(reps.withColumnRenamed("v", "dst"), "dst", "left_semi").select("src", "dst")
+    small = Adjacency.of(cut(among))
+    if small is None:
+        return same, None
+    # vertices whose neighbours are all twins of others have edges to the one of them that stands for these
+    got = same.filter("v = rep").join(vertices(among), "v", "left_semi").select("v", "size").toArrow()
+    size = dict(zip(got["v"].to_pylist(), got["size"].to_pylist(), strict=True))
+    small.size = np.array([size[x] for x in small.names], np.int64)
+    return same, small
+
+
+def searched(edges: DataFrame, graph: Adjacency, search, least: int = 1) -> np.ndarray:
+    """Sums of search(graph, sources), an array of numbers, over all vertices, dealt to tasks; least sources at a time."""
     spark = edges.sparkSession
     ready = spark.sparkContext.broadcast(graph)
     n = len(graph.names)
-    step = max(1, PLACES // max(n, 1))
+    step = max(least, PLACES // max(n, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -168,11 +206,14 @@ def _reached(into: Adjacency, sources: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """For each source how many vertices it reaches, the sum of hops to them, and the largest number of hops of all.
 
     into: each vertex's edges lead to where it is reached from. A word's 64 bits stand for as many sources, so a level is
-    one pass over the edges for all of them.
+    one pass over the edges for all of them. A source reaches its twins where it would come back to itself.
     """
     n, k = len(into.names), len(sources)
     seen = np.zeros((n, -(-k // 64)), np.uint64)
-    np.bitwise_or.at(seen, (sources, np.arange(k) // 64), np.uint64(1) << (np.arange(k) % 64).astype(np.uint64))
+    word, bit = np.arange(k) // 64, np.uint64(1) << (np.arange(k) % 64).astype(np.uint64)
+    np.bitwise_or.at(seen, (sources, word), bit)
+    size = np.ones(n, np.int64) if into.size is None else into.size
+    alone = size[sources] == 1  # sources whose twins are reached, if there are any
     front = seen.copy()
     has = np.flatnonzero(np.diff(into.start))
     begin = into.start[:-1][has]
@@ -180,14 +221,20 @@ def _reached(into: Adjacency, sources: np.ndarray) -> tuple[np.ndarray, np.ndarr
     while len(has):
         new = np.zeros_like(seen)
         new[has] = np.bitwise_or.reduceat(front[into.to], begin, 0)
+        back = ~alone & ((new[sources, word] & bit) != 0)
         new &= ~seen
         some = np.flatnonzero(new.any(1))
-        if not len(some):
+        if not len(some) and not back.any():
             break
         hops += 1
         seen |= new
         front = new
-        each = np.unpackbits(new[some].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)[:k]
+        each = np.where(back, size[sources] - 1, 0)
+        alone |= back
+        for lo in range(0, len(some), 1 << 14):  # bits of some vertices at a time
+            part = some[lo : lo + (1 << 14)]
+            flags = np.unpackbits(new[part].view(np.uint8), axis=1, bitorder="little")[:, :k]
+            each = each + (flags.sum(0, dtype=np.int64) if into.size is None else size[part].astype(np.float64) @ flags.astype(np.float64)).astype(np.int64)
         found += each
         total += hops * each
     return found, total, hops
@@ -201,10 +248,11 @@ def _counted(into: Adjacency, sources: np.ndarray) -> np.ndarray:
 
 def reach_counts(edges: DataFrame) -> DataFrame:
     """v, descendants, ancestors; a vertex isn't its own."""
-    small = Adjacency.of(edges)
+    same, small = _folded(edges)
     if small is not None:
-        down, up = (searched(edges, g, _counted).astype(np.int64) for g in (small.reversed(), small))
-        return _table(edges, small, descendants=down, ancestors=up)
+        down, up = (searched(edges, g, _counted, 64).astype(np.int64) for g in (small.reversed(), small))
+        got = same.select("v", "rep").join(_table(edges, small, descendants=down, ancestors=up).withColumnRenamed("v", "rep"), "rep", "left")
+        return got.select("v", F.coalesce("descendants", F.lit(0)).alias("descendants"), F.coalesce("ancestors", F.lit(0)).alias("ancestors"))
     pairs = closure(edges).filter("src <> dst")
     down = pairs.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("descendants"))
     up = pairs.groupBy(F.col("dst").alias("v")).agg(F.count("*").alias("ancestors"))
@@ -297,8 +345,8 @@ def distances(edges: DataFrame) -> DataFrame:
 def path_stats(edges: DataFrame, directed: bool = False) -> DataFrame:
     """One row: mean shortest path and diameter of the largest component, by default without directions."""
     inside = largest_component(edges)
-    inside = inside if directed else undirected(inside)
-    small = Adjacency.of(inside)
+    inside = cut(inside if directed else undirected(inside))
+    _, small = _folded(inside)
     if small is None:
         return distances(inside).agg(F.coalesce(F.avg("hops"), F.lit(0.0)).alias("mean_path"), F.coalesce(F.max("hops"), F.lit(0)).alias("diameter"))
     spark, n = edges.sparkSession, len(small.names)
@@ -308,8 +356,10 @@ def path_stats(edges: DataFrame, directed: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
-            got = [_reached(ready.value, ids[lo : lo + step]) for lo in range(0, len(ids), step)]
-            yield pa.RecordBatch.from_arrays([pa.array([int(x[0].sum()) for x in got]), pa.array([int(x[1].sum()) for x in got]), pa.array([x[2] for x in got], pa.int32())], ["pairs", "hops", "longest"])
+            parts = [ids[lo : lo + step] for lo in range(0, len(ids), step)]
+            got = [(ready.value.size[x], *_reached(ready.value, x)) for x in parts]  # a source counts for its twins
+            sums = [pa.array([int((x[0] * x[i].astype(np.int64)).sum()) for x in got], pa.int64()) for i in (1, 2)]
+            yield pa.RecordBatch.from_arrays([*sums, pa.array([x[3] for x in got], pa.int32())], ["pairs", "hops", "longest"])
 
     tasks = max(1, min(n, spark.sparkContext.defaultParallelism))
     sums = spark.range(0, n, 1, tasks).mapInArrow(run, "pairs long, hops long, longest int").agg(F.sum("pairs").alias("pairs"), F.sum("hops").alias("hops"), F.max("longest").alias("longest"))
@@ -543,9 +593,9 @@ def shortest_path_trees(edges: DataFrame) -> DataFrame:
 
 def betweenness(edges: DataFrame, normalized: bool = False) -> tuple[DataFrame, DataFrame]:
     """(v, value) and (src, dst, value): shortest paths through vertices and edges of a digraph, by Brandes' accumulation."""
-    small = Adjacency.of(edges)
+    same, small = _folded(edges)
     if small is not None:
-        return _betweenness_of(edges, small, normalized)
+        return _betweenness_of(edges, same, small, normalized)
     step = cut(edges.filter("src <> dst").select("src", "dst").distinct())
     tree = cut(shortest_path_trees(edges))
     # links of the trees: from v to a w one level further
@@ -574,34 +624,46 @@ def betweenness(edges: DataFrame, normalized: bool = False) -> tuple[DataFrame,
 
 
 def _dependencies(graph: Adjacency, sources: np.ndarray) -> np.ndarray:
-    """Dependencies of several sources on all vertices, then on all edges, added up."""
+    """Dependencies of several sources and their twins on each vertex, then on each edge, added up; of twins each has as much."""
     n, m = len(graph.names), len(graph.to)
-    paths = np.zeros(len(sources) * n)
-    own = np.arange(len(sources)) * n + sources
+    row = np.arange(len(sources)) * (n + 1)
+    own = row + n
+    size = np.append(graph.size, 1)
+    many = graph.size[sources]
+    weight = np.tile(size, len(sources))  # how many vertices a place stands for
+    weight[row + sources] = many - 1
+    times = np.repeat(many, n + 1).astype(np.float64)  # how many sources' searches pass a vertex of a place
+    times[row + sources] = many - 1
+    paths = np.zeros(len(times))
     paths[own] = 1
     steps = []
     for _, origin, target, edge in graph.levels(sources):
-        paths += np.bincount(target, paths[origin], len(paths)) if len(target) else 0
+        paths += np.bincount(target, weight[origin] * paths[origin], len(paths)) if len(target) else 0
         steps.append((origin, target, edge))
     delta, flow = np.zeros(len(paths)), np.zeros(m)
     for origin, target, edge in reversed(steps):
         share = paths[origin] / paths[target] * (1 + delta[target])
-        delta += np.bincount(origin, share, len(paths)) if len(origin) else 0
-        flow += np.bincount(edge, share, m) if len(edge) else 0
+        delta += np.bincount(origin, share * weight[target], len(paths)) if len(origin) else 0
+        # from the source itself an edge is passed once, from or to its twins by the searches of the others
+        passed = np.where(origin % (n + 1) == n, 1, np.minimum(times[origin], times[target]))
+        flow += np.bincount(edge, share * passed, m) if len(edge) else 0
     delta[own] = 0
-    return np.concatenate([delta.reshape(len(sources), n).sum(0), flow])
+    return np.concatenate([(delta * times).reshape(len(sources), n + 1)[:, :n].sum(0), flow])
 
 
-def _betweenness_of(edges: DataFrame, graph: Adjacency, normalized: bool) -> tuple[DataFrame, DataFrame]:
-    n = len(graph.names)
+def _betweenness_of(edges: DataFrame, same: DataFrame, graph: Adjacency, normalized: bool) -> tuple[DataFrame, DataFrame]:
+    n, folded = same.count(), len(graph.names)
     got = searched(edges, graph, _dependencies)
     node_scale = 1.0 / ((n - 1) * (n - 2)) if normalized and n > 2 else 1.0
     edge_scale = 1.0 / (n * (n - 1)) if normalized and n > 1 else 1.0
     kind = edges.schema["src"].dataType.simpleString()
     names = pa.array(graph.names)
-    flows = pa.table({"src": names.take(pa.array(graph.ends)), "dst": names.take(pa.array(graph.to)), "value": pa.array(got[n:] * edge_scale)})
-    each = edges.sparkSession.createDataFrame(flows)
-    return _table(edges, graph, value=got[:n] * node_scale), each.select(F.col("src").cast(kind), F.col("dst").cast(kind), "value")
+    flows = pa.table({"a": names.take(pa.array(graph.ends)), "b": names.take(pa.array(graph.to)), "value": pa.array(got[folded:] * edge_scale)})
+    each = edges.sparkSession.createDataFrame(flows).select(F.col("a").cast(kind), F.col("b").cast(kind), "value")
+    plain = edges.filter("src <> dst").select("src", "dst").distinct()
+    plain = plain.join(same.select(F.col("v").alias("src"), F.col("rep").alias("a")), "src").join(same.select(F.col("v").alias("dst"), F.col("rep").alias("b")), "dst")
+    nodes = same.select("v", "rep").join(_table(edges, graph, value=got[:folded] * node_scale).withColumnRenamed("v", "rep"), "rep", "left")
+    return nodes.select("v", F.coalesce("value", F.lit(0.0)).alias("value")), plain.join(each, ["a", "b"]).select("src", "dst", "value")
 
 
 def random_graph(spark, n: int, p: float, seed: int = 0) -> DataFrame:
