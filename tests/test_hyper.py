@@ -181,3 +181,16 @@ def test_rounds_of_joins_are_the_same(spark, monkeypatch, seed):
     small = [pairs(m()) for m in measures]
     monkeypatch.setattr(hyper, "BROADCAST_ENDS", -1)
     assert [pairs(m()) for m in measures] == small
+
+
+def test_copies_of_edges_are_followed_once(spark, monkeypatch):
+    """Forty copies of each edge reach, and fall, as one does, and don't make the hypergraph a large one."""
+    rows = [(f"{e}/{i}", side, code(x), "") for i in range(40) for e, s, t in EDGES for side, part in (("in", s), ("out", t)) for x in part]
+    registry = spark.createDataFrame([(code(i), "m") for i in range(1, 10)], "code string, name string")
+    g = hyper.build(spark.createDataFrame(rows, "process string, side string, code string, name string"), registry)
+    assert hyper.patterns(g).edges.count() == len(EDGES)
+    monkeypatch.setattr(hyper, "BROADCAST_ENDS", 12)
+    monkeypatch.setattr(hyper, "made_in_round", None)  # the rounds of a large one
+    base = spark.createDataFrame([(code(1),)], "v string")
+    got = {r.code: r.criticality for r in hyper.criticality(g, base).collect()}
+    assert got == {code(v): c for v, c in brute_criticality([(s, t) for _, s, t in EDGES], range(1, 10), 1).items()}
