@@ -217,3 +217,16 @@ def component_tree(children: DataFrame, root: str, leaves: tuple[str, ...] = ("r
         level = cut(edges.join(grow, "parent").withColumn("level", F.lit(i)))
         out = out.union(level.select(out.columns))
     return out.select("parent", "child", "kind", "level")
+
+
+def tree_levels(nodes: DataFrame) -> DataFrame:
+    """depth (0 for those without a parent), n, first: how many nodes (id, parent) each level has, and the smallest, level by
+    level: a round joins the last level alone, whatever the size of the tree."""
+    links = cut(nodes.filter("parent IS NOT NULL").select("id", "parent"))
+    level, depth, out = cut(nodes.filter("parent IS NULL").select("id")), 0, None
+    while True:
+        row = level.groupBy(F.lit(depth).alias("depth")).agg(F.count("*").alias("n"), F.min("id").alias("first"))
+        out = row if out is None else out.union(row)
+        level, depth = cut(links.join(level.withColumnRenamed("id", "parent"), "parent").select("id")), depth + 1
+        if level.isEmpty():
+            return out
