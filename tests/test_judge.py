@@ -167,3 +167,21 @@ def test_scores_and_purges(spark):
     kept, scored = references.purge_low_references(refs, procs.fillna({"score": 0.7}))
     assert kept.count() == 3 and {r.process: r.score for r in scored.collect()}[3] is None
     assert {r.process for r in references.purge_low_scale(procs)[1].collect()} == {3}
+
+
+def test_routes_against_all_pairs(spark):
+    """Sides of several codes, copies, nulls and empty sides."""
+    import random
+
+    rng = random.Random(3)
+    side = lambda: rng.sample(["1", "2", "3", "4", "5"], rng.choice([0, 1, 1, 2, 3]))
+    processes = [(i, side(), side()) for i in range(12)] * 2
+    routes = [(i, side() + rng.choice([[], [], [None]]), side()) for i in range(60)]
+
+    def status(ins, outs):
+        found = [(set(ins) <= set(a) and set(outs) <= set(b)) for _, a, b in processes if set(ins) & set(a) and set(outs) & set(b)]
+        return "strict" if any(found) else "lenient" if found else "miss"
+
+    kind = "ins array<string>, outs array<string>"
+    got = judge.route_recall(spark.createDataFrame(routes, f"route int, {kind}"), spark.createDataFrame(processes, f"process int, {kind}"))
+    assert {r.route: r.status for r in got.collect()} == {i: status(a, b) for i, a, b in routes}
