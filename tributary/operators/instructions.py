@@ -7,9 +7,12 @@ leave the JVM. What can't be done changes nothing further and becomes a row of m
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from types import SimpleNamespace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,11 @@ DOCUMENT = f"process string, description string, scale double, ins array<{ENTRY}
 #: scale, ins, outs and refs; the edits of materials side (in or out) and ins (the entries); AddReference refs.
 INSTRUCTION = f"pos long, kind string, process string, side string, description string, scale double, ins array<{ENTRY}>, outs array<{ENTRY}>, refs array<string>"
 
+_MANY = pa.list_(pa.struct([("code", pa.string()), ("name", pa.string())]))
+MADE = pa.schema([("process", pa.string()), ("description", pa.string()), ("scale", pa.float64()), ("ins", _MANY), ("outs", _MANY), ("refs", pa.list_(pa.string())), ("pos", pa.int64()), ("message", pa.string())])
+#: Processes that a task holds as Python's objects at a time.
+ROWS = 1000
+
 
 class Refused(ValueError):
     """An edit that the state doesn't allow."""
@@ -104,26 +112,27 @@ def folded(documents: DataFrame, instructions: DataFrame) -> tuple[DataFrame, Da
     """
     asked = instructions.filter("process IS NOT NULL")
     still = documents.join(asked.select("process").distinct(), "process", "left_anti")
-    made = f"{DOCUMENT}, pos long, message string"
-    columns = ["process", "description", "scale", "ins", "outs", "refs", "pos", "message"]
-
-    def fold(docs: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
-        held = None
-        for r in docs.itertuples():
-            held = Process(r.description, None if pd.isna(r.scale) else float(r.scale), _entries(r.ins), _entries(r.outs), [] if r.refs is None else list(r.refs))
-        out = []
-        for r in todo.sort_values("pos").itertuples():
-            held, message = step(held, r)
-            if message:
-                out.append((r.process, None, None, None, None, None, r.pos, message))
-        if held is not None:
-            name = (docs if len(docs) else todo).process.iloc[0]
-            both = ([{"code": c, "name": n} for c, n in x] for x in (held.ins, held.outs))
-            out.append((name, held.description, held.scale, *both, held.refs, None, None))
-        return pd.DataFrame(out, columns=columns).astype({"pos": "Int64"}) if out else pd.DataFrame({c: pd.Series(dtype=object) for c in columns})
+    todo = asked.groupBy("process").agg(F.collect_list(F.struct("pos", "kind", "process", "side", "description", "scale", "ins", "outs", "refs")).alias("todo"))
+    held = documents.groupBy("process").agg(F.last(F.struct("description", "scale", "ins", "outs", "refs")).alias("held"))
 
-    touched = documents.join(asked.select("process").distinct(), "process", "left_semi")
-    got = touched.groupBy("process").cogroup(asked.groupBy("process")).applyInPandas(fold, made)
+    def fold(held: dict | None, todo: list[dict]) -> Iterator[dict]:
+        now = held and Process(held["description"], held["scale"], _entries(held["ins"]), _entries(held["outs"]), list(held["refs"] or []))
+        for x in sorted(todo, key=lambda x: (x["pos"] is None, x["pos"] or 0)):
+            now, message = step(now, SimpleNamespace(**x))
+            if message:
+                yield {"process": x["process"], "pos": x["pos"], "message": message}
+        if now is not None:
+            both = {c: [{"code": a, "name": b} for a, b in x] for c, x in (("ins", now.ins), ("outs", now.outs))}
+            yield {"process": todo[0]["process"], "description": now.description, "scale": now.scale, **both, "refs": now.refs}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, ROWS):
+                part = b.slice(lo, ROWS)
+                rows = [x for r in zip(part["held"].to_pylist(), part["todo"].to_pylist(), strict=True) for x in fold(*r)]
+                yield pa.RecordBatch.from_pylist(rows, MADE)
+
+    got = todo.join(held, "process", "left").select("held", "todo").mapInArrow(run, f"{DOCUMENT}, pos long, message string")
     return still.unionByName(got.filter("message IS NULL").select(*documents.columns)), got.filter("message IS NOT NULL").select("pos", "process", "message")
 
 
