@@ -17,7 +17,7 @@ from ..operators import dists, graphs, hyper, judge, ranks, search, smallworld,
 from ..sources import arrow, files, sinks
 from ..sqltool import SqlTool
 from .catalog import _CRIT, _REMOVED, _REPORT_MORE, _SCENARIOS, _SECTION, _base, _dominance, _fixpoint, _hyper, _knn_sql, query, t, v
-from .lineage import shared_dir
+from .lineage import shared_dir, spread
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -54,7 +54,7 @@ def source_six_digit_codes(spark: SparkSession, d: str) -> DataFrame:
 @query(fx.sql("SELECT year, (year - 1990)::INT AS file_pos, count(*) AS n, sum(value)::DOUBLE AS value FROM trade WHERE year <> 1994 GROUP BY year", "trade"))
 def source_yearly_trade(spark: SparkSession, d: str) -> DataFrame:
     path = _folder(spark, "years")
-    v(spark, d, "trade").filter("year <> 1994").withColumn("y", F.col("year")).repartition("y").write.partitionBy("y").parquet(path)
+    v(spark, d, "trade").filter("year <> 1994").withColumn("y", F.col("year")).write.partitionBy("y").parquet(path)
     found, missing = files.yearly_trade(spark, path, list(range(1990, 2003)), "y={year}")
     assert 1994 in missing
     return found.groupBy("year", "file_pos").agg(F.count("*").alias("n"), F.sum("value").cast("double").alias("value"))
@@ -243,7 +243,7 @@ def sink_cached_rows(spark: SparkSession, d: str) -> DataFrame:
 @query(_knn_sql("cosine"))
 def kept_index(spark: SparkSession, d: str) -> DataFrame:
     """An index of graphs built once for its source and kept under the hash of its path; its vectors, read again, searched exactly."""
-    rows = v(spark, d, "vectors").select("id", "vector")
+    rows = spread(v(spark, d, "vectors").select("id", "vector"))
     folder, built = _folder(spark, "index"), []
 
     def build(path: str) -> DataFrame:
@@ -252,7 +252,7 @@ def kept_index(spark: SparkSession, d: str) -> DataFrame:
 
     kept = [search.kept_index(spark, folder, f"{d}/embeddings.parquet", build) for _ in range(2)][1]
     assert len(built) == 1
-    return search.knn(kept.select("id", "vector"), rows.filter("id % 20 = 0").select(F.col("id").alias("query"), "vector"), 5, "cosine").select("query", "rank", "id")
+    return search.knn(spread(kept).select("id", "vector"), rows.filter("id % 20 = 0").select(F.col("id").alias("query"), "vector"), 5, "cosine").select("query", "rank", "id")
 
 
 # ---------------------------------------------------------------- functions
@@ -319,7 +319,7 @@ _L2, _COS = "(list_distance(a.vector::DOUBLE[], b.vector::DOUBLE[]) ** 2)", "lis
 @query(fx.sql(f"""SELECT 'raw' AS measure, query, r::INT AS rank, id, round(value, 5) AS score FROM {_score_sql(_L2, _L2)} WHERE r <= 6
 UNION ALL SELECT 'l2', query, r::INT, id, round(1 / (1 + value), 5) FROM {_score_sql(_L2, _L2)} WHERE r <= 5 UNION ALL SELECT 'cosine', query, r::INT, id, round(value, 5) FROM {_score_sql(_COS, _COS + ' DESC')} WHERE r <= 5""", "vectors"))
 def knn_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = v(spark, d, "vectors").select("id", "vector")
+    rows = spread(v(spark, d, "vectors").select("id", "vector"))
     asked = rows.filter("id % 20 = 0").select(F.col("id").alias("query"), "vector")
     parts = [search.knn(rows, asked, k, m).select(F.lit(m).alias("measure"), "query", "rank", "id", F.round("score", 5).alias("score")) for m, k in (("raw", 6), ("l2", 5), ("cosine", 5))]
     return parts[0].union(parts[1]).union(parts[2])
