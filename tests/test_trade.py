@@ -80,3 +80,11 @@ def test_first_dominant_keeps_encounter_order(spark):
 def test_newest_file_wins(spark):
     df = spark.createDataFrame([(2020, 0, 1), (2020, 1, 2), (2019, 0, 3)], "year int, file_pos int, x int")
     assert {r.x for r in trade.newest_file_wins(df).collect()} == {2, 3}
+
+
+@pytest.mark.parametrize("name", ["rbo_vs_aggregate", "dominant_report"])
+def test_trade_is_read_once(spark, name):
+    """What is summed up from the lines is kept: the rest of the query doesn't join them again."""
+    from tributary.plans import catalog
+
+    assert "l_extendedprice" not in catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()

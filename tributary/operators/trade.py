@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
 #: Value columns are decimal where sums must not hang on their order; shares are doubles.
 
 
@@ -84,8 +86,8 @@ def dominance(totals: DataFrame, agg_partners: Iterable[int], threshold: float)
 
 def first_dominant(flows: DataFrame, threshold: float) -> DataFrame:
     """Per code the supplier encountered first (by pos) whose share of the total reaches the threshold; code, supplier, share."""
-    by = flows.groupBy("code", "supplier").agg(F.sum("value").alias("value"), F.min("pos").alias("pos"))
-    total = flows.groupBy("code").agg(F.sum("value").alias("total")).filter("total <> 0")
+    by = cut(flows.groupBy("code", "supplier").agg(F.sum("value").alias("value"), F.min("pos").alias("pos")))  # flows are read once
+    total = by.groupBy("code").agg(F.sum("value").alias("total")).filter("total <> 0")
     share = F.col("value").cast("double") / F.col("total").cast("double")
     hit = by.join(total, "code").withColumn("share", share).filter(F.col("share") >= threshold)
     return hit.groupBy("code").agg(F.min(F.struct("pos", "supplier", "share")).alias("m")).select("code", "m.supplier", "m.share")
