@@ -426,3 +426,49 @@ def test_more_commands(spark, tmp_path, capsys):
     assert spark.read.json(str(tmp_path / "g.json")).count() == 2
     main(["audit", "--state", state_path, "--out", str(tmp_path / "audit.md")], spark)
     assert spark.read.text(str(tmp_path / "audit.md")).count() == 3
+
+
+def test_knn_on_odd_vectors(spark):
+    """Copies, zeros, nulls and other lengths against the definition; ties to the smaller id, and no row for a pair."""
+    import math
+    import random
+
+    rng = random.Random(4)
+    vectors = [[float(rng.randrange(-2, 3)) for _ in range(3)] for _ in range(60)]
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(100, None), (101, [1.0, None, 2.0]), (102, [1.0, 2.0]), (103, [0.0, 0.0, 0.0])]
+    index = spark.createDataFrame(rows, "id long, vector array<float>").repartition(3)
+    asked = [r for r in rows if r[0] % 7 == 0 or r[0] > 99]
+
+    def value(a, b, measure):
+        if a is None or b is None or None in a or None in b or len(a) != len(b):
+            return None
+        if measure == "raw":
+            return sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+        if not any(a) or not any(b):
+            return None
+        one, two = ([x / math.sqrt(sum(y * y for y in v)) for x in v] for v in (a, b))
+        return -sum(x * y for x, y in zip(one, two, strict=True))
+
+    for measure in ("raw", "cosine"):
+        got = search.knn(index, spark.createDataFrame(asked, "query long, vector array<float>"), 4, measure)
+        assert "NestedLoop" not in got._jdf.queryExecution().toString()
+        near = {q: sorted((value(a, b, measure), i) for i, b in rows if value(a, b, measure) is not None)[:4] for q, a in asked}
+        want = {(q, n + 1, i) for q, x in near.items() for n, (_, i) in enumerate(x)}
+        assert {(r.query, r["rank"], r.id) for r in got.collect()} == want
+
+
+def test_folding_takes_processes_many_at_a_time(spark):
+    from tributary.plans import catalog
+
+    assert "CoGroup" not in catalog.QUERIES["folded_instructions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_trees_larger_than_the_limit_of_recursion(spark):
+    from tributary.plans import catalog
+
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "20")
+    try:
+        got = {r.depth: (r.n, r.first) for r in catalog.QUERIES["sql_recursive_tree"](spark, "/root/testdata/sf0.001").collect()}
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert got[0] == (1, 0) and got[1] == (4, 1) and got[2] == (16, 5) and sum(n for n, _ in got.values()) == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
