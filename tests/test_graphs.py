@@ -182,6 +182,30 @@ def test_strong_components_in_a_row(spark):
     assert {tuple(r) for r in graphs.largest_strong_component(table(spark, edges)).collect()} == {(0, 1), (1, 2), (2, 0)}
 
 
+@pytest.mark.parametrize("most", [1 << 20, 60, 6])
+def test_components_by_tasks(spark, monkeypatch, most):
+    """Random graphs with hubs, cycles, single links and loops, all of their edges in one task and few in each, by joins in the end."""
+    monkeypatch.setattr(graphs, "GROUPED_EDGES", most)
+    monkeypatch.setattr(graphs, "HUB", 8)
+    g = random.Random(most)
+    edges = sorted({(g.randrange(40), g.randrange(40)) for _ in range(45)} | {(0, i) for i in range(20, 32)} | {(i, 0) for i in range(26, 36)} | {(60 + i, 60 + (i + 1) % 9) for i in range(9)} | {(70, 71), (80, 80), (81, 60)})
+    ends = set(itertools.chain(*edges))
+    reach = {v: set(bfs(edges, v)[0]) for v in ends}
+    both = edges + [(b, a) for a, b in edges]
+    weak, strong = ({r.v: r.component for r in c.collect()} for c in graphs.both_components(table(spark, edges * 2).repartition(3)))
+    assert weak == {v: min(bfs(both, v)[0]) for v in ends} == {r.v: r.component for r in graphs.weak_components(table(spark, edges)).collect()}
+    assert strong == {v: min(u for u in reach[v] if v in reach[u]) for v in ends} == {r.v: r.component for r in graphs.strong_components(table(spark, edges)).collect()}
+
+
+def test_components_of_names_in_few_jobs(spark):
+    """A long chain and a cycle take as many jobs as any graph of their size; they took one and more for each edge."""
+    edges = [(f"ü{i:03}", f"ü{i + 1:03}") for i in range(60)] + [("é1", "é2"), ("é2", "é1")]
+    before = spark.range(1).rdd.id()
+    got = graphs.strong_components(spark.createDataFrame(edges, "src string, dst string")).collect()
+    assert spark.range(1).rdd.id() - before < 200
+    assert {r.v: r.component for r in got} == {f"ü{i:03}": f"ü{i:03}" for i in range(61)} | {"é1": "é1", "é2": "é1"}
+
+
 def test_fallback_to_the_largest_strong_component(spark):
     """An eigenvector that two vertices of a chain don't settle within few rounds."""
     df = table(spark, [(0, 1), (1, 2), (2, 0), (2, 3), (0, 3), (3, 4)])

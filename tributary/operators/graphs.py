@@ -6,7 +6,8 @@ Measures over all pairs (reach, paths, betweenness) search from every vertex. Ve
 sides are twins: they stand for each other, so one of them is searched from and through, with their number as its weight. A
 graph that then has BROADCAST_EDGES edges at most is broadcast and its vertices are dealt to tasks, each of which adds up its
 searches, so that no row for a pair is made; a larger one is searched by joins, a level a round. So are power iterations: a
-small graph's in memory, a larger one's by joins, with the same steps and the same ends.
+small graph's in memory, a larger one's by joins, with the same steps and the same ends. Components are found by tasks among
+the edges that they have, a bounded number at a time, then among what these have in common; only what is left goes by joins.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ from ..plans.lineage import cut
 BROADCAST_EDGES = 2_000_000
 #: Places (sources times vertices) that a task searches at a time.
 PLACES = 1 << 21
+#: Edges of which a task looks for connected vertices at a time.
+GROUPED_EDGES = 1 << 20
+#: Edges of a vertex above which it may be a hub, whose edges are dealt with their other ends.
+HUB = 1000
 
 
 @dataclass
@@ -260,9 +265,167 @@ def reach_counts(edges: DataFrame) -> DataFrame:
 
 
 def weak_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """v, component: the smallest vertex connected with it, by hooking and shortcutting."""
-    both = cut(undirected(edges))
-    labels = cut((nodes if nodes is not None else vertices(edges)).select("v", F.col("v").alias("c")))
+    """v, component: the smallest vertex connected with it. nodes: v, all vertices, those without edges included."""
+    links = cut(edges.filter("src <> dst").select("src", "dst"))
+    every = nodes if nodes is not None else vertices(edges)
+    return _named(every, _connected(links)).select("v", F.col("c").alias("component"))
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """v, component: the smallest vertex that it reaches and that reaches it. Tables never outgrow the edges."""
+    kept, left = _contracted(edges)
+    return _named(kept, _mutual(left)).select("v", F.col("c").alias("component"))
+
+
+def both_components(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """weak_components() and strong_components(), for which the graph is contracted once."""
+    kept, left = _contracted(edges)
+    return tuple(_named(kept, found).select("v", F.col("c").alias("component")) for found in (_connected(left), _mutual(left)))
+
+
+def _named(kept: DataFrame, groups: DataFrame) -> DataFrame:
+    """v, c: each vertex with the group of its c, if kept has one, else its own; what is in no group stays."""
+    at = kept if "c" in kept.columns else kept.select("v", F.col("v").alias("c"))
+    return at.join(groups.select(F.col("v").alias("c"), F.col("c").alias("to")), "c", "left").select("v", F.coalesce("to", "c").alias("c"))
+
+
+def _connected(links: DataFrame) -> DataFrame:
+    """v, c: the smallest vertex connected with it, for all ends of links."""
+    return _grouped(links.coalesce(1), _weak) if links.count() <= GROUPED_EDGES else _merged(_grouped(_dealt(links), _weak))
+
+
+def _mutual(links: DataFrame) -> DataFrame:
+    """v, c: the smallest vertex of its strong component, for all ends of links in components of several."""
+    return _grouped(links.coalesce(1), _strong) if links.count() <= GROUPED_EDGES else _coloured(links)
+
+
+def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(v, c: the smallest vertex of those that were put together with it; the distinct edges left between these).
+
+    Tasks put together what is strongly connected by the edges that they have; what tasks have in common is put together too.
+    So it goes on while that halves the edges and a task can't have all of them.
+    """
+    left = cut(edges.filter("src <> dst").select("src", "dst"))
+    kept = vertices(edges).select("v", F.col("v").alias("c"))
+    n = left.count()
+    while n > GROUPED_EDGES:
+        groups = cut(_merged(_grouped(_dealt(left), _strong)))
+        side = lambda end: groups.select(F.col("v").alias(end), F.col("c").alias(f"{end}_c"))
+        near = left.join(side("src"), "src", "left").join(side("dst"), "dst", "left").select(F.coalesce("src_c", "src").alias("src"), F.coalesce("dst_c", "dst").alias("dst"))
+        left = cut(near.filter("src <> dst").distinct())
+        kept = _named(kept, groups)
+        n, before = left.count(), n
+        if 2 * n > before:
+            break
+    return cut(kept), left
+
+
+def _dealt(links: DataFrame) -> DataFrame:
+    """The edges of a vertex in one partition, but for those of hubs, which go with their other end. Hubs are 200,000 at most,
+    whatever the graph, and are broadcast."""
+    much = max(HUB, links.count() // 100_000)
+    ends = links.select(F.col("src").alias("v")).union(links.select(F.col("dst").alias("v")))
+    hubs = cut(ends.groupBy("v").agg(F.count("*").alias("n")).filter(F.col("n") > much).select("v"))
+    side = lambda end: hubs.select(F.col("v").alias(end), F.lit(True).alias(f"{end}_hub"))
+    known = links.join(F.broadcast(side("src")), "src", "left").join(F.broadcast(side("dst")), "dst", "left")
+    a, b = F.xxhash64("src"), F.xxhash64("dst")
+    home = F.when(F.col("src_hub").isNull(), a).when(F.col("dst_hub").isNull(), b).otherwise(F.xxhash64("src", "dst"))
+    return known.select("src", "dst", home.alias("home")).repartition("home").select("src", "dst")
+
+
+def _grouped(links: DataFrame, group) -> DataFrame:
+    """v, c: vertices that are connected by GROUPED_EDGES edges of a task, and the smallest of them: group(a, b, n) gives the
+    smallest for each of n vertices from the ends of the edges. Groups of one aren't named."""
+    most = GROUPED_EDGES
+    kind = links.schema["src"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            while sum(map(len, held)) + len(b) >= most:
+                room = most - sum(map(len, held))
+                yield of([*held, b[:room]])
+                held, b = [], b[room:]
+            held.append(b)
+        if sum(map(len, held)):
+            yield of(held)
+
+    def of(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        got = pa.Table.from_batches(held)
+        src, dst = got["src"].combine_chunks(), got["dst"].combine_chunks()
+        names = pa.concat_arrays([src, dst]).unique()
+        names = names.take(pc.sort_indices(names))
+        a, b = (pc.index_in(x, names).to_numpy(zero_copy_only=False).astype(np.int64) for x in (src, dst))
+        least = group(a, b, len(names))
+        some = np.flatnonzero(np.bincount(least, minlength=len(names))[least] > 1)
+        return pa.RecordBatch.from_arrays([names.take(pa.array(some)), names.take(pa.array(least[some]))], ["v", "c"])
+
+    return links.mapInArrow(run, f"v {kind}, c {kind}")
+
+
+def _weak(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest vertex connected with each, by hooking and shortcutting."""
+    c = np.arange(n)
+    while True:
+        x, y = c[a], c[b]
+        if np.array_equal(x, y):
+            return c
+        np.minimum.at(c, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(c, up := c[c]):
+            c = up
+
+
+def _strong(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest vertex of each one's strong component, by one search in depth."""
+    begin = np.concatenate([[0], np.cumsum(np.bincount(a, minlength=n))]).tolist()
+    to, at, end = b[np.argsort(a, kind="stable")].tolist(), begin[:-1], begin[1:]
+    number, low, of, stack, count = [0] * n, [0] * n, [-1] * n, [], 0
+    for root in range(n):
+        if number[root]:
+            continue
+        count += 1
+        number[root] = low[root] = count
+        path = [root]
+        stack.append(root)
+        while path:
+            v = path[-1]
+            i = at[v]
+            if i < end[v]:
+                at[v] = i + 1
+                w = to[i]
+                if not number[w]:
+                    count += 1
+                    number[w] = low[w] = count
+                    path.append(w)
+                    stack.append(w)
+                elif of[w] < 0 and number[w] < low[v]:
+                    low[v] = number[w]
+                continue
+            path.pop()
+            if path and low[v] < low[path[-1]]:
+                low[path[-1]] = low[v]
+            if low[v] == number[v]:
+                w = -1
+                while w != v:
+                    w = stack.pop()
+                    of[w] = v
+    found, least = np.array(of, np.int64), np.full(n, n)
+    np.minimum.at(least, found, np.arange(n))
+    return least[found]
+
+
+def _merged(groups: DataFrame) -> DataFrame:
+    """v, c of groups that tasks found: groups with a vertex in common are one. A vertex is in as many groups as tasks had it."""
+    met = cut(groups.groupBy("v").agg(F.min("c").alias("c"), F.collect_set("c").alias("all")))
+    links = cut(met.filter("size(all) > 1").select(F.explode("all").alias("src"), F.col("c").alias("dst")).filter("src <> dst").distinct())
+    roots = _grouped(links.coalesce(1), _weak) if links.count() <= GROUPED_EDGES else _hooked(links)
+    return _named(met.select("v", "c"), roots)
+
+
+def _hooked(links: DataFrame) -> DataFrame:
+    """v, c: the smallest vertex connected with it, by hooking and shortcutting, a round at a time."""
+    both = cut(undirected(links))
+    labels = cut(vertices(links).select("v", F.col("v").alias("c")))
     while True:
         near = both.join(labels.select(F.col("v").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("v")).agg(F.min("c").alias("near"))
         step = labels.join(near, "v", "left").select("v", "c", F.least("c", F.coalesce("near", "c")).alias("n"))
@@ -271,19 +434,17 @@ def weak_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFra
         done = new.filter("new <> c").isEmpty()
         labels = new.select("v", F.col("new").alias("c"))
         if done:
-            return labels.select("v", F.col("c").alias("component"))
+            return labels
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """v, component: the smallest vertex that it reaches and that reaches it.
+def _coloured(links: DataFrame) -> DataFrame:
+    """v, c: the smallest vertex of its strong component, for vertices of components of several.
 
-    Colouring: vertices without an edge in or out are components of their own and go, round by round. Each other vertex
-    takes the smallest vertex that reaches it; what reaches that one in turn, among those of its colour, is its component
-    and goes too. Rounds hang on path lengths and on how components follow each other; tables never outgrow the edges.
+    Vertices without an edge in or out are components of their own and go, round by round. Each other vertex takes the
+    smallest vertex that reaches it; what reaches that one in turn, among those of its colour, is its component and goes
+    too. Rounds hang on path lengths and on how components follow each other.
     """
-    left = cut(edges.filter("src <> dst").select("src", "dst").distinct())
-    found = None
-    every = cut(vertices(edges))
+    left, found = links, None
     while not left.isEmpty():
         inner = left.select("src").intersect(left.select("dst")).select(F.col("src").alias("v"))
         kept = cut(left.join(inner.withColumnRenamed("v", "src"), "src", "left_semi").join(inner.withColumnRenamed("v", "dst"), "dst", "left_semi").select("src", "dst"))
@@ -309,9 +470,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         found = inside if found is None else found.union(inside)
         gone = inside.select("v")
         left = cut(left.join(gone.withColumnRenamed("v", "src"), "src", "left_anti").join(gone.withColumnRenamed("v", "dst"), "dst", "left_anti"))
-    if found is None:
-        return every.select("v", F.col("v").alias("component"))
-    return every.join(found, "v", "left").select("v", F.coalesce("c", "v").alias("component"))
+    return found if found is not None else links.limit(0).select(F.col("src").alias("v"), F.col("dst").alias("c"))
 
 
 def component_stats(components: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from ..operators import dists, graphs, hyper, judge, ranks, search, smallworld,
 from ..sources import arrow, files, sinks
 from ..sqltool import SqlTool
 from .catalog import _CRIT, _REMOVED, _REPORT_MORE, _SCENARIOS, _SECTION, _base, _dominance, _fixpoint, _hyper, _knn_sql, query, t, v
-from .lineage import shared_dir, spread
+from .lineage import cut, shared_dir, spread
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -416,9 +416,9 @@ def average_clustering(spark: SparkSession, d: str) -> DataFrame:
 UNION ALL SELECT 'strong', count(DISTINCT k), (SELECT max(n) FROM (SELECT count(*) AS n FROM strong GROUP BY k)) FROM strong""", "net",
     more=_LINKS + ", closure(src, dst) AS (SELECT src, dst FROM net UNION SELECT c.src, n.dst FROM closure c JOIN net n ON c.dst = n.src), strong AS (SELECT v, least(v, (SELECT min(a.dst) FROM closure a JOIN closure b ON a.src = b.dst AND a.dst = b.src WHERE a.src = v)) AS k FROM weak)", recursive=True))
 def connectivity(spark: SparkSession, d: str) -> DataFrame:
-    net = v(spark, d, "net")
+    weak, strong = graphs.both_components(cut(v(spark, d, "net")))
     one = lambda kind, rows: graphs.component_stats(rows).select(F.lit(kind).alias("kind"), "components", "largest")
-    return one("weak", graphs.weak_components(net)).union(one("strong", graphs.strong_components(net)))
+    return one("weak", weak).union(one("strong", strong))
 
 
 @query("""SELECT year(ts) AS y, month(ts) AS m, count(*) AS n, count(DISTINCT user_id) AS users, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90, abs(approx_count_distinct(user_id) - count(DISTINCT user_id)) <= 0.2 * count(DISTINCT user_id) + 2 AS near,
