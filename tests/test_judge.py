@@ -111,6 +111,28 @@ def test_evidence_is_every_term_between_boundaries(spark):
     assert got == want and len(set(want.values())) == 3
 
 
+@pytest.mark.parametrize("bytes_at_most", [1 << 24, -1])
+def test_evidence_in_raw_texts(spark, monkeypatch, bytes_at_most):
+    """Texts as they are, with letters that are ASCII in lower case only, against norm() and a regex for each term; no regex
+    runs over the texts themselves."""
+    monkeypatch.setattr(judge, "BROADCAST_TERMS", bytes_at_most)
+    rng = random.Random(7)
+    say = lambda n: "".join(rng.choice("aAbK\u212a\u0130İé1+-,. \n\t\x00😀") for _ in range(n))
+    texts = spark.createDataFrame([(i % 40, say(rng.randrange(0, 60)) if i % 17 else None) for i in range(120)], "process int, text string")
+    terms = spark.createDataFrame([(i, ["".join(rng.choice("aabki1+- ") for _ in range(rng.randrange(1, 4))) for _ in range(2)], ["".join(rng.choice("abk1+ ") for _ in range(2))] if i % 9 else None) for i in range(42)], "process int, ins array<string>, outs array<string>")
+    normal = texts.select("process", text.norm(F.col("text")).alias("text")).collect()
+    assert [r.text for r in normal if r.text is not None] == [text.norm_bytes(r.text.encode()).decode() for r in texts.collect() if r.text is not None]
+    named = lambda x, t: any(re.search(f"(?<![a-z0-9]){re.escape(y)}(?![a-z0-9])", x) for y in t or [])
+    want = {}
+    for i, a, b in terms.collect():
+        hits = [(named(x, a), named(x, b)) for p, x in normal if p == i and x]
+        want[i] = (any(x or y for x, y in hits), any(x and y for x, y in hits))
+    got = judge.evidence(texts, terms, raw=True)
+    assert {r.process: (r.any_mention, r.grounded) for r in got.collect()} == want and len(set(want.values())) == 3
+    assert {r.process: (r.any_mention, r.grounded) for r in judge.evidence(spark.createDataFrame(normal, "process int, text string"), terms).collect()} == want
+    assert "regexp" not in got._jdf.queryExecution().toString().lower()
+
+
 def test_routes(spark):
     raw = spark.createDataFrame([("a", "100000|200000", "300000"), ("b", "100000|900000", "300000"), ("c", "700000", "800000"), ("d", "x", "300000"), ("e", "", "300000")], "route string, input_hs string, output_hs string")
     good, bad = judge.valid_routes(raw)
