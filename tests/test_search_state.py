@@ -463,6 +463,41 @@ def test_folding_takes_processes_many_at_a_time(spark):
     assert "CoGroup" not in catalog.QUERIES["folded_instructions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
 
 
+def test_every_reference_and_every_refusal_is_folded(spark):
+    """The query's rows by a plain loop over all instructions; references weren't instructions, and refusals were dropped."""
+    from tributary.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    entries, refs, processes = (catalog.v(spark, d, n).collect() for n in ("entries", "refs", "processes"))
+    held = {str(r.process): ([], [], []) for r in processes}
+    for r in sorted(entries, key=lambda r: r.pos):
+        held[str(r.process)][r.side == "out"].append((r.code, r.name))
+    for r in sorted(refs, key=lambda r: r.pos):
+        if str(r.process) in held:
+            held[str(r.process)][2].append(r.url)
+    asked = [(r.pos * 3, str(r.process + 1), r) for r in entries] + [(r.pos * 3 + 1, str(r.process), r) for r in refs] + [(r.process * 15, str(r.process), None) for r in processes if r.scale < 0.2]
+    refused = {}
+    for _, process, r in sorted(asked, key=lambda x: x[0]):
+        ok = process in held
+        if ok and r is None:
+            del held[process]
+        elif ok and "url" in r:
+            plain = r.url.split("#")[0]
+            held[process][2].extend([r.url] if plain not in held[process][2] else [])
+        elif ok:
+            here, there = held[process][r.side == "out"], held[process][r.side == "in"]
+            same = lambda x: x[0] == r.code if r.code else x[1] == r.name  # noqa: B023, E731
+            ok = not any(map(same, there))
+            if ok and not any(map(same, here)):
+                here.append((r.code, r.name))
+        if not ok:
+            refused[process] = refused.get(process, 0) + 1
+    sizes = {p: tuple(map(len, x)) for p, x in held.items()}
+    want = {p: (*sizes.get(p, (None,) * 3), refused.get(p, 0)) for p in sizes.keys() | refused}
+    got = {r.process: (r.n_ins, r.n_outs, r.n_refs, r.n_refused) for r in catalog.QUERIES["folded_instructions"](spark, d).collect()}
+    assert got == want and {str(r.process) for r in refs} <= set(got)
+
+
 def test_trees_larger_than_the_limit_of_recursion(spark):
     from tributary.plans import catalog
 

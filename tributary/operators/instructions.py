@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
 ENTRY = "struct<code:string,name:string>"
 DOCUMENT = f"process string, description string, scale double, ins array<{ENTRY}>, outs array<{ENTRY}>, refs array<string>"
 #: Of kind: AddProcess, RemoveProcess, AddMaterial, RemoveMaterial, SetProcess or AddReference. AddProcess reads description,
@@ -132,7 +134,8 @@ def folded(documents: DataFrame, instructions: DataFrame) -> tuple[DataFrame, Da
                 rows = [x for r in zip(part["held"].to_pylist(), part["todo"].to_pylist(), strict=True) for x in fold(*r)]
                 yield pa.RecordBatch.from_pylist(rows, MADE)
 
-    got = todo.join(held, "process", "left").select("held", "todo").mapInArrow(run, f"{DOCUMENT}, pos long, message string")
+    # both results read it: instructions are followed once
+    got = cut(todo.join(held, "process", "left").select("held", "todo").mapInArrow(run, f"{DOCUMENT}, pos long, message string"))
     return still.unionByName(got.filter("message IS NULL").select(*documents.columns)), got.filter("message IS NOT NULL").select("pos", "process", "message")
 
 
