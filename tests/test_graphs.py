@@ -261,3 +261,63 @@ def test_reach_and_paths_of_twins(spark, doubled):
         hops = [h for v in weak if weak[v] == top for h in bfs(around, v)[0].values() if h]
         r = graphs.path_stats(table(spark, doubled), directed).first()
         assert (r.diameter, r.mean_path) == (max(hops), pytest.approx(sum(hops) / len(hops)))
+
+
+def brandes(edges, n):
+    """Values of n vertices and of the edges by one search from each vertex."""
+    near = [[b for a, b in edges if a == v] for v in range(n)]
+    node, edge = dict.fromkeys(range(n), 0.0), dict.fromkeys(edges, 0.0)
+    for s in node:
+        dist, paths, order = bfs(edges, s)
+        delta = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            for w in near[v]:
+                if dist[w] == dist[v] + 1:
+                    c = paths[v] / paths[w] * (1 + delta[w])
+                    edge[v, w] += c
+                    delta[v] += c
+            node[v] += delta[v] if v != s else 0
+    return node, edge
+
+
+def around_hubs(g, hubs, others):
+    """A digraph of hubs and vertices that have edges with hubs only."""
+    mixed = {(g.randrange(hubs), v) if g.random() < 0.5 else (v, g.randrange(hubs)) for v in range(hubs, hubs + others) for _ in range(g.randrange(4))}
+    return sorted(mixed | {x for x in ((g.randrange(hubs), g.randrange(hubs)) for _ in range(hubs)) if x[0] != x[1]})
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_covers_against_brandes(monkeypatch, seed):
+    """Hubs, any graphs, long chains; blocks and batches of few and of many; a core that is too large."""
+    import numpy as np
+
+    from tributary.operators import covers
+
+    g = random.Random(seed)
+    for name, few in (("SOURCES", 3), ("CLASSES", 3), ("ROWS", 2), ("PAIRS", 2)):
+        monkeypatch.setattr(covers, name, few if seed % 2 else getattr(covers, name))
+    chain = [(i, i + 1) for i in range(150)] + [(g.randrange(151), g.randrange(151)) for _ in range(3)]
+    for edges, n in ((around_hubs(g, 4, 30), 34), ([(g.randrange(15), g.randrange(15)) for _ in range(40)], 15), (chain, 151)):
+        edges = sorted({e for e in edges if e[0] != e[1]})
+        a, b = np.array(edges).T
+        cover, *where = covers.covered(a, b, n)
+        half = cover.searches // 2
+        sums = covers.sums(cover, np.arange(half)) + covers.sums(cover, np.arange(half, cover.searches))
+        value, flow = covers.assembled(cover, *where, sums, a, b, n)
+        node, edge = brandes(edges, n)
+        assert value.tolist() == pytest.approx([node[v] for v in range(n)]) and flow.tolist() == pytest.approx([edge[e] for e in edges])
+        assert covers.covered(a, b, n, len(cover.one) - 1) is None
+
+
+def test_betweenness_searches_among_hubs(spark, monkeypatch):
+    """Vertices around hubs are searched from once for all with the same targets; each was a search through the whole graph."""
+    edges = around_hubs(random.Random(3), 5, 60)
+    made, run = [], graphs.added_up
+    monkeypatch.setattr(graphs, "added_up", lambda spark, shared, search, n, step: made.append(n) or run(spark, shared, search, n, step))
+    nodes, flows = graphs.betweenness(table(spark, [*edges, (90, 90), (7, 7)]))
+    node, edge = brandes(edges, 65)
+    there = {*itertools.chain(*edges), 7, 90}
+    assert {r.v: pytest.approx(r.value) for r in nodes.collect()} == {v: node.get(v, 0.0) for v in there}
+    assert {(r.src, r.dst): pytest.approx(r.value) for r in flows.collect()} == edge
+    targets = {frozenset(b for a, b in edges if a == v) for v in range(5, 65)} - {frozenset()}
+    assert made == [5 + len(targets)]

@@ -5,7 +5,8 @@ Iterations are rounds of joins and aggregates with a checkpoint each; what reach
 Measures over all pairs (reach, paths, betweenness) search from every vertex. Vertices with the same neighbours on both
 sides are twins: they stand for each other, so one of them is searched from and through, with their number as its weight. A
 graph that then has BROADCAST_EDGES edges at most is broadcast and its vertices are dealt to tasks, each of which adds up its
-searches, so that no row for a pair is made; a larger one is searched by joins, a level a round. So are power iterations: a
+searches, so that no row for a pair is made; a larger one is searched by joins, a level a round. Betweenness of a graph in which
+few vertices have a part in every edge is searched among these (see covers). So are power iterations: a
 small graph's in memory, a larger one's by joins, with the same steps and the same ends. Components are found by tasks among
 the edges that they have, a bounded number at a time, then among what these have in common; only what is left goes by joins.
 """
@@ -18,10 +19,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
+from . import covers
 
 #: Edges of a graph that is broadcast at most (12 bytes each, and its vertices' names on the driver).
 BROADCAST_EDGES = 2_000_000
@@ -128,10 +130,13 @@ def _folded(edges: DataFrame) -> tuple[DataFrame, Adjacency | None]:
 
 def searched(edges: DataFrame, graph: Adjacency, search, least: int = 1) -> np.ndarray:
     """Sums of search(graph, sources), an array of numbers, over all vertices, dealt to tasks; least sources at a time."""
-    spark = edges.sparkSession
-    ready = spark.sparkContext.broadcast(graph)
     n = len(graph.names)
-    step = max(least, PLACES // max(n, 1))
+    return added_up(edges.sparkSession, graph, search, n, max(least, PLACES // max(n, 1)))
+
+
+def added_up(spark: SparkSession, shared, search, n: int, step: int) -> np.ndarray:
+    """Sums of search(shared, numbers), an array of a size that is bounded, over 0..n-1, dealt to tasks; step numbers at a time."""
+    ready = spark.sparkContext.broadcast(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -144,8 +149,8 @@ def searched(edges: DataFrame, graph: Adjacency, search, least: int = 1) -> np.n
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
     tasks = max(1, min(n, spark.sparkContext.defaultParallelism))
-    # the sums are of the graph's size, which is bounded, one for each of these tasks
-    parts = spark.range(0, n, 1, tasks).mapInArrow(run, "sums binary").toLocalIterator()
+    # all tasks run before the first sum is read: an iterator alone would run one after the other
+    parts = cut(spark.range(0, n, 1, tasks).mapInArrow(run, "sums binary")).toLocalIterator()
     return sum((np.frombuffer(r["sums"]) for r in parts), np.zeros(0) if not n else 0.0)
 
 
@@ -752,6 +757,11 @@ def shortest_path_trees(edges: DataFrame) -> DataFrame:
 
 def betweenness(edges: DataFrame, normalized: bool = False) -> tuple[DataFrame, DataFrame]:
     """(v, value) and (src, dst, value): shortest paths through vertices and edges of a digraph, by Brandes' accumulation."""
+    whole = Adjacency.of(edges)
+    # a core of an eighth of the vertices at most: else twins among it are worth more
+    cover = whole and covers.covered(whole.ends, whole.to, len(whole.names), min(covers.CORE, len(whole.names) // 8))
+    if cover:
+        return _betweenness_by(edges, whole, *cover, normalized)
     same, small = _folded(edges)
     if small is not None:
         return _betweenness_of(edges, same, small, normalized)
@@ -810,6 +820,18 @@ def _dependencies(graph: Adjacency, sources: np.ndarray) -> np.ndarray:
     return np.concatenate([(delta * times).reshape(len(sources), n + 1)[:, :n].sum(0), flow])
 
 
+def _betweenness_by(edges: DataFrame, graph: Adjacency, cover: covers.Cover, core: np.ndarray, rest: np.ndarray, kind: np.ndarray, normalized: bool) -> tuple[DataFrame, DataFrame]:
+    n = len(graph.names)
+    got = added_up(edges.sparkSession, cover, covers.sums, cover.searches, 32 * covers.SOURCES)
+    value, flow = covers.assembled(cover, core, rest, kind, got if cover.searches else np.zeros(0), graph.ends, graph.to, n)
+    node_scale = 1.0 / ((n - 1) * (n - 2)) if normalized and n > 2 else 1.0
+    edge_scale = 1.0 / (n * (n - 1)) if normalized and n > 1 else 1.0
+    to = _table(edges, graph, value=value * node_scale)
+    names, which = pa.array(graph.names), edges.schema["src"].dataType.simpleString()
+    flows = pa.table({"src": names.take(pa.array(graph.ends)), "dst": names.take(pa.array(graph.to)), "value": pa.array(flow * edge_scale)})
+    return to, edges.sparkSession.createDataFrame(flows).select(F.col("src").cast(which).alias("src"), F.col("dst").cast(which).alias("dst"), "value")
+
+
 def _betweenness_of(edges: DataFrame, same: DataFrame, graph: Adjacency, normalized: bool) -> tuple[DataFrame, DataFrame]:
     n, folded = same.count(), len(graph.names)
     got = searched(edges, graph, _dependencies)
