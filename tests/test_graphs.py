@@ -321,3 +321,16 @@ def test_betweenness_searches_among_hubs(spark, monkeypatch):
     assert {(r.src, r.dst): pytest.approx(r.value) for r in flows.collect()} == edge
     targets = {frozenset(b for a, b in edges if a == v) for v in range(5, 65)} - {frozenset()}
     assert made == [5 + len(targets)]
+
+
+def test_reach_searches_between_strong_components(spark, monkeypatch):
+    """Cycles with tails in and out and between them: each vertex of a cycle was searched from by itself."""
+    edges = [(i, (i + 1) % 150) for i in range(150)] + [(200 + i, 200 + (i + 1) % 9) for i in range(9)] + [(7, 203), (300, 4), (301, 4), (205, 310), (310, 311), (400, 401), (402, 402)]
+    made, run = [], graphs.added_up
+    monkeypatch.setattr(graphs, "added_up", lambda spark, shared, search, n, step: made.append(len(shared[0].names)) or run(spark, shared, search, n, step))
+    got = {r.v: (r.descendants, r.ancestors) for r in graphs.reach_counts(table(spark, edges)).collect()}
+    reach = {v: set(bfs(edges, v)[0]) - {v} for v in set(itertools.chain(*edges))}
+    assert got == {v: (len(x), sum(v in y for y in reach.values())) for v, x in reach.items()}
+    assert made == [7, 7]
+    monkeypatch.setattr(graphs, "BROADCAST_EDGES", -1)
+    assert {r.v: (r.descendants, r.ancestors) for r in graphs.reach_counts(table(spark, edges)).collect()} == got

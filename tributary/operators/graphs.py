@@ -4,8 +4,8 @@ Iterations are rounds of joins and aggregates with a checkpoint each; what reach
 
 Measures over all pairs (reach, paths, betweenness) search from every vertex. Vertices with the same neighbours on both
 sides are twins: they stand for each other, so one of them is searched from and through, with their number as its weight. A
-graph that then has BROADCAST_EDGES edges at most is broadcast and its vertices are dealt to tasks, each of which adds up its
-searches, so that no row for a pair is made; a larger one is searched by joins, a level a round. Betweenness of a graph in which
+graph that then has SEARCHED * BROADCAST_EDGES edges at most is broadcast and its vertices are dealt to tasks, each of which adds
+up its searches, so that no row for a pair is made; a larger one is searched by joins, a level a round. Betweenness of a graph in which
 few vertices have a part in every edge is searched among these (see covers). So are power iterations: a
 small graph's in memory, a larger one's by joins, with the same steps and the same ends. Components are found by tasks among
 the edges that they have, a bounded number at a time, then among what these have in common; only what is left goes by joins.
@@ -27,6 +27,8 @@ from . import covers
 
 #: Edges of a graph that is broadcast at most (12 bytes each, and its vertices' names on the driver).
 BROADCAST_EDGES = 2_000_000
+#: Searches from every vertex take graphs of so many times as many edges: by joins they make a row for each pair.
+SEARCHED = 8
 #: Places (sources times vertices) that a task searches at a time.
 PLACES = 1 << 21
 #: Edges of which a task looks for connected vertices at a time.
@@ -46,10 +48,10 @@ class Adjacency:
     size: np.ndarray | None = None
 
     @classmethod
-    def of(cls, edges: DataFrame, loops: bool = False) -> Adjacency | None:
-        """The graph of an edge table, if it is small enough."""
+    def of(cls, edges: DataFrame, loops: bool = False, times: int = 1) -> Adjacency | None:
+        """The graph of an edge table, if it is small enough: so many times BROADCAST_EDGES."""
         plain = edges.select("src", "dst").distinct()
-        if plain.count() > BROADCAST_EDGES:
+        if plain.count() > times * BROADCAST_EDGES:
             return None
         got = plain.toArrow()
         src, dst = got["src"].combine_chunks(), got["dst"].combine_chunks()
@@ -113,12 +115,17 @@ def twins(edges: DataFrame) -> DataFrame:
     return key.join(key.groupBy(*names).agg(F.min("v").alias("rep"), F.count("*").alias("size")), names).select("v", "rep", "size")
 
 
-def _folded(edges: DataFrame) -> tuple[DataFrame, Adjacency | None]:
-    """twins(), and the graph of one vertex for each group of them, if it is small enough."""
-    same = cut(twins(edges))
+def _folded(edges: DataFrame, sizes: DataFrame | None = None) -> tuple[DataFrame, Adjacency | None]:
+    """twins(), and the graph of one vertex for each group of them, if it is small enough. sizes: v, size, how many a vertex
+    stands for already."""
+    same = twins(edges)
+    if sizes is not None:
+        each = same.select("v", "rep").join(sizes, "v")
+        same = same.select("v", "rep").join(each.groupBy("rep").agg(F.sum("size").alias("size")), "rep").select("v", "rep", "size")
+    same = cut(same)
     reps = same.filter("v = rep").select("v")
     among = edges.join(reps.withColumnRenamed("v", "src"), "src", "left_semi").join(reps.withColumnRenamed("v", "dst"), "dst", "left_semi").select("src", "dst")
-    small = Adjacency.of(cut(among))
+    small = Adjacency.of(cut(among), times=SEARCHED)
     if small is None:
         return same, None
     # vertices whose neighbours are all twins of others have edges to the one of them that stands for these
@@ -212,61 +219,89 @@ def closure(edges: DataFrame) -> DataFrame:
     return known
 
 
-def _reached(into: Adjacency, sources: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """For each source how many vertices it reaches, the sum of hops to them, and the largest number of hops of all.
+def _words(graph: Adjacency) -> list[np.ndarray]:
+    """The vertices, 64 at most at a time, of which each stands for as many twins."""
+    size = np.ones(len(graph.names), np.int64) if graph.size is None else graph.size
+    order = np.argsort(size, kind="stable")
+    same = np.split(order, np.flatnonzero(np.diff(size[order])) + 1)
+    return [x[lo : lo + 64] for x in same for lo in range(0, len(x), 64)]
 
-    into: each vertex's edges lead to where it is reached from. A word's 64 bits stand for as many sources, so a level is
-    one pass over the edges for all of them. A source reaches its twins where it would come back to itself.
+
+def _reached(into: Adjacency, sources: np.ndarray) -> Iterator[np.ndarray]:
+    """For each hop how many of a word's sources and their twins reach a vertex then.
+
+    into: each vertex's edges lead to where it is reached from. A word's 64 bits stand for as many sources, so a level is one
+    pass over the edges of what isn't reached from all. A source reaches its twins where it would come back to itself.
     """
     n, k = len(into.names), len(sources)
-    seen = np.zeros((n, -(-k // 64)), np.uint64)
-    word, bit = np.arange(k) // 64, np.uint64(1) << (np.arange(k) % 64).astype(np.uint64)
-    np.bitwise_or.at(seen, (sources, word), bit)
-    size = np.ones(n, np.int64) if into.size is None else into.size
-    alone = size[sources] == 1  # sources whose twins are reached, if there are any
-    front = seen.copy()
-    has = np.flatnonzero(np.diff(into.start))
-    begin = into.start[:-1][has]
-    found, total, hops = np.zeros(k), np.zeros(k), 0
-    while len(has):
-        new = np.zeros_like(seen)
-        new[has] = np.bitwise_or.reduceat(front[into.to], begin, 0)
-        back = ~alone & ((new[sources, word] & bit) != 0)
-        new &= ~seen
-        some = np.flatnonzero(new.any(1))
-        if not len(some) and not back.any():
-            break
-        hops += 1
+    many = 1 if into.size is None else int(into.size[sources[0]])
+    bit = np.uint64(1) << np.arange(k).astype(np.uint64)
+    front = np.zeros(n, np.uint64)
+    front[sources] = bit
+    seen = front.copy() if many == 1 else np.zeros(n, np.uint64)
+    full = np.bitwise_or.reduce(bit)
+    length = np.diff(into.start)
+    while True:
+        left = np.flatnonzero((seen != full) & (length > 0))
+        if len(left) * 4 < n:  # the edges of few
+            begin = np.cumsum(length[left]) - length[left]
+            to = into.to[np.arange(int(length[left].sum())) + np.repeat(into.start[left] - begin, length[left])]
+        else:
+            left = np.flatnonzero(length)
+            begin, to = into.start[left], into.to
+        new = np.zeros(n, np.uint64)
+        if len(left):
+            new[left] = np.bitwise_or.reduceat(front[to], begin) & ~seen[left]
+        if not new.any():
+            return
         seen |= new
+        counts = many * np.bitwise_count(new).astype(np.float64)
+        if many > 1:
+            counts[sources] -= (new[sources] & bit) != 0  # not to itself
+        yield counts
         front = new
-        each = np.where(back, size[sources] - 1, 0)
-        alone |= back
-        for lo in range(0, len(some), 1 << 14):  # bits of some vertices at a time
-            part = some[lo : lo + (1 << 14)]
-            flags = np.unpackbits(new[part].view(np.uint8), axis=1, bitorder="little")[:, :k]
-            each = each + (flags.sum(0, dtype=np.int64) if into.size is None else size[part].astype(np.float64) @ flags.astype(np.float64)).astype(np.int64)
-        found += each
-        total += hops * each
-    return found, total, hops
-
-
-def _counted(into: Adjacency, sources: np.ndarray) -> np.ndarray:
+
+
+def _counted(shared: tuple[Adjacency, list[np.ndarray]], words: np.ndarray) -> np.ndarray:
+    """How many vertices reach each one, of the sources of these words."""
+    into, sources = shared
     out = np.zeros(len(into.names))
-    out[sources] = _reached(into, sources)[0]
+    for w in words.tolist():
+        for counts in _reached(into, sources[w]):
+            out += counts
+    return out
+
+
+def _by_hops(shared: tuple[Adjacency, list[np.ndarray]], words: np.ndarray) -> np.ndarray:
+    """How many pairs are so many hops apart, by hops from 0."""
+    into, sources = shared
+    out = np.zeros(len(into.names) + 2)
+    for w in words.tolist():
+        for hops, counts in enumerate(_reached(into, sources[w]), 1):
+            out[hops] += counts @ into.size
     return out
 
 
 def reach_counts(edges: DataFrame) -> DataFrame:
-    """v, descendants, ancestors; a vertex isn't its own."""
-    same, small = _folded(edges)
+    """v, descendants, ancestors; a vertex isn't its own. Vertices that reach each other reach the same: searches go between
+    strong components, from each once."""
+    comp = cut(strong_components(edges))
+    size = cut(comp.groupBy("component").agg(F.count("*").alias("size")))
+    of = lambda end: comp.select(F.col("v").alias(end), F.col("component").alias(f"{end}_c"))
+    met = edges.select("src", "dst").join(of("src"), "src").join(of("dst"), "dst")
+    between = cut(met.filter("src_c <> dst_c").select(F.col("src_c").alias("src"), F.col("dst_c").alias("dst")).distinct())
+    same, small = _folded(between, size.select(F.col("component").alias("v"), "size"))
     if small is not None:
-        down, up = (searched(edges, g, _counted, 64).astype(np.int64) for g in (small.reversed(), small))
-        got = same.select("v", "rep").join(_table(edges, small, descendants=down, ancestors=up).withColumnRenamed("v", "rep"), "rep", "left")
-        return got.select("v", F.coalesce("descendants", F.lit(0)).alias("descendants"), F.coalesce("ancestors", F.lit(0)).alias("ancestors"))
-    pairs = closure(edges).filter("src <> dst")
-    down = pairs.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("descendants"))
-    up = pairs.groupBy(F.col("dst").alias("v")).agg(F.count("*").alias("ancestors"))
-    return vertices(edges).join(down, "v", "left").join(up, "v", "left").select("v", F.coalesce("descendants", F.lit(0)).alias("descendants"), F.coalesce("ancestors", F.lit(0)).alias("ancestors"))
+        words = _words(small)
+        up, down = (added_up(edges.sparkSession, (g, words), _counted, len(words), 64).astype(np.int64) for g in (small.reversed(), small))
+        reps = _table(edges, small, more=down, less=up).withColumnRenamed("v", "rep")
+        got = same.select(F.col("v").alias("component"), "rep").join(reps, "rep").select("component", "more", "less")
+    else:
+        pairs = cut(closure(between))
+        side = lambda at, to, name: pairs.join(size.withColumnRenamed("component", to), to).groupBy(F.col(at).alias("component")).agg(F.sum("size").alias(name))
+        got = side("src", "dst", "more").join(side("dst", "src", "less"), "component", "full")
+    own = size.join(got, "component", "left")
+    return comp.join(own, "component").select("v", *[(F.col("size") - 1 + F.coalesce(c, F.lit(0))).alias(name) for c, name in (("more", "descendants"), ("less", "ancestors"))])
 
 
 def weak_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -513,21 +548,11 @@ def path_stats(edges: DataFrame, directed: bool = False) -> DataFrame:
     _, small = _folded(inside)
     if small is None:
         return distances(inside).agg(F.coalesce(F.avg("hops"), F.lit(0.0)).alias("mean_path"), F.coalesce(F.max("hops"), F.lit(0)).alias("diameter"))
-    spark, n = edges.sparkSession, len(small.names)
-    ready = spark.sparkContext.broadcast(small.reversed())
-    step = max(64, PLACES // max(n, 1))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(0).to_numpy()
-            parts = [ids[lo : lo + step] for lo in range(0, len(ids), step)]
-            got = [(ready.value.size[x], *_reached(ready.value, x)) for x in parts]  # a source counts for its twins
-            sums = [pa.array([int((x[0] * x[i].astype(np.int64)).sum()) for x in got], pa.int64()) for i in (1, 2)]
-            yield pa.RecordBatch.from_arrays([*sums, pa.array([x[3] for x in got], pa.int32())], ["pairs", "hops", "longest"])
-
-    tasks = max(1, min(n, spark.sparkContext.defaultParallelism))
-    sums = spark.range(0, n, 1, tasks).mapInArrow(run, "pairs long, hops long, longest int").agg(F.sum("pairs").alias("pairs"), F.sum("hops").alias("hops"), F.max("longest").alias("longest"))
-    return sums.select(F.coalesce(F.col("hops") / F.nullif(F.col("pairs"), F.lit(0)), F.lit(0.0)).alias("mean_path"), F.coalesce("longest", F.lit(0)).alias("diameter"))
+    words = _words(small)
+    pairs = added_up(edges.sparkSession, (small.reversed(), words), _by_hops, len(words), 64)
+    total, longest = float(np.sum(pairs)), int(max(np.flatnonzero(pairs), default=0))
+    mean = float(pairs @ np.arange(len(pairs))) / total if total else 0.0
+    return edges.sparkSession.createDataFrame([(mean, longest)], "mean_path double, diameter int")
 
 
 def average_clustering(edges: DataFrame) -> DataFrame:
@@ -757,7 +782,7 @@ def shortest_path_trees(edges: DataFrame) -> DataFrame:
 
 def betweenness(edges: DataFrame, normalized: bool = False) -> tuple[DataFrame, DataFrame]:
     """(v, value) and (src, dst, value): shortest paths through vertices and edges of a digraph, by Brandes' accumulation."""
-    whole = Adjacency.of(edges)
+    whole = Adjacency.of(cut(edges.select("src", "dst").distinct()), times=SEARCHED)
     # a core of an eighth of the vertices at most: else twins among it are worth more
     cover = whole and covers.covered(whole.ends, whole.to, len(whole.names), min(covers.CORE, len(whole.names) // 8))
     if cover:
