@@ -334,3 +334,17 @@ def test_reach_searches_between_strong_components(spark, monkeypatch):
     assert made == [7, 7]
     monkeypatch.setattr(graphs, "BROADCAST_EDGES", -1)
     assert {r.v: (r.descendants, r.ancestors) for r in graphs.reach_counts(table(spark, edges)).collect()} == got
+
+
+def test_paths_without_rows_for_pairs(spark, monkeypatch):
+    """A graph of more than BROADCAST_EDGES edges, each direction one, was searched by joins, a row for each pair."""
+    g = random.Random(4)
+    edges = sorted({(g.randrange(90), g.randrange(90)) for _ in range(140)})
+    both = edges + [(b, a) for a, b in edges]
+    weak = {v: frozenset(bfs(both, v)[0]) for v in set(itertools.chain(*edges))}
+    top = max(set(weak.values()), key=len)
+    monkeypatch.setattr(graphs, "BROADCAST_EDGES", 60)
+    monkeypatch.setattr(graphs, "distances", None)
+    hops = [h for v in top for h in bfs(both, v)[0].values() if h]
+    r = graphs.path_stats(table(spark, edges)).first()
+    assert (r.diameter, r.mean_path) == (max(hops), pytest.approx(sum(hops) / len(hops)))
