@@ -348,3 +348,12 @@ def test_paths_without_rows_for_pairs(spark, monkeypatch):
     hops = [h for v in top for h in bfs(both, v)[0].values() if h]
     r = graphs.path_stats(table(spark, edges)).first()
     assert (r.diameter, r.mean_path) == (max(hops), pytest.approx(sum(hops) / len(hops)))
+
+
+def test_sums_count_every_pair(spark, monkeypatch):
+    """What edges carry less what vertices do is a path's end for each pair that is connected; no search is made by a vertex."""
+    df = table(spark, around_hubs(random.Random(11), 6, 80))
+    monkeypatch.setattr(graphs, "searched", None)
+    nodes, flows = graphs.betweenness(df)
+    pairs = sum(r.descendants for r in graphs.reach_counts(df).collect())
+    assert sum(r.value for r in flows.collect()) - sum(r.value for r in nodes.collect()) == pytest.approx(pairs)

@@ -280,13 +280,14 @@ def _ended(cover: Cover, depth: int, level: np.ndarray, total: np.ndarray, weigh
         value, level = total, np.minimum(level, depth).astype(np.int16)
     else:
         value = np.where(total > 0, np.ldexp(total, -bits * np.minimum(level, depth)), 0)
-    k = level.shape[1]
+    k, unreached = level.shape[1], (total == 0).any()
     ends = np.zeros(total.shape)
     most = max((len(x.size) for x in cover.blocks), default=0)
     worth, near = np.empty((most, k)), np.empty((most if deep else 0, k), np.int16)
     each, weighted = np.empty((max((len(x.sources) for x in cover.blocks), default=0), ROWS, k)), np.empty((ROWS, k))
     for block in cover.blocks:
         slots, many = block.sources.shape
+        several = (block.size > 1).any()
         carried = classes[cover.classes.start[block.first] :][: slots * many].reshape(many, slots)
         for lo in range(0, many, ROWS):
             rows = slice(lo, min(lo + ROWS, many))
@@ -300,12 +301,14 @@ def _ended(cover: Cover, depth: int, level: np.ndarray, total: np.ndarray, weigh
             np.add(got[0], got[1], out=ways) if slots > 1 else np.copyto(ways, got[0])
             for j in range(2, slots):
                 ways += got[j]
-            # a class that isn't reached has no ways, and its sources aren't reached either
-            np.divide(1, np.maximum(ways, LEAST, out=ways), out=ways)
+            if unreached:  # a class that isn't reached has no ways, and its sources aren't reached either
+                np.maximum(ways, LEAST, out=ways)
+            np.divide(1, ways, out=ways)
             shares = np.multiply(ways, weight, out=weighted[: rows.stop - lo])
             for j in range(slots):
                 carried[rows, j] += np.einsum("ij,ij->i", got[j], shares)
-            ways *= block.size[rows, None]
+            if several:
+                ways *= block.size[rows, None]
         for h, lo, hi in zip(block.hubs.tolist(), block.begin[:-1].tolist(), block.begin[1:].tolist(), strict=True):
             rows = block.rows[lo:hi]
             got = worth.take(rows, 0)
